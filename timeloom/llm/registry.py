@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import mixing, quality
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": quality.op1_quality_rules}
+    return {
+        "op1_quality_rules": quality.op1_quality_rules,
+        "op4_curriculum_mix": mixing.op4_curriculum_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL}
+    return {
+        "op1_quality_rules": quality.OP1_SQL,
+        "op4_curriculum_mix": mixing.OP4_SQL,
+    }

@@ -29,12 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark then drops a query's shuffle files when it ends, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends here, a lost
-    executor loses nothing, and later readers prune columns."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/timeloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    executor loses nothing, the shuffle files behind it go, and later readers prune columns."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/timeloom/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spaced(text: Column) -> Column:

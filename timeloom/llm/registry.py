@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, simhash, substrings, suffixes
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op3_simhash_components": simhash.op3_simhash_components,
         "op4_curriculum_mix": mixing.op4_curriculum_mix,
+        "op5_substring_dedup": substrings.op5_substring_dedup,
+        "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     }
 
 
@@ -16,4 +19,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.OP1_SQL,
         "op4_curriculum_mix": mixing.OP4_SQL,
+        "op5_substring_dedup": substrings.OP5_SQL,
     }

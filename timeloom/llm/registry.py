@@ -1,17 +1,25 @@
-"""The numbered corpus queries and, where SQL can express them, their SQL."""
+"""The numbered corpus queries, the pipeline and, where SQL can express them, their SQL."""
 
 from __future__ import annotations
 
-from . import mixing, quality, simhash, substrings, suffixes
+from . import ann, bpe, katz, langid, lines, mixing, quality, simhash, substrings, suffixes
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op2_katz_backoff": katz.op2_katz_backoff,
         "op3_simhash_components": simhash.op3_simhash_components,
         "op4_curriculum_mix": mixing.op4_curriculum_mix,
         "op5_substring_dedup": substrings.op5_substring_dedup,
+        "op6_anisotropic_search": ann.op6_anisotropic_search,
+        "op7_byte_bpe": bpe.op7_byte_bpe,
+        "op8_cross_parsing": langid.op8_cross_parsing,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
+        "op10_line_chunks": lines.op10_line_chunks,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -20,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality.OP1_SQL,
         "op4_curriculum_mix": mixing.OP4_SQL,
         "op5_substring_dedup": substrings.OP5_SQL,
+        "op6_anisotropic_search": ann.OP6_SQL,
     }

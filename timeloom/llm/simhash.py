@@ -1,9 +1,10 @@
 """SimHash near-duplicates by multi-index hashing.
 
-Fingerprints of 64 bits are cut into three segments. Two that differ in at most four bits differ in at
-most one bit of some segment, so each fingerprint is filed under its own segment values and looks up
-the ball of radius one around them (one direction of each flipped bit is enough). Rows that meet under
-a segment value are compared over all 64 bits.
+Fingerprints of 64 bits are cut into two segments of 32. Two that differ in at most four bits differ in
+at most two bits of some segment, so the balls of radius one around their values there meet: each
+fingerprint is filed under the 33 values of its ball in either segment, and rows that meet under a value
+are compared over all 64 bits. Long segments keep chance meetings rare: their number grows with the
+square of the distinct fingerprints, over 2^32.
 
 Copies share a fingerprint and are one node from the start. A crowded segment value is dealt into
 blocks whose pairs are compared in different tasks, and a block pair returns a spanning forest of its
@@ -29,8 +30,8 @@ from .graph import components
 SEED = 42
 SHINGLE = 4
 RADIUS = 4
-#: Segments as (shift, width). Each segment is searched to floor(RADIUS / 3) = 1 flipped bit.
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Bits of a segment; balls of radius one on both sides search it to two flipped bits.
+WIDTH = 32
 #: Rows of one segment value that are compared in one go.
 BLOCK = 1024
 _SMALL = 8
@@ -102,20 +103,15 @@ def _link_groups(key: np.ndarray, fps: np.ndarray, radius: int):
 
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """fps: distinct fingerprints (fp). Edges (a, b) whose components are those of all pairs within
-    radius (at most one bit a segment plus two: 5)."""
-    if radius > 2 * len(SEGMENTS) - 1:
-        raise ValueError(f"a radius over {2 * len(SEGMENTS) - 1} needs larger balls")
-    filed = fps.select("fp", F.inline(F.array(*(
-        F.struct(F.lit(i).alias("seg"), F.lit(width).alias("width"),
-                 F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int").alias("v"))
-        for i, (shift, width) in enumerate(SEGMENTS)))))
-    ball = filed.select("fp", "seg", "v", F.explode(F.sequence(F.lit(-1), F.col("width") - 1)).alias("bit"))
-    one = F.expr("shiftleft(1, greatest(bit, 0))")
-    ball = ball.where((F.col("bit") < 0) | (F.col("v").bitwiseAND(one) == 0))
-    key = F.when(F.col("bit") < 0, F.col("v")).otherwise(F.col("v").bitwiseOR(one))
-    rows = ball.select((F.col("seg") * F.lit(1 << 22) + key).alias("key"), "fp", (F.col("bit") < 0).alias("home"))
-    full = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("home")).where("n > 1 and home").select("key", "n")
-    rows = rows.select("key", "fp").join(full, "key")
+    radius."""
+    if radius > 5:
+        raise ValueError("a radius over 5 needs larger balls")  # two segments of two flipped bits each, and one
+    halves = fps.select("fp", F.posexplode(F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", WIDTH))).alias("seg", "v"))
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(WIDTH)))
+    ball = halves.select("fp", "seg", "v", F.explode(flips).alias("flip"))
+    rows = ball.select((F.col("seg") * F.lit(1 << WIDTH).cast("long") + F.col("v").bitwiseXOR(F.col("flip"))).alias("key"), "fp")
+    full = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(full, "key")
     blocks = F.ceil(F.col("n") / block).cast("int")
     rows = rows.select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
     rows = rows.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

@@ -94,11 +94,16 @@ def _failed() -> dict[str, Column]:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measurements plus `fail_bits` (long): bit i is set if RULES[i] fails."""
+    """Measurements plus `fail_bits` (long): bit i is set if RULES[i] fails.
+
+    The measurements pass through a generator of one row: Catalyst would push a filter on the bits
+    below the projections that measure, and so write out, and evaluate, each of them many times."""
     bits = F.lit(0).cast("long")
     for name, failed in _failed().items():
         bits = bits.bitwiseOR(F.when(failed, F.lit(mask([name]))).otherwise(F.lit(0)).cast("long"))
-    return measure(docs, id_col, text_col).withColumn("fail_bits", bits)
+    measured = measure(docs, id_col, text_col)
+    names = [c for c in measured.columns if c != "doc_id"]
+    return measured.select("doc_id", F.inline(F.array(F.struct(*names)))).withColumn("fail_bits", bits)
 
 
 def apply_policy(led: DataFrame, policy: tuple[str, int] = CURRENT) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, spaced
+from .common import GAP, load
 
 #: Bit of each rule in the ledger, in the order in which they were introduced; never renumbered.
 RULES = ("min_words", "repeated_words", "symbols", "duplicate_lines", "word_length", "shouting")
@@ -32,37 +32,41 @@ def mask(rules) -> int:
     return sum(1 << RULES.index(r) for r in rules)
 
 
-def _repeat_words(flat: Column) -> Column:
-    """Words in three-word windows that occur twice or more in the text.
-
-    The windows are sorted with their positions inside the row; equal neighbours are repeats; the
-    words covered are the sum of the steps between repeated positions, three at most."""
-    found = F.regexp_extract_all(flat, F.lit("(?:^|(?<= ))(?=([^ ]++ [^ ]++ [^ ]++))"), F.lit(1))
-    return F.sort_array(F.transform(found, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+def _windows(words: Column) -> Column:
+    """64-bit hashes of the three-word windows, in order."""
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
+    return F.transform(starts, lambda w, i: F.xxhash64(w, *(F.get(words, i + k) for k in range(1, WINDOW))))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measurements of each text: n_words, word_chars, n_symbols, n_lines, n_dup_lines,
-    n_repeat_words, n_upper (A-Z), all long."""
+    n_repeat_words, n_upper (A-Z), all long.
+
+    Repeated words: a text whose windows are all distinct has none. Else the windows are sorted with
+    their positions inside the row; equal neighbours are repeats; the words covered are the sum of the
+    steps between repeated positions, three at most."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     d = d.select(
         "doc_id",
-        spaced(text).alias("flat"),
-        (F.length(text) - F.length(F.regexp_replace(text, "[#*$%&|<>]", ""))).alias("n_symbols"),
-        (F.length(text) - F.length(F.regexp_replace(text, "[A-Z]", ""))).alias("n_upper"),
+        F.array_remove(F.split(text, GAP), "").alias("words"),
+        F.regexp_replace(text, "[^#*$%&|<>A-Z]+", "").alias("marks"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
     )
     d = d.select(
-        "doc_id", "n_symbols", "n_upper",
+        "doc_id",
+        F.length(F.regexp_replace("marks", "[A-Z]+", "")).alias("n_symbols"),
+        F.length(F.regexp_replace("marks", "[^A-Z]+", "")).alias("n_upper"),
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
-        F.length(F.replace("flat", F.lit(" "), F.lit(""))).alias("word_chars"),
-        F.when(F.col("flat") == "", 0).otherwise(
-            F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit(""))) + 1
-        ).alias("n_words"),
-        _repeat_words(F.col("flat")).alias("sorted"),
+        F.length(F.array_join("words", "")).alias("word_chars"),
+        F.size("words").alias("n_words"),
+        _windows(F.col("words")).alias("windows"),
     )
+    placed = F.sort_array(F.transform("windows", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    distinct = F.size(F.array_distinct("windows")) == F.size("windows")
+    none = F.array().cast("array<struct<w:bigint,i:int>>")
+    d = d.withColumn("sorted", F.when(distinct, none).otherwise(placed)).drop("windows")
     following = F.slice("sorted", F.lit(2), F.greatest(F.size("sorted"), F.lit(1)))
     pairs = F.array_compact(F.zip_with(
         F.col("sorted"), following,

@@ -11,7 +11,7 @@ range-sorted by position.
 A source of any share is dealt out: offsets are prefix sums over 4096 hash buckets a source and,
 inside each bucket, over its documents. DataFrame functions alone, no Python on executors.
 
-Cases: null text has size 0 and is never taken; a null source is a source of its own, the last; rows
+Cases: null text has size 0 and is never taken; without any word all targets are 0; a null source is a source of its own, the last; rows
 repeated count each for itself; equal hashes are ordered by id, size and text hash; an empty table
 gives an empty result; further columns are kept by `mix` and ignored by `positions`.
 """
@@ -49,7 +49,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, slopes=SLOPES, epochs: int = MA
     s = s.withColumn("rest", F.col("all_words") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(every))
     s = s.withColumn("open", F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("weight"))).over(every))
     s = s.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("rest") / F.col("open") * F.col("weight")))
-    s = s.withColumn("mean_slope", F.coalesce(F.sum(F.col("target") * F.col("slope")).over(every) / F.col("all_words"), F.lit(0.0)))
+    s = s.withColumn("mean_slope", F.coalesce(F.try_divide(F.sum(F.col("target") * F.col("slope")).over(every), F.col("all_words")), F.lit(0.0)))
     return s.select("skey", "source_size", "target", "slope", "all_words", "mean_slope")
 
 

@@ -19,6 +19,7 @@ columns are ignored by `op7` and kept by `encode`.
 from __future__ import annotations
 
 import base64
+import functools
 
 import duckdb
 import numpy as np
@@ -244,6 +245,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@functools.cache
 def multilingual() -> Vocabulary:
     import public_tokenizers
 

@@ -13,7 +13,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     sym = edges.unionByName(turned) if large else edges
     least = sym.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    joined = sym.join(least, "a")
+    joined = sym.join(least.hint("merge"), "a")  # never by way of the driver
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -111,7 +111,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     ball = halves.select("fp", "seg", "v", F.explode(flips).alias("flip"))
     rows = ball.select((F.col("seg") * F.lit(1 << WIDTH).cast("long") + F.col("v").bitwiseXOR(F.col("flip"))).alias("key"), "fp")
     full = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(full, "key")
+    rows = rows.join(full.hint("merge"), "key")  # here and below: never by way of the driver
     blocks = F.ceil(F.col("n") / block).cast("int")
     rows = rows.select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
     rows = rows.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -143,10 +143,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     fps = cut(fingerprints(docs, shingle), "fp")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    nodes = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    nodes = nodes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    nodes = nodes.join(least, "root").select("fp", "component_id")
-    return fps.join(nodes, "fp").select("doc_id", "fp", "component_id")
+    nodes = nodes.join(least.hint("merge"), "root").select("fp", "component_id")
+    return fps.join(nodes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

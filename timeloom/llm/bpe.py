@@ -1,6 +1,6 @@
 """Byte-level BPE by DuckDB recursive queries in each partition.
 
-A text is split by the tokenizer's pattern; the words not met before in the partition become
+A text is split by the tokenizer's pattern; the words not met before by the worker become
 token-position rows. A recursive query joins neighbouring rows with the merge table and contracts each
 word's leftmost pair of least rank until no pair is left. In words over LONG bytes one step contracts
 all disjoint pairs of that rank, where no pair that this makes can rank lower, so that a long run
@@ -8,8 +8,8 @@ settles in few steps with the same result. Decoding joins ids with the vocabular
 pieces in order.
 
 The vocabulary (a file of the driver, given by path) and its merge table are broadcast: their size is
-that of the vocabulary, whatever the corpus. A worker remembers at most REMEMBER words and hands
-DuckDB at most BYTES bytes at once.
+that of the vocabulary, whatever the corpus. A worker remembers two generations of REMEMBER words and hands
+DuckDB at most BYTES bytes at once; a Python process keeps its worker for its next partitions.
 
 Cases: a null text is empty; an empty text has no ids and decodes to no bytes; special tokens are
 ordinary text; repeated rows are encoded each for itself; an empty table gives an empty result; further
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 
 import duckdb
 import numpy as np
@@ -31,22 +32,30 @@ from pyspark.sql import functions as F
 from .common import load
 
 LONG = 192
-REMEMBER = 400_000
+REMEMBER = 250_000
 BYTES = 1_000_000
 #: Ids decoded at once.
 IDS = 400_000
 
+# A row holds its token, its right neighbour (np, nt) and their pair's rank m. Each step finds a word's
+# best pair by grouping, and then rewrites the row left of it, its first row, and drops its second one.
 _STEP = """
 WITH RECURSIVE s AS (
-  SELECT w, p, t, 0 AS k FROM start
+  SELECT w, p, t, np, nt, m, 0 AS k
+  FROM (SELECT w, p, t, lead(p) OVER v AS np, lead(t) OVER v AS nt FROM start WINDOW v AS (PARTITION BY w ORDER BY p))
+  LEFT JOIN merges ON t = l AND nt = r
   UNION ALL
-  SELECT w, p, CASE WHEN hit THEN best >> 32 ELSE t END::INT AS t, k + 1 AS k
-  FROM (SELECT *, p = best & 4294967295 AS hit, before = best & 4294967295 AS gone
-        FROM (SELECT *, min((m::BIGINT << 32) + p) OVER (PARTITION BY w) AS best
-              FROM (SELECT w, p, t, k, lead(t) OVER v AS nt, lag(p) OVER v AS before FROM s WINDOW v AS (PARTITION BY w ORDER BY p)) AS a
-              LEFT JOIN merges ON a.t = l AND a.nt = r))
-  WHERE best IS NOT NULL AND gone IS DISTINCT FROM true)
-SELECT w, p, t FROM s QUALIFY k = max(k) OVER (PARTITION BY w) ORDER BY w, p
+  SELECT w, p, t, np, nt, merges.m, k + 1 AS k
+  FROM (SELECT s.w, s.p, s.k, CASE WHEN s.p = hit THEN token ELSE s.t END AS t,
+               CASE WHEN s.p = hit THEN beyond ELSE s.np END AS np,
+               CASE WHEN s.p = hit THEN beyond_t WHEN s.np = hit THEN token ELSE s.nt END AS nt
+        FROM s JOIN (SELECT b.w, best.p AS hit, best.m AS token, best.np AS gone, n.np AS beyond, n.nt AS beyond_t
+                     FROM (SELECT w, arg_min({'p': p, 'm': m, 'np': np}, (m::BIGINT << 32) + p) AS best
+                           FROM s WHERE m IS NOT NULL GROUP BY w) AS b
+                     JOIN s AS n ON n.w = b.w AND n.p = best.np) AS found ON s.w = found.w
+        WHERE s.p <> gone)
+  LEFT JOIN merges ON t = l AND nt = r)
+SELECT w, p, t FROM s JOIN (SELECT w, max(k) AS k FROM s GROUP BY w) USING (w, k) ORDER BY w, p
 """
 
 _LONG_STEP = """
@@ -87,6 +96,10 @@ class Vocabulary:
         np.minimum.at(least, right, merged)
         self.merges = pa.table({"l": left, "r": right, "m": merged, "steady": least[merged] > merged})
 
+    def key(self) -> str:
+        """Tells vocabularies apart by their content."""
+        return hashlib.sha256(repr((self.pattern, sorted(self.ranks.items()))).encode()).hexdigest()
+
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
         with open(path, "rb") as f:
@@ -94,13 +107,14 @@ class Vocabulary:
 
 
 class Worker:
-    """One partition's DuckDB and the words that it has met."""
+    """A process's DuckDB and the words that it has met."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.ranks = vocabulary.ranks
         self.find = regex.compile(vocabulary.pattern).findall
         self.single = np.array([vocabulary.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # an earlier generation: what is met again moves on
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         merges = vocabulary.merges  # noqa: F841  DuckDB sees it by name
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
@@ -160,9 +174,11 @@ class Worker:
 
     def _encode(self, split: list[list[str]]) -> list[bytes]:
         if len(self.known) > REMEMBER:
-            self.known.clear()
+            self.before, self.known = self.known, {}
         fresh = {w for words in split for w in words}.difference(self.known)
-        self.learn(fresh)
+        again = fresh.intersection(self.before)
+        self.known.update((w, self.before[w]) for w in again)
+        self.learn(fresh - again)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -190,22 +206,31 @@ class Worker:
         return out
 
 
+_kept: dict[str, Worker] = {}
+
+
+def _worker(key: str, shared) -> Worker:
+    """This process's worker for a broadcast vocabulary; it takes the place of another vocabulary's."""
+    if key not in _kept:
+        while _kept:
+            _kept.popitem()[1].close()
+        _kept[key] = Worker(shared.value)
+    return _kept[key]
+
+
 def _mapped(df: DataFrame, vocabulary: Vocabulary, source: str, added: list[tuple[str, pa.DataType, str]], work) -> DataFrame:
     """Adds columns computed from column `source` by work(worker, values) for each slice of rows."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    shared, key = df.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.key()
     columns = df.columns
 
     def run(batches):
-        worker = Worker(shared.value)
-        try:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
-                    new = work(worker, part.column(columns.index(source)).to_pylist())
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns, *(pa.array(c, t) for c, (_, t, _) in zip(new, added, strict=True))], names=[*columns, *(n for n, _, _ in added)])
-        finally:
-            worker.close()
+        worker = _worker(key, shared)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                new = work(worker, part.column(columns.index(source)).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, *(pa.array(c, t) for c, (_, t, _) in zip(new, added, strict=True))], names=[*columns, *(n for n, _, _ in added)])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, own + "".join(f", {n} {s}" for n, _, s in added))

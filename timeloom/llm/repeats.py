@@ -201,15 +201,20 @@ def _next_pieces(pieces: DataFrame, kind, length: int, size: int) -> DataFrame:
 
 def _judge(rows: DataFrame, across: bool) -> DataFrame:
     """Marks each row of a pass: `gone` (its windows start earlier elsewhere) or `open` (it is the
-    earliest of its content, in a class of several contents). Rows that are neither drop out."""
+    earliest of its content, in a class of several contents). Rows that are neither drop out.
+
+    rows is read twice, so it should be a table. The classes of several contents are a table of their
+    own: a join of two plain exchanges is one that Spark can split where a class has many contents."""
+    mixed = rows.groupBy("class").agg(F.min("whole").alias("least"), F.max("whole").alias("most")).where("least <> most")
+    mixed = cut(mixed.select("class", F.lit(True).alias("mixed")), "mixed")
     first = F.min("id") if across else F.min(F.struct("id", "place"))
     found = rows.groupBy("class", "whole").agg(first.alias("first"), F.count("*").alias("n"))
-    several = found.groupBy("class").agg(F.count("*").alias("contents"))
-    found = found.join(several, "class").where("n > 1 or contents > 1").select("class", "whole", "first", "contents")
+    found = found.join(mixed, "class", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
+    found = found.where("n > 1 or mixed").select("class", "whole", "first", "mixed")
     own = F.col("id") if across else F.struct("id", "place")
     marked = rows.join(found, ["class", "whole"])
     marked = marked.withColumn("gone", own > F.col("first"))
-    return marked.withColumn("open", ~F.col("gone") & (F.col("contents") > 1)).where("gone or open").drop("first", "contents", "whole")
+    return marked.withColumn("open", ~F.col("gone") & F.col("mixed")).where("gone or open").drop("first", "mixed", "whole")
 
 
 def repeated_places(docs: DataFrame, kind, length: int, gram: int, sizes, across: bool) -> DataFrame:

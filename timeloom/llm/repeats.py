@@ -222,6 +222,7 @@ def repeated_places(docs: DataFrame, kind, length: int, gram: int, sizes, across
     start in a document of smaller id count; else also those earlier in the same document."""
     runs = _runs(docs, kind, length, gram)
     shared = runs.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+    shared = cut(shared, "shared")  # else its sums would bind the join's exchange, which Spark then can't split
     rows = cut(runs.join(shared, "class"), "runs")
     judged = cut(_judge(rows, across).withColumnRenamed("class", "gram"), "judged")
     gone = judged.where("gone").select("id", "place")

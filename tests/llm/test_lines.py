@@ -58,3 +58,52 @@ def test_edges(spark):
     assert collect(lines.removals(docs(spark, []))) == []
     one = docs(spark, ["a b\nc d\ne f\ng h"])
     assert [r["n_removed"] for r in collect(lines.removals(one.union(one)))] == [0, 0]
+
+
+def without_chunks(texts):
+    """What is left if every line goes that lies in a two-line window seen earlier."""
+    first, out = {}, []
+    for i, t in enumerate(texts):
+        rows, gone = t.split("\n"), set()
+        for at in range(len(rows) - 1):
+            body = "\n".join(rows[at : at + 2])
+            if body.split():
+                j, before = first.setdefault(body, (i, at))
+                if j < i or at - before >= 2:
+                    gone |= {at, at + 1}
+        out.append("\n".join(x for at, x in enumerate(rows) if at not in gone))
+    return out
+
+
+def test_short_passages_go_wholly(spark):
+    r = random.Random(5)
+    own = lambda k: [f"own {r.randrange(10**9)} é" for _ in range(k)]
+    texts, passages = [], []
+    for n in (2, 3, 4, 5, 6):
+        for _ in range(4):
+            p = own(n)
+            passages.append(p)
+            texts += ["\n".join(own(r.randint(0, 5)) + p + own(r.randint(0, 5))) for _ in range(3)]
+    texts += ["a\na\na\na\na", "x\n\ny\nz", "q\nx\n\ny", texts[0], "\n".join(own(2) + passages[0] + passages[9] + own(1))]
+    want = without_chunks(texts)
+    d = docs(spark, texts)
+    got = {row["doc_id"]: row for row in collect(lines.removals(d, exact=True))}
+    for i, w in enumerate(want, 1):
+        assert got[i]["text"] == w
+        n = texts[i - 1].count("\n") + 1
+        assert got[i]["n_lines"] == n and got[i]["n_removed"] == n - (w.count("\n") + 1 if w or got[i]["n_removed"] < n else 0)
+    left = "\n".join(row["text"] for row in got.values()).split("\n")
+    assert all(left.count(x) == 1 for p in passages for x in p)
+    assert {row["doc_id"]: row["text"] for row in collect(lines.dedup_lines(d, exact=True))} == dict(enumerate(want, 1))
+
+
+def test_exact_step_fits_awkward_rows(spark):
+    assert collect(lines.removals(docs(spark, []), exact=True)) == []
+    one = docs(spark, [None, "", "\n\n\n", "a b\nc d\ne f\ng h"])
+    assert [r["n_removed"] for r in collect(lines.removals(one.union(one), exact=True))] == [0] * 8
+    # Everything that chunks alone remove goes with windows too.
+    texts = some_texts()
+    d = docs(spark, texts)
+    chunks = {r["doc_id"]: r for r in collect(lines.removals(d))}
+    both = {r["doc_id"]: r for r in collect(lines.removals(d, exact=True))}
+    assert all(both[i]["n_removed"] >= chunks[i]["n_removed"] and both[i]["n_chunks"] == chunks[i]["n_chunks"] for i in both)

@@ -5,6 +5,11 @@ that boundaries move with the lines when others are inserted before them. Chunks
 a word in them, that occur more than once in the corpus are compared byte by byte with the earliest
 (smallest id, then smallest line number); equal ones are removed, the earliest stays.
 
+No chunk need lie wholly inside a short passage. With `exact`, every window of MIN_LINES lines with a
+word in it is judged besides: it goes, too, if an equal one comes earlier and doesn't overlap it. That
+takes matched chunks on over their neighbours, and passages without a chunk of their own. Windows meet
+by hashes of 128 bits; bytes are fetched and compared only for those that repeat.
+
 Counts are map-side combined, and copies meet the earliest by joins on the chunk's hash, which Spark
 splits when a chunk is very common.
 
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import cut, load
 
 #: Lines in the rolling hash, and the residue class in which a boundary falls: one line in DIVISOR.
-ROLLING = 2
-DIVISOR = 4
+ROLLING = 1
+DIVISOR = 2
 MIN_LINES = 2
 _LEAST_ID = -(1 << 63)
 
@@ -36,7 +41,7 @@ def chunks_of(text: bytes):
     lines = text.split(b"\n")
     start, before = 0, []
     for i, line in enumerate(lines):
-        before = [*before[1 - ROLLING :], xxhash.xxh3_64_intdigest(line)]
+        before = [*before, xxhash.xxh3_64_intdigest(line)][-ROLLING:]
         rolled = 0
         for h in before:
             rolled = (rolled * 0x100000001B3 + h) & (2**64 - 1)
@@ -84,28 +89,99 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     return later.where(F.col("body") == F.col("first_body")).select("id", "tag", "at", "n")
 
 
-def _with_lines(docs: DataFrame) -> DataFrame:
-    """row (all of docs), lines, gone (sorted starts and lengths of the removed chunks), kept_lines."""
+def _halves(body: bytes) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(body)
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+def _windows(keyed: DataFrame) -> DataFrame:
+    """(id, tag, text) to its windows of MIN_LINES lines: h1, h2, id, tag, at."""
+
+    def run(batches):
+        for batch in batches:
+            for i, tag, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), strict=True):
+                lines = (text.as_py() or b"").split(b"\n")
+                found = []
+                for at in range(len(lines) - MIN_LINES + 1):
+                    body = b"\n".join(lines[at : at + MIN_LINES])
+                    if body.split(None, 1):
+                        found.append((*_halves(body), at))
+                if found:
+                    h1, h2, at = zip(*found)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(h1), pa.array(h2), pa.array([i.as_py()] * len(at)), pa.array([tag.as_py()] * len(at)), pa.array(at, pa.int32())],
+                        names=["h1", "h2", "id", "tag", "at"])
+
+    return keyed.select("id", "tag", "text").mapInArrow(run, "h1 long, h2 long, id long, tag long, at int")
+
+
+def _bodies(asked: DataFrame) -> DataFrame:
+    """(id, tag, text, wanted: structs of at, h1, h2, is_first) to a row each, with the window's bytes."""
+    schema = "h1 long, h2 long, id long, tag long, at int, is_first boolean, body binary"
+    types = [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.binary()]
+    names = ["h1", "h2", "id", "tag", "at", "is_first", "body"]
+
+    def run(batches):
+        for batch in batches:
+            for i, tag, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
+                lines = text.as_py().split(b"\n")
+                rows = [(w["h1"], w["h2"], i.as_py(), tag.as_py(), w["at"], w["is_first"], b"\n".join(lines[w["at"] : w["at"] + MIN_LINES])) for w in wanted.as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
+
+    return asked.select("id", "tag", "text", "wanted").mapInArrow(run, schema)
+
+
+def repeated_windows(keyed: DataFrame) -> DataFrame:
+    """keyed (id, tag, text). The windows to remove: id, tag, at."""
+    every = _windows(keyed)
+    found = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count("*").alias("times"))
+    found = found.where("times > 1").select("h1", "h2", "first")
+    marked = every.join(found, ["h1", "h2"]).withColumn("is_first", F.struct("id", "tag", "at") == F.col("first"))
+    own = (F.col("id") == F.col("first.id")) & (F.col("tag") == F.col("first.tag")) & (F.col("at") - F.col("first.at") < MIN_LINES)
+    marked = cut(marked.where(F.col("is_first") | ~own).drop("first"), "windows")
+    wanted = marked.groupBy("id", "tag").agg(F.collect_set(F.struct("at", "h1", "h2", "is_first")).alias("wanted"))
+    bodies = cut(_bodies(keyed.select("id", "tag", "text").join(wanted, ["id", "tag"])), "bodies")
+    first = bodies.where("is_first").groupBy("h1", "h2").agg(F.first("body").alias("first_body"))
+    later = bodies.where("not is_first").join(first, ["h1", "h2"])
+    return later.where(F.col("body") == F.col("first_body")).select("id", "tag", "at")
+
+
+def _spans(keyed: DataFrame, exact: bool) -> DataFrame:
+    """id, tag, gone (sorted starts and lengths to remove, ends sorted too), n_chunks (removed whole)."""
+    chunks = repeated_chunks(keyed)
+    if not exact:
+        gone = F.sort_array(F.collect_set(F.struct("at", "n")))
+        return chunks.groupBy("id", "tag").agg(gone.alias("gone")).withColumn("n_chunks", F.size("gone"))
+    # A chunk's own windows, so that all spans are of one length: a chunk may begin with blank lines.
+    starts = F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - MIN_LINES))
+    inside = chunks.select("id", "tag", starts.alias("start"), F.col("at").alias("chunk"))
+    windows = repeated_windows(keyed).select("id", "tag", F.col("at").alias("start"), F.lit(None).cast("int").alias("chunk"))
+    gone = F.sort_array(F.collect_set(F.struct(F.col("start").alias("at"), F.lit(MIN_LINES).alias("n"))))
+    return inside.unionByName(windows).groupBy("id", "tag").agg(gone.alias("gone"), F.size(F.collect_set("chunk")).alias("n_chunks"))
+
+
+def _with_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """row (all of docs), lines, gone (sorted starts and lengths to remove), n_chunks, kept_lines."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     keyed = docs.select(
         row, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("id"),
         F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tag"))
-    spans = repeated_chunks(keyed).groupBy("id", "tag").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("gone"))
-    d = keyed.join(spans, ["id", "tag"], "left")
-    d = d.select("row", "text", F.coalesce("gone", F.array().cast("array<struct<at:int,n:int>>")).alias("gone"),
+    d = keyed.join(_spans(keyed, exact), ["id", "tag"], "left")
+    d = d.select("row", "text", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
+                 F.coalesce("gone", F.array().cast("array<struct<at:int,n:int>>")).alias("gone"),
                  F.when(F.coalesce("text", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n")).alias("lines"))
     ends = F.transform("gone", lambda g: g["at"] + g["n"])
     gaps = F.zip_with(F.array_prepend(ends, F.lit(0)), F.array_append(F.col("gone.at"), F.size("lines")),
                       lambda a, b: F.struct(a.alias("lo"), b.alias("hi")))
     d = d.withColumn("gaps", gaps)
-    kept = F.flatten(F.transform("gaps", lambda g: F.slice("lines", g["lo"] + 1, g["hi"] - g["lo"])))
+    kept = F.flatten(F.transform("gaps", lambda g: F.slice("lines", g["lo"] + 1, F.greatest(g["hi"] - g["lo"], F.lit(0)))))
     return d.withColumn("kept_lines", kept)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents without repeated chunks, all columns kept; where a text changes, so does n_chars
-    (if there is such a column)."""
-    d = _with_lines(docs)
+def dedup_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """The documents without repeated chunks (and windows, if exact), all columns kept; where a text
+    changes, so does n_chars (if there is such a column)."""
+    d = _with_lines(docs, exact)
     changed = F.size("gone") > 0
     text = F.when(changed, F.array_join("kept_lines", "\n")).otherwise(F.col("row.text"))
     d = d.select("row", text.alias("new_text"), changed.alias("changed"))
@@ -120,16 +196,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return d.select(*out)
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed (lines), n_chunks (removed), text (what is left; null stays null)."""
-    d = _with_lines(docs.select("doc_id", "text"))
+def removals(docs: DataFrame, exact: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed (lines), n_chunks (removed whole), text (what is left; null stays
+    null)."""
+    d = _with_lines(docs.select("doc_id", "text"), exact)
     text = F.when(F.size("gone") > 0, F.array_join("kept_lines", "\n")).otherwise(F.col("row.text"))
     return d.select(
         "row.doc_id", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("kept_lines")).cast("long").alias("n_removed"),
-        F.size("gone").cast("long").alias("n_chunks"), text.alias("text"))
+        F.col("n_chunks").cast("long"), text.alias("text"))
 
 
 def op10_line_chunks(spark, sf_dir: str) -> DataFrame:
-    out = removals(load(spark, sf_dir, "documents"))
+    out = removals(load(spark, sf_dir, "documents"), exact=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

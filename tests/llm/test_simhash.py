@@ -69,3 +69,19 @@ def test_keep_one(spark):
     want = {r["component_id"] for r in collect(S.near_duplicates(d))}
     got = collect(S.keep_one(d))
     assert {r["doc_id"] for r in got} == want and len(got) == len(want)
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    texts = [t for t in corpus(40) if t and len(t.split()) > 30]
+    fps = [plain_fingerprint(t) for t in texts]
+    ids = [[None, 7, None, 8, 100 + i][i % 5] for i in range(len(texts))]
+    groups = plain_components(list(range(len(texts))), fps)
+    df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)], "doc_id long, text string, key string").repartition(3)
+    got = collect(S.keep_one(df))
+    member = {t: g for t, g in zip(texts, groups)}
+    assert sorted(member[r["text"]] for r in got) == sorted(set(groups))
+    for r in got:
+        mine = [i for i, g in zip(ids, groups) if g == member[r["text"]]]
+        assert r["doc_id"] == min((i for i in mine if i is not None), default=None)
+        assert (r["doc_id"], r["text"]) in set(zip(ids, texts)) and r["key"] == "x"
+    assert sum(r["doc_id"] is None for r in got) > 5 and sum(r["doc_id"] == 7 for r in got) > 2

@@ -11,9 +11,9 @@ blocks whose pairs are compared in different tasks, and a block pair returns a s
 true links, not all pairs: the components are the same and the rows stay linear.
 
 Cases: null and blank texts have fingerprint 0 and link like any other; repeated rows share their
-component; null ids are never chosen as component_id unless a component has no other (then null); an
-empty table gives an empty result; further columns are ignored by `near_duplicates` and kept by
-`keep_one`.
+component; null ids are never chosen as component_id unless a component has no other (then null);
+`keep_one` tells rows of one id, or of none, apart by their text's hash; an empty table gives an empty
+result; further columns are ignored by `near_duplicates` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, cut, load
@@ -54,19 +54,23 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
+def _mark(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (long: the 64 bits)."""
+    """doc_id, mark (hash of the whole text), fp (long: the 64 bits)."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(1).cast(pa.binary())
+                texts = part.column(2).cast(pa.binary())
                 fps = np.fromiter((simhash(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(docs).alias("mark"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -138,28 +142,37 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id reachable), one row for each row of docs."""
+def _clustered(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
+    """doc_id, mark, fp, root (the component's least fingerprint), component_id, a row for each of docs."""
     fps = cut(fingerprints(docs, shingle), "fp")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     nodes = nodes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
-    nodes = nodes.join(least.hint("merge"), "root").select("fp", "component_id")
-    return fps.join(nodes.hint("merge"), "fp").select("doc_id", "fp", "component_id")
+    nodes = nodes.join(least.hint("merge"), "root").select("fp", "root", "component_id")
+    return fps.join(nodes.hint("merge"), "fp").select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, fp, component_id (the least doc_id reachable), one row for each row of docs."""
+    return _clustered(docs, radius, shingle).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The documents whose id is their component's, with their columns. Of rows that repeat such an
-    id, or have none, one stays for each."""
-    kept = near_duplicates(docs, radius, shingle).where("doc_id <=> component_id")
-    kept = kept.groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", "kept_id")
+    """One document of each component, with its columns: that of the least id (null after all others),
+    then of the least hash of its text. Of rows that repeat its id and text one stays."""
+    found = _clustered(docs, radius, shingle).where("doc_id <=> component_id")
+    found = found.groupBy("root", "doc_id", "mark").agg(F.count("*").alias("n"))
+    # All ids of a component are the same here, or all null.
+    kept = found.groupBy("root").agg(F.min(F.struct("mark", "doc_id", "n")).alias("k"))
     name = "_kept_rows"
-    while name in docs.columns:
+    while any(name + part in docs.columns for part in ("", "_id", "_mark")):
         name += "_"
-    found = docs.join(kept.withColumnRenamed("n", name), docs["doc_id"].eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    once = found.where(F.col(name) == 1).drop(name)
-    again = found.where(F.col(name) > 1).drop(name).dropDuplicates(["doc_id"])
+    kept = kept.select(F.col("k.doc_id").alias(name + "_id"), F.col("k.mark").alias(name + "_mark"), F.col("k.n").alias(name))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(name + "_id")) & (_mark(docs) == F.col(name + "_mark"))
+    found = docs.join(kept, same).drop(name + "_id")
+    once = found.where(F.col(name) == 1).drop(name, name + "_mark")
+    again = found.where(F.col(name) > 1).dropDuplicates(["doc_id", name + "_mark"]).drop(name, name + "_mark")
     return once.unionByName(again)
 
 

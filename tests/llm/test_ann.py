@@ -52,3 +52,26 @@ def test_awkward_rows(spark):
                        (5, [1.0, 1.0], ""), (6, [float("inf"), 1.0], ""), (None, [1.0, 2.0], ""), (7, [1.0], ""), (8, [1.0, 1.0], "")])
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in collect(ann.nearest(df, df.where("vec_id = 0")).orderBy("rank"))]
     assert got == [(0, 1, 5, 1.0), (0, 2, 8, 1.0)]
+
+
+def test_many_copies_take_no_place_of_others(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(900, 24)).astype(np.float32)
+    x = np.concatenate([x, np.repeat(x[1:181:3], 150, axis=0)])
+    df = frame(spark, [(i, [float(c) for c in v], "z") for i, v in enumerate(x)])
+    got = {}
+    for row in collect(ann.nearest(df, df.where("vec_id < 900 and vec_id % 30 = 0"))):
+        got.setdefault(row["query_id"], []).append(row["score"])
+    hits = 0
+    for q in range(0, 900, 30):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += sum(a <= np.sort(d)[9] + 1e-9 for a in got[q])
+    assert hits >= 0.95 * 300
+
+
+def test_length_is_the_most_common_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 1)
+    for other in range(100, 106):  # one of them has the least hash
+        df = frame(spark, [(i, [1.0, float(i)], "") for i in range(5)] + [(other, [1.0], "")])
+        assert [r["vec_id"] for r in collect(ann.nearest(df, df.where("vec_id = 0")).orderBy("rank"))] == [1, 2, 3, 4]

@@ -6,9 +6,12 @@ that weighs the residual parallel to x more than the rest, as that is what moves
 the queries that matter. A scan adds up two codes a byte from 256-entry tables, block by block; the
 best `rerank` of each query are measured again on the original vectors.
 
-The codebook is fitted on at most SAMPLE rows, those of least hash, on the driver (bounded: SAMPLE
-vectors), and is broadcast (16 vectors of the full length). Every row is encoded. Queries and rows are
-dealt into blocks of bounded size and meet block by block.
+Equal vectors are one class with its k + 1 least ids: scans and the `rerank` best are over classes, and
+copies come back after the exact measurement, so that they take no place of another vector.
+
+The codebook is fitted on at most SAMPLE distinct vectors, those of least hash, on the driver (bounded:
+SAMPLE vectors), and is broadcast (16 vectors of the full length). Every distinct vector is encoded.
+Queries and classes are dealt into blocks of bounded size and meet block by block.
 
 Cases: vectors that are null, zero, or hold a null or non-finite component, and null ids, take no
 part, nor do vectors of another length than the most common one (of equally common ones, the longest);
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import cut, load
 
 SAMPLE = 8192
 RERANK = 128
@@ -106,10 +109,21 @@ def _tables(queries: np.ndarray, books: np.ndarray) -> np.ndarray:
     return (single[:, 0::2, :, None] + single[:, 1::2, None, :]).reshape(len(queries), -1, 256).astype(np.float32)
 
 
+def _classes(data: DataFrame, k: int) -> DataFrame:
+    """data (vec_id, vector) to a row for each distinct vector: class_id, vector, ids (the least k + 1
+    in order, structs of vec_id and n, the rows that have it)."""
+    ids = data.groupBy("vector", "vec_id").agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("vector"))
+    place = F.row_number().over(Window.partitionBy("key", "vector").orderBy("vec_id"))
+    ids = ids.withColumn("place", place).where(F.col("place") <= k + 1)
+    found = ids.groupBy("key", "vector").agg(F.array_sort(F.collect_list(F.struct("vec_id", "n"))).alias("ids"))
+    return cut(found.select(F.monotonically_increasing_id().alias("class_id"), "vector", "ids"), "classes")
+
+
 def _scan(queries: pa.Table, rows: pa.Table, books: np.ndarray, keep: int) -> pa.Table:
-    ids = rows["vec_id"].to_numpy()
-    order = np.argsort(ids, kind="stable")  # ties below go to the smaller id
-    ids, half = ids[order], rows["half_norm"].to_numpy()[order].astype(np.float32)
+    classes, least = rows["class_id"].to_numpy(), rows["least"].to_numpy()
+    order = np.lexsort((classes, least))  # ties below go to the smaller id
+    classes, least, half = classes[order], least[order], rows["half_norm"].to_numpy()[order].astype(np.float32)
+    single = np.array(rows["single"].to_pylist(), bool)[order]
     width = books.shape[0] // 2
     codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(-1, width)[order]
     q_ids = queries["query_id"].to_numpy()
@@ -120,13 +134,13 @@ def _scan(queries: pa.Table, rows: pa.Table, books: np.ndarray, keep: int) -> pa
         score = np.repeat(-half[None], len(lut), axis=0)
         for b in range(width):
             score += lut[:, b][:, codes[:, b]]
-        score[q_ids[at : at + 64, None] == ids[None]] = -np.inf
+        score[(q_ids[at : at + 64, None] == least[None]) & single] = -np.inf
         best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
         value = np.take_along_axis(score, best, axis=1)
         real = value > -np.inf
-        out.append((np.repeat(q_ids[at : at + 64], best.shape[1])[real.ravel()], ids[best][real], value[real]))
+        out.append((np.repeat(q_ids[at : at + 64], best.shape[1])[real.ravel()], classes[best][real], least[best][real], value[real]))
     cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-    return pa.table({"query_id": cols[0], "vec_id": cols[1], "approx": cols[2].astype(np.float64)})
+    return pa.table({"query_id": cols[0], "class_id": cols[1], "least": cols[2], "approx": cols[3].astype(np.float64)})
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK,
@@ -138,16 +152,16 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RER
         return d.where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
 
     data = clean(table)
-    fitted = data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["vector"]
     result = "query_id long, rank int, vec_id long, score double"
-    if not len(fitted):
+    sizes = data.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"))
+    common = sizes.orderBy(F.desc("n"), F.desc("dim")).first()
+    if common is None:
         return table.sparkSession.createDataFrame([], result)
-    lengths = fitted.map(len).value_counts()
-    dim = int(max(lengths[lengths == lengths.max()].index))
-    data = data.where(F.size("vector") == dim)
+    dim = common["dim"]
+    classes = _classes(data.where(F.size("vector") == dim), k)
     ask = clean(queries).where(F.size("vector") == dim).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     ask = ask.withColumnRenamed("vec_id", "query_id")
-    books = fit(np.array([v for v in fitted if len(v) == dim]))
+    books = fit(np.array(classes.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).toPandas()["vector"].tolist()))
     eta = _parallel_weight(dim)
 
     def encoded(batches):
@@ -159,27 +173,30 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RER
                     codes = encode(_padded(x), books, eta).astype(np.uint8)
                     packed = codes[:, 0::2] * CODES + codes[:, 1::2]
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0), pa.array((x * x).sum(axis=1) / 2), pa.array([r.tobytes() for r in packed], pa.binary())],
-                        names=["vec_id", "half_norm", "codes"])
+                        [part.column(0), *part.columns[2:], pa.array((x * x).sum(axis=1) / 2), pa.array([r.tobytes() for r in packed], pa.binary())],
+                        names=["class_id", "least", "single", "half_norm", "codes"])
 
-    codes = data.mapInArrow(encoded, "vec_id long, half_norm double, codes binary")
-    n_rows, n_queries = data.count(), ask.count()
+    codes = classes.select("class_id", "vector", F.col("ids")[0]["vec_id"].alias("least"), (F.size("ids") == 1).alias("single"))
+    codes = codes.mapInArrow(encoded, "class_id long, least long, single boolean, half_norm double, codes binary")
+    n_rows, n_queries = classes.count(), ask.count()
     row_blocks, query_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = ask.select("query_id", "vector", block("query_id", query_blocks).alias("qb"), each(row_blocks).alias("rb"))
-    right = codes.select("vec_id", "half_norm", "codes", block("vec_id", row_blocks).alias("rb"), each(query_blocks).alias("qb"))
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "approx": pa.array([], pa.float64())})
+    right = codes.select("class_id", "least", "single", "half_norm", "codes", block("class_id", row_blocks).alias("rb"), each(query_blocks).alias("qb"))
+    empty = pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "class_id", "least")} | {"approx": pa.array([], pa.float64())})
 
     def meet(q: pa.Table, r: pa.Table) -> pa.Table:
         return _scan(q, r, books, rerank) if q.num_rows and r.num_rows else empty
 
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, "query_id long, vec_id long, approx double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
-    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "vec_id").distinct()
-    pairs = found.join(data, "vec_id").join(ask.withColumnRenamed("vector", "asked"), "query_id")
+    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, "query_id long, class_id long, least long, approx double")
+    best = Window.partitionBy("query_id").orderBy(F.desc("approx"), "least", "class_id")
+    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "class_id")
+    pairs = found.join(classes, "class_id").join(ask.withColumnRenamed("vector", "asked"), "query_id")
     square = F.aggregate(F.zip_with("asked", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = pairs.select("query_id", "vec_id", F.sqrt(square).alias("score"))
+    others = F.filter("ids", lambda c: c["vec_id"] != F.col("query_id"))
+    pairs = pairs.select("query_id", F.sqrt(square).alias("score"), F.explode(others).alias("c"))
+    pairs = pairs.select("query_id", "score", "c.vec_id", F.explode(F.sequence(F.lit(1).cast("long"), F.least("c.n", F.lit(k)))))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

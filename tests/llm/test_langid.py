@@ -68,3 +68,31 @@ def test_automaton_knows_all_substrings():
         for b in range(a + 1, len(text) + 1):
             assert known(text[a:b])
     assert not known("bbb") and not known("aaa")
+
+
+SCRIPTS = {
+    "ar": "".join(chr(0x621 + i * 7 % 36) + " " * (i % 5 == 4) for i in range(400)), "el": "".join(chr(0x3B1 + i * 7 % 24) + " " * (i % 6 == 5) for i in range(400)),
+    "en": "the quick brown fox jumps over the lazy dog " * 60, "ru": "".join(chr(0x430 + i * 5 % 32) + " " * (i % 7 == 6) for i in range(400)),
+    "zh": "".join(chr(0x4E00 + i * 37 % 1500) for i in range(1500)),
+}
+
+
+def test_many_scripts_keep_their_characters(spark, monkeypatch):
+    parts = {lang: t[40:90] for lang, t in SCRIPTS.items()}
+    d = docs(spark, [*parts.values(), None, "12"])
+    want = [*parts, "und", "und"]
+    for cells, languages in ((L.DENSE_CELLS, 256), (0, 256), (40_000, 2)):  # dense, sparse, both and in passes
+        monkeypatch.setattr(L, "DENSE_CELLS", cells)
+        monkeypatch.setattr(L, "LANGUAGES", languages)
+        m = L.Model(SCRIPTS)
+        for t, row in zip(parts.values(), m.phrases(list(parts.values()))):
+            assert row.tolist() == [plain_phrases(SCRIPTS[lang], t) for lang in m.langs]
+        got = {r["doc_id"]: r for r in collect(L.identify(d.drop("lang"), SCRIPTS))}
+        assert [got[i]["lang_pred"] for i in range(1, 8)] == want
+        assert all(got[i]["score"] > 0.5 for i in range(1, 6)) and got[6]["score"] == 0
+
+
+def test_any_number_of_labels(spark):
+    d = docs(spark, ["abc"] * 300)
+    labelled = d.drop("lang").selectExpr("doc_id", "text", "concat('l', doc_id) AS lang")
+    assert len(L.fit_texts(labelled)) == 300

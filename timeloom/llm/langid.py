@@ -6,8 +6,11 @@ needs the fewest phrases, normalised by the text's length, wins. All substrings
 segment by segment, many segments in step.
 
 The fit takes at most DOCS rows a language (those of least hash) and EXCERPT characters of each, cut
-to FIT_CHARS in all; the automata that are broadcast have at most 2 * FIT_CHARS states over at most
-ALPHABET symbols a language. LANGUAGES bounds how many are learned: more raise an error.
+to FIT_CHARS in all, and keeps every character of that. The automata that are broadcast have at most
+2 * FIT_CHARS states and 3 * FIT_CHARS transitions a language: dense tables over the language's own
+characters as long as DENSE_CELLS suffice, sorted transitions for the rest. At most LANGUAGES are
+broadcast at once; more are judged in several passes, between which rows are written to the shared
+folder. The driver holds the bounded texts of all languages.
 
 Cases: text that is null or has no letter gives `und` and score 0; without any learned language every
 text does; equal phrase counts go to the language first by code point; repeated rows are judged each
@@ -23,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, load
+from .common import cut, held_out, load
 
 DOCS = 64
 EXCERPT = 1000
 FIT_CHARS = 24_000
-ALPHABET = 64
 LANGUAGES = 256
+DENSE_CELLS = 1 << 24
 SEGMENT = 512
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -63,38 +66,60 @@ def suffix_automaton(symbols) -> list[dict[int, int]]:
     return go
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Table:
+    """The automaton of one language: the next state of (state, symbol), or, where the match ends, the
+    state after starting anew with the symbol, as -1 minus it. Symbol 0 is any character that the
+    language's text lacks."""
+
+    def __init__(self, symbols: np.ndarray, width: int, dense_cells: int):
+        go = suffix_automaton(symbols.tolist())
+        self.width, self.cells = width, len(go) * width
+        self.start = np.full(width, -1, np.int32)
+        for c, to in go[0].items():
+            self.start[c] = -to - 1
+        self.keys = np.array([s * width + c for s, moves in enumerate(go) for c in sorted(moves)], np.int64)
+        self.to = np.array([moves[c] for moves in go for c in sorted(moves)], np.int32)
+        self.flat = None
+        if self.cells <= dense_cells:
+            self.flat = np.tile(self.start, len(go))
+            self.flat[self.keys] = self.to
+            self.keys = self.to = None
+
+    def move(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if self.flat is not None:
+            return self.flat[state * self.width + symbol]
+        key = state.astype(np.int64) * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], self.start[symbol])
+
+
 class Model:
-    """Dense transition tables, one row a state: the next state, or, where the match ends, the state
-    after starting anew with the symbol, minus one more than it."""
+    """An automaton a language, over all characters of its text."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
-        counts: dict[str, int] = {}
-        for t in texts.values():
-            for ch in t:
-                counts[ch] = counts.get(ch, 0) + 1
-        common = sorted(counts, key=lambda ch: (-counts[ch], ch))[: ALPHABET - 1]
-        # Symbol 0 is every other character: no text of the fit is taken to hold it.
-        self.symbols = np.array([ord(ch) for ch in sorted(common)], np.uint32)
-        self.tables = []
+        own = {lang: np.unique(_points(texts[lang])) for lang in self.langs}
+        self.symbols = np.unique(np.concatenate([np.empty(0, np.uint32), *own.values()]))
+        self.tables, self.maps, left = [], [], DENSE_CELLS
         for lang in self.langs:
-            go = suffix_automaton(self.map(texts[lang]).tolist())
-            start = np.zeros(ALPHABET, np.int32)
-            for c, to in go[0].items():
-                if c:
-                    start[c] = to
-            table = np.repeat(-start[None] - 1, len(go), axis=0)
-            for s, moves in enumerate(go):
-                for c, to in moves.items():
-                    if c:
-                        table[s, c] = to
+            # From the symbols of all languages, 0 for unknown ones, to those of this one.
+            to_own = np.zeros(len(self.symbols) + 1, np.int32)
+            to_own[np.searchsorted(self.symbols, own[lang]) + 1] = np.arange(1, len(own[lang]) + 1)
+            table = Table(to_own[self.map(texts[lang])], len(own[lang]) + 1, left)
+            left -= table.cells if table.flat is not None else 0
             self.tables.append(table)
+            self.maps.append(to_own)
 
     def map(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.searchsorted(self.symbols, points)
-        at[at == len(self.symbols)] = 0
-        return np.where(self.symbols[at] == points, at + 1, 0).astype(np.uint8) if len(self.symbols) else np.zeros(len(points), np.uint8)
+        points = _points(text)
+        if not len(self.symbols):
+            return np.zeros(len(points), np.int32)
+        at = np.minimum(np.searchsorted(self.symbols, points), len(self.symbols) - 1)
+        return np.where(self.symbols[at] == points, at + 1, 0).astype(np.int32)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases that each language needs for each text: (texts, languages)."""
@@ -109,17 +134,17 @@ class Model:
             return out
         sizes = np.array([len(p) for p in parts])
         order = np.argsort(-sizes, kind="stable")
-        grid = np.zeros((int(sizes.max()), len(parts)), np.uint8)
+        grid = np.zeros((int(sizes.max()), len(parts)), np.int32)
         for lane, k in enumerate(order.tolist()):
             grid[: sizes[k], lane] = parts[k]
         live = np.searchsorted(-sizes[order], -np.arange(len(grid)), side="left")
         owner = np.array(owner)[order]
         for j, table in enumerate(self.tables):
-            flat = table.ravel()
+            to_own = self.maps[j]
             state, count = np.zeros(len(parts), np.int32), np.zeros(len(parts), np.int32)
             for step in range(len(grid)):
                 n = live[step]
-                to = flat[state[:n] * ALPHABET + grid[step, :n]]
+                to = table.move(state[:n], to_own[grid[step, :n]])
                 miss = to < 0
                 # A miss ends a phrase; a symbol that the language lacks is a phrase of its own besides.
                 count[:n] += miss
@@ -136,31 +161,31 @@ def fit_texts(docs: DataFrame) -> dict[str, str]:
     w = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
     d = d.withColumn("n", F.row_number().over(w)).where(F.col("n") <= DOCS)
     d = d.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("texts"))
-    rows = d.select("lang", F.substring(F.array_join("texts.text", "\n"), 1, FIT_CHARS).alias("text")).limit(LANGUAGES + 1).collect()
-    if len(rows) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages to learn")
+    rows = d.select("lang", F.substring(F.array_join("texts.text", "\n"), 1, FIT_CHARS).alias("text")).collect()
     return {r["lang"]: r["text"] for r in rows}
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, ...) to the columns of docs but text, with lang_pred and score. The score is
-    the winner's share of the inverse phrase rates."""
+def _refined(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred, phrases (of the best language so far, 0 before any) and rates (sum of the
+    inverse phrases), taken on over the languages of model, all later by code point than those before."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    own = ("lang_pred", "phrases", "rates")
+    others = [c for c in docs.columns if c not in own]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in others)
 
-    def judged(texts):
+    def judged(texts, langs, phrases, rates):
         m = shared.value
         known = [i for i, t in enumerate(texts) if m.langs and t and _LETTER.search(t)]
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         if known:
             n = m.phrases([texts[i].lower() for i in known])
-            inverse = 1 / n
-            best = n.argmin(axis=1)
-            share = inverse[np.arange(len(known)), best] / inverse.sum(axis=1)
-            for i, b, s in zip(known, best.tolist(), share.tolist(), strict=True):
-                langs[i], scores[i] = m.langs[b], s
-        return langs, scores
+            best, inverse = n.argmin(axis=1), (1 / n).sum(axis=1)
+            for row, i in enumerate(known):
+                least = float(n[row, best[row]])
+                if not phrases[i] or least < phrases[i]:
+                    langs[i], phrases[i] = m.langs[best[row]], least
+                rates[i] += float(inverse[row])
+        return langs, phrases, rates
 
     def run(batches):
         for batch in batches:
@@ -168,20 +193,43 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             sizes = [len(t.as_py() or "") for t in batch.column("text")]
             while at < batch.num_rows:
                 n, held = 0, 0
-                while at + n < batch.num_rows and (n == 0 or held < 8_000_000):
+                while at + n < batch.num_rows and (n == 0 or held < 4_000_000):
                     held += sizes[at + n]
                     n += 1
                 part = batch.slice(at, n)
-                langs, scores = judged(part.column("text").to_pylist())
+                found = judged(part.column("text").to_pylist(), *(part.column(c).to_pylist() for c in own))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in others), pa.array(langs), pa.array(scores)], names=[*others, "lang_pred", "score"])
+                    [*(part.column(c) for c in others), pa.array(found[0], pa.string()), *(pa.array(c, pa.float64()) for c in found[1:])], names=[*others, *own])
                 at += n
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.mapInArrow(run, ", ".join(filter(None, [schema, "lang_pred string, phrases double, rates double"])))
+
+
+def _identified(docs: DataFrame, models) -> DataFrame:
+    """models: in the order of their languages, each made when its turn comes."""
+    names = [c for c in docs.columns if c != "text"]
+    d = docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("phrases"), F.lit(0.0).alias("rates"))
+    for k, model in enumerate(models):
+        d = _refined(cut(d, "languages") if k else d, model)
+    score = F.when(F.col("rates") > 0, 1 / F.col("phrases") / F.col("rates")).otherwise(0.0)
+    return d.select(*(F.col(f"`{c}`") for c in names), "lang_pred", score.alias("score"))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """docs (doc_id, text, ...) to the columns of docs but text, with lang_pred and score. The score is
+    the winner's share of the inverse phrase rates."""
+    return _identified(docs, [model])
+
+
+def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
+    """As predict, for any number of languages and their texts."""
+    langs = sorted(texts)
+    blocks = [langs[at : at + LANGUAGES] for at in range(0, len(langs), LANGUAGES)]
+    return _identified(docs, (Model({lang: texts[lang] for lang in block}) for block in blocks))
 
 
 def op8_cross_parsing(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select(
         "doc_id", F.col("text").cast("string").alias("text"), "lang", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
-    model = Model(fit_texts(docs.where("not held_out").select("doc_id", "text", "lang")))
-    return predict(docs.select("doc_id", "text", "held_out"), model)
+    texts = fit_texts(docs.where("not held_out").select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", "text", "held_out"), texts)

@@ -22,7 +22,8 @@ def library(vocabulary):
 def awkward():
     r = random.Random(5)
     return ["<|endoftext|> I'll  go\n\n  \t", "naïve 漢字 😀😀 ١٢٣", "a" * 3000, " " * 700 + "x", "ab" * 400 + "abc" * 300, "\n" * 500,
-            "".join(r.choice("abcdefgh") for _ in range(1500)), "é" * 333, "".join(r.choice("aab") for _ in range(900)), "\x00\x1f​"]
+            "".join(r.choice("abcdefgh") for _ in range(1500)), "xyz" + "a" * 2000 + "b" * 1001, "x" + "ab" * 2000,
+            "".join(chr(0x4E00 + r.randrange(900)) for _ in range(4000)), "é" * 333, "".join(r.choice("aab") for _ in range(900)), "\x00\x1f​"]
 
 
 def test_same_as_the_library(spark, vocabulary, library):
@@ -46,12 +47,29 @@ def test_digests_and_separate_ways(spark, vocabulary, library):
 
 
 def test_memory_is_bounded(vocabulary, library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBER", 5)
-    monkeypatch.setattr(bpe, "BYTES", 20)
+    monkeypatch.setattr(bpe, "REMEMBER", 2000)
+    monkeypatch.setattr(bpe, "ROWS", 40)
+    monkeypatch.setattr(bpe, "PIECE", 12)
     monkeypatch.setattr(bpe, "IDS", 7)
     worker = bpe.Worker(vocabulary)
-    for t in corpus(5)[5:]:
+    for t in corpus(5)[5:] + ["a" * 99, "xyabcabcabcabcabcq" * 9]:
         ids = worker.encode([t, "", t])
         assert ids[0] == ids[2] == b"".join(x.to_bytes(4, "little") for x in library.encode_ordinary(t))
         assert worker.decode(ids) == [t.encode(), b"", t.encode()]
     worker.close()
+
+
+def test_very_long_words(vocabulary, library):
+    r = random.Random(1)
+    worker = bpe.Worker(vocabulary)
+    for t in ("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "".join(chr(0x3041 + r.randrange(80)) for _ in range(60_000))):
+        assert worker.encode([t]) == [b"".join(x.to_bytes(4, "little") for x in library.encode_ordinary(t))]
+    worker.close()
+
+
+def test_own_columns_of_the_same_names(spark, vocabulary):
+    d = docs(spark, ["one two", None]).selectExpr("*", "'mine' AS ids", "'mine' AS decoded")
+    out = bpe.decode(bpe.encode(d, vocabulary), vocabulary)
+    assert sorted(out.columns) == sorted(["doc_id", "lang", "source", "n_chars", "key", "ids", "decoded"])
+    assert {bytes(r["decoded"]) for r in collect(out)} == {b"one two", b""}
+    assert bpe.digests(d, vocabulary).count() == 2

@@ -2,18 +2,27 @@
 
 A text is split by the tokenizer's pattern; the words not met before by the worker become
 token-position rows. A recursive query joins neighbouring rows with the merge table and contracts each
-word's leftmost pair of least rank until no pair is left. In words over LONG bytes one step contracts
-all disjoint pairs of that rank, where no pair that this makes can rank lower, so that a long run
-settles in few steps with the same result. Decoding joins ids with the vocabulary and aggregates the
-pieces in order.
+word's leftmost pair of least rank until no pair is left. Decoding joins ids with the vocabulary and
+aggregates the pieces in order.
+
+A recursion keeps every step, so a word of n bytes costs n * n rows. Words therefore go in as pieces of
+at most PIECE bytes. Two neighbouring pieces are joined rightly if, and only if, the last token of one
+and the first of the other come out unchanged when encoded together: what happens inside the spans of
+two neighbouring tokens doesn't depend on what lies around them until a merge crosses their border, and
+the first merge that does so would cross it as well with these two alone. Wherever that fails, what lies
+on both sides of the border is encoded anew as one piece, until every border holds. The same query does
+all of it, for any length.
 
 The vocabulary (a file of the driver, given by path) and its merge table are broadcast: their size is
-that of the vocabulary, whatever the corpus. A worker remembers two generations of REMEMBER words and hands
-DuckDB at most BYTES bytes at once; a Python process keeps its worker for its next partitions.
+that of the vocabulary, whatever the corpus. A worker remembers two generations of words, each of
+REMEMBER bytes, and hands DuckDB words of at most ROWS rows at once, so that it never spills; a Python
+process keeps its worker for its next partitions.
 
 Cases: a null text is empty; an empty text has no ids and decodes to no bytes; special tokens are
-ordinary text; repeated rows are encoded each for itself; an empty table gives an empty result; further
-columns are ignored by `op7` and kept by `encode`.
+ordinary text; very long texts are encoded whole, very long words in linear time but for borders that
+fail again and again; repeated rows are encoded each for itself; an empty table gives an empty result;
+further columns are ignored by `op7` and kept by `encode` and `decode`, but for an input's own columns
+`ids` (encode) and `decoded` (decode), whose place the new ones take.
 """
 
 from __future__ import annotations
@@ -31,9 +40,12 @@ from pyspark.sql import functions as F
 
 from .common import load
 
-LONG = 192
-REMEMBER = 250_000
-BYTES = 1_000_000
+#: Bytes of a word that go into a recursion as one word.
+PIECE = 96
+#: Bytes of the words that a worker remembers, twice.
+REMEMBER = 48_000_000
+#: Rows of all steps of a recursion, at most: half the sum of squared lengths.
+ROWS = 3_000_000
 #: Ids decoded at once.
 IDS = 400_000
 
@@ -53,27 +65,9 @@ WITH RECURSIVE s AS (
                      FROM (SELECT w, arg_min({'p': p, 'm': m, 'np': np}, (m::BIGINT << 32) + p) AS best
                            FROM s WHERE m IS NOT NULL GROUP BY w) AS b
                      JOIN s AS n ON n.w = b.w AND n.p = best.np) AS found ON s.w = found.w
-        WHERE s.p <> gone)
+        WHERE s.p <> gone AND k < ?)
   LEFT JOIN merges ON t = l AND nt = r)
-SELECT w, p, t FROM s JOIN (SELECT w, max(k) AS k FROM s GROUP BY w) USING (w, k) ORDER BY w, p
-"""
-
-_LONG_STEP = """
-WITH RECURSIVE s AS (
-  SELECT w, p, t, 0 AS k FROM start
-  UNION ALL
-  SELECT w, p, CASE WHEN hit THEN m ELSE t END AS t, k + 1 AS k
-  FROM (SELECT *, lag(hit) OVER (PARTITION BY w ORDER BY p) AS gone
-        FROM (SELECT *, is_best AND (i - min(i) OVER (PARTITION BY w, is_best, island)) % 2 = 0
-                        AND (steady OR i = min(i) OVER (PARTITION BY w, is_best)) AS hit
-              FROM (SELECT *, m IS NOT NULL AND m = best AS is_best,
-                           i - row_number() OVER (PARTITION BY w, m IS NOT NULL AND m = best ORDER BY p) AS island
-                    FROM (SELECT *, min(m) OVER (PARTITION BY w) AS best
-                          FROM (SELECT w, p, t, k, lead(t) OVER v AS nt, row_number() OVER v AS i FROM s WINDOW v AS (PARTITION BY w ORDER BY p)) AS a
-                          LEFT JOIN merges ON a.t = l AND a.nt = r)
-                    WHERE best IS NOT NULL)))
-  WHERE gone IS DISTINCT FROM true)
-SELECT w, p, t FROM s QUALIFY k = max(k) OVER (PARTITION BY w) ORDER BY w, p
+SELECT w, p, t, k FROM s JOIN (SELECT w, max(k) AS k FROM s GROUP BY w) USING (w, k) ORDER BY w, p
 """
 
 _DECODE = """
@@ -90,11 +84,7 @@ class Vocabulary:
             raise ValueError("the vocabulary lacks single bytes")
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, merged = (np.array(c, np.int32) for c in zip(*pairs, strict=True)) if pairs else [np.empty(0, np.int32)] * 3
-        # Steady: no pair that holds the merged token ranks below it.
-        least = np.full(max(ranks.values()) + 1, np.iinfo(np.int32).max, np.int32)
-        np.minimum.at(least, left, merged)
-        np.minimum.at(least, right, merged)
-        self.merges = pa.table({"l": left, "r": right, "m": merged, "steady": least[merged] > merged})
+        self.merges = pa.table({"l": left, "r": right, "m": merged})
 
     def key(self) -> str:
         """Tells vocabularies apart by their content."""
@@ -106,16 +96,29 @@ class Vocabulary:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
 
+def _pieces(word: bytes) -> list[bytes]:
+    """Cuts of at most PIECE bytes, at the last change of byte if there is one: inside a run of one byte,
+    cuts stand at even distances from its start."""
+    out, at = [], 0
+    while len(word) - at > PIECE:
+        to = next((k for k in range(at + PIECE, at, -1) if word[k] != word[k - 1]), at + PIECE)
+        out.append(word[at:to])
+        at = to
+    return [*out, word[at:]]
+
+
 class Worker:
     """A process's DuckDB and the words that it has met."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.ranks = vocabulary.ranks
+        self.token = {rank: t for t, rank in vocabulary.ranks.items()}
         self.find = regex.compile(vocabulary.pattern).findall
         self.single = np.array([vocabulary.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # an earlier generation: what is met again moves on
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.held = 0
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = vocabulary.merges  # noqa: F841  DuckDB sees it by name
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         words = pa.table({"id": pa.array(vocabulary.ranks.values(), pa.int32()), "piece": [t.hex() for t in vocabulary.ranks]})  # noqa: F841
@@ -124,42 +127,116 @@ class Worker:
     def close(self) -> None:
         self.db.close()
 
-    def _contract(self, words: list[bytes], query: str) -> list[bytes]:
+    def _contract(self, words: list[np.ndarray], steps: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The words' tokens after at most so many steps, and the steps that each word took."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
         w = np.repeat(np.arange(len(words), dtype=np.int32), lens)
         p = (np.arange(len(w)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int64)
-        start = pa.table({"w": w, "p": p, "t": self.single[np.frombuffer(b"".join(words), np.uint8)]})
+        start = pa.table({"w": w, "p": p, "t": np.concatenate(words)})
         self.db.register("start", start)
-        got = self.db.execute(query).fetchnumpy()
+        got = self.db.execute(_STEP, [steps]).fetchnumpy()
         self.db.unregister("start")
-        ids = np.asarray(got["t"]).astype("<u4")
-        ends = np.cumsum(np.bincount(np.asarray(got["w"]), minlength=len(words)))
-        flat = ids.tobytes()
-        return [flat[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        owner, ids = np.asarray(got["w"]), np.asarray(got["t"]).astype(np.int32)
+        ends = np.cumsum(np.bincount(owner, minlength=len(words)))
+        return np.split(ids, ends[:-1]), np.asarray(got["k"])[ends - 1]
+
+    def _settle(self, words) -> dict[bytes, bytes]:
+        """Ids of each of the words, taken as they are. A word too long for one recursion goes on from
+        where the last one left it."""
+        out, group, rows = {}, [], 0
+
+        def settled():
+            steps = max(8, 2 * ROWS // sum(len(t) for _, t in group)) if rows > 2 * ROWS else 1 << 30
+            ids, took = self._contract([t for _, t in group], steps)
+            left = []
+            for (word, _), t, k in zip(group, ids, took.tolist(), strict=True):
+                if k >= steps:
+                    left.append((word, t))
+                else:
+                    out[word] = t.astype("<u4").tobytes()
+            return left
 
-    def learn(self, words) -> None:
-        """Encodes words that aren't known yet."""
-        short, long, held = [], [], 0
+        for word in words:
+            cost = len(word) * len(word) // 2
+            if group and rows + cost > ROWS:
+                group, rows = settled(), 0
+            group.append((word, self.single[np.frombuffer(word, np.uint8)]))
+            rows += cost
+        while group:
+            group = settled()
+            rows = sum(len(t) ** 2 // 2 for _, t in group)
+        return out
 
-        def settle(group, query):
-            if group:
-                for (word, _), ids in zip(group, self._contract([b for _, b in group], query), strict=True):
-                    self.known[word] = ids
+    def _bytes_of(self, ids: bytes) -> bytes:
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words that are cut into pieces: pieces first, then the borders that don't hold."""
+        cut = [_pieces(w) for w in words]
+        got = self._settle({p for pieces in cut for p in pieces})
+        lines = [[got[p] for p in pieces] for pieces in cut]
+        holds: dict[bytes, bool] = {}
+        unsure, rounds = [k for k, line in enumerate(lines) if len(line) > 1], 0
+        while unsure:
+            pair = lambda line, j: line[j][-4:] + line[j + 1][:4]
+            fresh = {pair(lines[k], j) for k in unsure for j in range(len(lines[k]) - 1)}.difference(holds)
+            met = {p: self._bytes_of(p) for p in fresh}
+            got = self._settle(set(met.values()))
+            holds.update((p, got[b] == p) for p, b in met.items())
+            plans, again, rounds = {}, [], rounds + 1
+            for k in unsure:
+                bad = [not holds[pair(lines[k], j)] for j in range(len(lines[k]) - 1)]
+                if any(bad):
+                    # Borders that move to and fro without end: the whole word in one.
+                    plans[k] = self._mended(lines[k], bad) if rounds < 4 * len(cut[k]) + 16 else [(None, words[k])]
+                    again.append(k)
+            got = self._settle({data for plan in plans.values() for _, data in plan if data is not None})
+            for k, plan in plans.items():
+                lines[k] = [part if data is None else got[data] for part, data in plan]
+            unsure = again
+        return [b"".join(line) for line in lines]
+
+    def _mended(self, line: list[bytes], bad: list[bool]):
+        """What takes a line's place: parts that stay, and bytes to be encoded anew, which are the end of
+        the part before a bad border and the part after it (its beginning, if it is long)."""
+        plan = []
+        for j, ids in enumerate(line):
+            if j and bad[j - 1] and plan[-1][1] is None:
+                stays, tail = self._split(plan.pop()[0], PIECE // 3, last=True)
+                front, rest = (ids, b"") if len(self._bytes_of(ids)) <= 2 * PIECE else self._split(ids, PIECE // 2)
+                if stays:
+                    plan.append((stays, None))
+                plan.append((None, self._bytes_of(tail + front)))
+                if rest:
+                    plan.append((rest, None))
+            else:
+                plan.append((ids, None))
+        return plan
+
+    def _split(self, ids: bytes, size: int, last: bool = False) -> tuple[bytes, bytes]:
+        """Cuts off the first (or last) tokens that have at least so many bytes together."""
+        step = -1 if last else 1
+        sizes = np.cumsum([len(self.token[t]) for t in np.frombuffer(ids, "<u4")[::step].tolist()])
+        at = 4 * min(int(np.searchsorted(sizes, size)) + 1, len(sizes))
+        return (ids[:-at], ids[-at:]) if last else (ids[:at], ids[at:])
 
+    def learn(self, words) -> None:
+        """Encodes words that aren't known yet."""
+        short, long = {}, {}
         for word in words:
             data = word.encode()
             if (rank := self.ranks.get(data)) is not None:
-                self.known[word] = rank.to_bytes(4, "little")
-                continue
-            (short if len(data) <= LONG else long).append((word, data))
-            if len(data) <= LONG:
-                held += len(data)
-                if held >= BYTES:
-                    settle(short, _STEP)
-                    short, held = [], 0
-        settle(short, _STEP)
-        for one in long:
-            settle([one], _LONG_STEP)
+                self._keep(word, rank.to_bytes(4, "little"))
+            else:
+                (short if len(data) <= PIECE else long)[data] = word
+        for data, ids in self._settle(short).items():
+            self._keep(short[data], ids)
+        for word, ids in zip(long.values(), self._joined(list(long)), strict=True):
+            self._keep(word, ids)
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.known[word] = ids
+        self.held += 200 + 2 * len(word) + len(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -173,11 +250,12 @@ class Worker:
         return out + self._encode(waiting)
 
     def _encode(self, split: list[list[str]]) -> list[bytes]:
-        if len(self.known) > REMEMBER:
-            self.before, self.known = self.known, {}
+        if self.held > REMEMBER:
+            self.before, self.known, self.held = self.known, {}, 0
         fresh = {w for words in split for w in words}.difference(self.known)
         again = fresh.intersection(self.before)
-        self.known.update((w, self.before[w]) for w in again)
+        for w in again:
+            self._keep(w, self.before[w])
         self.learn(fresh - again)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]

@@ -1,5 +1,9 @@
+import math
+import random
 import zlib
 
+import regex
+
 from tests.llm.helpers import collect, docs
 from timeloom.llm import langid as L
 
@@ -23,11 +27,36 @@ def test_phrases_match_brute_force(monkeypatch):
     got = m.phrases(texts)
     for t, row in zip(texts, got):
         assert row.tolist() == [plain_phrases(fit[lang], t) for lang in m.langs]
-    monkeypatch.setattr(L, "SEGMENT", 5)
-    got = m.phrases(texts)
-    for t, row in zip(texts, got):
-        cut = [t[i : i + 5] for i in range(0, len(t), 5)]
-        assert row.tolist() == [sum(plain_phrases(fit[lang], p) for p in cut) for lang in m.langs]
+    r = random.Random(3)
+    texts += ["".join(r.choice("abrcdhopusl z") for _ in range(r.randint(1, 300))) for _ in range(40)]
+    texts += ["abracadabra abba" * 9, "hocus pocus locusabra" * 7, "abrac" * 30, "z" * 50]
+    for segment in (1, 2, 3, 5, 8, 64):  # pieces never change the parse of the whole
+        monkeypatch.setattr(L, "SEGMENT", segment)
+        for t, row in zip(texts, m.phrases(texts)):
+            assert row.tolist() == [plain_phrases(fit[lang], t) for lang in m.langs]
+
+
+def test_predictions_match_brute_force(spark):
+    """The whole query's verdicts from brute-force parses of whole texts."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    d = spark.createDataFrame(rows.collect(), rows.schema)
+    fit = {"a": "lorem ipsum dolor sit amet " * 20, "b": "der die das und nicht mit " * 3, "c": "le la les et que pas " * 40}
+    got = {r["doc_id"]: r for r in collect(L.identify(d, fit))}
+    for r in d.collect():
+        text = (r["text"] or "").lower()[:1500]
+        if len(text) < 1500 and regex.search(r"\p{L}", text):
+            cost = {k: plain_phrases(f, text) * math.log2(len(f) + 1) for k, f in fit.items()}
+            assert got[r["doc_id"]]["lang_pred"] == min(sorted(cost), key=cost.get)
+
+
+def test_letters_ties_and_clashing_columns(spark):
+    d = docs(spark, ["½ ² ¼", "٣ 4", "", None, "ab", "漢"]).selectExpr("*", "1 AS score", "2 AS lang_pred", "3 AS cost", "4 AS row")
+    d = d.union(d.where("doc_id = 5").selectExpr("CAST(NULL AS BIGINT)", *d.columns[1:]))
+    out = L.predict(d, L.Model({"x": "abab", "w": "abab"}))
+    assert sorted(out.columns) == sorted([*(c for c in d.columns if c != "text")])
+    got = collect(out)
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3, 4)} == {"und"} and all(r["score"] == 0 for r in got if r["doc_id"] in (1, 2, 3, 4))
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (5, None)} == {"w"}  # equal costs: first by code point
 
 
 def test_held_out_accuracy(spark):

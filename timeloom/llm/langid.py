@@ -1,9 +1,13 @@
 """Language identification by cross-parsing.
 
 Per language a suffix automaton is built over labelled text. A text is parsed greedily: each phrase is
-the longest match of what is left with any substring of the language's text, and the language that
-needs the fewest phrases, normalised by the text's length, wins. All substrings of the text are walked,
-segment by segment, many segments in step.
+the longest match of what is left with any substring of the language's text. A phrase costs the
+logarithm of that text's length, which is what it takes to say where it stands; the language with the
+least cost a character wins, so that languages with less text to learn from aren't at a loss.
+
+Texts are parsed whole. Pieces of SEGMENT characters are parsed in step, each as if a phrase began at its
+start; then each piece's parse goes on into the next piece until both have a phrase that begins at one
+place, from where on they agree. The phrases counted are those of the one parse of the text.
 
 The fit takes at most DOCS rows a language (those of least hash) and EXCERPT characters of each, cut
 to FIT_CHARS in all, and keeps every character of that. The automata that are broadcast have at most
@@ -12,17 +16,18 @@ characters as long as DENSE_CELLS suffice, sorted transitions for the rest. At m
 broadcast at once; more are judged in several passes, between which rows are written to the shared
 folder. The driver holds the bounded texts of all languages.
 
-Cases: text that is null or has no letter gives `und` and score 0; without any learned language every
-text does; equal phrase counts go to the language first by code point; repeated rows are judged each
-for itself; an empty table gives an empty result; further columns are ignored.
+Cases: text that is null or has no letter (Unicode category L) gives `und` and score 0; without any
+learned language every text does; equal costs go to the language first by code point; very long texts
+are parsed whole; repeated rows are judged each for itself; null ids count as any other; an empty table
+gives an empty result; further columns are kept, but for an input's own `lang_pred` and `score`, whose
+place the new ones take.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +39,7 @@ FIT_CHARS = 24_000
 LANGUAGES = 256
 DENSE_CELLS = 1 << 24
 SEGMENT = 512
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def suffix_automaton(symbols) -> list[dict[int, int]]:
@@ -104,6 +109,7 @@ class Model:
         self.langs = sorted(texts)
         own = {lang: np.unique(_points(texts[lang])) for lang in self.langs}
         self.symbols = np.unique(np.concatenate([np.empty(0, np.uint32), *own.values()]))
+        self.weights = np.array([np.log2(len(texts[lang]) + 1) for lang in self.langs])
         self.tables, self.maps, left = [], [], DENSE_CELLS
         for lang in self.langs:
             # From the symbols of all languages, 0 for unknown ones, to those of this one.
@@ -137,22 +143,72 @@ class Model:
         grid = np.zeros((int(sizes.max()), len(parts)), np.int32)
         for lane, k in enumerate(order.tolist()):
             grid[: sizes[k], lane] = parts[k]
-        live = np.searchsorted(-sizes[order], -np.arange(len(grid)), side="left")
-        owner = np.array(owner)[order]
-        for j, table in enumerate(self.tables):
-            to_own = self.maps[j]
-            state, count = np.zeros(len(parts), np.int32), np.zeros(len(parts), np.int32)
-            for step in range(len(grid)):
-                n = live[step]
-                to = table.move(state[:n], to_own[grid[step, :n]])
-                miss = to < 0
-                # A miss ends a phrase; a symbol that the language lacks is a phrase of its own besides.
-                count[:n] += miss
-                count[:n] += (to == -1) & (state[:n] != 0)
-                state[:n] = np.where(miss, -to - 1, to)
-            out[:, j] = np.bincount(owner, weights=count + (state != 0), minlength=len(texts))
+        lane_of = np.empty(len(parts), np.int64)
+        lane_of[order] = np.arange(len(parts))
+        owner = np.array(owner)
+        # The lane of the piece that follows in the same text, or -1.
+        following = np.full(len(parts), -1)
+        more = np.flatnonzero(owner[1:] == owner[:-1])
+        following[lane_of[more]] = lane_of[more + 1]
+        sizes, owner = sizes[order], owner[order]
+        for j in range(len(self.langs)):
+            out[:, j] = np.bincount(owner, weights=self._counted(j, grid, sizes, following), minlength=len(texts))
         return out
 
+    def _counted(self, j: int, grid: np.ndarray, sizes: np.ndarray, following: np.ndarray) -> np.ndarray:
+        """Phrases of the whole texts' parses, each counted at the lane whose parse it is part of; 0 at
+        lanes whose own parse isn't part of it. Lanes are in order of their sizes, the largest first."""
+        table, to_own = self.tables[j], self.maps[j]
+        live = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")
+        begins = np.zeros(grid.shape, bool)  # a phrase of the lane's own parse begins here
+        state = np.zeros(len(sizes), np.int32)
+        for step in range(len(grid)):
+            n = live[step]
+            to = table.move(state[:n], to_own[grid[step, :n]])
+            begins[step, :n] = (to < 0) | (state[:n] == 0)
+            state[:n] = np.where(to < 0, -to - 1, to)
+        # Each lane goes on until it meets the parse of a later one: which, how much of that lies before
+        # the meeting, and the phrases until then.
+        meets, before, extra = np.full(len(sizes), -1), np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+        lanes = np.flatnonzero(following >= 0)
+        into, at = following[lanes], state[lanes]
+        while len(lanes):
+            seen = np.zeros(len(lanes), np.int64)
+            on = np.arange(len(lanes))
+            for step in range(len(grid)):
+                on = on[step < sizes[into[on]]]
+                if not len(on):
+                    break
+                to = table.move(at[on], to_own[grid[step, into[on]]])
+                new, theirs = (to < 0) | (at[on] == 0), begins[step, into[on]]
+                at[on] = np.where(to < 0, -to - 1, to)
+                met = new & theirs
+                meets[lanes[on[met]]], before[lanes[on[met]]] = into[on[met]], seen[on[met]]
+                extra[lanes[on[new & ~met]]] += 1
+                seen[on] += theirs
+                on = on[~met]
+            going = (meets[lanes] < 0) & (following[into] >= 0)
+            lanes, into, at = lanes[going], following[into[going]], at[going]
+        own = begins.sum(axis=0)
+        if (meets != following).any():
+            return self._chained(own, extra, meets, before, following)
+        counts = own + extra
+        counts[meets[meets >= 0]] -= before[meets >= 0]
+        return counts
+
+    @staticmethod
+    def _chained(own, extra, meets, before, following) -> np.ndarray:
+        """The counts along the chain of lanes that each text's parse really takes."""
+        counts = np.zeros(len(own), np.int64)
+        first = np.ones(len(own), bool)
+        first[following[following >= 0]] = False
+        for lane in np.flatnonzero(first).tolist():
+            skipped = 0
+            while lane >= 0:
+                counts[lane] = own[lane] - skipped + extra[lane]
+                lane, skipped = meets[lane], before[lane]
+        return counts
+
 
 def fit_texts(docs: DataFrame) -> dict[str, str]:
     """docs (doc_id, text, lang): labelled rows to learn from. The bounded text of each language."""
@@ -166,26 +222,23 @@ def fit_texts(docs: DataFrame) -> dict[str, str]:
 
 
 def _refined(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, phrases (of the best language so far, 0 before any) and rates (sum of the
-    inverse phrases), taken on over the languages of model, all later by code point than those before."""
+    """docs (row, text, lang_pred, cost of the best language so far, 0 before any, and rates, the sum of
+    the inverse costs), taken on over the languages of model, all later by code point than those before."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = ("lang_pred", "phrases", "rates")
-    others = [c for c in docs.columns if c not in own]
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in others)
+    own = ("lang_pred", "cost", "rates")
 
-    def judged(texts, langs, phrases, rates):
+    def judged(texts, langs, costs, rates):
         m = shared.value
         known = [i for i, t in enumerate(texts) if m.langs and t and _LETTER.search(t)]
         if known:
-            n = m.phrases([texts[i].lower() for i in known])
+            n = m.phrases([texts[i].lower() for i in known]) * m.weights
             best, inverse = n.argmin(axis=1), (1 / n).sum(axis=1)
             for row, i in enumerate(known):
                 least = float(n[row, best[row]])
-                if not phrases[i] or least < phrases[i]:
-                    langs[i], phrases[i] = m.langs[best[row]], least
+                if not costs[i] or least < costs[i]:
+                    langs[i], costs[i] = m.langs[best[row]], least
                 rates[i] += float(inverse[row])
-        return langs, phrases, rates
+        return langs, costs, rates
 
     def run(batches):
         for batch in batches:
@@ -199,25 +252,28 @@ def _refined(docs: DataFrame, model: Model) -> DataFrame:
                 part = batch.slice(at, n)
                 found = judged(part.column("text").to_pylist(), *(part.column(c).to_pylist() for c in own))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in others), pa.array(found[0], pa.string()), *(pa.array(c, pa.float64()) for c in found[1:])], names=[*others, *own])
+                    [part.column("row"), part.column("text"), pa.array(found[0], pa.string()), *(pa.array(c, pa.float64()) for c in found[1:])],
+                    names=["row", "text", *own])
                 at += n
 
-    return docs.mapInArrow(run, ", ".join(filter(None, [schema, "lang_pred string, phrases double, rates double"])))
+    row = docs.schema["row"].dataType.simpleString()
+    return docs.mapInArrow(run, f"row {row}, text string, lang_pred string, cost double, rates double")
 
 
 def _identified(docs: DataFrame, models) -> DataFrame:
     """models: in the order of their languages, each made when its turn comes."""
-    names = [c for c in docs.columns if c != "text"]
-    d = docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("phrases"), F.lit(0.0).alias("rates"))
+    names = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
+    row = F.struct(*(F.col(f"`{c}`") for c in names))
+    d = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("rates"))
     for k, model in enumerate(models):
         d = _refined(cut(d, "languages") if k else d, model)
-    score = F.when(F.col("rates") > 0, 1 / F.col("phrases") / F.col("rates")).otherwise(0.0)
-    return d.select(*(F.col(f"`{c}`") for c in names), "lang_pred", score.alias("score"))
+    score = F.when(F.col("rates") > 0, 1 / F.col("cost") / F.col("rates")).otherwise(0.0)
+    return d.select(*(F.col("row").getField(c).alias(c) for c in names), "lang_pred", score.alias("score"))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text, ...) to the columns of docs but text, with lang_pred and score. The score is
-    the winner's share of the inverse phrase rates."""
+    the winner's share of the inverse costs."""
     return _identified(docs, [model])
 
 

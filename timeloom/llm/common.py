@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,20 +34,56 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Spark then drops a query's shuffle files when it ends, not when the driver collects its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while that setting of the session is changed around a write.
+_setting = threading.RLock()
+_written: list[str] = []  # folders of this session's tables, in order
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends here, a lost
-    executor loses nothing, the shuffle files behind it go, and later readers prune columns."""
+    executor loses nothing, the shuffle files behind it go, and later readers prune columns. This is a
+    job of its own, run while the query is being put together."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/timeloom/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    _written.append(path)
+    with _setting:
+        before = spark.conf.get(_CLEANUP, "false")
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that `cut` writes inside the block, but for those added to the list it gives."""
+    at, kept = len(_written), []
     try:
-        df.write.parquet(path)
+        yield kept
     finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        stay = {p for df in kept for p in df.inputFiles()}
+        for path in _written[at:]:
+            if not any(path in p for p in stay):
+                drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    if path in _written:
+        _written.remove(path)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def in_file_order(df: DataFrame) -> list[Column]:
+    """Columns that sort the rows of a table just as they were written, none where df isn't read from files."""
+    order = [F.col("_metadata.file_name"), F.col("_metadata.row_index")]
+    try:
+        df.select(*order).schema  # noqa: B018  fails where there are no files
+    except AnalysisException:
+        return []
+    return order
 
 
 def spaced(text: Column) -> Column:

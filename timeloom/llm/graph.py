@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One large-star or small-star step: hangs neighbours of each node on its least neighbour."""
+    """One large-star or small-star step: hangs neighbours of each node on its least neighbour.
+
+    The least neighbours are a table of their own: the join then has two plain exchanges, and Spark can
+    split the edges of a node that many hang on."""
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     sym = edges.unionByName(turned) if large else edges
-    least = sym.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+    least = cut(sym.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
     joined = sym.join(least.hint("merge"), "a")  # never by way of the driver
     if large:
         out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -33,7 +36,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        edges = cut(_star(_star(edges, True), False), "edges")
+        with scratch(edges.sparkSession) as kept:
+            large = cut(_star(edges, True), "edges")
+            edges = cut(_star(large, False), "edges")
+            kept.append(edges)
         now = mark(edges)
         if now == seen:
             break

@@ -13,7 +13,8 @@ true links, not all pairs: the components are the same and the rows stay linear.
 Cases: null and blank texts have fingerprint 0 and link like any other; repeated rows share their
 component; null ids are never chosen as component_id unless a component has no other (then null);
 `keep_one` tells rows of one id, or of none, apart by their text's hash; an empty table gives an empty
-result; further columns are ignored by `near_duplicates` and kept by `keep_one`.
+result; further columns are ignored by `near_duplicates` and kept by `keep_one`. Very long texts are hashed
+whole, a few numbers a word at a time.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(WIDTH)))
     ball = halves.select("fp", "seg", "v", F.explode(flips).alias("flip"))
     rows = ball.select((F.col("seg") * F.lit(1 << WIDTH).cast("long") + F.col("v").bitwiseXOR(F.col("flip"))).alias("key"), "fp")
-    full = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    full = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")  # so that Spark can split the join
     rows = rows.join(full.hint("merge"), "key")  # here and below: never by way of the driver
     blocks = F.ceil(F.col("n") / block).cast("int")
     rows = rows.select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
@@ -148,7 +149,9 @@ def _clustered(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     nodes = nodes.join(roots.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = nodes.groupBy("root").agg(F.min("first").alias("component_id"))
+    nodes = cut(nodes, "nodes")
+    # A table of its own, so that Spark can split a root that many nodes share.
+    least = cut(nodes.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     nodes = nodes.join(least.hint("merge"), "root").select("fp", "root", "component_id")
     return fps.join(nodes.hint("merge"), "fp").select("doc_id", "mark", "fp", "root", "component_id")
 

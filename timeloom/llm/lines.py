@@ -10,12 +10,12 @@ word in it is judged besides: it goes, too, if an equal one comes earlier and do
 takes matched chunks on over their neighbours, and passages without a chunk of their own. Windows meet
 by hashes of 128 bits; bytes are fetched and compared only for those that repeat.
 
-Counts are map-side combined, and copies meet the earliest by joins on the chunk's hash, which Spark
-splits when a chunk is very common.
+Counts are map-side combined and written as a table of the repeated hashes, so that copies meet the
+earliest by a join of two plain exchanges, which Spark splits when a chunk is very common.
 
 Cases: a null text stays null and has no lines, like the empty one; null ids count as the least id;
 rows that repeat id and text keep the same lines each; chunks whose hashes agree but whose bytes
-differ stay; an empty table gives an empty result; further columns are kept by `dedup_lines` and
+differ stay; very long texts are one row, whose lines pass one by one; an empty table gives an empty result; further columns are kept by `dedup_lines` and
 ignored by `removals`.
 """
 
@@ -81,10 +81,10 @@ def repeated_chunks(keyed: DataFrame) -> DataFrame:
     """keyed (id, tag, text). The chunks to remove: id, tag, at, n."""
     every = _chunks(keyed)
     found = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count("*").alias("times"))
-    found = found.where("times > 1").select("h1", "h2", "first")
+    found = cut(found.where("times > 1").select("h1", "h2", "first"), "common")
     marked = every.join(found, ["h1", "h2"]).withColumn("is_first", F.struct("id", "tag", "at") == F.col("first"))
     marked = cut(marked.drop("first"), "chunks")
-    first = marked.where("is_first").groupBy("h1", "h2").agg(F.first("body").alias("first_body"))
+    first = cut(marked.where("is_first").groupBy("h1", "h2").agg(F.first("body").alias("first_body")), "firsts")
     later = marked.where("not is_first").join(first, ["h1", "h2"])
     return later.where(F.col("body") == F.col("first_body")).select("id", "tag", "at", "n")
 
@@ -135,13 +135,13 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
     """keyed (id, tag, text). The windows to remove: id, tag, at."""
     every = _windows(keyed)
     found = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count("*").alias("times"))
-    found = found.where("times > 1").select("h1", "h2", "first")
+    found = cut(found.where("times > 1").select("h1", "h2", "first"), "common")
     marked = every.join(found, ["h1", "h2"]).withColumn("is_first", F.struct("id", "tag", "at") == F.col("first"))
     own = (F.col("id") == F.col("first.id")) & (F.col("tag") == F.col("first.tag")) & (F.col("at") - F.col("first.at") < MIN_LINES)
     marked = cut(marked.where(F.col("is_first") | ~own).drop("first"), "windows")
     wanted = marked.groupBy("id", "tag").agg(F.collect_set(F.struct("at", "h1", "h2", "is_first")).alias("wanted"))
     bodies = cut(_bodies(keyed.select("id", "tag", "text").join(wanted, ["id", "tag"])), "bodies")
-    first = bodies.where("is_first").groupBy("h1", "h2").agg(F.first("body").alias("first_body"))
+    first = cut(bodies.where("is_first").groupBy("h1", "h2").agg(F.first("body").alias("first_body")), "firsts")
     later = bodies.where("not is_first").join(first, ["h1", "h2"])
     return later.where(F.col("body") == F.col("first_body")).select("id", "tag", "at")
 

@@ -53,20 +53,23 @@ def targets(sources: DataFrame, weights=WEIGHTS, slopes=SLOPES, epochs: int = MA
     return s.select("skey", "source_size", "target", "slope", "all_words", "mean_slope")
 
 
-def _keyed(docs: DataFrame, keep) -> DataFrame:
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def _row_key(doc_id, source, text) -> tuple:
+    """What a row is ordered and dealt by: the id's hash, the source and the text's hash."""
+    return (F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))).alias("key"),
+            F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("skey"), F.xxhash64(text).alias("tie"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    key, skey, tie = _row_key(F.col("doc_id"), F.col("source"), F.col("text"))
     return docs.select(
-        "doc_id", *keep,
-        word_count(F.col("text")).alias("size"),
-        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("skey"),
-        "source", key.alias("key"), F.substring(key, 1, _BUCKET_DIGITS).alias("bucket"),
-        F.xxhash64("text").alias("tie"),
+        "doc_id", word_count(F.col("text")).alias("size"), skey, "source", key,
+        F.substring(key, 1, _BUCKET_DIGITS).alias("bucket"), tie,
     )
 
 
 def _assigned(rows: DataFrame, sizes: DataFrame, weights, slopes, epochs: int) -> DataFrame:
-    """rows (keyed, with whatever they carry) plus source_size, target, copies and the positions of
-    the copies; sizes: the same rows without load, cheap to read twice."""
+    """rows (keyed) plus source_size, target, copies and the positions of the copies; sizes: the same
+    table, which is read twice."""
     cells = sizes.groupBy("skey", "bucket").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("size").alias("cell"))
     sources = cells.groupBy("skey").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("cell").alias("source_size"))
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,7 +97,7 @@ def _assigned(rows: DataFrame, sizes: DataFrame, weights, slopes, epochs: int) -
 def positions(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, epochs: int = MAX_EPOCHS) -> DataFrame:
     """doc_id, size, source_size, target, taken (size times copies) and position (words of training
     before its first copy; null if it isn't taken), sorted by position."""
-    z = cut(_keyed(docs.select("doc_id", "source", "text"), []), "mix")
+    z = cut(_keyed(docs.select("doc_id", "source", "text")), "mix")
     d = _assigned(z, z, weights, slopes, epochs)
     return d.select(
         "doc_id", "size", "source_size", "target",
@@ -104,13 +107,21 @@ def positions(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, epochs: int = MAX
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, slopes=SLOPES, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The documents in training order, each as often as the mix takes it, with their columns."""
-    sizes = cut(_keyed(docs.select("doc_id", "source", "text"), []), "mix")
+    """The documents in training order, each as often as the mix takes it, with their columns.
+
+    Words are counted once, and only keys and sizes pass through the windows; texts join the positions
+    of their copies and are sorted by them. Rows with the same id, source and text are told apart by their
+    number among these, whichever gets which."""
+    z = cut(_keyed(docs.select("doc_id", "source", "text")), "mix")
+    placed = _assigned(z, z, weights, slopes, epochs).where(F.size("positions") > 0)
+    placed = placed.select("key", "skey", "tie", "positions")
+    same = ["key", "skey", "tie"]
+    number = lambda order: F.row_number().over(Window.partitionBy(*same).orderBy(order))
+    placed = placed.withColumn("copy", number(F.col("positions")[0]))
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    packed = packed.select("row", "row.doc_id", "row.source", "row.text")
-    d = _assigned(_keyed(packed, ["row"]), sizes, weights, slopes, epochs)
-    d = d.select("row", "key", F.explode("positions").alias("at"))
-    return d.orderBy("at", "key").select("row.*")
+    packed = packed.select("row", *_row_key(F.col("row.doc_id"), F.col("row.source"), F.col("row.text")))
+    d = packed.withColumn("copy", number(F.lit(0))).join(placed.hint("merge"), [*same, "copy"])
+    return d.select("row", "key", F.explode("positions").alias("at")).orderBy("at", "key").select("row.*")
 
 
 def op4_curriculum_mix(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -12,6 +13,7 @@ import corpus_pipeline as P
 from tests.llm import test_lines, test_quality, test_simhash
 from tests.llm.helpers import DOCS, collect, docs
 from timeloom.llm import bpe, mixing
+from timeloom.llm.common import cut, scratch
 
 
 def texts():
@@ -67,3 +69,25 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         out = stage(spark, empty, "")
         assert out.columns == empty.columns and collect(out) == [], name
     assert collect(P.STAGES[-1][1](spark, empty, "")) == []
+
+
+def test_rows_come_in_training_order(spark):
+    r = random.Random(2)
+    d = docs(spark, [" ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(r.randint(1, 60))) for _ in range(400)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several files
+    try:
+        mixed = P.mixture(spark, d, "")
+        want = [r["doc_id"] for r in mixed.collect()]
+        written = cut(mixed, "mixture")
+        assert len(written.inputFiles()) > 1
+        assert [r["doc_id"] for r in P.tokens(spark, written, "").collect()] == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_scratch_tables_go(spark):
+    with scratch(spark) as kept:
+        a, b = cut(spark.range(3), "a"), cut(spark.range(4), "b")
+        kept.append(b)
+        gone = a.inputFiles()
+    assert b.count() == 4 and not any(os.path.exists(f.removeprefix("file://")) for f in gone)

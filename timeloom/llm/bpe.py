@@ -329,9 +329,11 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return _mapped(encoded.drop("decoded"), vocabulary, "ids", [_BYTES], lambda w, ids: [w.decode([x or b"" for x in ids])])
 
 
-def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """docs (doc_id, text) to doc_id, ids, decoded: encoded, then decoded from the ids, by one worker."""
-    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, order=()) -> DataFrame:
+    """docs (doc_id, text) to doc_id, ids, decoded: encoded, then decoded from the ids, by one worker.
+    order: columns by which docs is sorted; they come along as `order`."""
+    d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                    *([F.struct(*(c.alias(f"by{i}") for i, c in enumerate(order))).alias("order")] if order else []))
 
     def work(worker, texts):
         ids = worker.encode(texts)
@@ -340,12 +342,14 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return _mapped(d, vocabulary, "text", [_IDS, _BYTES], work).drop("text")
 
 
-def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    out = round_trip(docs, vocabulary)
-    return out.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, vocabulary: Vocabulary, order=()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256; sorted by the columns order, if there are any."""
+    out = round_trip(docs, vocabulary, order)
+    shown = ["doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+             F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    if not order:
+        return out.select(*shown)
+    return out.select(*shown, "order").orderBy("order").drop("order")
 
 
 @functools.cache

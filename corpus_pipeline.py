@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from timeloom.llm import bpe, lines, mixing, quality, simhash
-from timeloom.llm.common import cut, load
+from timeloom.llm.common import cut, in_file_order, load, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes each document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return bpe.digests(docs, bpe.multilingual())
+    """Encodes and decodes each document: doc_id, n_tokens, ids_sha256, decoded_sha256, in the order in
+    which the mixture was written, which is the order of training."""
+    return bpe.digests(docs, bpe.multilingual(), in_file_order(docs))
 
 
 STAGES = [
@@ -51,5 +52,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as kept:  # a stage's own tables go when it ends
+            docs = cut(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,4 +1,3 @@
-import hashlib
 import random
 
 import pytest
@@ -48,6 +47,14 @@ def test_bytes(spark, seed):
         assert (x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) == (n, gone, spans, kept)
 
 
+def test_texts_longer_than_a_part(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "_PART", 20)
+    texts = corpus(30, 4, vocabulary=3) + [" ".join("ab"[k % 7 % 2] for k in range(400))] * 2
+    want = plain(texts, 13, True, lambda t: t.encode().split(), b" ".join)
+    got = {r["doc_id"]: r for r in collect(substrings.remove_repeated_words(docs(spark, texts).coalesce(2)))}
+    assert [(got[i]["n_removed"], got[i]["text"].encode()) for i in range(1, len(texts) + 1)] == [(w[1], w[3]) for w in want]
+
+
 def test_texts_longer_than_a_chunk(spark, monkeypatch):
     monkeypatch.setattr(repeats, "_CHUNK", 150)
     texts = corpus(12, 5)
@@ -64,4 +71,8 @@ def test_edge_cases(spark):
     assert [r["n_removed"] for r in got] == [0, 0]
     nulls = twice.selectExpr("cast(null as bigint) as doc_id", "text").union(docs(spark, ["w " * 20]).select("doc_id", "text"))
     assert sorted(r["n_removed"] for r in collect(substrings.remove_repeated_words(nulls))) == [0, 0, 20]
-    assert hashlib.sha256(b"").hexdigest()
+    other = nulls.union(nulls.selectExpr("doc_id", "'v w x y z ' || text"))  # null ids with different texts
+    assert sorted(r["n_removed"] for r in collect(substrings.remove_repeated_words(other))) == [0, 0, 0, 0, 20, 25]
+    named = docs(spark, ["w " * 20, None, ""]).selectExpr("*", "1 AS id", "2 AS mark", "3 AS at", "4 AS n_words")
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in collect(substrings.remove_repeated_words(named))) == [(1, 20, 0), (2, 0, 0), (3, 0, 0)]
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in collect(suffixes.remove_repeated_bytes(named))) == [(1, 40, 0), (2, 0, 0), (3, 0, 0)]

@@ -53,31 +53,6 @@ class Bytes:
         return np.frombuffer(self.text, np.uint8)[keep].tobytes()
 
 
-class Words:
-    """A text as its words; windows are word sequences, whatever white space divides them."""
-
-    def __init__(self, text: bytes):
-        self.words = text.split()
-        self.size = len(self.words)
-        self.flat = b" ".join(self.words)
-        lens = np.fromiter(map(len, self.words), np.int64, self.size)
-        self.ends = np.cumsum(lens + 1) - 1
-        self.starts = self.ends - lens
-
-    def codes(self, lo: int, hi: int) -> np.ndarray:
-        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.words[lo:hi]), np.uint64, hi - lo)
-
-    def content(self, lo: int, hi: int) -> bytes:
-        return self.flat[int(self.starts[lo]) : int(self.ends[hi - 1])] if hi > lo else b""
-
-    @staticmethod
-    def part(content: bytes, lo: int, hi: int) -> bytes:
-        return b" ".join(content.split(b" ")[lo:hi])
-
-    def kept(self, keep: np.ndarray) -> bytes:
-        return b" ".join(w for w, k in zip(self.words, keep.tolist(), strict=True) if k)
-
-
 # A place packs, from the top: the anchor's token (33 bits), the first and the last window's distance
 # before it (7 bits each) and 16 bits of the text's hash. Its order is the order in the document.
 def _pack(at, first, last, tag):
@@ -199,7 +174,7 @@ def _next_pieces(pieces: DataFrame, kind, length: int, size: int) -> DataFrame:
     return pieces.select("id", "place", "gram", "content").mapInArrow(lambda b: _piece_batches(rows(b)), _PIECE)
 
 
-def _judge(rows: DataFrame, across: bool) -> DataFrame:
+def _judge(rows: DataFrame) -> DataFrame:
     """Marks each row of a pass: `gone` (its windows start earlier elsewhere) or `open` (it is the
     earliest of its content, in a class of several contents). Rows that are neither drop out.
 
@@ -207,28 +182,26 @@ def _judge(rows: DataFrame, across: bool) -> DataFrame:
     own: a join of two plain exchanges is one that Spark can split where a class has many contents."""
     mixed = rows.groupBy("class").agg(F.min("whole").alias("least"), F.max("whole").alias("most")).where("least <> most")
     mixed = cut(mixed.select("class", F.lit(True).alias("mixed")), "mixed")
-    first = F.min("id") if across else F.min(F.struct("id", "place"))
-    found = rows.groupBy("class", "whole").agg(first.alias("first"), F.count("*").alias("n"))
+    found = rows.groupBy("class", "whole").agg(F.min(F.struct("id", "place")).alias("first"), F.count("*").alias("n"))
     found = found.join(mixed, "class", "left").withColumn("mixed", F.coalesce("mixed", F.lit(False)))
     found = found.where("n > 1 or mixed").select("class", "whole", "first", "mixed")
-    own = F.col("id") if across else F.struct("id", "place")
+    own = F.struct("id", "place")
     marked = rows.join(found, ["class", "whole"])
     marked = marked.withColumn("gone", own > F.col("first"))
     return marked.withColumn("open", ~F.col("gone") & F.col("mixed")).where("gone or open").drop("first", "mixed", "whole")
 
 
-def repeated_places(docs: DataFrame, kind, length: int, gram: int, sizes, across: bool) -> DataFrame:
-    """docs (id, text). Rows (id, place) whose windows are to be removed. across: only windows that
-    start in a document of smaller id count; else also those earlier in the same document."""
+def repeated_places(docs: DataFrame, kind, length: int, gram: int, sizes) -> DataFrame:
+    """docs (id, text). Rows (id, place) whose windows are to be removed."""
     runs = _runs(docs, kind, length, gram)
     shared = runs.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
     shared = cut(shared, "shared")  # else its sums would bind the join's exchange, which Spark then can't split
     rows = cut(runs.join(shared, "class"), "runs")
-    judged = cut(_judge(rows, across).withColumnRenamed("class", "gram"), "judged")
+    judged = cut(_judge(rows).withColumnRenamed("class", "gram"), "judged")
     gone = judged.where("gone").select("id", "place")
     pieces = cut(_first_pieces(docs, judged.where("open"), kind, length, sizes[0]), "pieces")
     for depth, size in enumerate(sizes):
-        judged = _judge(pieces, across)
+        judged = _judge(pieces)
         if depth + 1 == len(sizes):
             return gone.unionByName(judged.where("gone").select("id", "place"))
         judged = cut(judged, "judged")
@@ -237,13 +210,13 @@ def repeated_places(docs: DataFrame, kind, length: int, gram: int, sizes, across
     raise ValueError("sizes must not be empty")
 
 
-def strip(docs: DataFrame, kind, length: int, gram: int, sizes, across: bool) -> DataFrame:
+def strip(docs: DataFrame, kind, length: int, gram: int, sizes) -> DataFrame:
     """doc_id, n_tokens, n_removed, n_spans, kept (binary), one row for each row of docs (doc_id, text)."""
     if sizes[-1] != 1 or not 0 < gram <= length or length - gram > 127:
         raise ValueError("sizes must end with 1; a gram must fit the window, within 127 tokens")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("id")
     d = docs.select(key, "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = repeated_places(d.select("id", "text"), kind, length, gram, sizes, across)
+    gone = repeated_places(d.select("id", "text"), kind, length, gram, sizes)
     gone = gone.groupBy("id").agg(F.collect_set("place").alias("places"))
     names = ["doc_id", "n_tokens", "n_removed", "n_spans", "kept"]
 

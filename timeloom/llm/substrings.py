@@ -1,28 +1,150 @@
 """Substring dedup over words: windows of 13 words, hashed by Rabin-Karp, counted in Spark.
 
 A window is gone if its word sequence also starts in a document of smaller id; the words that gone
-windows cover form maximal intervals and are removed. See repeats.py for how windows are counted and
-for null ids and repeated rows. Null texts have no words; texts under 13 words lose nothing; an empty
-table gives an empty result; further columns are ignored.
+windows cover form maximal intervals and are removed.
+
+First come the windows that can't repeat. Each window holds six-word pieces; the one of least
+Rabin-Karp hash stands for it, so that equal windows have equal pieces. Windows in a row with the same
+piece are one run, a quarter as many rows as windows. A piece with one run in the whole corpus proves the
+run's windows unique, and they go no further. Every other window is hashed over its 13 words and counted:
+one row a window, the hash of its piece beside its own (96 bits together), least and greatest id
+combined on the map side. Windows meet the hashes that several ids have by a join of two tables, which
+Spark can split where a passage is very common. Nothing is gathered but a document's own positions.
+
+Cases: a null id counts as the least; rows that repeat id and text count as one document and get the
+same result each; rows with one id and different texts are documents with equal ids, which remove nothing
+from each other; null texts have no words; texts under 13 words lose nothing; very long texts are hashed
+a part at a time; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import repeats
-from .common import load
+from . import anchors
+from .common import cut, load
 
 WINDOW = 13
-#: Words of the piece that owns a window.
-GRAM = 6
+#: Words of the piece that stands for a window.
+PIECE = 6
+_LEAST_ID = -(1 << 63)
+#: Words hashed at once.
+_PART = 1 << 19
+
+
+def _codes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _parts(n: int, window: int, part: int):
+    """Parts of a text of n words that share no window and lack none."""
+    for lo in range(0, max(n - window + 1, 0), part):
+        yield lo, min(n, lo + part + window - 1)
+
+
+def _runs(docs: DataFrame, window: int, piece: int) -> DataFrame:
+    """docs (id, mark, text) to a row a run: class (its piece's hash), id, mark, lo (its first window), n."""
+    part = _PART
+
+    def flush(ids, marks, offs, codes):
+        ends = np.cumsum([len(c) for c in codes])
+        which, lo, hi, _, hashes = anchors.runs(np.concatenate(codes), ends, window, piece)
+        base = np.array(offs) - np.concatenate(([0], ends[:-1]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(hashes.view(np.int64)), pa.array(np.array(ids, np.int64)[which]), pa.array(np.array(marks, np.int64)[which]),
+             pa.array((lo + base[which]).astype(np.int64)), pa.array((hi - lo + 1).astype(np.int32))],
+            names=["class", "id", "mark", "lo", "n"])
+
+    def run(batches):
+        held, got = 0, ([], [], [], [])
+        for batch in batches:
+            for i, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                words = text.as_py().split()
+                for lo, hi in _parts(len(words), window, part):
+                    for column, value in zip(got, (i, mark, lo, _codes(words[lo:hi])), strict=True):
+                        column.append(value)
+                    held += hi - lo
+                    if held >= part:
+                        yield flush(*got)
+                        held, got = 0, ([], [], [], [])
+        if held:
+            yield flush(*got)
+
+    return docs.mapInArrow(run, "class long, id long, mark long, lo long, n int")
+
+
+def _windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """The windows of the runs: h (Rabin-Karp hash of the window), g (32 bits of its piece's), id, mark, at."""
+    part = _PART
+    asked = runs.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "n", "class")).alias("asked"))
+    joined = docs.join(asked, ["id", "mark"]).select("id", "mark", "text", "asked")
+
+    def run(batches):
+        for batch in batches:
+            for i, mark, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
+                words = text.as_py().split()
+                lo, n, klass = (asked.values.field(c).to_numpy() for c in range(3))
+                lo, order = np.unique(lo, return_index=True)  # rows that repeat id and text ask twice
+                n, klass = n[order], klass[order]
+                for a, b in _parts(len(words), window, part):
+                    hashes = anchors.rolling_hashes(_codes(words[a:b]), window)
+                    mine = (lo >= a) & (lo < a + part)
+                    sizes = n[mine]
+                    if not len(sizes):
+                        continue
+                    at = np.repeat(lo[mine] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+                    g = np.repeat(klass[mine].astype(np.int32), sizes)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(hashes[at - a].view(np.int64)), pa.array(g), pa.array(np.full(len(at), i, np.int64)), pa.array(np.full(len(at), mark, np.int64)),
+                         pa.array(at.astype(np.int32))], names=["h", "g", "id", "mark", "at"])
+
+    return joined.mapInArrow(run, "h long, g int, id long, mark long, at int")
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """docs (id, mark, text). Windows (id, mark, at) that also start in a document of smaller id."""
+    runs = cut(_runs(docs, window, piece), "runs")
+    shared = cut(runs.groupBy("class").agg(F.count("*").alias("times")).where("times > 1").select("class"), "shared")
+    windows = cut(_windows(docs, runs.join(shared, "class"), window), "windows")
+    counted = windows.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    repeated = cut(counted.where("first < last").select("h", "g", "first"), "repeated")
+    return windows.join(repeated, ["h", "g"]).where("id > first").select("id", "mark", "at")
+
+
+def remove_repeated_words(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
+    """doc_id, n_words, n_removed, n_spans, text (kept words joined by one space), one row for each of docs."""
+    if not 0 < piece <= window:
+        raise ValueError("a piece must fit the window")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("id"), F.xxhash64(text).alias("mark"), "doc_id", text.alias("text"))
+    gone = cut(repeated_windows(d.select("id", "mark", "text"), window, piece), "gone")
+    gone = gone.groupBy("id", "mark").agg(F.collect_list("at").alias("at"))
+    names = ["doc_id", "n_words", "n_removed", "n_spans", "text"]
 
+    def run(batches):
+        for batch in batches:
+            out = []
+            for i, text, at in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+                words = text.as_py().split()
+                change = np.zeros(len(words) + 1, np.int32)
+                if at.is_valid:
+                    starts = np.unique(at.values.to_numpy())
+                    change[starts] += 1
+                    change[starts + window] -= 1
+                gone = np.cumsum(change)[: len(words)] > 0
+                spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
+                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if spans else words
+                out.append((i, len(words), int(gone.sum()), spans, b" ".join(kept).decode()))
+            for k in range(0, len(out), 500):
+                cols = list(zip(*out[k : k + 500], strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=names)
 
-def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_removed, n_spans, text (kept words joined by one space)."""
-    out = repeats.strip(docs, repeats.Words, window, min(gram, window), (1,), across=True)
-    return out.select("doc_id", F.col("n_tokens").alias("n_words"), "n_removed", "n_spans", F.decode("kept", "UTF-8").alias("text"))
+    joined = d.join(gone, ["id", "mark"], "left").select(F.col("doc_id").cast("long"), "text", "at")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, n_spans long, text string")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ SIZES = (16, 4, 1)
 
 def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sizes=SIZES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary: removal may split a character)."""
-    out = repeats.strip(docs, repeats.Bytes, window, gram, sizes, across=False)
+    out = repeats.strip(docs, repeats.Bytes, window, gram, sizes)
     return out.withColumnRenamed("n_tokens", "n_bytes")
 
 

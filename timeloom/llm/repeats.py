@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import cut
+from .common import cut, scratch
 
 _LEAST_ID = -(1 << 63)
 #: Tokens worked on at once.
@@ -193,11 +193,14 @@ def _judge(rows: DataFrame) -> DataFrame:
 
 def repeated_places(docs: DataFrame, kind, length: int, gram: int, sizes) -> DataFrame:
     """docs (id, text). Rows (id, place) whose windows are to be removed."""
-    runs = _runs(docs, kind, length, gram)
-    shared = runs.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
-    shared = cut(shared, "shared")  # else its sums would bind the join's exchange, which Spark then can't split
-    rows = cut(runs.join(shared, "class"), "runs")
-    judged = cut(_judge(rows).withColumnRenamed("class", "gram"), "judged")
+    spark = docs.sparkSession
+    with scratch(spark) as kept:  # tables go as soon as the next one is written
+        runs = _runs(docs, kind, length, gram)
+        shared = runs.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
+        shared = cut(shared, "shared")  # else its sums would bind the join's exchange, which Spark then can't split
+        rows = cut(runs.join(shared, "class"), "runs")
+        judged = cut(_judge(rows).withColumnRenamed("class", "gram"), "judged")
+        kept.append(judged)
     gone = judged.where("gone").select("id", "place")
     pieces = cut(_first_pieces(docs, judged.where("open"), kind, length, sizes[0]), "pieces")
     for depth, size in enumerate(sizes):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import cut, load
+from .common import cut, load, scratch
 
 WINDOW = 13
 #: Words of the piece that stands for a window.
@@ -106,13 +106,20 @@ def _windows(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
-    """docs (id, mark, text). Windows (id, mark, at) that also start in a document of smaller id."""
-    runs = cut(_runs(docs, window, piece), "runs")
-    shared = cut(runs.groupBy("class").agg(F.count("*").alias("times")).where("times > 1").select("class"), "shared")
-    windows = cut(_windows(docs, runs.join(shared, "class"), window), "windows")
-    counted = windows.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    repeated = cut(counted.where("first < last").select("h", "g", "first"), "repeated")
-    return windows.join(repeated, ["h", "g"]).where("id > first").select("id", "mark", "at")
+    """docs (id, mark, text). Windows (id, mark, at) that also start in a document of smaller id. Tables in
+    between go as soon as the next one is written."""
+    spark = docs.sparkSession
+    with scratch(spark) as result:
+        with scratch(spark) as kept:
+            runs = cut(_runs(docs, window, piece), "runs")
+            shared = cut(runs.groupBy("class").agg(F.count("*").alias("times")).where("times > 1").select("class"), "shared")
+            windows = cut(_windows(docs, runs.join(shared, "class"), window), "windows")
+            kept.append(windows)
+        counted = windows.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        repeated = cut(counted.where("first < last").select("h", "g", "first"), "repeated")
+        gone = cut(windows.join(repeated, ["h", "g"]).where("id > first").select("id", "mark", "at"), "gone")
+        result.append(gone)
+    return gone
 
 
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
@@ -121,7 +128,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, piece: int = PI
         raise ValueError("a piece must fit the window")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("id"), F.xxhash64(text).alias("mark"), "doc_id", text.alias("text"))
-    gone = cut(repeated_windows(d.select("id", "mark", "text"), window, piece), "gone")
+    gone = repeated_windows(d.select("id", "mark", "text"), window, piece)
     gone = gone.groupBy("id", "mark").agg(F.collect_list("at").alias("at"))
     names = ["doc_id", "n_words", "n_removed", "n_spans", "text"]
 

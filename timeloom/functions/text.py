@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,5 +50,46 @@ def clip_filename(score: Column, rank: Column, description: Column) -> Column:
     return F.format_string("s%02d_clip_%03d_%s.mp4", score.cast("int"), rank.cast("int"), slugify(description))
 
 
+class RedactingFilter(logging.Filter):
+    """Takes key-shaped pieces out of every log record; a record that can't be formatted passes as it is."""
+
+    _shapes = tuple(re.compile(s) for s in KEY_SHAPES)
+
+    def filter(self, record: logging.LogRecord) -> bool:
+        try:
+            text = record.getMessage()
+            clean = text
+            for shape in self._shapes:
+                clean = shape.sub(REDACTED, clean)
+            if clean != text:
+                record.msg, record.args = clean, ()
+        except Exception:  # noqa: BLE001  logging must go on
+            return True
+        return True
+
+
+def redact_logs(logger: logging.Logger) -> None:
+    """Installs the filter once."""
+    if not any(isinstance(f, RedactingFilter) for f in logger.filters):
+        logger.addFilter(RedactingFilter())
+
+
+def data_url(content: Column, path: Column, kind: str) -> Column:
+    """data:kind/suffix;base64,...; kind: image (jpg means jpeg, none jpeg) or video (none mp4)."""
+    suffix = F.nullif(F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)), F.lit(""))
+    mime = F.coalesce(F.when(suffix == "jpg", "jpeg").otherwise(suffix), F.lit("jpeg" if kind == "image" else "mp4"))
+    return F.concat(F.lit(f"data:{kind}/"), mime, F.lit(";base64,"), F.base64(content))
+
+
+def quoted_path(path: Column) -> Column:
+    """For a list of files in single quotes: each quote closes, is escaped and opens again."""
+    return F.replace(path, F.lit("'"), F.lit("'\\''"))
+
+
+def filter_value(path: Column) -> Column:
+    """For a value in a filter graph: forward slashes, colons escaped."""
+    return F.replace(F.replace(path, F.lit("\\"), F.lit("/")), F.lit(":"), F.lit("\\:"))
+
+
 def join_key(parts: list[Column], limit: int = 64) -> Column:
     return F.left(F.concat(*parts), F.lit(limit))

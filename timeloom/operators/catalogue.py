@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.functions.pricing import per_million
+from timeloom.schema import MODEL
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """Raw model rows of payload files ({"data": [...]}), with `position`, their place in the list; rows that
+    are no objects are dropped. A payload that isn't JSON or has no list of data raises when it is read."""
+    v = F.try_parse_json("value")
+    rows = F.try_variant_get(v, "$.data", "array<variant>")
+    listed = F.when(v.isNull(), F.raise_error(F.lit("the catalogue is not JSON")).cast("array<variant>")).when(
+        rows.isNull(), F.raise_error(F.lit("the catalogue has no list of data")).cast("array<variant>")).otherwise(rows)
+    d = spark.read.text(path, wholetext=True).select(F.posexplode(listed).alias("position", "v"))
+    d = d.where(F.schema_of_variant("v").startswith("OBJECT"))
+    return d.select("position", F.from_json(F.to_json("v"), MODEL).alias("m")).select("position", "m.*")
 
 
 def has_modality(needle: str) -> Column:
@@ -30,8 +43,11 @@ def usable(raw: DataFrame) -> DataFrame:
 
 
 def check_models(asked: DataFrame, raw: DataFrame) -> DataFrame:
-    """asked (id) with `problem`: null, or why the model won't do."""
-    info = model_info(raw).dropDuplicates(["id"]).select("id", "audio", "video")
+    """asked (id) with `problem`: null, or why the model won't do. Of rows with one id the first counts, by
+    the column `position` if there is one, else as they come."""
+    place = F.col("position") if "position" in raw.columns else F.monotonically_increasing_id()
+    first = raw.withColumn("_place", place).where("id is not null").groupBy("id").agg(F.min_by("architecture", "_place").alias("architecture"))
+    info = first.select("id", has_modality("audio").alias("audio"), has_modality("video").alias("video"))
     missing = F.array_join(F.array_compact(F.array(F.when(~F.col("audio"), "audio"), F.when(~F.col("video"), "video"))), ", ")
     problem = F.when(F.col("audio").isNull(), "unknown model").when(missing != "", F.concat(F.lit("lacks input: "), missing))
     return asked.join(info, "id", "left").select("id", problem.alias("problem"))

@@ -29,19 +29,22 @@ def split(media: DataFrame, chunk: float, overlap: float | Column = 0.0) -> Data
     return d.select("video_id", "chunk_index", start.alias("start_sec"), F.least("duration_sec", start + chunk + F.col("over")).alias("end_sec"))
 
 
-def batches(media: DataFrame, audio: bool, max_clip_sec: float) -> DataFrame:
+def batches(media: DataFrame, audio: bool, max_clip_sec: float | Column) -> DataFrame:
     """Chunks to send: overlapping by half the longest clip; a short timeline is one batch of its own."""
     size = AUDIO_BATCH if audio else VIDEO_BATCH
-    over = min(max(0.0, max_clip_sec / 2), size / 2)
+    longest = max_clip_sec if isinstance(max_clip_sec, Column) else F.lit(float(max_clip_sec))
+    over = F.least(F.greatest(F.lit(0.0), longest / 2), F.lit(size / 2))
     short = media.where(F.col("duration_sec") <= size).select(
         "video_id", F.lit(0).alias("chunk_index"), F.lit(0.0).alias("start_sec"), F.col("duration_sec").alias("end_sec"))
     return split(media, size, over).unionByName(short)
 
 
 def rebase(clips: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Clips of chunks (times from the chunk's start) on the whole timeline; ids name their chunk."""
-    d = clips.join(chunks.select("video_id", "chunk_index", "start_sec"), ["video_id", "chunk_index"])
-    shift = F.round(F.col("start_sec") * 1_000_000).cast("long")
+    """Clips of chunks (times from the chunk's start) on the whole timeline; ids name their chunk. A clip
+    of a chunk that isn't there raises."""
+    d = clips.join(chunks.select("video_id", "chunk_index", "start_sec"), ["video_id", "chunk_index"], "left")
+    shift = F.when(F.col("start_sec").isNotNull(), F.round(F.col("start_sec") * 1_000_000).cast("long")).otherwise(
+        F.raise_error(F.lit("a clip of an unknown chunk")).cast("long"))
     return d.withColumns({
         "start_us": F.col("start_us") + shift, "end_us": F.col("end_us") + shift,
         "clip_id": join_key([F.lit("c"), F.col("chunk_index").cast("string"), F.lit("_"), F.col("clip_id")])}).drop("start_sec")

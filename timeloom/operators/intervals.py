@@ -87,3 +87,11 @@ def concat_ordered(*frames: DataFrame) -> DataFrame:
     for i, f in enumerate(frames[1:], 1):
         out = out.unionByName(f.withColumn("part", F.lit(i)))
     return out
+
+
+def sliced(rows: DataFrame, cuts: DataFrame, t: str = "t") -> DataFrame:
+    """rows (video_id, t, ...) that lie in a cut (video_id, cut_id, start_sec, end_sec), its end excluded: each
+    row once a cut, with cut_id and the time since the cut's start (`since`)."""
+    c = cuts.select("video_id", "cut_id", "start_sec", "end_sec")
+    d = rows.join(c, "video_id").where((F.col(t) >= F.col("start_sec")) & (F.col(t) < F.col("end_sec")))
+    return d.withColumn("since", F.col(t) - F.col("start_sec")).drop("start_sec", "end_sec")

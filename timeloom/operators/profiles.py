@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timeloom.schema import CATEGORIES, HINTS
+
 # Name, sampling, least frames, shortest and longest clip, template, rolls, score kept.
 PROFILES = (
     ("highlights", "hybrid", 8, 3.0, 20.0, "highlights", 3.0, 3.0, 7),
@@ -29,6 +33,44 @@ def resolve(requests: DataFrame, default_score: int) -> DataFrame:
     return d.withColumn("min_score", F.coalesce("min_score", F.lit(default_score)))
 
 
+def with_default(hint: Column, default: str) -> Column:
+    """The request's hint, else the configured one; a configured hint that doesn't exist means auto."""
+    known = default.strip().lower()
+    return F.coalesce(hint, F.lit(known if known in HINTS else "auto"))
+
+
+def overlaid(requests: DataFrame, default_score: int) -> DataFrame:
+    """Requests (hint, min_sec, max_sec, template: what was asked for) with the profile's clip lengths and
+    template over them; what else a request holds stays."""
+    own = requests.drop("min_sec", "max_sec", "template")
+    return resolve(own, default_score)
+
+
+def asked_for(hint: Column, query: Column) -> Column:
+    """What a request states: null if it states neither hint nor query, else a struct of both; a hint that
+    doesn't exist raises, a blank query is none, a query without a hint goes with auto."""
+    q = F.nullif(F.trim(query), F.lit(""))
+    low = F.lower(hint)
+    known = F.when(hint.isNull(), F.lit("auto")).when(low.isin(*HINTS), low).otherwise(F.raise_error(F.concat(F.lit("unknown hint: "), hint)).cast("string"))
+    return F.when(hint.isNull() & q.isNull(), F.lit(None)).otherwise(F.struct(known.alias("hint"), q.alias("query")))
+
+
+def guidance(mode: Column, texts: dict[str, str], fallback: str = "") -> Column:
+    """A text by mode (blind to case and blanks), or the fallback."""
+    found = F.lit(fallback)
+    for name, text in texts.items():
+        found = F.when(F.lower(F.trim(mode)) == name, F.lit(text)).otherwise(found)
+    return found
+
+
+def clip_schema() -> str:
+    """The JSON schema of one clip of a reply, from the closed vocabularies."""
+    text = lambda n: {"type": "string", "minLength": 1, "maxLength": n}
+    return json.dumps({"type": "object", "required": ["id", "start", "end", "category", "description", "score", "rationale"], "properties": {
+        "id": text(64), "start": {"type": "string"}, "end": {"type": "string"}, "category": {"enum": list(CATEGORIES)}, "description": text(500),
+        "score": {"type": "integer", "minimum": 0, "maximum": 10}, "rationale": text(300), "tags": {"type": "array", "maxItems": 5, "items": {"type": "string"}}}})
+
+
 def route(hint: Column, audio: Column, video: Column) -> Column:
     return F.when((hint == "talk") & audio, "audio").when(video, "video").otherwise("keyframe")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.errors import UnknownName
+from timeloom.errors import TimelineError, UnknownName
 from timeloom.functions.scores import final_score, heuristic_score
 
 from .intervals import suppress_contained
@@ -29,7 +29,7 @@ def numbered(df: DataFrame, order=BEST_FIRST, key: str = "video_id", name: str =
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*_ordered(order))))
 
 
-def rank(clips: DataFrame, min_score: int = 5, max_clips: int = 20, overlap: float = 0.5) -> DataFrame:
+def rank(clips: DataFrame, min_score: int | Column = 5, max_clips: int = 20, overlap: float = 0.5) -> DataFrame:
     """Clips that reach min_score, without those that mostly repeat a better one, the best max_clips
     of each video; `rank` counts from 1."""
     d = with_scores(clips).where(F.col("final_score") >= min_score)
@@ -52,7 +52,7 @@ def reel_order(clips: DataFrame, order: str) -> DataFrame:
 def rolled(clips: DataFrame, before: float, after: float, duration_us: Column) -> DataFrame:
     """Widens clips by seconds, inside the timeline; untouched, not even clamped, if both are 0."""
     if before < 0 or after < 0:
-        raise UnknownName("roll must not be negative")
+        raise TimelineError("roll must not be negative")
     if before == after == 0:
         return clips
     start = F.greatest(F.lit(0).cast("long"), F.col("start_us") - round(before * 1_000_000))

@@ -108,6 +108,17 @@ def index_map(times: DataFrame) -> DataFrame:
     return times.groupBy("video_id").agg(F.to_json(F.map_from_entries(entries)).alias("index_to_sec"))
 
 
+def cell_times(cells: DataFrame, times: DataFrame) -> DataFrame:
+    """cells (video_id, cell, ...) with `t`, the second of the frame that the cell shows; null for a cell
+    that isn't on the sheets."""
+    return cells.join(times.select("video_id", "cell", "t"), ["video_id", "cell"], "left")
+
+
+def sheet_order(files: DataFrame) -> DataFrame:
+    """Adds `at`: sheets (video_id, name) in the order of their names."""
+    return files.withColumn("at", F.row_number().over(Window.partitionBy("video_id").orderBy("name")))
+
+
 def frame_names(specs: DataFrame) -> DataFrame:
     """kf_<number>_s<scene>.jpg, or _su without a scene."""
     by = F.row_number().over(Window.partitionBy("video_id").orderBy("t", "scene_index")) - 1

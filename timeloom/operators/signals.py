@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Fixed values.
 RATE, FRAME_MS, BASELINE_SEC, K_DEFAULT, MIN_GAP_SEC = 16_000, 100, 15.0, 4.0, 2.0
 IQR_TO_SIGMA, FLOOR_SHARE, IMPACT_SEC = 1.349, 0.15, 0.8
+#: Frames that are looked over together for a peak's width.
+_BLOCK = 64
 
 
 def rms_frames(samples: DataFrame, per_frame: int = RATE * FRAME_MS // 1000, rate: float = RATE) -> DataFrame:
@@ -79,11 +81,27 @@ def peak_islands(res: DataFrame) -> DataFrame:
 def peaks(frames: DataFrame, frame_ms: float = FRAME_MS, k: float = K_DEFAULT, min_gap: float = MIN_GAP_SEC,
           baseline_sec: float = BASELINE_SEC) -> DataFrame:
     """frames (video_id, frame, e) to video_id, t, strength, kind: impact or crowd."""
-    res = thresholds(residuals(rolling_median(envelopes(frames), max(1, round(baseline_sec * 1000 / frame_ms)))), k)
-    d = peak_islands(res).join(res.select("video_id", "x", "top"), "video_id")
-    below = lambda i: F.element_at("x", i + 1) <= F.col("height") * 0.5
-    left = F.array_max(F.filter(F.sequence(F.lit(-1), F.col("apex") - 1), lambda i: (i < 0) | below(F.greatest(i, F.lit(0)))))
-    right = F.array_min(F.filter(F.sequence(F.col("apex") + 1, F.size("x")), lambda i: (i >= F.size("x")) | below(F.least(i, F.size("x") - 1))))
+    env = rolling_median(envelopes(frames), max(1, round(baseline_sec * 1000 / frame_ms)))
+    # A generator of one row: the medians are taken once, though what follows has two readers.
+    res = thresholds(residuals(env.select("video_id", F.inline(F.array(F.struct("env", "baseline"))))), k)
+    islands = peak_islands(res)
+    # The nearest frame at or under half of an apex: in its own block of frames, else in the nearest block
+    # whose least frame is low enough. A timeline's blocks are looked through, not its frames.
+    size = F.size("x")
+    lows = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / _BLOCK).cast("int")), lambda b: F.array_min(F.slice("x", b * _BLOCK + 1, _BLOCK)))
+    res = res.select("video_id", "x", "top", F.inline(F.array(F.struct(lows.alias("lows")))))
+    d = islands.join(res, "video_id").withColumn("half", F.col("height") * 0.5).withColumn("block", F.floor(F.col("apex") / _BLOCK).cast("int"))
+
+    def low(of, lo, hi):
+        """Places from lo to hi where the array is at or under half."""
+        return F.when(lo <= hi, F.filter(F.sequence(F.least(lo, hi), hi), lambda i: F.element_at(of, i + 1) <= F.col("half")))
+
+    first, last = F.col("block") * _BLOCK, F.least((F.col("block") + 1) * _BLOCK, size) - 1
+    d = d.select("*", F.inline(F.array(F.struct(
+        F.array_max(low("x", first, F.col("apex") - 1)).alias("near_l"), F.array_min(low("x", F.col("apex") + 1, last)).alias("near_r"),
+        F.array_max(low("lows", F.lit(0), F.col("block") - 1)).alias("block_l"), F.array_min(low("lows", F.col("block") + 1, F.size("lows") - 1)).alias("block_r")))))
+    left = F.coalesce("near_l", F.array_max(low("x", F.col("block_l") * _BLOCK, F.col("block_l") * _BLOCK + (_BLOCK - 1))), F.lit(-1))
+    right = F.coalesce("near_r", F.array_min(low("x", F.col("block_r") * _BLOCK, F.least((F.col("block_r") + 1) * _BLOCK, size) - 1)), size)
     width = (right - left - 1) * (frame_ms / 1000)
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("height") / F.col("top")))
     d = d.select("video_id", F.bround((F.col("apex") + 0.5) * frame_ms / 1000, 2).alias("t"), F.bround(share, 3).alias("strength"),
@@ -111,18 +129,26 @@ def scene_cuts(scenes: DataFrame) -> DataFrame:
 
 
 def scenes_or_whole(media: DataFrame, scenes: DataFrame) -> DataFrame:
-    """The detected scenes; a timeline without any is one scene."""
+    """The detected scenes; a timeline without any is one scene, and raises if its duration is unknown."""
     d = media.join(scenes.select("video_id", "scene_index", "start_sec", "end_sec"), "video_id", "left")
     return d.select("video_id", F.coalesce("scene_index", F.lit(0)).alias("scene_index"), F.coalesce("start_sec", F.lit(0.0)).alias("start_sec"),
-                    F.coalesce("end_sec", "duration_sec").alias("end_sec"))
+                    F.coalesce("end_sec", "duration_sec", F.raise_error(F.lit("a timeline without scenes and of unknown duration")).cast("double")).alias("end_sec"))
+
+
+def audio_peaks(samples: DataFrame, k: float = K_DEFAULT) -> DataFrame:
+    """samples (video_id, i, x) to peaks: frames, then peaks; a timeline without samples has none."""
+    return peaks(rms_frames(samples), FRAME_MS, k)
+
+
+NOTE = "Peaks and cuts are advice on where to look first, not a filter: for a query, or quiet material, look at all of it."
 
 
 def report(found: DataFrame, cuts: DataFrame) -> DataFrame:
-    """video_id and a JSON report of peaks and cuts."""
+    """video_id and a JSON report of peaks and cuts, with a note on what they are for."""
     p = found.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("t", "strength", "kind"))).alias("peaks"))
     c = cuts.groupBy("video_id").agg(F.array_sort(F.collect_list("t")).alias("cuts"))
     d = p.join(c, "video_id", "full_outer")
     none = lambda kind: F.array().cast(kind)
     return d.select("video_id", F.to_json(F.struct(
         F.coalesce("peaks", none("array<struct<t:double,strength:double,kind:string>>")).alias("peaks"),
-        F.coalesce("cuts", none("array<double>")).alias("cuts"))).alias("report"))
+        F.coalesce("cuts", none("array<double>")).alias("cuts"), F.lit(NOTE).alias("note"))).alias("report"))

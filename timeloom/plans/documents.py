@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +19,21 @@ _VIDEO = "path string, duration_sec double, width int, height int, fps double, v
 DOCUMENT = f"video struct<{_VIDEO.replace(' ', ':').replace(',:', ',')}>, clips array<struct<{_CLIP.replace(' ', ':').replace(',:', ',')}>>, outputs map<string,array<string>>"
 
 
-def write_plan(ranked: DataFrame, media: DataFrame, before: float = 0.0, after: float = 0.0) -> DataFrame:
+def write_plan(ranked: DataFrame, media: DataFrame, before: float | Column = 0.0, after: float | Column = 0.0, extra: dict[str, Column] | None = None) -> DataFrame:
     """One JSON plan a video: its clips in rank order, the rolls inside the times. Videos without a
-    ranked clip have none."""
-    d = ranked.join(media.select("video_id", F.struct(*S.MEDIA.names).alias("video")), "video_id")
-    start = F.greatest(F.lit(0.0), F.col("start_us") / 1e6 - before)
-    end = F.least(F.col("video.duration_sec"), F.col("end_us") / 1e6 + after)
+    ranked clip have none. extra: further blocks by name, of media's columns; they win over our own."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    blocks = F.struct(*(c.alias(n) for n, c in (extra or {}).items()), F.lit(None).alias("_"))
+    own = media.select("video_id", F.struct(*S.MEDIA.names).alias("video"), as_column(before).alias("_before"), as_column(after).alias("_after"), blocks.alias("_blocks"))
+    d = ranked.join(own, "video_id")
+    start = F.greatest(F.lit(0.0), F.col("start_us") / 1e6 - F.col("_before"))
+    end = F.least(F.col("video.duration_sec"), F.col("end_us") / 1e6 + F.col("_after"))
     clip = F.struct(
         "rank", F.col("clip_id").alias("id"), to_clock(start).alias("start"), to_clock(end).alias("end"), F.bround(end - start, 3).alias("duration_sec"),
         "category", "description", "rationale", F.col("score").alias("vlm_score"), "heuristic_score", "final_score", "tags")
-    d = d.groupBy("video_id").agg(F.first("video").alias("video"), F.array_sort(F.collect_list(clip)).alias("clips"))
-    return d.select("video_id", F.to_json(F.struct("video", "clips")).alias("plan"))
+    d = d.groupBy("video_id").agg(F.first("video").alias("video"), F.array_sort(F.collect_list(clip)).alias("clips"), F.first("_blocks").alias("_blocks"))
+    names = {"video": F.col("video"), "clips": F.col("clips")} | {n: F.col("_blocks")[n] for n in extra or {}}
+    return d.select("video_id", F.to_json(F.struct(*(c.alias(n) for n, c in names.items()))).alias("plan"))
 
 
 def write_manifest(ranked: DataFrame, media: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -74,7 +80,9 @@ def read_clips(documents: DataFrame, key: str, min_score: int = 0) -> DataFrame:
     heuristic = F.coalesce(_whole(F.col("c.heuristic_score")), F.lit(5))
     final = F.coalesce(final, final_score(vlm, heuristic))
     d = d.select(key, "pos", "c", vlm.alias("score"), heuristic.alias("heuristic_score"), final.alias("final_score")).where(F.col("final_score") >= min_score)
-    start, end = parse(F.col("c.start")), parse(F.col("c.end"))
+    # A generator of one row: the clocks are read once, not at each use.
+    d = d.select("*", F.inline(F.array(F.struct(parse(F.col("c.start")).alias("_start"), parse(F.col("c.end")).alias("_end")))))
+    start, end = F.col("_start"), F.col("_end")
     category = F.coalesce("c.category", F.lit("highlight"))
     valid = start.isNotNull() & end.isNotNull() & (end > start) & category.isin(*S.CATEGORIES) & F.col("score").between(0, 10)
     number = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
@@ -112,8 +120,26 @@ def order_log(clips: DataFrame) -> DataFrame:
     return clips.groupBy("video_id").agg(items.alias("i")).select("video_id", F.array_join("i.line", "\n").alias("log"))
 
 
-def dispatch(ranked: DataFrame, modes: list[str], sinks: dict) -> list[str]:
-    """Hands ranked clips to the sinks of the modes (`all`: every sink), each named once, in order."""
+class Sink(Protocol):
+    """Takes ranked clips and returns what it wrote: rows of (video_id, place, path), or nothing."""
+
+    def __call__(self, ranked: DataFrame) -> DataFrame | None: ...
+
+
+def output_modes(modes: Column, every: list[str]) -> Column:
+    """An array of modes with `all` spelt out, each once, in order of first mention."""
+    return F.array_distinct(F.flatten(F.transform(modes, lambda m: F.when(m == "all", F.array(*map(F.lit, every))).otherwise(F.array(m)))))
+
+
+def inside(root: str, name: Column) -> Column:
+    """root/name; raises for a name that leads out of root."""
+    bad = name.contains("/") | name.contains("\\") | name.isin("", ".", "..")
+    return F.when(~bad, F.concat(F.lit(root.rstrip("/") + "/"), name)).otherwise(F.raise_error(F.concat(F.lit("a file name that leads elsewhere: "), name)).cast("string"))
+
+
+def dispatch(ranked: DataFrame, modes: list[str], sinks: dict[str, Sink], manifest=None) -> list[str]:
+    """Hands ranked clips to the sinks of the modes (`all`: every sink), each named once, in order.
+    manifest(ranked, written by mode) comes last, clips or not."""
     wanted: list[str] = []
     for mode in modes:
         for name in sinks if mode == "all" else [mode]:
@@ -123,8 +149,9 @@ def dispatch(ranked: DataFrame, modes: list[str], sinks: dict) -> list[str]:
                 wanted.append(name)
     kept = ranked.persist()
     try:
-        for name in wanted:
-            sinks[name](kept)
+        written = {name: sinks[name](kept) for name in wanted}
+        if manifest is not None:
+            manifest(kept, written)
     finally:
         kept.unpersist()
     return wanted

@@ -211,12 +211,12 @@ def q_stratified(spark, d):
     return sampling.stratified(V.media(spark, d), 9, F.col("video_id"))
 
 
-@query(f"""WITH {V.MEDIA}, w AS (SELECT *, greatest(1, floor(least(duration_sec, 30.0) / 0.5)::INT) AS n FROM media),
+@query(f"""WITH {V.MEDIA}, w AS (SELECT *, greatest(1, floor(duration_sec / 30)::INT) AS n FROM media),
 t AS (SELECT video_id, unnest(generate_series(0, n - 1)) AS i FROM w)
-SELECT video_id, i::INT AS frame_index, i * 0.5::DOUBLE AS t, (i + 100)::INT AS cell, (i // 20)::INT AS sheet, ((i % 20) // 5)::INT AS row, (i % 5)::INT AS col FROM t""")
+SELECT video_id, i::INT AS frame_index, i * 30.0::DOUBLE AS t, (i + 100)::INT AS cell, (i // 20)::INT AS sheet, ((i % 20) // 5)::INT AS row, (i % 5)::INT AS col FROM t""")
 def q_sheet_cells(spark, d):
-    w = V.media(spark, d).select("video_id", F.lit(0.0).alias("start_sec"), F.least("duration_sec", F.lit(30.0)).alias("end_sec"))
-    return sampling.sheet_cells(sampling.sheet_times(w, 0.5), 5, 4, offset=100)
+    w = V.media(spark, d).select("video_id", F.lit(0.0).alias("start_sec"), F.col("duration_sec").alias("end_sec"))
+    return sampling.sheet_cells(sampling.sheet_times(w, 30.0), 5, 4, offset=100)
 
 
 @query(f"""WITH {V.FRAMES} SELECT video_id, frame // 7 AS frame, (frame // 7 + 0.5) * 7 / 100 AS t, round(sqrt(avg(e * e)), 6) AS e FROM frames GROUP BY video_id, frame // 7 HAVING count(*) = 7""")
@@ -262,14 +262,16 @@ def q_islands(spark, d):
     return i.select("video_id", "first", "last", "apex", F.round("height", 6).alias("height"))
 
 
-@query(f"""WITH {_ISLANDS},
+_PEAKS = f"""{_ISLANDS},
 half AS (SELECT isl.video_id, first, apex, height, any_value(top) AS top, coalesce(max(frame) FILTER (frame < apex AND x <= 0.5 * height), -1) AS l,
   coalesce(min(frame) FILTER (frame > apex AND x <= 0.5 * height), max(frame) + 1) AS r FROM isl JOIN res USING (video_id) JOIN lim USING (video_id) GROUP BY isl.video_id, first, apex, height),
 p AS (SELECT video_id, round_even((apex + 0.5) * 100 / 1000::DOUBLE, 2) AS t, round_even(greatest(0, least(1, height / top)), 3) AS strength,
   CASE WHEN (r - l - 1) * 0.1::DOUBLE <= 0.8 THEN 'impact' ELSE 'crowd' END AS kind FROM half),
 m AS (SELECT video_id, unnest(list_reduce(list_transform(list({{'t': t, 's': strength, 'k': kind}} ORDER BY t, strength, kind), lambda i: [i]),
-  lambda acc, xs: CASE WHEN xs[1].t - acc[len(acc)].t < 0.5 THEN CASE WHEN xs[1].s > acc[len(acc)].s THEN list_concat(acc[1:len(acc) - 1], xs) ELSE acc END ELSE list_concat(acc, xs) END)) AS k FROM p GROUP BY video_id)
-SELECT video_id, k.t AS t, k.s AS strength, k.k AS kind FROM m""")
+  lambda acc, xs: CASE WHEN xs[1].t - acc[len(acc)].t < 0.5 THEN CASE WHEN xs[1].s > acc[len(acc)].s THEN list_concat(acc[1:len(acc) - 1], xs) ELSE acc END ELSE list_concat(acc, xs) END)) AS k FROM p GROUP BY video_id)"""
+
+
+@query(f"WITH {_PEAKS} SELECT video_id, k.t AS t, k.s AS strength, k.k AS kind FROM m")
 def q_peaks(spark, d):
     return signals.peaks(V.frames(spark, d), k=1.0, min_gap=0.5, baseline_sec=1.5)
 
@@ -280,15 +282,22 @@ def q_scene_cuts(spark, d):
 
 
 @query(f"""WITH {V.SCENES}, {V.MEDIA} SELECT media.video_id, coalesce(scene_index, 0)::INT AS scene_index, round(coalesce(start_sec, 0), 6) AS start_sec, round(coalesce(end_sec, duration_sec), 6) AS end_sec
-FROM media LEFT JOIN scenes ON media.video_id = scenes.video_id AND scenes.video_id % 2 = 0""")
+FROM media LEFT JOIN scenes USING (video_id)""")
 def q_scene_fallback(spark, d):
-    s = signals.scenes_or_whole(V.media(spark, d), V.scenes(spark, d).where("video_id % 2 = 0"))
+    s = signals.scenes_or_whole(V.media(spark, d), V.scenes(spark, d))
     return s.withColumns({"start_sec": F.round("start_sec", 6), "end_sec": F.round("end_sec", 6)})
 
 
-@query()
+@query(f"""WITH {_PEAKS}, {V.SCENES.replace("clips AS", "clips2 AS").replace("FROM clips", "FROM clips2")}, a AS (SELECT video_id, count(*)::INT AS n_peaks, round(sum(k.t), 2) AS peak_times FROM m GROUP BY video_id),
+b AS (SELECT video_id, count(*)::INT AS n_cuts, round(sum(round_even(start_sec, 2)), 2) AS cut_times FROM scenes WHERE scene_index > 0 GROUP BY video_id)
+SELECT video_id, coalesce(n_peaks, 0) AS n_peaks, coalesce(peak_times, 0) AS peak_times, coalesce(n_cuts, 0) AS n_cuts, coalesce(cut_times, 0) AS cut_times, true AS noted FROM a FULL JOIN b USING (video_id)""")
 def q_signal_report(spark, d):
-    return signals.report(signals.peaks(V.frames(spark, d), k=1.0, min_gap=0.5, baseline_sec=1.5), signals.scene_cuts(V.scenes(spark, d)))
+    r = signals.report(signals.peaks(V.frames(spark, d), k=1.0, min_gap=0.5, baseline_sec=1.5), signals.scene_cuts(V.scenes(spark, d)))
+    shape = "peaks array<struct<t:double,strength:double,kind:string>>, cuts array<double>, note string"
+    r = r.select("video_id", F.from_json("report", shape).alias("r"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 2)
+    return r.select("video_id", F.size("r.peaks").alias("n_peaks"), total(F.col("r.peaks.t")).alias("peak_times"), F.size("r.cuts").alias("n_cuts"), total(F.col("r.cuts")).alias("cut_times"),
+                    F.col("r.note").isNotNull().alias("noted"))
 
 
 _TS = """SELECT video_id, duration_sec, greatest(0, trunc(duration_sec * 1000))::BIGINT AS ms FROM media"""
@@ -375,11 +384,11 @@ def q_tags(spark, d):
     return e.select("event_id", F.array_join(replies.tags_of(F.parse_json(F.concat(F.lit('{"tags": '), tags, F.lit("}")))), ",").alias("tags"))
 
 
-@query("""SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 6 = 1 THEN p_size + 0.5 ELSE p_size + 1.5 END::DOUBLE AS duration_sec,
+@query("""SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 6 = 1 THEN p_size + 0.5 ELSE p_size + 1.5 END::DOUBLE AS duration_sec, 640 AS width, 360 AS height, 'h264' AS video_codec, 0::BIGINT AS size_bytes,
 CASE WHEN p_partkey % 6 = 4 THEN NULL ELSE round(CASE WHEN p_partkey % 6 = 2 THEN 25 ELSE 30000 / 1001::DOUBLE END, 6) END AS fps,
 CASE WHEN p_partkey % 2 = 0 THEN 'aac' END AS audio_codec, CASE WHEN p_partkey % 3 = 0 THEN 'unknown' ELSE 'mov' END AS container,
 CASE WHEN p_partkey % 6 = 4 THEN 'no video stream' END AS problem FROM part WHERE p_partkey % 6 <> 4
-UNION ALL SELECT p_partkey::VARCHAR, (p_size + 1.5)::DOUBLE, NULL, CASE WHEN p_partkey % 2 = 0 THEN 'aac' END, CASE WHEN p_partkey % 3 = 0 THEN 'unknown' ELSE 'mov' END, 'no video stream' FROM part WHERE p_partkey % 6 = 4""")
+UNION ALL SELECT p_partkey::VARCHAR, (p_size + 1.5)::DOUBLE, NULL, NULL, NULL, 0, NULL, CASE WHEN p_partkey % 2 = 0 THEN 'aac' END, CASE WHEN p_partkey % 3 = 0 THEN 'unknown' ELSE 'mov' END, 'no video stream' FROM part WHERE p_partkey % 6 = 4""")
 def q_probe_parse(spark, d):
     p = V.table(spark, d, "part")
     key, odd = F.col("p_partkey"), F.col("p_partkey") % 6
@@ -391,7 +400,7 @@ def q_probe_parse(spark, d):
                     F.when(key % 3 == 0, "").otherwise(', "format_name": "mov,mp4"'), F.lit("}"))
     payload = F.concat(F.lit('{"format": '), form, F.lit(', "streams": ['), F.concat_ws(", ", F.when(odd != 4, video), audio), F.lit("]}"))
     out = probe.parse_probe(p.select(key.cast("string").alias("path"), payload.alias("payload")))
-    return out.select("path", "duration_sec", F.round("fps", 6).alias("fps"), "audio_codec", "container", "problem")
+    return out.select("path", "duration_sec", "width", "height", "video_codec", "size_bytes", F.round("fps", 6).alias("fps"), "audio_codec", "container", "problem")
 
 
 @query(f"WITH {V.MODELS} SELECT id, name, context_length, usd AS usd_in, usd AS usd_out, row_number() OVER (ORDER BY usd NULLS LAST, id)::INT AS place FROM models WHERE audio AND video")

@@ -19,15 +19,16 @@ def _positive(text: Column) -> Column:
     return F.when(x > 0, x)
 
 
-def parse_probe(payloads: DataFrame, text: str = "payload", path: str = "path") -> DataFrame:
-    """(path, payload) to the media facts and problem (null, or what is missing)."""
-    d = payloads.select(F.col(path).alias("path"), F.from_json(text, PROBE).alias("p"))
+def parse_probe(payloads: DataFrame, text: str = "payload", path: str = "path", keep: str | None = None) -> DataFrame:
+    """(path, payload) to the media facts and problem (null, or what is missing); keep: a column that stays."""
+    also = [keep] if keep else []
+    d = payloads.select(*also, F.col(path).alias("path"), F.from_json(text, PROBE).alias("p"))
     first = lambda kind: F.get(F.filter("p.streams", lambda s: s["codec_type"] == kind), F.lit(0))
-    d = d.select("path", "p", first("video").alias("v"), first("audio").alias("a"))
+    d = d.select(*also, "path", "p", first("video").alias("v"), first("audio").alias("a"))
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     container = F.coalesce(F.nullif(F.split_part("p.format.format_name", F.lit(","), F.lit(1)), F.lit("")), F.nullif(suffix, F.lit("")), F.lit("unknown"))
     d = d.select(
-        "path", F.coalesce(_positive(F.col("p.format.duration")), _positive(F.col("v.duration"))).alias("duration_sec"),
+        *also, "path", F.coalesce(_positive(F.col("p.format.duration")), _positive(F.col("v.duration"))).alias("duration_sec"),
         F.col("v.width").alias("width"), F.col("v.height").alias("height"),
         F.coalesce(_rate(F.col("v.avg_frame_rate")), _rate(F.col("v.r_frame_rate"))).alias("fps"), F.col("v.codec_name").alias("video_codec"),
         F.col("a.codec_name").alias("audio_codec"), container.alias("container"),
@@ -38,6 +39,32 @@ def parse_probe(payloads: DataFrame, text: str = "payload", path: str = "path")
     return d.withColumn("problem", problem).drop("_broken", "_none")
 
 
+def probe_files(paths: DataFrame, prober, timeout: float = 30.0) -> DataFrame:
+    """paths (path) to media facts and problem. prober(path, timeout) gives the exit code and the printed
+    text, inside the tasks; a missing file, a time-out, another code than 0 and bad JSON are problems."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            paths, payloads, problems = batch.column(0).to_pylist(), [], []
+            for path in paths:
+                payload = problem = None
+                try:
+                    code, payload = prober(path, timeout)
+                    problem = f"exit code {code}" if code else None
+                except FileNotFoundError:
+                    problem = "no such file"
+                except TimeoutError:
+                    problem = f"no answer in {timeout:g} s"
+                payloads.append(payload)
+                problems.append(problem)
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(payloads, pa.string()), pa.array(problems, pa.string())], names=["path", "payload", "failure"])
+
+    d = paths.select("path").mapInArrow(run, "path string, payload string, failure string")
+    facts = parse_probe(d.select("path", F.struct("payload", "failure").alias("both"), "payload"), keep="both")
+    return facts.withColumn("problem", F.coalesce("both.failure", "problem")).drop("both")
+
+
 def aspect_ratio(width: Column, height: Column) -> Column:
     return width / height
 

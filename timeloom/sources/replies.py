@@ -58,12 +58,25 @@ def parse_plans(replies: DataFrame, text: str = "raw") -> DataFrame:
 
     every = F.coalesce(F.transform("_items", clip), F.array().cast(
         "array<struct<clip_id:string,start_us:bigint,end_us:bigint,category:string,description:string,score:double,rationale:string,tags:array<string>>>"))
-    d = d.withColumn("_every", every).withColumn("clips", F.filter("_every", valid))
+    # A generator of one row in between: else Catalyst writes the reading of a clip out at each of its uses.
+    d = d.select("*", F.inline(F.array(F.struct(every.alias("_every"))))).withColumn("clips", F.filter("_every", valid))
     d = d.withColumn("dropped", F.size("_every") - F.size("clips"))
     usd = F.try_variant_get("_v", "$.usage.cost", "double")
     return d.withColumn("usd", usd).drop("_v", "_items", "_every")
 
 
+def plan_problem(text: Column) -> Column:
+    """What is wrong with a reply as a whole plan, or null: its id (1 to 128 characters), its duration (over
+    0), or keys that a plan doesn't have."""
+    v = F.try_parse_json(isolate_json(text))
+    keys = F.json_object_keys(F.to_json(v))
+    odd = F.array_except(keys, F.array(*map(F.lit, ("video_id", "duration_sec", "clips", "metadata"))))
+    name, seconds = _text(v, "$.video_id"), _number(v, "$.duration_sec")
+    return (F.when(v.isNull(), "not JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object")
+            .when(~F.coalesce(F.length(name).between(1, 128), F.lit(False)), "bad video_id").when(~F.coalesce(seconds > 0, F.lit(False)), "bad duration_sec")
+            .when(F.size(odd) > 0, F.concat(F.lit("unknown keys: "), F.array_join(F.array_sort(odd), ", "))))
+
+
 def exploded(plans: DataFrame, key: str) -> DataFrame:
     """One row a valid clip: key, pos and the clip's fields."""
     d = plans.select(key, F.posexplode("clips").alias("pos", "c"))

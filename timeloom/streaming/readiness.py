@@ -10,11 +10,15 @@ OUT = "path string, status string, at double, size_bytes long"
 _STATE = "began double, since double, size_bytes long, mtime_ns long, done boolean"
 
 
-def watch(polls: DataFrame, stable_for: float = 2.0, timeout: float = 900.0) -> DataFrame:
+def watch(polls: DataFrame, stable_for: float = 2.0, timeout: float = 900.0, keep_done: float = 3600.0) -> DataFrame:
     """polls: a stream (path, t, size_bytes, mtime_ns) in order of t within a path. Emits a path once,
-    when it is ready or has run out of time."""
+    when it is ready or has run out of time. The state of a path that is done is dropped `keep_done`
+    seconds (of processing time) after its last poll; polls later than that would start it anew."""
 
     def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         began, since, size, mtime, done = state.get if state.exists else (None, None, None, None, False)
         rows = pd.concat(list(frames)).sort_values("t", kind="stable")
         for t, n, m in zip(rows["t"], rows["size_bytes"], rows["mtime_ns"], strict=True):
@@ -34,5 +38,7 @@ def watch(polls: DataFrame, stable_for: float = 2.0, timeout: float = 900.0) ->
                 done = True
                 yield pd.DataFrame({"path": [key[0]], "status": ["timeout"], "at": [t], "size_bytes": pd.array([None], dtype="Int64")})
         state.update((began, since, size, mtime, done))
+        if done:
+            state.setTimeoutDuration(max(1, int(keep_done * 1000)))
 
-    return polls.groupBy("path").applyInPandasWithState(step, OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return polls.groupBy("path").applyInPandasWithState(step, OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

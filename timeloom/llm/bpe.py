@@ -127,46 +127,46 @@ class Worker:
     def close(self) -> None:
         self.db.close()
 
-    def _contract(self, words: list[np.ndarray], steps: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """The words' tokens after at most so many steps, and the steps that each word took."""
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        w = np.repeat(np.arange(len(words), dtype=np.int32), lens)
+    def _contract(self, tokens: np.ndarray, lens: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words one after another (tokens, and how many each has) after at most so many steps: their
+        tokens, where each ends, and the steps that each took."""
+        w = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
         p = (np.arange(len(w)) - np.repeat(np.cumsum(lens) - lens, lens)).astype(np.int64)
-        start = pa.table({"w": w, "p": p, "t": np.concatenate(words)})
+        start = pa.table({"w": w, "p": p, "t": tokens})
         self.db.register("start", start)
         got = self.db.execute(_STEP, [steps]).fetchnumpy()
         self.db.unregister("start")
-        owner, ids = np.asarray(got["w"]), np.asarray(got["t"]).astype(np.int32)
-        ends = np.cumsum(np.bincount(owner, minlength=len(words)))
-        return np.split(ids, ends[:-1]), np.asarray(got["k"])[ends - 1]
+        ends = np.cumsum(np.bincount(np.asarray(got["w"]), minlength=len(lens)))
+        return np.asarray(got["t"]).astype("<u4"), ends, np.asarray(got["k"])[ends - 1]
 
     def _settle(self, words) -> dict[bytes, bytes]:
-        """Ids of each of the words, taken as they are. A word too long for one recursion goes on from
-        where the last one left it."""
+        """Ids of each of the words, taken as they are."""
         out, group, rows = {}, [], 0
-
-        def settled():
-            steps = max(8, 2 * ROWS // sum(len(t) for _, t in group)) if rows > 2 * ROWS else 1 << 30
-            ids, took = self._contract([t for _, t in group], steps)
-            left = []
-            for (word, _), t, k in zip(group, ids, took.tolist(), strict=True):
-                if k >= steps:
-                    left.append((word, t))
-                else:
-                    out[word] = t.astype("<u4").tobytes()
-            return left
-
         for word in words:
-            cost = len(word) * len(word) // 2
-            if group and rows + cost > ROWS:
-                group, rows = settled(), 0
-            group.append((word, self.single[np.frombuffer(word, np.uint8)]))
-            rows += cost
-        while group:
-            group = settled()
-            rows = sum(len(t) ** 2 // 2 for _, t in group)
+            n = len(word)
+            if group and rows + n * n // 2 > ROWS:
+                out.update(self._settled(group, rows))
+                group, rows = [], 0
+            group.append(word)
+            rows += n * n // 2
+        if group:
+            out.update(self._settled(group, rows))
         return out
 
+    def _settled(self, group: list[bytes], rows: int):
+        """Words with their ids. A word too long for one recursion goes on from where the last one left it."""
+        tokens = self.single[np.frombuffer(b"".join(group), np.uint8)]
+        lens = np.fromiter(map(len, group), np.int64, len(group))
+        while True:
+            steps = max(8, 2 * ROWS // len(tokens)) if rows > 2 * ROWS else 1 << 30
+            ids, ends, took = self._contract(tokens, lens, steps)
+            if not (took >= steps).any():
+                break
+            tokens, lens = ids.astype(np.int32), np.diff(ends, prepend=0)
+            rows = int((lens * lens // 2).sum())
+        flat, ends = ids.tobytes(), (4 * ends).tolist()
+        return zip(group, [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], strict=True)
+
     def _bytes_of(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -222,21 +222,21 @@ class Worker:
 
     def learn(self, words) -> None:
         """Encodes words that aren't known yet."""
-        short, long = {}, {}
+        short, long, whole = {}, {}, {}
         for word in words:
             data = word.encode()
             if (rank := self.ranks.get(data)) is not None:
-                self._keep(word, rank.to_bytes(4, "little"))
+                whole[word] = rank.to_bytes(4, "little")
             else:
                 (short if len(data) <= PIECE else long)[data] = word
-        for data, ids in self._settle(short).items():
-            self._keep(short[data], ids)
-        for word, ids in zip(long.values(), self._joined(list(long)), strict=True):
-            self._keep(word, ids)
+        self._keep(whole)
+        self._keep({short[data]: ids for data, ids in self._settle(short).items()})
+        if long:
+            self._keep(dict(zip(long.values(), self._joined(list(long)), strict=True)))
 
-    def _keep(self, word: str, ids: bytes) -> None:
-        self.known[word] = ids
-        self.held += 200 + 2 * len(word) + len(ids)
+    def _keep(self, found: dict[str, bytes]) -> None:
+        self.known.update(found)
+        self.held += 200 * len(found) + 2 * sum(map(len, found)) + sum(map(len, found.values()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -254,8 +254,7 @@ class Worker:
             self.before, self.known, self.held = self.known, {}, 0
         fresh = {w for words in split for w in words}.difference(self.known)
         again = fresh.intersection(self.before)
-        for w in again:
-            self._keep(w, self.before[w])
+        self._keep({w: self.before[w] for w in again})
         self.learn(fresh - again)
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]

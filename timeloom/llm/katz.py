@@ -14,7 +14,11 @@ bucket, and gives the discounts and the weights a(v). Words with a share of 1/HE
 HEAVY in number: their counts are broadcast, and their pairs are dealt by both words. Buckets are
 worked on in ROUNDS, which bounds the shuffle on disk.
 
-Words are known by 64 bits of a hash. Cases: a null text is empty (one token, the end); null ids are
+The order is two: a table of trigrams doesn't fit the disk allowed (README has the figures). A bucket's
+blobs are one a chunk that it meets, never more than its postings, and hold the documents that occur in
+it. All postings of one pair of words meet in one task.
+
+Words are known by 64 bits of a hash; very long texts are chunks of their own. Cases: a null text is empty (one token, the end); null ids are
 training rows; repeated rows count in training each and are scored each; without training tokens
 every token is unknown and scores 0; an empty table gives an empty result; further columns are ignored.
 """
@@ -238,11 +242,13 @@ def _evaluate(blobs: pa.Table, uni: Unigram, heavy: np.ndarray, heavy_n: np.ndar
             np.where(c > K, np.log10(np.maximum(c, 1) - TAIL), 0.0),
             np.where(c == 0, np.log10(p1[pw]), 0.0),
         ]
-    width = sum(n_docs)
-    sums = np.stack([np.bincount(doc, weights=per(x), minlength=width) for x in columns], axis=1)
+    # Sums of the documents that occur here: never more of them than postings.
+    here, place = np.unique(doc, return_inverse=True)
+    sums = np.stack([np.bincount(place, weights=per(x), minlength=len(here)) for x in columns], axis=1)
     pack = zstandard.ZstdCompressor(level=1).compress
     starts = np.concatenate(([0], np.cumsum(n_docs)[:-1])).tolist()
-    blob = [pack(sums[a : a + n].tobytes()) for a, n in zip(starts, n_docs, strict=True)]
+    cuts = np.searchsorted(here, [*starts, sum(n_docs)]).tolist()
+    blob = [pack((here[a:b] - s).astype(np.uint16).tobytes() + sums[a:b].tobytes()) for a, b, s in zip(cuts, cuts[1:], starts, strict=False)]
     lost = np.flatnonzero(np.repeat(c[pair] == 0, lens))
     owner = np.searchsorted(np.array(starts), doc[lost], side="right") - 1
     n0, n1, n2 = int(known.sum()), len(lost), len(blob)
@@ -261,16 +267,15 @@ def _evaluate(blobs: pa.Table, uni: Unigram, heavy: np.ndarray, heavy_n: np.ndar
 
 def _documents(rows: pa.Table) -> pa.Table:
     """All sums and the document list of a chunk to a row a document."""
-    total, listed = None, None
     unpack = zstandard.ZstdDecompressor().decompress
-    for kind, data in zip(rows["kind"].to_pylist(), rows["blob"], strict=True):
-        if kind == 3:
-            listed = pa.ipc.open_stream(data.as_py()).read_all()
-        else:
-            x = np.frombuffer(unpack(data.as_py())).reshape(-1, len(_SUMS))
-            total = x if total is None else total + x
-    if total is None:
-        total = np.zeros((listed.num_rows, len(_SUMS)))
+    kinds = rows["kind"].to_pylist()
+    listed = pa.ipc.open_stream(rows["blob"][kinds.index(3)].as_py()).read_all()
+    total = np.zeros((listed.num_rows, len(_SUMS)))
+    for kind, data in zip(kinds, rows["blob"], strict=True):
+        if kind != 3:
+            data = unpack(data.as_py())
+            n = len(data) // (2 + 8 * len(_SUMS))
+            total[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data[2 * n :]).reshape(n, len(_SUMS))
     out = {"chunk": pa.array(np.full(listed.num_rows, rows["chunk"][0].as_py(), np.int64)), "doc": pa.array(np.arange(listed.num_rows, dtype=np.int32))}
     return pa.table({**out, **{c: listed[c] for c in ("id", "tag", "out", "n")}, **{c: total[:, i] for i, c in enumerate(_SUMS)}})
 
@@ -303,6 +308,8 @@ def score(docs: DataFrame) -> DataFrame:
         tables.append(done.where("kind = 0").select("v", "c", "x"))
         listed = done.where("kind in (2, 3)").select("kind", "chunk", "blob").groupBy("chunk").applyInArrow(_documents, schema)
         found.append(listed)
+        listed = cut(listed, "sums")
+        found[-1] = listed
         missed.append(done.where("kind = 1").select("chunk", "doc", "v", "n").join(listed.select("chunk", "doc", "id", "tag"), ["chunk", "doc"]))
     union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
     ngrams = union(tables)
@@ -312,7 +319,8 @@ def score(docs: DataFrame) -> DataFrame:
     for r in range(1, K + 1):
         lost = F.when(F.col("c") == r, F.lit(r * (1 - d[r - 1]))).otherwise(lost)
     weights = ngrams.groupBy("v").agg(F.sum(lost).alias("freed"), F.sum("x").alias("covered"))
-    weights = weights.select("v", F.log10(F.col("freed") / (1 - F.col("covered"))).alias("weight"))
+    # Tables of their own: Spark can then split the misses of a very common context.
+    weights = cut(weights.select("v", F.log10(F.col("freed") / (1 - F.col("covered"))).alias("weight")), "weights")
     backed = union(missed).join(weights, "v").groupBy("id", "tag").agg(F.sum(F.col("n") * F.col("weight")).alias("weights"))
     starts = docs.where("not out").count()
     per_doc = union(found).groupBy("id", "tag", "out").agg(

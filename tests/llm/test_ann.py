@@ -10,7 +10,7 @@ def frame(spark, rows):
 
 def test_recall_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ann, "ROW_BLOCK", 500)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(ann, "QUERY_WAVE", 10)
     r = np.random.default_rng(1)
     centres = r.normal(size=(8, 30))
     x = (centres[r.integers(0, 8, 3000)] + r.normal(size=(3000, 30)) * 0.7) * r.uniform(0.5, 2, (3000, 1))
@@ -75,3 +75,33 @@ def test_length_is_the_most_common_of_all_rows(spark, monkeypatch):
     for other in range(100, 106):  # one of them has the least hash
         df = frame(spark, [(i, [1.0, float(i)], "") for i in range(5)] + [(other, [1.0], "")])
         assert [r["vec_id"] for r in collect(ann.nearest(df, df.where("vec_id = 0")).orderBy("rank"))] == [1, 2, 3, 4]
+
+
+def _recall(x, rerank=ann.RERANK, step=100):
+    """Share of the ten nearest that are among the best `rerank` of a scan of all codes."""
+    books, eta = ann.fit(x[: ann.SAMPLE]), ann._parallel_weight(x.shape[1])
+    codes = np.concatenate([ann.encode(ann._padded(x[a : a + 512]), books, eta) for a in range(0, len(x), 512)])
+    near = books[np.arange(books.shape[0])[None], codes].reshape(len(x), -1)[:, : x.shape[1]]
+    half, hits, n = (x * x).sum(axis=1) / 2, 0, 0
+    for q in range(0, len(x), step):
+        score = near @ x[q] - half
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        score[q], d[q] = -np.inf, np.inf
+        hits += len(set(np.argsort(-score)[:rerank].tolist()) & set(np.argsort(d, kind="stable")[:10].tolist()))
+        n += 10
+    return hits / n
+
+
+def test_recall_of_the_given_table(spark):
+    x = np.array(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").limit(20_000).toPandas()["embedding"].tolist(), float)
+    share = _recall(x)
+    print("recall on the given vectors", x.shape, share)
+    assert share >= 0.9
+
+
+def test_recall_at_many_dimensions():
+    r = np.random.default_rng(4)
+    x = r.normal(size=(2000, 24)) @ r.normal(size=(24, 768)) + r.normal(size=(2000, 768))
+    share = _recall(x)
+    print("recall at 768 dimensions", share)
+    assert share >= 0.9

@@ -10,8 +10,9 @@ Equal vectors are one class with its k + 1 least ids: scans and the `rerank` bes
 copies come back after the exact measurement, so that they take no place of another vector.
 
 The codebook is fitted on at most SAMPLE distinct vectors, those of least hash, on the driver (bounded:
-SAMPLE vectors), and is broadcast (16 vectors of the full length). Every distinct vector is encoded.
-Queries and classes are dealt into blocks of bounded size and meet block by block.
+SAMPLE vectors; a few numbers a component of them), and is broadcast (16 vectors of the full length). Every
+distinct vector is encoded, and the codes are a table that is scanned where it lies: queries are broadcast
+to it in waves of about QUERY_WAVE vectors, so that neither codes nor queries are copied by a shuffle.
 
 Cases: vectors that are null, zero, or hold a null or non-finite component, and null ids, take no
 part, nor do vectors of another length than the most common one (of equally common ones, the longest);
@@ -21,6 +22,8 @@ its least vector; an empty table gives an empty result; further columns are igno
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -30,7 +33,8 @@ from .common import cut, load
 
 SAMPLE = 8192
 RERANK = 128
-QUERY_BLOCK = 1024
+#: Queries that are broadcast at once; rows of a block that is scanned at once.
+QUERY_WAVE = 2048
 ROW_BLOCK = 8192
 CODES = 16
 #: Queries whose cosine with x is at least this are those that the loss has in mind.
@@ -86,20 +90,23 @@ def fit(sample: np.ndarray) -> np.ndarray:
     picks = order[np.linspace(0, n - 1, CODES).astype(int)]
     books = np.take_along_axis(parts, picks[:, :, None], axis=0).transpose(1, 0, 2).copy()
     u = x / np.sqrt((x * x).sum(axis=1))[:, None]
+    xu = (x * u).sum(axis=1)
+    u = u.reshape(n, m, 2)
     for _ in range(_ROUNDS):
-        codes = encode(x, books, eta, 1)
-        # Least squares over all codewords at once: one normal equation a codeword coordinate.
-        column = (np.arange(m)[None, :, None] * CODES + codes[:, :, None]) * 2 + np.arange(2)
-        column = column.reshape(n, -1)
-        size = m * CODES * 2
-        z = np.zeros((n, size))
-        np.put_along_axis(z, column, u, axis=1)
-        a = (eta - 1) * (z.T @ z)
-        a[np.diag_indices(size)] += np.bincount(column.ravel(), minlength=size) + 1e-6
-        xu = (x * u).sum(axis=1)
-        b = np.bincount(column.ravel(), weights=x.ravel(), minlength=size) + (eta - 1) * (z * xu[:, None]).sum(axis=0)
-        b += 1e-6 * books.ravel()
-        books = np.linalg.solve(a, b).reshape(m, CODES, 2)
+        codes = np.concatenate([encode(x[at : at + 512], books, eta, 1) for at in range(0, n, 512)])
+        along = sum((books[j][codes[:, j]] * u[:, j]).sum(axis=1) for j in range(m))
+        # Least squares pair by pair, the others held: a system of two unknowns a codeword.
+        for j in range(m):
+            code, w = codes[:, j], u[:, j]
+            rest = along - (books[j][code] * w).sum(axis=1)
+            over = lambda v: np.bincount(code, weights=v, minlength=CODES)
+            a = np.empty((CODES, 2, 2))
+            for p in range(2):
+                for q in range(2):
+                    a[:, p, q] = (eta - 1) * over(w[:, p] * w[:, q]) + (over(np.ones(n)) + 1e-6 if p == q else 0.0)
+            b = np.stack([over(parts[:, j, p] + (eta - 1) * w[:, p] * (xu - rest)) for p in range(2)], axis=1) + 1e-6 * books[j]
+            books[j] = np.linalg.solve(a, b[:, :, None])[:, :, 0]
+            along = rest + (books[j][code] * w).sum(axis=1)
     return books
 
 
@@ -119,28 +126,60 @@ def _classes(data: DataFrame, k: int) -> DataFrame:
     return cut(found.select(F.monotonically_increasing_id().alias("class_id"), "vector", "ids"), "classes")
 
 
-def _scan(queries: pa.Table, rows: pa.Table, books: np.ndarray, keep: int) -> pa.Table:
-    classes, least = rows["class_id"].to_numpy(), rows["least"].to_numpy()
-    order = np.lexsort((classes, least))  # ties below go to the smaller id
-    classes, least, half = classes[order], least[order], rows["half_norm"].to_numpy()[order].astype(np.float32)
-    single = np.array(rows["single"].to_pylist(), bool)[order]
-    width = books.shape[0] // 2
-    codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(-1, width)[order]
-    q_ids = queries["query_id"].to_numpy()
-    q = np.array(queries["vector"].to_pylist(), dtype=np.float64)
-    out = []
-    for at in range(0, len(q), 64):
-        lut = _tables(q[at : at + 64], books)
-        score = np.repeat(-half[None], len(lut), axis=0)
-        for b in range(width):
-            score += lut[:, b][:, codes[:, b]]
-        score[(q_ids[at : at + 64, None] == least[None]) & single] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :keep]
-        value = np.take_along_axis(score, best, axis=1)
-        real = value > -np.inf
-        out.append((np.repeat(q_ids[at : at + 64], best.shape[1])[real.ravel()], classes[best][real], least[best][real], value[real]))
-    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-    return pa.table({"query_id": cols[0], "class_id": cols[1], "least": cols[2], "approx": cols[3].astype(np.float64)})
+class Wave:
+    """Queries that are sent to the codes together, and what a scan of a block of codes finds for them."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, books: np.ndarray, keep: int):
+        self.ids, self.vectors, self.books, self.keep = ids, vectors, books, keep
+
+    def scan(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        classes, least = rows["class_id"].to_numpy(), rows["least"].to_numpy()
+        order = np.lexsort((classes, least))  # ties below go to the smaller id
+        classes, least, half = classes[order], least[order], rows["half_norm"].to_numpy()[order].astype(np.float32)
+        single = np.array(rows["single"].to_pylist(), bool)[order]
+        width = self.books.shape[0] // 2
+        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint8).reshape(-1, width)[order]
+        out = []
+        for at in range(0, len(self.ids), 64):
+            lut, ids = _tables(self.vectors[at : at + 64], self.books), self.ids[at : at + 64]
+            score = np.repeat(-half[None], len(lut), axis=0)
+            for b in range(width):
+                score += lut[:, b][:, codes[:, b]]
+            score[(ids[:, None] == least[None]) & single] = -np.inf
+            best = np.argsort(-score, axis=1, kind="stable")[:, : self.keep]
+            value = np.take_along_axis(score, best, axis=1)
+            real = value > -np.inf
+            out.append((np.repeat(ids, best.shape[1])[real.ravel()], classes[best][real], least[best][real], value[real].astype(np.float64)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "class_id", "least", "approx"])
+
+
+def _scanned(codes: DataFrame, ask: DataFrame, n_queries: int, books: np.ndarray, keep: int) -> DataFrame:
+    """The best `keep` classes of each query in each block of codes. Codes stay where they are; queries come
+    to them in waves of about QUERY_WAVE, which are broadcast: their size is bounded, whatever the tables."""
+    spark, waves = codes.sparkSession, max(1, -(-n_queries // QUERY_WAVE))
+    wave = F.pmod(F.xxhash64("query_id"), F.lit(waves))
+    schema, found = "query_id long, class_id long, least long, approx double", []
+    for k in range(waves):
+        rows = ask.where(wave == k).orderBy("query_id").toPandas()
+        if not len(rows):
+            continue
+        shared = spark.sparkContext.broadcast(Wave(rows["query_id"].to_numpy(), np.array(rows["vector"].tolist(), np.float64), books, keep))
+
+        def run(batches, shared=shared):
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += batch.num_rows
+                if n >= ROW_BLOCK:
+                    yield shared.value.scan(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    held, n = [], 0
+            if n:
+                yield shared.value.scan(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+        best = Window.partitionBy("query_id").orderBy(F.desc("approx"), "least", "class_id")
+        some = codes.mapInArrow(run, schema).withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)
+        found.append(cut(some.select("query_id", "class_id"), "found"))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RERANK,
@@ -178,20 +217,10 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, rerank: int = RER
 
     codes = classes.select("class_id", "vector", F.col("ids")[0]["vec_id"].alias("least"), (F.size("ids") == 1).alias("single"))
     codes = codes.mapInArrow(encoded, "class_id long, least long, single boolean, half_norm double, codes binary")
-    n_rows, n_queries = classes.count(), ask.count()
-    row_blocks, query_blocks = max(1, -(-n_rows // ROW_BLOCK)), max(1, -(-n_queries // QUERY_BLOCK))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = ask.select("query_id", "vector", block("query_id", query_blocks).alias("qb"), each(row_blocks).alias("rb"))
-    right = codes.select("class_id", "least", "single", "half_norm", "codes", block("class_id", row_blocks).alias("rb"), each(query_blocks).alias("qb"))
-    empty = pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "class_id", "least")} | {"approx": pa.array([], pa.float64())})
-
-    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
-        return _scan(q, r, books, rerank) if q.num_rows and r.num_rows else empty
-
-    found = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, "query_id long, class_id long, least long, approx double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("approx"), "least", "class_id")
-    found = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= rerank).select("query_id", "class_id")
+    n_queries = ask.count()
+    if not n_queries:
+        return table.sparkSession.createDataFrame([], result)
+    found = _scanned(cut(codes, "codes"), ask, n_queries, books, rerank)
     pairs = found.join(classes, "class_id").join(ask.withColumnRenamed("vector", "asked"), "query_id")
     square = F.aggregate(F.zip_with("asked", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     others = F.filter("ids", lambda c: c["vec_id"] != F.col("query_id"))

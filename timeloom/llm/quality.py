@@ -6,7 +6,8 @@ touches the ledger's integers, never the texts. DataFrame functions alone, no Py
 
 Cases: a null or blank text has no words and so fails MIN_WORDS; repeated rows are judged each for
 itself; an empty table gives an empty ledger; further columns stay out of the way (only `id_col` and
-`text_col` are read; `filter_documents` returns all columns as they came).
+`text_col` are read; `filter_documents` returns all columns as they came);
+very long texts are measured whole, in one row.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, load
+from .common import GAP, cut, load
 
 #: Bit of each rule in the ledger, in the order in which they were introduced; never renumbered.
 RULES = ("min_words", "repeated_words", "symbols", "duplicate_lines", "word_length", "shouting")
@@ -97,6 +98,22 @@ def _failed() -> dict[str, Column]:
     }
 
 
+def stored_ledger(docs: DataFrame) -> DataFrame:
+    """The ledger as a table: policies and ablations read its integers, texts are never measured again."""
+    return cut(ledger(docs), "ledger")
+
+
+def policies(led: DataFrame) -> DataFrame:
+    """Every policy's version over one ledger: policy, version, n_docs, n_kept. One pass over the bits, which
+    shrink to at most 2^rules distinct masks first."""
+    n = led.groupBy("fail_bits").agg(F.count("*").alias("n"))
+    rows = F.array(*(F.struct(F.lit(name).alias("policy"), F.lit(version).alias("version"), F.lit(mask(rules)).cast("long").alias("mask"))
+                     for (name, version), rules in POLICIES.items()))
+    n = n.select("fail_bits", "n", F.inline(rows))
+    kept = F.sum(F.when(F.col("fail_bits").bitwiseAND(F.col("mask")) == 0, F.col("n")).otherwise(0))
+    return n.groupBy("policy", "version").agg(F.sum("n").alias("n_docs"), kept.alias("n_kept"))
+
+
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Measurements plus `fail_bits` (long): bit i is set if RULES[i] fails.
 
@@ -150,6 +167,14 @@ def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_policies(spark, sf_dir: str) -> DataFrame:
+    return policies(stored_ledger(load(spark, sf_dir, "documents")))
+
+
+def quality_ablation(spark, sf_dir: str) -> DataFrame:
+    return ablation(stored_ledger(load(spark, sf_dir, "documents")))
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text,
@@ -177,3 +202,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
 FROM b
 """
+
+POLICIES_SQL = f"""SELECT policy, version, count(*)::BIGINT AS n_docs, (count(*) FILTER ((fail_bits & mask) = 0))::BIGINT AS n_kept
+FROM ({OP1_SQL}), (VALUES {", ".join(f"('{n}', {v}, {mask(r)})" for (n, v), r in POLICIES.items())}) AS p(policy, version, mask) GROUP BY policy, version"""
+ABLATION_SQL = f"""SELECT rule, count(*)::BIGINT AS n_docs, (count(*) FILTER ((fail_bits & bit) <> 0))::BIGINT AS n_failed, (count(*) FILTER ((fail_bits & {mask(POLICIES[CURRENT])}) = bit))::BIGINT AS n_only,
+(count(*) FILTER ((fail_bits & {mask(POLICIES[CURRENT])} & ~bit) = 0))::BIGINT AS kept_without
+FROM ({OP1_SQL}), (VALUES {", ".join(f"('{r}', {mask([r])})" for r in POLICIES[CURRENT])}) AS p(rule, bit) GROUP BY rule"""

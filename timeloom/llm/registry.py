@@ -10,6 +10,8 @@ def queries() -> dict:
 
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "quality_policies": quality.quality_policies,
+        "quality_ablation": quality.quality_ablation,
         "op2_katz_backoff": katz.op2_katz_backoff,
         "op3_simhash_components": simhash.op3_simhash_components,
         "op4_curriculum_mix": mixing.op4_curriculum_mix,
@@ -26,6 +28,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.OP1_SQL,
+        "quality_policies": quality.POLICIES_SQL,
+        "quality_ablation": quality.ABLATION_SQL,
         "op4_curriculum_mix": mixing.OP4_SQL,
         "op5_substring_dedup": substrings.OP5_SQL,
         "op6_anisotropic_search": ann.OP6_SQL,

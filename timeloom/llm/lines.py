@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, load
+from .common import cut, load, scratch
 
 #: Lines in the rolling hash, and the residue class in which a boundary falls: one line in DIVISOR.
 ROLLING = 1
@@ -146,16 +146,24 @@ def repeated_windows(keyed: DataFrame) -> DataFrame:
     return later.where(F.col("body") == F.col("first_body")).select("id", "tag", "at")
 
 
+def _written(df: DataFrame, label: str, work) -> DataFrame:
+    """work(df) as a table; the tables that it went through are deleted."""
+    with scratch(df.sparkSession) as kept:
+        out = cut(work(df), label)
+        kept.append(out)
+    return out
+
+
 def _spans(keyed: DataFrame, exact: bool) -> DataFrame:
     """id, tag, gone (sorted starts and lengths to remove, ends sorted too), n_chunks (removed whole)."""
-    chunks = repeated_chunks(keyed)
+    chunks = _written(keyed, "gone-chunks", repeated_chunks)
     if not exact:
         gone = F.sort_array(F.collect_set(F.struct("at", "n")))
         return chunks.groupBy("id", "tag").agg(gone.alias("gone")).withColumn("n_chunks", F.size("gone"))
     # A chunk's own windows, so that all spans are of one length: a chunk may begin with blank lines.
     starts = F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - MIN_LINES))
     inside = chunks.select("id", "tag", starts.alias("start"), F.col("at").alias("chunk"))
-    windows = repeated_windows(keyed).select("id", "tag", F.col("at").alias("start"), F.lit(None).cast("int").alias("chunk"))
+    windows = _written(keyed, "gone-windows", repeated_windows).select("id", "tag", F.col("at").alias("start"), F.lit(None).cast("int").alias("chunk"))
     gone = F.sort_array(F.collect_set(F.struct(F.col("start").alias("at"), F.lit(MIN_LINES).alias("n"))))
     return inside.unionByName(windows).groupBy("id", "tag").agg(gone.alias("gone"), F.size(F.collect_set("chunk")).alias("n_chunks"))
 

@@ -19,6 +19,8 @@ a part at a time; an empty table gives an empty result; further columns are igno
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +34,8 @@ WINDOW = 13
 #: Words of the piece that stands for a window.
 PIECE = 6
 _LEAST_ID = -(1 << 63)
+#: Shares of the windows that meet the repeated hashes one after another.
+ROUNDS = 2
 #: Words hashed at once.
 _PART = 1 << 19
 
@@ -113,13 +117,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, piece: int = PIECE)
         with scratch(spark) as kept:
             runs = cut(_runs(docs, window, piece), "runs")
             shared = cut(runs.groupBy("class").agg(F.count("*").alias("times")).where("times > 1").select("class"), "shared")
-            windows = cut(_windows(docs, runs.join(shared, "class"), window), "windows")
+            asked = cut(runs.join(shared, "class"), "asked")
+            kept.append(asked)
+        with scratch(spark) as kept:
+            windows = cut(_windows(docs, asked, window), "windows")
             kept.append(windows)
         counted = windows.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last"))
         repeated = cut(counted.where("first < last").select("h", "g", "first"), "repeated")
-        gone = cut(windows.join(repeated, ["h", "g"]).where("id > first").select("id", "mark", "at"), "gone")
-        result.append(gone)
-    return gone
+        # Hash by hash, a share of them at a time, which bounds what lies in the shuffle.
+        share = lambda df, k: df.where(F.pmod("h", F.lit(ROUNDS)) == k)
+        gone = [cut(share(windows, k).join(share(repeated, k), ["h", "g"]).where("id > first").select("id", "mark", "at"), "gone") for k in range(ROUNDS)]
+        result += gone
+    return functools.reduce(DataFrame.unionByName, gone)
 
 
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFrame:

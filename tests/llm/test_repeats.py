@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import collect, corpus, docs
 from timeloom.llm import repeats, substrings, suffixes
@@ -64,6 +65,16 @@ def test_texts_longer_than_a_chunk(spark, monkeypatch):
     assert [(got[i]["n_removed"], bytes(got[i]["kept"])) for i in range(1, len(texts) + 1)] == [(w[1], w[3]) for w in want]
 
 
+def test_null_ids_are_documents_of_their_own(spark):
+    r = random.Random(3)
+    shared = "".join(r.choice("abcdefgh ") for _ in range(150))
+    texts = ["".join(r.choice("ijklmno ") for _ in range(r.randint(120, 200))) + shared for _ in range(60)]
+    d = docs(spark, texts).withColumn("doc_id", F.lit(None).cast("long"))
+    got = collect(suffixes.remove_repeated_bytes(d.union(docs(spark, [shared]))))
+    gone = sorted(x["n_removed"] for x in got)  # one text without an id comes first and keeps it
+    assert gone[0] == 0 and all(150 <= n < 155 for n in gone[1:])  # letters before it may agree by chance
+
+
 def test_edge_cases(spark):
     assert collect(substrings.remove_repeated_words(docs(spark, []))) == []
     twice = docs(spark, ["w " * 20]).union(docs(spark, ["w " * 20]))

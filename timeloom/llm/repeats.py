@@ -13,7 +13,8 @@ leaves only what is still undecided to the next, deeper one:
 Counts are map-side combined and rows are marked by joins on hashed keys, which Spark splits when a
 class is crowded; no class is ever gathered. A document's own spans are the only lists built.
 
-Ids: null counts as the least id. Rows that repeat an id with the same text count as one document and
+Ids: null counts as less than any id (those under -2^62 aside); rows without an id are documents by their
+text, in the order of its hash, so that they are dealt out like others. Rows that repeat an id with the same text count as one document and
 each gets its result; with other texts they are told apart by 16 bits of a text hash.
 """
 
@@ -217,8 +218,9 @@ def strip(docs: DataFrame, kind, length: int, gram: int, sizes) -> DataFrame:
     """doc_id, n_tokens, n_removed, n_spans, kept (binary), one row for each row of docs (doc_id, text)."""
     if sizes[-1] != 1 or not 0 < gram <= length or length - gram > 127:
         raise ValueError("sizes must end with 1; a gram must fit the window, within 127 tokens")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("id")
-    d = docs.select(key, "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    unnamed = F.lit(_LEAST_ID) + F.shiftrightunsigned(F.xxhash64(text), 2)
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("id"), "doc_id", text.alias("text"))
     gone = repeated_places(d.select("id", "text"), kind, length, gram, sizes)
     gone = gone.groupBy("id").agg(F.collect_set("place").alias("places"))
     names = ["doc_id", "n_tokens", "n_removed", "n_spans", "kept"]

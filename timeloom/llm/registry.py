@@ -33,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_curriculum_mix": mixing.OP4_SQL,
         "op5_substring_dedup": substrings.OP5_SQL,
         "op6_anisotropic_search": ann.OP6_SQL,
+        "op9_suffix_dedup": suffixes.OP9_SQL,
     }

@@ -34,3 +34,19 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRA
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+wins AS (SELECT doc_id, p, md5(substr(h, 2 * p - 1, 200)) AS w FROM (SELECT doc_id, h, unnest(generate_series(1, length(h) // 2 - 99)) AS p FROM d)),
+firsts AS (SELECT w, min({'d': doc_id, 'p': p}) AS f FROM wins GROUP BY w HAVING count(*) > 1),
+gone AS (SELECT doc_id, p FROM wins JOIN firsts USING (w) WHERE doc_id > f.d OR (doc_id = f.d AND p > f.p)),
+fresh AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS n FROM gone),
+runs AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM fresh),
+spans AS (SELECT doc_id, min(p) AS lo, max(p) + 99 AS hi FROM runs GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM spans),
+left_over AS (SELECT doc_id, sum(hi - lo + 1) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (lo - before - 1)), '' ORDER BY lo) || substr(any_value(h), 2 * max(hi) + 1) AS kept
+              FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)
+"""

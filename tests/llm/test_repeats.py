@@ -57,7 +57,7 @@ def test_texts_longer_than_a_part(spark, monkeypatch):
 
 
 def test_texts_longer_than_a_chunk(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "_CHUNK", 150)
+    monkeypatch.setattr(repeats, "CHUNK", 150)
     texts = corpus(12, 5)
     doc = docs(spark, texts).coalesce(1)
     want = plain(texts, 100, False, lambda t: t.encode(), bytes)

@@ -1,14 +1,12 @@
 """Windows of fixed length that recur across a corpus, as spans to remove.
 
-The windows of each text are held as runs (see anchors.py). Each pass deals rows into classes and
-leaves only what is still undecided to the next, deeper one:
+The windows of each text are held as runs (see anchors.py), which settle what needs no closer look:
 
-- a class is what all windows of a piece have in common (the pass's depth); alone in it, a piece's
-  windows are unique and leave;
-- pieces of a class with the same whole content are equal window by window: all but the earliest are
-  removed in bulk;
-- the earliest of each content, where a class holds several contents, are cut into smaller pieces,
-  down to single windows, which are compared over their full length.
+- a class is the runs with one owning piece; alone in it, a run's windows are unique and leave;
+- runs of a class with the same whole content are equal window by window: all but the earliest are
+  removed, and the earliest alone stands for them;
+- the earliest of each content, where a class holds several contents, are left to a `settle` function
+  (suffixes.py sorts their windows).
 
 Counts are map-side combined and rows are marked by joins on hashed keys, which Spark splits when a
 class is crowded; no class is ever gathered. A document's own spans are the only lists built.
@@ -31,7 +29,7 @@ from .common import cut, scratch
 
 _LEAST_ID = -(1 << 63)
 #: Tokens worked on at once.
-_CHUNK = 1 << 20
+CHUNK = 1 << 20
 
 
 class Bytes:
@@ -46,32 +44,25 @@ class Bytes:
     def content(self, lo: int, hi: int) -> bytes:
         return self.text[lo:hi]
 
-    @staticmethod
-    def part(content: bytes, lo: int, hi: int) -> bytes:
-        return content[lo:hi]
-
     def kept(self, keep: np.ndarray) -> bytes:
         return np.frombuffer(self.text, np.uint8)[keep].tobytes()
 
 
 # A place packs, from the top: the anchor's token (33 bits), the first and the last window's distance
 # before it (7 bits each) and 16 bits of the text's hash. Its order is the order in the document.
-def _pack(at, first, last, tag):
+def pack(at, first, last, tag):
     return (at << 30) | (first << 23) | (last << 16) | tag
 
 
-def _unpack(place):
+def unpack(place):
     return place >> 30, (place >> 23) & 127, (place >> 16) & 127, place & 0xFFFF
 
 
-def _tag(text: bytes) -> int:
+def text_tag(text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text) & 0xFFFF
 
 
-_signed = lambda x: x - (1 << 64) if x >> 63 else x
-
-
-def _record(names, *columns) -> pa.RecordBatch:
+def record(names, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=names)
 
 
@@ -94,20 +85,20 @@ def _runs(docs: DataFrame, kind, length: int, gram: int) -> DataFrame:
              zip(which.tolist(), (lo + off).tolist(), (hi + off + length).tolist(), (a * 128 + b).tolist(), strict=True)),
             np.uint64, len(lo))
         ids = np.array([p[1] for p in parts], np.int64)[which]
-        return _record(names, pa.array(hashes.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids),
-                       pa.array(_pack(at + off, a, b, tags)))
+        return record(names, pa.array(hashes.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(ids),
+                       pa.array(pack(at + off, a, b, tags)))
 
     def run(batches):
         parts, held = [], 0
         for batch in batches:
             for i, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
                 text = text.as_py() or b""
-                doc, tag = kind(text), _tag(text)
-                for lo in range(0, max(doc.size - length + 1, 0), _CHUNK):
-                    hi = min(doc.size, lo + _CHUNK + length - 1)
+                doc, tag = kind(text), text_tag(text)
+                for lo in range(0, max(doc.size - length + 1, 0), CHUNK):
+                    hi = min(doc.size, lo + CHUNK + length - 1)
                     parts.append((doc.codes(lo, hi), i.as_py(), doc, lo, tag))
                     held += hi - lo
-                    if held >= _CHUNK:
+                    if held >= CHUNK:
                         yield flush(parts)
                         parts, held = [], 0
         if parts:
@@ -116,65 +107,6 @@ def _runs(docs: DataFrame, kind, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "class long, whole long, id long, place long")
 
 
-def _pieces(anchor: int, first: int, last: int, tag: int, gram: int, content: bytes, kind, length: int, size: int):
-    """Cuts a piece (windows from first down to last tokens before the anchor, content: their tokens)
-    at multiples of size; gives class, whole, place and content of each."""
-    for block in range(last // size, first // size + 1):
-        a, b = min(first, block * size + size - 1), max(last, block * size)
-        own = kind.part(content, first - a, first - b + length)
-        # common to every window of the block, and inside the content of each of its windows
-        core = kind.part(content, first - block * size, first - (block * size + size - 1) + length)
-        klass = xxhash.xxh3_64_intdigest(core, (gram ^ (block + 1) * 0x9E3779B97F4A7C15) & (2**64 - 1))
-        yield _signed(klass), _signed(xxhash.xxh3_64_intdigest(own, a * 128 + b)), _pack(anchor, a, b, tag), own
-
-
-_PIECE = "class long, whole long, id long, place long, gram long, content binary"
-
-
-def _piece_batches(rows):
-    names = ["class", "whole", "id", "place", "gram", "content"]
-    types = [pa.int64()] * 5 + [pa.binary()]
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) >= 20_000:
-            yield _record(names, *(pa.array(c, t) for c, t in zip(zip(*held), types, strict=True)))
-            held = []
-    if held:
-        yield _record(names, *(pa.array(c, t) for c, t in zip(zip(*held), types, strict=True)))
-
-
-def _first_pieces(docs: DataFrame, wanted: DataFrame, kind, length: int, size: int) -> DataFrame:
-    """Fetches the content of wanted runs (id, place, gram) and cuts it."""
-    asked = wanted.groupBy("id").agg(F.collect_set(F.struct("place", "gram")).alias("asked"))
-    joined = docs.join(asked, "id").select("id", "text", "asked")
-
-    def rows(batches):
-        for batch in batches:
-            for i, text, asked in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
-                text = text.as_py() or b""
-                doc, tag = kind(text), _tag(text)
-                for want in asked.as_py():
-                    at, first, last, own = _unpack(want["place"])
-                    if own == tag and at - last + length <= doc.size:
-                        content = doc.content(at - first, at - last + length)
-                        for k, w, place, part in _pieces(at, first, last, tag, want["gram"], content, kind, length, size):
-                            yield k, w, i.as_py(), place, want["gram"], part
-
-    return joined.mapInArrow(lambda batches: _piece_batches(rows(batches)), _PIECE)
-
-
-def _next_pieces(pieces: DataFrame, kind, length: int, size: int) -> DataFrame:
-    def rows(batches):
-        for batch in batches:
-            for i, place, gram, content in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                at, first, last, tag = _unpack(place)
-                for k, w, p, part in _pieces(at, first, last, tag, gram, content, kind, length, size):
-                    yield k, w, i, p, gram, part
-
-    return pieces.select("id", "place", "gram", "content").mapInArrow(lambda b: _piece_batches(rows(b)), _PIECE)
-
-
 def _judge(rows: DataFrame) -> DataFrame:
     """Marks each row of a pass: `gone` (its windows start earlier elsewhere) or `open` (it is the
     earliest of its content, in a class of several contents). Rows that are neither drop out.
@@ -192,36 +124,28 @@ def _judge(rows: DataFrame) -> DataFrame:
     return marked.withColumn("open", ~F.col("gone") & F.col("mixed")).where("gone or open").drop("first", "mixed", "whole")
 
 
-def repeated_places(docs: DataFrame, kind, length: int, gram: int, sizes) -> DataFrame:
-    """docs (id, text). Rows (id, place) whose windows are to be removed."""
+def repeated_places(docs: DataFrame, kind, length: int, gram: int, settle) -> DataFrame:
+    """docs (id, text). Rows (id, place) whose windows are to be removed. settle(docs, runs) gives them for
+    runs (id, place) that are undecided."""
     spark = docs.sparkSession
     with scratch(spark) as kept:  # tables go as soon as the next one is written
         runs = _runs(docs, kind, length, gram)
         shared = runs.groupBy("class").agg(F.count("*").alias("n")).where("n > 1").select("class")
         shared = cut(shared, "shared")  # else its sums would bind the join's exchange, which Spark then can't split
         rows = cut(runs.join(shared, "class"), "runs")
-        judged = cut(_judge(rows).withColumnRenamed("class", "gram"), "judged")
+        judged = cut(_judge(rows).drop("class"), "judged")
         kept.append(judged)
-    gone = judged.where("gone").select("id", "place")
-    pieces = cut(_first_pieces(docs, judged.where("open"), kind, length, sizes[0]), "pieces")
-    for depth, size in enumerate(sizes):
-        judged = _judge(pieces)
-        if depth + 1 == len(sizes):
-            return gone.unionByName(judged.where("gone").select("id", "place"))
-        judged = cut(judged, "judged")
-        gone = gone.unionByName(judged.where("gone").select("id", "place"))
-        pieces = cut(_next_pieces(judged.where("open"), kind, length, sizes[depth + 1]), "pieces")
-    raise ValueError("sizes must not be empty")
-
-
-def strip(docs: DataFrame, kind, length: int, gram: int, sizes) -> DataFrame:
+    return judged.where("gone").select("id", "place").unionByName(settle(docs, judged.where("open").select("id", "place")))
+
+
+def strip(docs: DataFrame, kind, length: int, gram: int, settle) -> DataFrame:
     """doc_id, n_tokens, n_removed, n_spans, kept (binary), one row for each row of docs (doc_id, text)."""
-    if sizes[-1] != 1 or not 0 < gram <= length or length - gram > 127:
-        raise ValueError("sizes must end with 1; a gram must fit the window, within 127 tokens")
+    if not 0 < gram <= length or length - gram > 127:
+        raise ValueError("a gram must fit the window, within 127 tokens")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     unnamed = F.lit(_LEAST_ID) + F.shiftrightunsigned(F.xxhash64(text), 2)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("id"), "doc_id", text.alias("text"))
-    gone = repeated_places(d.select("id", "text"), kind, length, gram, sizes)
+    gone = repeated_places(d.select("id", "text"), kind, length, gram, settle)
     gone = gone.groupBy("id").agg(F.collect_set("place").alias("places"))
     names = ["doc_id", "n_tokens", "n_removed", "n_spans", "kept"]
 
@@ -233,8 +157,8 @@ def strip(docs: DataFrame, kind, length: int, gram: int, sizes) -> DataFrame:
                 doc = kind(text)
                 change = np.zeros(doc.size + 1, np.int32)
                 if places.is_valid:
-                    at, first, last, tag = _unpack(places.values.to_numpy())
-                    mine = (tag == _tag(text)) & (at - last + length <= doc.size)
+                    at, first, last, tag = unpack(places.values.to_numpy())
+                    mine = (tag == text_tag(text)) & (at - last + length <= doc.size)
                     np.add.at(change, (at - first)[mine], 1)
                     np.add.at(change, (at - last + length)[mine], -1)
                 gone = np.cumsum(change)[: doc.size] > 0
@@ -242,7 +166,7 @@ def strip(docs: DataFrame, kind, length: int, gram: int, sizes) -> DataFrame:
                 out.append((i, doc.size, int(gone.sum()), spans, doc.kept(~gone)))
             for at in range(0, len(out), 500):
                 cols = list(zip(*out[at : at + 500], strict=True))
-                yield _record(names, *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()))
+                yield record(names, *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary()))
 
     joined = d.join(gone, "id", "left").select("doc_id", "text", "places")
     return joined.mapInArrow(run, "doc_id long, n_tokens long, n_removed long, n_spans long, kept binary")

@@ -1,9 +1,10 @@
 """Windows of fixed length that recur across a corpus, as spans to remove.
 
-The windows of each text are held as runs (see anchors.py), which settle what needs no closer look:
+The windows of each text are held as halves of runs (see anchors.py), which settle what needs no closer look:
 
-- a class is the runs with one owning piece; alone in it, a run's windows are unique and leave;
-- runs of a class with the same whole content are equal window by window: all but the earliest are
+- a class is the halves whose windows share the owning piece and what surrounds it; alone in it, a half's
+  windows are unique and leave;
+- halves of a class with the same whole content are equal window by window: all but the earliest are
   removed, and the earliest alone stands for them;
 - the earliest of each content, where a class holds several contents, are left to a `settle` function
   (suffixes.py sorts their windows).
@@ -66,15 +67,28 @@ def record(names, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), names=names)
 
 
+def _halves(codes: np.ndarray, ends: np.ndarray, length: int, gram: int):
+    """The runs of anchors.runs, cut where their owner passes the middle of a window: all windows of a
+    half share more than its gram (62 bytes of 100, for a gram of 24), and the hash is of what they share."""
+    middle = (length - gram + 1) // 2
+    which, lo, hi, at, _ = anchors.runs(codes, ends, length, gram)
+    late, early = np.flatnonzero(at - lo >= middle), np.flatnonzero(at - hi < middle)
+    both = np.concatenate((late, early))
+    lo, hi = np.concatenate((lo[late], np.maximum(lo, at - middle + 1)[early])), np.concatenate((np.minimum(hi, at - middle)[late], hi[early]))
+    hashes = anchors.rolling_hashes(codes, gram + middle)[np.concatenate((at[late] - middle, at[early]))]
+    hashes[len(late) :] ^= np.uint64(0x5BD1E995)  # the two sides are classes of their own
+    return which[both], lo, hi, at[both], hashes
+
+
 def _runs(docs: DataFrame, kind, length: int, gram: int) -> DataFrame:
-    """docs (id, text) to one row a run: class (the gram's hash), whole (hash of the run's content),
-    id, place."""
+    """docs (id, text) to one row a half of a run: class (hash of what its windows share), whole (hash of
+    the half's content), id, place."""
     names = ["class", "whole", "id", "place"]
 
     def flush(parts):
         codes = np.concatenate([p[0] for p in parts])
         ends = np.cumsum([len(p[0]) for p in parts])
-        which, lo, hi, at, hashes = anchors.runs(codes, ends, length, gram)
+        which, lo, hi, at, hashes = _halves(codes, ends, length, gram)
         base = np.concatenate(([0], ends[:-1]))
         off = np.array([p[3] for p in parts])[which] - base[which]
         a, b = at - lo, at - hi

@@ -35,17 +35,17 @@ GRAM = 24
 DEPTHS = (34, 67, 100)
 #: Codes of bytes for each half of a group's name.
 _CODES = np.random.default_rng(100).integers(1, 1 << 63, (2, 256), np.uint64)
-_NAMES = ["h", "g", "id", "place"]
+_NAMES = ["id", "place", "h", "g"]
 
 
 def _dealt(docs: DataFrame, live: DataFrame, depth: int, window: int) -> DataFrame:
-    """The suffixes of live runs (id, place) with their group at this depth: h, g (zero before the last pass), id, place."""
+    """The suffixes of live runs (id, place) with their group at this depth: h, and g in the last pass."""
     asked = live.groupBy("id").agg(F.collect_set("place").alias("places"))
     joined = docs.join(asked, "id").select("id", "text", "places")
-    last_pass = depth == window
+    names = _NAMES if depth == window else _NAMES[:3]
 
     def batch_of(parts):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=names)
 
     def run(batches):
         parts, held = [], 0
@@ -64,9 +64,8 @@ def _dealt(docs: DataFrame, live: DataFrame, depth: int, window: int) -> DataFra
                         continue
                     b = here.max() + depth
                     a = here.min()
-                    h, g = (anchors.rolling_hashes(codes[raw[a:b]], depth)[here - a].view(np.int64) if k < 1 + last_pass else np.zeros(len(here), np.int64)
-                            for k, codes in enumerate(_CODES))
-                    parts.append((h, g, np.full(len(here), i, np.int64), repeats.pack(here, 0, 0, tag)))
+                    name = [anchors.rolling_hashes(codes[raw[a:b]], depth)[here - a].view(np.int64) for codes in _CODES[: len(names) - 2]]
+                    parts.append((np.full(len(here), i, np.int64), repeats.pack(here, 0, 0, tag), *name))
                     held += len(here)
                     if held >= 1 << 18:
                         yield batch_of(parts)
@@ -74,7 +73,7 @@ def _dealt(docs: DataFrame, live: DataFrame, depth: int, window: int) -> DataFra
         if parts:
             yield batch_of(parts)
 
-    return joined.mapInArrow(run, "h long, g long, id long, place long")
+    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def radix_sort(docs: DataFrame, runs: DataFrame, depths=DEPTHS) -> DataFrame:
@@ -85,10 +84,13 @@ def radix_sort(docs: DataFrame, runs: DataFrame, depths=DEPTHS) -> DataFrame:
         for depth in depths:
             with scratch(docs.sparkSession) as kept:
                 dealt = cut(_dealt(docs, live, depth, depths[-1]), "dealt")
-                groups = dealt.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("id", "place")).alias("first"))
+                name, sums = dealt.columns[2:], [F.count("*").alias("n")]
+                if depth == depths[-1]:
+                    sums.append(F.min(F.struct("id", "place")).alias("first"))
+                groups = dealt.groupBy(name).agg(*sums)
                 # a table, so that Spark can split the join where a group is crowded
-                groups = cut(groups.where("n > 1").select("h", "g", "first"), "groups")
-                together = dealt.join(groups, ["h", "g"])
+                groups = cut(groups.where("n > 1").drop("n"), "groups")
+                together = dealt.join(groups, name)
                 if depth == depths[-1]:
                     together = together.where(F.struct("id", "place") > F.col("first"))
                 live = cut(together.select("id", "place"), "live")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, katz, langid, lines, mixing, quality, simhash, substrings, suffixes
+from . import ann, bpe, katz, langid, lines, mixing, quality, resample, simhash, spelling, substrings, suffixes, urls
 
 
 def queries() -> dict:
@@ -21,6 +21,9 @@ def queries() -> dict:
         "op8_cross_parsing": langid.op8_cross_parsing,
         "op9_suffix_dedup": suffixes.op9_suffix_dedup,
         "op10_line_chunks": lines.op10_line_chunks,
+        "op11_spelling_variants": spelling.op11_spelling_variants,
+        "op12_url_rules": urls.op12_url_rules,
+        "op13_importance_resampling": resample.op13_importance_resampling,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -34,4 +37,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substrings.OP5_SQL,
         "op6_anisotropic_search": ann.OP6_SQL,
         "op9_suffix_dedup": suffixes.OP9_SQL,
+        "op11_spelling_variants": spelling.OP11_SQL,
+        "op12_url_rules": urls.OP12_SQL,
+        "op13_importance_resampling": resample.OP13_SQL,
     }

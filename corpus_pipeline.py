@@ -2,6 +2,12 @@
 
 Each stage works on all that the stage before it kept. run() writes a stage's rows into the shared
 folder and reads them again before the next, so that a lost executor repeats one stage at most.
+
+Cases: null ids are kept apart by their texts (near_dedup) or count as the least id (line_dedup); a null or
+empty text has no words and is dropped by quality_rules; a null source is a source of its own, the last;
+rows that repeat id and text are near-duplicates of one another, so one stays; a very long text is one row
+throughout; an empty table gives an empty result with the same columns; further columns of documents pass
+through to the mixture, whatever their names. The last stage gives a row for each copy that the mix takes.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from timeloom.llm import bpe, lines, mixing, quality, simhash
-from timeloom.llm.common import cut, in_file_order, load, scratch
+from timeloom.llm.common import cut, discard, in_file_order, load, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +57,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        with scratch(spark) as kept:  # a stage's own tables go when it ends
+        with scratch(spark) as kept:  # a stage's own tables go when it ends, its input when its output is written
             docs = cut(stage(spark, docs, sf_dir), name)
             kept.append(docs)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

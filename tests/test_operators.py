@@ -160,18 +160,6 @@ def test_peaks(spark):
     assert [(r["t"], r["strength"]) for r in got] == [(10.85, 1.0)]
 
 
-def test_rolling_median_against_numpy(spark):
-    import numpy as np
-
-    r = random.Random(4)
-    for n, win in ((40, 7), (40, 8), (5, 9), (1, 3), (2, 1)):
-        e = [r.random() for _ in range(n)]
-        got = signals.rolling_median(signals.envelopes(envelope(spark, e)), win).first()["baseline"]
-        w = min(win, n)
-        pad = np.pad(e, (w // 2, w - w // 2 - 1), mode="edge") if w > 1 else np.array(e)
-        assert got == pytest.approx([float(np.median(pad[i : i + w])) for i in range(n)])
-
-
 def test_rms_and_report(spark):
     x = spark.createDataFrame([("v", i, 0.5 if i < 10 else 1.0) for i in range(25)], "video_id string, i long, x double")
     assert [(r["t"], r["e"]) for r in signals.rms_frames(x, 10, 100).orderBy("frame").collect()] == [(0.05, 0.5), (0.15, 1.0)]

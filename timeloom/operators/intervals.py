@@ -1,17 +1,33 @@
-"""Overlap of intervals: pairs, greedy suppression, tolerance de-dup.
+"""Overlap of intervals: pairs, greedy suppression, tolerance de-dup, slices.
 
 Greedy suppression looks at the rows kept so far, so it is a fold, not a window. A timeline is first
-cut into islands of touching intervals, which cannot suppress each other; the fold runs on islands, so
-that a long timeline is many small groups.
+cut into islands of touching intervals, which cannot suppress each other; small islands are folded as arrays,
+crowded ones are settled in parallel rounds.
 """
 
 from __future__ import annotations
 
+import functools
+import logging
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.errors import TimelineError
 from timeloom.functions.scores import overlap_fraction, temporal_iou
+from timeloom.tables import cut, scratch
+
+from .chains import chain
+
+log = logging.getLogger(__name__)
+
+#: Rows of an island that is folded as an array; rounds for larger ones, and the share of rows that one must settle.
+SHORT, ROUNDS, LEAST_SHARE = 256, 12, 0.1
+#: Powers of four seconds: the narrowest and the widest bucket of a slice.
+_FINEST, _COARSEST = -10, 40
+_PLACE = ["_key", "_island", "_p"]
 
 
 def islands(df: DataFrame, key: str, start: str, end: str, name: str = "island") -> DataFrame:
@@ -22,30 +38,100 @@ def islands(df: DataFrame, key: str, start: str, end: str, name: str = "island")
     return df.withColumn(name, F.sum(fresh).over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _suppress(df: DataFrame, key: str, start: str, end: str, order: list[Column], clash) -> DataFrame:
-    """Keeps a row unless it clashes with one kept before it in `order`."""
+def _suppress(df: DataFrame, key: str, start: str, end: str, order: list[Column], clash, plain, short: int = SHORT) -> DataFrame:
+    """Keeps a row unless it clashes with one kept before it in `order`. clash: of columns; plain: the same of floats."""
     d = islands(df, key, start, end, "_island")
-    sort = [c.alias(f"o{i}") for i, c in enumerate(order)]
-    item = F.struct(*sort, F.col(start).alias("a"), F.col(end).alias("b"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    groups = d.groupBy(key, "_island").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    none = F.slice("items", 1, 0)
-    kept = F.aggregate("items", none, lambda acc, x: F.when(
-        F.exists(acc, lambda y: clash(x["a"], x["b"], y["a"], y["b"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return groups.select(F.explode(kept).alias("k")).select("k.row.*")
-
-
-def suppress_iou(df: DataFrame, key: str, start: str, end: str, order: list[Column], threshold: float = 0.5) -> DataFrame:
+    item = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    d = d.select(F.struct(F.col(key)).alias("_key"), "_island", F.col(start).alias("_a"), F.col(end).alias("_b"), item, *(c.alias(f"_o{i}") for i, c in enumerate(order)))
+    inside = Window.partitionBy("_key", "_island")
+    place = F.row_number().over(inside.orderBy(*(f"_o{i}" for i in range(len(order))), "_a", "_b", "_row"))
+    with scratch(df.sparkSession) as result:
+        d = cut(d.select("_key", "_island", place.alias("_p"), F.count("*").over(inside).alias("_size"), "_a", "_b", "_row"), "islands")
+        crowded = d.where(F.col("_size") > short)
+        kept = None if crowded.isEmpty() else cut(_settled(crowded.drop("_size", "_row"), clash, plain), "settled")
+        result += [d] if kept is None else [d, kept]
+    few = d.where((F.col("_size") > 1) & (F.col("_size") <= short))
+    groups = few.groupBy("_key", "_island").agg(F.sort_array(F.collect_list(F.struct("_p", "_a", "_b", "_row"))).alias("items"))
+    fold = F.aggregate("items", F.slice("items", 1, 0), lambda acc, x: F.when(
+        F.exists(acc, lambda y: clash(x["_a"], x["_b"], y["_a"], y["_b"])), acc).otherwise(F.concat(acc, F.array(x))))
+    out = d.where("_size = 1").select("_row.*").unionByName(groups.select(F.explode(fold).alias("k")).select("k._row.*"))
+    return out if kept is None else out.unionByName(crowded.join(kept, _PLACE).select("_row.*"))
+
+
+def _settled(d: DataFrame, clash, plain) -> DataFrame:
+    """_key, _island, _p of the rows that stay, of crowded islands (_key, _island, _p, _a, _b).
+
+    Rows are filed under time buckets as wide as an island's mean interval, some two each. In a round, a row that
+    is first in each of its buckets stays, as nothing that overlaps it comes before it; rows that clash with it go. At
+    most one row a bucket stays in a round, so a round moves the filed rows and no pairs. When rounds settle
+    little, what is left falls apart into smaller islands, and each is gone through in order by one task."""
+    wide = cut(d.groupBy("_key", "_island").agg(F.greatest(F.avg(F.col("_b") - F.col("_a")), F.lit(1e-9)).alias("_w")), "widths")
+    buckets = F.sequence(F.floor(F.col("_a") / F.col("_w")), F.floor(F.col("_b") / F.col("_w")))
+    left = cut(d.join(wide, ["_key", "_island"]).withColumn("_bucket", F.explode(buckets)).drop("_w"), "filed")
+    cell, stay, waiting = ["_key", "_island", "_bucket"], [], d.count()
+    for n in range(1, ROUNDS + 1):
+        best = left.groupBy(cell).agg(F.min(F.struct("_p", "_a", "_b")).alias("_best"))
+        judged = cut(left.join(best, cell), "judged")
+        first = judged.groupBy(_PLACE).agg(F.bool_and(F.col("_p") == F.col("_best._p")).alias("_first")).where("_first").select(_PLACE)
+        stay.append(first := cut(first, "first"))
+        beaten = judged.join(first.select("_key", "_island", F.col("_p").alias("_q")), (judged["_key"] == first["_key"]) & (judged["_island"] == first["_island"]) & (judged["_best"]["_p"] == F.col("_q")), "left_semi")
+        beaten = beaten.where(clash(F.col("_a"), F.col("_b"), F.col("_best._a"), F.col("_best._b")) | (F.col("_p") == F.col("_best._p"))).select(_PLACE).distinct()
+        left = cut(left.join(beaten, _PLACE, "left_anti"), "filed")
+        before, waiting = waiting, left.select(_PLACE).distinct().count()
+        log.info("suppression round %d: %d rows settled, %d left", n, before - waiting, waiting)
+        if not waiting or before - waiting < before * LEAST_SHARE:
+            break
+    if waiting:
+        stay.append(_in_turn(d.join(left.select(_PLACE).distinct(), _PLACE), plain))
+    return functools.reduce(DataFrame.unionByName, stay)
+
+
+def _in_turn(d: DataFrame, plain) -> DataFrame:
+    """Greedy suppression of each island of what is left, by one task."""
+    by = Window.partitionBy("_key", "_island").orderBy("_a", "_b")
+    reach = F.max("_b").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum(F.when(F.col("_a") < reach, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_p")
+        a, b = table["_a"].to_pylist(), table["_b"].to_pylist()
+        width = max((sum(b) - sum(a)) / len(a), 1e-9)
+        kept: dict[int, list[int]] = {}
+        stay = []
+        for i, (lo, hi) in enumerate(zip(a, b, strict=True)):
+            cells = range(math.floor(lo / width), math.floor(hi / width) + 1)
+            if not any(plain(lo, hi, a[j], b[j]) for c in cells for j in kept.get(c, ())):
+                stay.append(i)
+                for c in cells:
+                    kept.setdefault(c, []).append(i)
+        return table.select(_PLACE).take(stay)
+
+    kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in _PLACE)
+    return d.withColumn("_part", part).groupBy("_key", "_island", "_part").applyInArrow(run, kinds)
+
+
+def _iou(a: float, b: float, c: float, d: float) -> float:
+    hull = max(b, d) - min(a, c)
+    return max(0, min(b, d) - max(a, c)) / hull if hull > 0 else 0.0
+
+
+def _fraction(a: float, b: float, c: float, d: float) -> float:
+    shorter = min(b - a, d - c)
+    return max(0, min(b, d) - max(a, c)) / shorter if shorter > 0 else 0.0
+
+
+def suppress_iou(df: DataFrame, key: str, start: str, end: str, order: list[Column], threshold: float = 0.5, short: int = SHORT) -> DataFrame:
     """Drops rows whose temporal IoU with a kept one is threshold or more."""
     if threshold <= 0:
         raise TimelineError("threshold must be over 0")
-    return _suppress(df, key, start, end, order, lambda a, b, c, d: temporal_iou(a, b, c, d) >= threshold)
+    return _suppress(df, key, start, end, order, lambda a, b, c, d: temporal_iou(a, b, c, d) >= threshold, lambda a, b, c, d: _iou(a, b, c, d) >= threshold, short)
 
 
-def suppress_contained(df: DataFrame, key: str, start: str, end: str, order: list[Column], threshold: float = 0.5) -> DataFrame:
+def suppress_contained(df: DataFrame, key: str, start: str, end: str, order: list[Column], threshold: float = 0.5, short: int = SHORT) -> DataFrame:
     """Drops rows that share more than threshold of the shorter one with a kept row."""
     if threshold < 0:
         raise TimelineError("threshold must not be negative")
-    return _suppress(df, key, start, end, order, lambda a, b, c, d: overlap_fraction(a, b, c, d) > threshold)
+    return _suppress(df, key, start, end, order, lambda a, b, c, d: overlap_fraction(a, b, c, d) > threshold, lambda a, b, c, d: _fraction(a, b, c, d) > threshold, short)
 
 
 def overlap_pairs(df: DataFrame, key: str, row_id: str, start: str, end: str, bucket: int) -> DataFrame:
@@ -66,17 +152,9 @@ def overlap_pairs(df: DataFrame, key: str, row_id: str, start: str, end: str, bu
     return pairs.select(key, "a_id", "b_id", temporal_iou(*args).alias("iou"), overlap_fraction(*args).alias("fraction"))
 
 
-def thin(df: DataFrame, key: str, time: str, order: list[Column], gap) -> DataFrame:
-    """Drops rows closer than gap to the last row kept. Rows farther apart than gap from the row before
-    start a stretch of their own, as they are kept in any case."""
-    by = Window.partitionBy(key).orderBy(time, *order)
-    fresh = F.when(F.col(time) - F.lag(time).over(by) < gap, 0).otherwise(1)
-    d = df.withColumn("_stretch", F.sum(fresh).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct(F.col(time).alias("t"), *(c.alias(f"o{i}") for i, c in enumerate(order)), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    groups = d.groupBy(key, "_stretch").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    kept = F.aggregate("items", F.slice("items", 1, 1), lambda acc, x: F.when(
-        x["t"] - F.element_at(acc, -1)["t"] < gap, acc).otherwise(F.concat(acc, F.array(x))))
-    return groups.select(F.explode(kept).alias("k")).select("k.row.*")
+def thin(df: DataFrame, key: str, time: str, order: list[Column], gap: float) -> DataFrame:
+    """Drops rows closer than gap to the last row kept."""
+    return chain(df, key, time, order, gap)
 
 
 def concat_ordered(*frames: DataFrame) -> DataFrame:
@@ -91,7 +169,20 @@ def concat_ordered(*frames: DataFrame) -> DataFrame:
 
 def sliced(rows: DataFrame, cuts: DataFrame, t: str = "t") -> DataFrame:
     """rows (video_id, t, ...) that lie in a cut (video_id, cut_id, start_sec, end_sec), its end excluded: each
-    row once a cut, with cut_id and the time since the cut's start (`since`)."""
-    c = cuts.select("video_id", "cut_id", "start_sec", "end_sec")
-    d = rows.join(c, "video_id").where((F.col(t) >= F.col("start_sec")) & (F.col(t) < F.col("end_sec")))
-    return d.withColumn("since", F.col(t) - F.col("start_sec")).drop("start_sec", "end_sec")
+    row once a cut, with cut_id and the time since the cut's start (`since`).
+
+    Cuts are filed under the time buckets that they touch. A cut's buckets are a power of four as wide as it is
+    at least, so there are two of them at most; a row looks into one bucket of each width in use. What meets is
+    thus in proportion to what is returned, and Spark can split a bucket with many rows."""
+    c = cuts.select("video_id", "cut_id", "start_sec", "end_sec").where("end_sec > start_sec")
+    length = F.col("end_sec") - F.col("start_sec")
+    level = F.least(F.greatest(F.ceil(F.log2(length) / 2), F.lit(_FINEST)), F.lit(_COARSEST)).cast("int")
+    width = lambda at: F.pow(F.lit(4.0), at)
+    c = c.withColumn("_level", level)
+    levels = [r["_level"] for r in c.select("_level").distinct().collect()]  # at most a row for each width
+    last = F.least(F.col("end_sec"), F.col("start_sec") + width(F.col("_level")))
+    c = c.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_sec") / width(F.col("_level"))), F.floor(last / width(F.col("_level"))))))
+    d = rows.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    d = d.withColumn("_bucket", F.floor(F.col(t) / width(F.col("_level")))).join(c, ["video_id", "_level", "_bucket"])
+    d = d.where((F.col(t) >= F.col("start_sec")) & (F.col(t) < F.col("end_sec")))
+    return d.withColumn("since", F.col(t) - F.col("start_sec")).drop("start_sec", "end_sec", "_level", "_bucket")

@@ -1,18 +1,26 @@
 """Peaks of an energy envelope: frames, rolling median, robust threshold, islands, widths, gap merge.
 
-A timeline's envelope is one array for the order-bound steps (rolling median, folds), rows for the rest.
+A timeline's envelope stays rows throughout, dealt over tasks in blocks of frames: no row and no group holds a
+timeline. Frames count by their place among those of their timeline; frames without a finite value don't.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import bisect
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeloom.tables import cut, scratch
+
+from .chains import chain
+
 # Fixed values.
 RATE, FRAME_MS, BASELINE_SEC, K_DEFAULT, MIN_GAP_SEC = 16_000, 100, 15.0, 4.0, 2.0
 IQR_TO_SIGMA, FLOOR_SHARE, IMPACT_SEC = 1.349, 0.15, 0.8
-#: Frames that are looked over together for a peak's width.
-_BLOCK = 64
+#: Frames that a task takes medians of at once; ranges of values that ranks are counted in; minima in a node.
+BLOCK, RANGES, FAN = 4096, 1024, 64
 
 
 def rms_frames(samples: DataFrame, per_frame: int = RATE * FRAME_MS // 1000, rate: float = RATE) -> DataFrame:
@@ -23,103 +31,153 @@ def rms_frames(samples: DataFrame, per_frame: int = RATE * FRAME_MS // 1000, rat
     return d.where(F.col("n") == per_frame).select("video_id", "frame", ((F.col("frame") + 0.5) * per_frame / rate).alias("t"), "e")
 
 
-def envelopes(frames: DataFrame) -> DataFrame:
-    """frames (video_id, frame, e) to one row a timeline: video_id, env (array in order)."""
-    items = F.array_sort(F.collect_list(F.struct("frame", "e")))
-    return frames.groupBy("video_id").agg(items.alias("items")).select("video_id", F.col("items.e").alias("env"))
-
-
-def rolling_median(env: DataFrame, window: int) -> DataFrame:
-    """Adds `baseline` (array): the median around each frame, the ends repeated outwards; the window is
-    no longer than the timeline."""
-    d = env.withColumn("_w", F.least(F.lit(window), F.size("env")))
-    d = d.withColumn("_half", F.floor(F.col("_w") / 2).cast("int"))
-    ends = lambda at, n: F.array_repeat(F.element_at("env", at), F.greatest(n, F.lit(0)))
-    d = d.withColumn("_pad", F.when(F.size("env") > 0, F.concat(ends(1, F.col("_half")), F.col("env"), ends(-1, F.col("_w") - F.col("_half") - 1))))
-    d = d.withColumn("_at", F.when(F.col("_w") > 1, F.sequence(F.lit(1), F.size("env"))))
-
-    def median(i):
-        s = F.array_sort(F.slice("_pad", i, F.col("_w")))
-        low, high = F.floor((F.col("_w") + 1) / 2).cast("int"), F.floor(F.col("_w") / 2).cast("int") + 1
-        return F.aggregate(F.array(s), F.lit(0.0), lambda _, a: (F.element_at(a, low) + F.element_at(a, high)) / 2)
-
-    return d.withColumn("baseline", F.coalesce(F.transform("_at", median), F.col("env"))).drop("_w", "_half", "_pad", "_at")
-
-
-def _quantile(sorted_values: str, q: float) -> Column:
-    at = (F.size(sorted_values) - 1) * F.lit(q)
-    low = F.floor(at).cast("int")
-    a = F.element_at(sorted_values, low + 1)
-    b = F.element_at(sorted_values, F.least(low + 2, F.size(sorted_values)))
-    return a + (b - a) * (at - low)
-
-
-def residuals(env: DataFrame) -> DataFrame:
-    """video_id, x (array, env less baseline), top (its maximum)."""
-    x = F.zip_with("env", "baseline", lambda e, b: e - b)
-    return env.where(F.size("env") > 0).select("video_id", x.alias("x")).withColumn("top", F.array_max("x"))
+def placed(frames: DataFrame, block: int = BLOCK) -> DataFrame:
+    """video_id, frame, e, and i, the frame's place in its timeline (from 0), and n, the timeline's frames.
+    Places are counted in cells of frame numbers, whose sizes are summed up before."""
+    finite = F.abs("e") < float("inf")  # neither null nor NaN
+    d = frames.select("video_id", F.col("frame").cast("long").alias("frame"), F.col("e").cast("double").alias("e"), F.floor(F.col("frame") / block).alias("_cell")).where(finite)
+    by = Window.partitionBy("video_id")
+    cells = d.groupBy("video_id", "_cell").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(by.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cells.select("video_id", "_cell", before.alias("_before"), F.sum("_n").over(by).alias("n"))
+    at = F.row_number().over(Window.partitionBy("video_id", "_cell").orderBy("frame")) - 1
+    return d.join(cells, ["video_id", "_cell"]).select("video_id", "frame", "e", (F.col("_before") + at).alias("i"), "n")
+
+
+def rolling_median(frames: DataFrame, window: int, block: int = BLOCK) -> DataFrame:
+    """video_id, frame, e, i, n and `baseline`: the median around each frame, the ends repeated outwards; the
+    window is no longer than the timeline. A block's task also gets the frames that its windows reach, and
+    moves one sorted window along."""
+    block = max(block, 4 * window)
+    w = F.least(F.lit(window), F.col("n"))
+    half = F.floor(w / 2)
+    first = F.floor(F.greatest(F.col("i") - (w - half - 1), F.lit(0)) / block)
+    last = F.floor(F.least(F.col("i") + half, F.col("n") - 1) / block)
+    d = placed(frames).withColumn("_block", F.explode(F.sequence(first, last)))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema if f.name != "_block") + ", baseline double"
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        at, n = table["_block"][0].as_py(), table["n"][0].as_py()
+        start, values, w = table["i"][0].as_py(), table["e"].to_pylist(), min(window, n)
+        lo, hi = at * block, min((at + 1) * block, n)
+        value = lambda i: values[min(max(i, 0), n - 1) - start]
+        held = sorted(value(i) for i in range(lo - w // 2, lo - w // 2 + w))
+        found = []
+        for i in range(lo, hi):
+            found.append((held[(w - 1) // 2] + held[w // 2]) / 2)
+            if i + 1 < hi:
+                del held[bisect.bisect_left(held, value(i - w // 2))]
+                bisect.insort(held, value(i - w // 2 + w))
+        return table.drop_columns("_block").slice(lo - start, hi - lo).append_column("baseline", pa.array(found, pa.float64()))
+
+    return d.groupBy("video_id", "_block").applyInArrow(run, kinds)
+
+
+def residuals(frames: DataFrame, window: int) -> DataFrame:
+    """A table of video_id, frame, i, n, e, baseline and x: e less its baseline. Written, as several steps read it."""
+    return cut(rolling_median(frames, window).withColumn("x", F.col("e") - F.col("baseline")), "residuals")
+
+
+def quantiles(values: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """values (video_id, x) to video_id, top (the greatest) and the wanted quantiles by name, exact and linear
+    between ranks. Ranks are counted over equal ranges of a timeline's values, by which the range of each
+    wanted rank is found; only the values in these ranges are ordered."""
+    facts = values.groupBy("video_id").agg(F.count("x").alias("_n"), F.min("x").alias("_low"), F.max("x").alias("top"))
+    ranged = F.when(F.col("top") > F.col("_low"), F.least(F.floor((F.col("x") - F.col("_low")) / ((F.col("top") - F.col("_low")) / RANGES)), F.lit(RANGES - 1))).otherwise(0)
+    d = values.select("video_id", "x").join(facts, "video_id").select("video_id", "x", ranged.alias("_range"))
+    by = Window.partitionBy("video_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy("video_id", "_range").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(by), F.lit(0)))
+    at = {name: (F.col("_n") - 1) * F.lit(q) for name, q in wanted.items()}
+    asked = F.array(*(F.struct(F.lit(name).alias("name"), (at[name] - F.floor(at[name])).alias("rest"), F.lit(k).alias("k"),
+                               F.least(F.floor(at[name]) + k, F.col("_n") - 1).alias("rank")) for name in wanted for k in (0, 1)))
+    ranks = facts.select("video_id", "top", F.inline(asked)).join(counts, "video_id")
+    ranks = ranks.where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_c")))
+    ranks = ranks.select("video_id", "top", "name", "rest", "k", "_range", (F.col("rank") - F.col("_before")).alias("rank"))
+    few = d.join(ranks.select("video_id", "_range").distinct(), ["video_id", "_range"]).groupBy("video_id", "_range", "x").agg(F.count("*").alias("_c"))
+    by = Window.partitionBy("video_id", "_range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    few = few.withColumn("_before", F.coalesce(F.sum("_c").over(by), F.lit(0)))
+    found = ranks.join(few, ["video_id", "_range"]).where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_c")))
+    pick = lambda name, k: F.max(F.when((F.col("name") == name) & (F.col("k") == k), F.col("x")))
+    between = lambda name: F.max(F.when(F.col("name") == name, F.col("rest")))
+    return found.groupBy("video_id").agg(F.first("top").alias("top"), *((pick(name, 0) + (pick(name, 1) - pick(name, 0)) * between(name)).alias(name) for name in wanted))
 
 
 def thresholds(res: DataFrame, k: float = K_DEFAULT) -> DataFrame:
-    """Adds scale (interquartile range over 1.349) and threshold (k scales, a share of the top at least)."""
-    d = res.withColumn("_s", F.array_sort("x"))
-    d = d.withColumn("scale", (_quantile("_s", 0.75) - _quantile("_s", 0.25)) / IQR_TO_SIGMA).drop("_s")
+    """video_id, top, scale (interquartile range over 1.349) and threshold (k scales, a share of the top at least)."""
+    d = quantiles(res, {"_q1": 0.25, "_q3": 0.75})
+    d = d.select("video_id", "top", ((F.col("_q3") - F.col("_q1")) / IQR_TO_SIGMA).alias("scale"))
     return d.withColumn("threshold", F.greatest(F.lit(k) * F.col("scale"), F.lit(FLOOR_SHARE) * F.col("top")))
 
 
-def peak_islands(res: DataFrame) -> DataFrame:
-    """Runs of frames over the threshold: video_id, first, last, apex (first frame of the greatest), height."""
-    d = res.where("threshold > 0").select("video_id", "threshold", F.posexplode("x").alias("i", "v"))
-    d = d.where(F.col("v") > F.col("threshold"))
-    by = Window.partitionBy("video_id").orderBy("i")
-    d = d.withColumn("run", F.col("i") - F.row_number().over(by))
-    best = F.max_by(F.struct("i", "v"), F.struct(F.col("v"), -F.col("i")))
-    return d.groupBy("video_id", "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), best.alias("b")).select(
-        "video_id", "first", "last", F.col("b.i").alias("apex"), F.col("b.v").alias("height"))
+def peak_islands(res: DataFrame, limits: DataFrame) -> DataFrame:
+    """Runs of frames over the threshold: video_id, first, last, apex (first frame of the greatest; all places), height,
+    n, top."""
+    d = res.join(limits.select("video_id", "top", "threshold"), "video_id").where((F.col("threshold") > 0) & (F.col("x") > F.col("threshold")))
+    d = d.withColumn("run", F.col("i") - F.row_number().over(Window.partitionBy("video_id").orderBy("i")))
+    best = F.max_by(F.struct("i", "x"), F.struct(F.col("x"), -F.col("i")))
+    return d.groupBy("video_id", "run").agg(F.min("i").alias("first"), F.max("i").alias("last"), best.alias("b"), F.first("n").alias("n"), F.first("top").alias("top")).select(
+        "video_id", "first", "last", F.col("b.i").alias("apex"), F.col("b.x").alias("height"), "n", "top")
+
+
+def _minima(res: DataFrame, fan: int) -> list[DataFrame]:
+    """Tables of video_id, node, lows, one a level: the values of a node's `fan` frames, then the minima of its nodes."""
+    longest = res.agg(F.max("n")).first()[0] or 0
+    rows, levels = res.select("video_id", F.col("i").alias("at"), F.col("x").alias("low")), []
+    while longest > 1 or not levels:
+        lows = F.sort_array(F.collect_list(F.struct("at", "low")))["low"]
+        node = cut(rows.groupBy("video_id", F.floor(F.col("at") / fan).alias("node")).agg(lows.alias("lows")), "minima")
+        levels.append(node)
+        rows, longest = node.select("video_id", F.col("node").alias("at"), F.array_min("lows").alias("low")), -(-longest // fan)
+    return levels
+
+
+def nearest_low(asked: DataFrame, res: DataFrame, fan: int = FAN) -> DataFrame:
+    """asked (video_id, apex, half, ...) plus left and right: the nearest places before and after the apex whose x is at
+    or under half; null where there are none. Up a tree of minima until a node has one, then down to it: each
+    step joins a row of asked with one node."""
+    levels = _minima(res, fan)
+    place = lambda where, last: (F.array_max if last else F.array_min)(F.filter(F.sequence(F.lit(0), F.size("lows") - 1), where))
+    low = lambda j: F.get("lows", j) <= F.col("half")
+    beside = lambda own, left: (lambda j: (j < own) & low(j)) if left else (lambda j: (j > own) & low(j))
+    d = asked.withColumns({f"_{s}{c}": F.lit(None).cast("long") for s in "lr" for c in ("at", "level")})
+    for k, level in enumerate(levels):
+        at = F.floor(F.col("apex") / F.lit(fan**k))
+        d = d.withColumn("node", F.floor(at / fan)).join(level, ["video_id", "node"])
+        own = at % fan
+        for side, last in (("l", True), ("r", False)):
+            found = F.when(F.col(f"_{side}at").isNull(), place(beside(own, last), last) + F.col("node") * fan)
+            d = d.withColumn("_found", found).withColumns({
+                f"_{side}level": F.when(F.col("_found").isNotNull(), F.lit(k)).otherwise(F.col(f"_{side}level")), f"_{side}at": F.coalesce(f"_{side}at", "_found")})
+        d = d.drop("node", "lows", "_found")
+    for k in range(len(levels) - 1, 0, -1):
+        for side, last in (("l", True), ("r", False)):
+            d = d.withColumn("node", F.when(F.col(f"_{side}level") == k, F.col(f"_{side}at"))).join(levels[k - 1], ["video_id", "node"], "left")
+            down = place(low, last) + F.col("node") * fan
+            d = d.withColumns({f"_{side}at": F.coalesce(down, f"_{side}at"), f"_{side}level": F.when(F.col("node").isNotNull(), k - 1).otherwise(F.col(f"_{side}level"))}).drop("node", "lows")
+    return d.withColumnsRenamed({"_lat": "left", "_rat": "right"}).drop("_llevel", "_rlevel")
 
 
 def peaks(frames: DataFrame, frame_ms: float = FRAME_MS, k: float = K_DEFAULT, min_gap: float = MIN_GAP_SEC,
           baseline_sec: float = BASELINE_SEC) -> DataFrame:
     """frames (video_id, frame, e) to video_id, t, strength, kind: impact or crowd."""
-    env = rolling_median(envelopes(frames), max(1, round(baseline_sec * 1000 / frame_ms)))
-    # A generator of one row: the medians are taken once, though what follows has two readers.
-    res = thresholds(residuals(env.select("video_id", F.inline(F.array(F.struct("env", "baseline"))))), k)
-    islands = peak_islands(res)
-    # The nearest frame at or under half of an apex: in its own block of frames, else in the nearest block
-    # whose least frame is low enough. A timeline's blocks are looked through, not its frames.
-    size = F.size("x")
-    lows = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / _BLOCK).cast("int")), lambda b: F.array_min(F.slice("x", b * _BLOCK + 1, _BLOCK)))
-    res = res.select("video_id", "x", "top", F.inline(F.array(F.struct(lows.alias("lows")))))
-    d = islands.join(res, "video_id").withColumn("half", F.col("height") * 0.5).withColumn("block", F.floor(F.col("apex") / _BLOCK).cast("int"))
-
-    def low(of, lo, hi):
-        """Places from lo to hi where the array is at or under half."""
-        return F.when(lo <= hi, F.filter(F.sequence(F.least(lo, hi), hi), lambda i: F.element_at(of, i + 1) <= F.col("half")))
-
-    first, last = F.col("block") * _BLOCK, F.least((F.col("block") + 1) * _BLOCK, size) - 1
-    d = d.select("*", F.inline(F.array(F.struct(
-        F.array_max(low("x", first, F.col("apex") - 1)).alias("near_l"), F.array_min(low("x", F.col("apex") + 1, last)).alias("near_r"),
-        F.array_max(low("lows", F.lit(0), F.col("block") - 1)).alias("block_l"), F.array_min(low("lows", F.col("block") + 1, F.size("lows") - 1)).alias("block_r")))))
-    left = F.coalesce("near_l", F.array_max(low("x", F.col("block_l") * _BLOCK, F.col("block_l") * _BLOCK + (_BLOCK - 1))), F.lit(-1))
-    right = F.coalesce("near_r", F.array_min(low("x", F.col("block_r") * _BLOCK, F.least((F.col("block_r") + 1) * _BLOCK, size) - 1)), size)
-    width = (right - left - 1) * (frame_ms / 1000)
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("height") / F.col("top")))
-    d = d.select("video_id", F.bround((F.col("apex") + 0.5) * frame_ms / 1000, 2).alias("t"), F.bround(share, 3).alias("strength"),
-                 F.when(width <= IMPACT_SEC, "impact").otherwise("crowd").alias("kind"))
-    return merge_close(d, min_gap)
+    with scratch(frames.sparkSession) as result:
+        res = residuals(frames, max(1, round(baseline_sec * 1000 / frame_ms)))
+        islands = cut(peak_islands(res, thresholds(res, k)).withColumn("half", F.col("height") * 0.5), "peaks")
+        d = nearest_low(islands, res)
+        width = (F.coalesce("right", "n") - F.coalesce("left", F.lit(-1)) - 1) * (frame_ms / 1000)
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("height") / F.col("top")))
+        d = d.select("video_id", F.bround((F.col("apex") + 0.5) * frame_ms / 1000, 2).alias("t"), F.bround(share, 3).alias("strength"),
+                     F.when(width <= IMPACT_SEC, "impact").otherwise("crowd").alias("kind"))
+        out = cut(merge_close(d, min_gap), "merged")
+        result.append(out)
+    return out
 
 
 def merge_close(found: DataFrame, min_gap: float) -> DataFrame:
     """Of peaks closer than min_gap to the last one kept the stronger stays, and is then the last one."""
-    items = found.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("t", "strength", "kind"))).alias("p"))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        swapped = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))
-        near = F.when(x["strength"] > last["strength"], swapped).otherwise(acc)
-        return F.when(x["t"] - last["t"] < min_gap, near).otherwise(F.concat(acc, F.array(x)))
-
-    return items.select("video_id", F.inline(F.aggregate(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1), step)))
+    return chain(found, "video_id", "t", [F.col("strength"), F.col("kind")], min_gap, "strength")
 
 
 def scene_cuts(scenes: DataFrame) -> DataFrame:

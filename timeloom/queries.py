@@ -240,26 +240,27 @@ up AS (SELECT res.video_id, frame, x, frame - row_number() OVER (PARTITION BY re
 isl AS (SELECT video_id, min(frame)::INT AS first, max(frame)::INT AS last, (arg_max(frame, {'x': x, 'f': -frame}))::INT AS apex, max(x) AS height FROM up GROUP BY video_id, run)"""
 
 
-def _envelope(spark, d):
-    return signals.rolling_median(signals.envelopes(V.frames(spark, d)), 15)
+def _residuals(spark, d):
+    return signals.residuals(V.frames(spark, d), 15)
 
 
 @query(f"WITH {_BASELINE} SELECT video_id, frame::INT AS frame, round(baseline, 6) AS baseline, round(x, 6) AS x FROM res")
 def q_rolling_median(spark, d):
-    e = _envelope(spark, d).select("video_id", F.posexplode(F.arrays_zip("env", "baseline")).alias("frame", "z"))
-    return e.select("video_id", "frame", F.round("z.baseline", 6).alias("baseline"), F.round(F.col("z.env") - F.col("z.baseline"), 6).alias("x"))
+    r = signals.rolling_median(V.frames(spark, d), 15)
+    return r.select("video_id", F.col("frame").cast("int").alias("frame"), F.round("baseline", 6).alias("baseline"), F.round(F.col("e") - F.col("baseline"), 6).alias("x"))
 
 
 @query(f"WITH {_THRESHOLD} SELECT video_id, round(top, 6) AS top, round(scale, 6) AS scale, round(threshold, 6) AS threshold FROM lim")
 def q_threshold(spark, d):
-    t = signals.thresholds(signals.residuals(_envelope(spark, d)), 1.0)
+    t = signals.thresholds(_residuals(spark, d), 1.0)
     return t.select("video_id", *(F.round(c, 6).alias(c) for c in ("top", "scale", "threshold")))
 
 
 @query(f"WITH {_ISLANDS} SELECT video_id, first, last, apex, round(height, 6) AS height FROM isl")
 def q_islands(spark, d):
-    i = signals.peak_islands(signals.thresholds(signals.residuals(_envelope(spark, d)), 1.0))
-    return i.select("video_id", "first", "last", "apex", F.round("height", 6).alias("height"))
+    r = _residuals(spark, d)
+    i = signals.peak_islands(r, signals.thresholds(r, 1.0))
+    return i.select("video_id", *(F.col(c).cast("int").alias(c) for c in ("first", "last", "apex")), F.round("height", 6).alias("height"))
 
 
 _PEAKS = f"""{_ISLANDS},

@@ -101,12 +101,12 @@ def q_summary(spark, d):
     return runs.summary(r, meta).select("video_id", "n_clips", F.round("seconds", 3).alias("seconds"), "best")
 
 
-@query(f"WITH {V.MOMENTS}, c AS (SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY t, event_id))::INT AS cut_id, t AS a, t + 86400 AS b FROM moments), "
-       "few AS (SELECT * FROM c WHERE cut_id % 10 = 1) SELECT m.video_id, cut_id, event_id, round(t - a, 3) AS since FROM moments m JOIN few USING (video_id) WHERE t >= a AND t < b")
+@query(f"WITH {V.MOMENTS}, c AS (SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY t, event_id))::INT AS cut_id, t AS a, t + 86400 AS b FROM moments) "
+       "SELECT m.video_id, cut_id, event_id, round(t - a, 3) AS since FROM moments m JOIN c USING (video_id) WHERE t >= a AND t < b")
 def q_range_slice(spark, d):
     m = V.moments(spark, d)
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("t", "event_id"))
-    cuts = m.select("video_id", number.alias("cut_id"), F.col("t").alias("start_sec"), (F.col("t") + 86400).alias("end_sec")).where("cut_id % 10 = 1")
+    cuts = m.select("video_id", number.alias("cut_id"), F.col("t").alias("start_sec"), (F.col("t") + 86400).alias("end_sec"))
     return intervals.sliced(m, cuts).select("video_id", "cut_id", "event_id", F.round("since", 3).alias("since"))
 
 

@@ -1,5 +1,7 @@
 import random
 
+import xxhash
+
 from tests.llm.helpers import collect, docs
 from timeloom.llm import lines
 
@@ -17,18 +19,52 @@ def some_texts(seed=3):
     return out
 
 
+def chunks(rows):
+    """Starts and ends by the definition: a polynomial over the hashes of two lines is a local minimum."""
+    h = [xxhash.xxh3_64_intdigest(x.encode()) for x in rows]
+    h = [mixed(a + b * BASE) for a, b in zip(h, h[1:])]
+    ends = [i + 2 for i in range(1, len(h) - 1) if h[i - 1] > h[i] <= h[i + 1]] + [len(rows)]
+    return zip([0, *ends], ends)
+
+
+BASE = 0x9E3779B97F4A7C15
+
+
+def mixed(h):
+    h %= 2**64
+    h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+    return h ^ h >> 32
+
+
 def plain(texts):
-    seen, out = set(), []
-    for t in texts:
-        kept, chunks = [], 0
-        for _, n, body in lines.chunks_of((t or "").encode()):
-            if n >= 2 and body.split() and body in seen:
-                chunks += 1
+    """Chunks seen before, and the lines next to them in the three chunks before and after, one by one."""
+    split = [(t or "").split("\n") for t in texts]
+    cuts = [[*chunks(rows)] for rows in split]
+    first, out = {}, []
+    for d, rows in enumerate(split):
+        gone, n = set(), 0
+        for k, (lo, hi) in enumerate(cuts[d]):
+            body = "\n".join(rows[lo:hi])
+            if hi - lo < 2 or not body.split():
+                continue
+            e, j = first.setdefault(body, (d, k))
+            if (e, j) == (d, k):
                 continue
-            if n >= 2 and body.split():
-                seen.add(body)
-            kept.append(body)
-        out.append((chunks, b"\n".join(kept).decode() if chunks else t))
+            n += 1
+            gone |= {*range(lo, hi)}
+            other = split[e]
+            start, end = cuts[e][j]
+            back, other_back = cuts[d][max(k - 3, 0)][0], cuts[e][max(j - 3, 0)][0]
+            step = 1
+            while lo - step >= back and start - step >= other_back and rows[lo - step] == other[start - step]:
+                gone.add(lo - step)
+                step += 1
+            on, other_on = cuts[d][: k + 4][-1][1], cuts[e][: j + 4][-1][1]
+            step = 0
+            while hi + step < on and end + step < other_on and rows[hi + step] == other[end + step]:
+                gone.add(hi + step)
+                step += 1
+        out.append((n, "\n".join(x for i, x in enumerate(rows) if i not in gone) if gone else texts[d]))
     return out
 
 
@@ -60,50 +96,51 @@ def test_edges(spark):
     assert [r["n_removed"] for r in collect(lines.removals(one.union(one)))] == [0, 0]
 
 
-def without_chunks(texts):
-    """What is left if every line goes that lies in a two-line window seen earlier."""
-    first, out = {}, []
-    for i, t in enumerate(texts):
-        rows, gone = t.split("\n"), set()
-        for at in range(len(rows) - 1):
-            body = "\n".join(rows[at : at + 2])
-            if body.split():
-                j, before = first.setdefault(body, (i, at))
-                if j < i or at - before >= 2:
-                    gone |= {at, at + 1}
-        out.append("\n".join(x for at, x in enumerate(rows) if at not in gone))
-    return out
-
-
-def test_short_passages_go_wholly(spark):
+def test_nothing_is_lost_and_passages_go(spark):
+    """Every line that goes is at an earlier place that stays; of passages, more lines go the longer they are."""
     r = random.Random(5)
     own = lambda k: [f"own {r.randrange(10**9)} é" for _ in range(k)]
     texts, passages = [], []
-    for n in (2, 3, 4, 5, 6):
-        for _ in range(4):
+    for n in (3, 5, 8, 12):
+        for _ in range(25):
             p = own(n)
             passages.append(p)
             texts += ["\n".join(own(r.randint(0, 5)) + p + own(r.randint(0, 5))) for _ in range(3)]
-    texts += ["a\na\na\na\na", "x\n\ny\nz", "q\nx\n\ny", texts[0], "\n".join(own(2) + passages[0] + passages[9] + own(1))]
-    want = without_chunks(texts)
-    d = docs(spark, texts)
-    got = {row["doc_id"]: row for row in collect(lines.removals(d, exact=True))}
-    for i, w in enumerate(want, 1):
-        assert got[i]["text"] == w
-        n = texts[i - 1].count("\n") + 1
-        assert got[i]["n_lines"] == n and got[i]["n_removed"] == n - (w.count("\n") + 1 if w or got[i]["n_removed"] < n else 0)
-    left = "\n".join(row["text"] for row in got.values()).split("\n")
-    assert all(left.count(x) == 1 for p in passages for x in p)
-    assert {row["doc_id"]: row["text"] for row in collect(lines.dedup_lines(d, exact=True))} == dict(enumerate(want, 1))
-
-
-def test_exact_step_fits_awkward_rows(spark):
-    assert collect(lines.removals(docs(spark, []), exact=True)) == []
-    one = docs(spark, [None, "", "\n\n\n", "a b\nc d\ne f\ng h"])
-    assert [r["n_removed"] for r in collect(lines.removals(one.union(one), exact=True))] == [0] * 8
-    # Everything that chunks alone remove goes with windows too.
-    texts = some_texts()
-    d = docs(spark, texts)
-    chunks = {r["doc_id"]: r for r in collect(lines.removals(d))}
-    both = {r["doc_id"]: r for r in collect(lines.removals(d, exact=True))}
-    assert all(both[i]["n_removed"] >= chunks[i]["n_removed"] and both[i]["n_chunks"] == chunks[i]["n_chunks"] for i in both)
+    texts += ["a\na\na\na\na", "x\n\ny\nz", "q\nx\n\ny", texts[-1]]
+    got = {row["doc_id"]: row for row in collect(lines.removals(docs(spark, texts)))}
+    for i, t in enumerate(texts, 1):
+        n = t.count("\n") + 1
+        assert got[i]["n_lines"] == n and (got[i]["text"] == "" or got[i]["n_removed"] == n - got[i]["text"].count("\n") - 1)
+    left = [x for row in got.values() for x in row["text"].split("\n")]
+    assert {x for t in texts for x in t.split("\n")} == {*left}
+    gone = {n: sum(all(left.count(x) == 1 for x in p) for p in passages if len(p) == n) for n in (3, 5, 8, 12)}
+    assert gone[12] >= 24 and gone[8] >= 22 and gone[3] < gone[5] < gone[8]
+
+
+def test_rows_come_from_chunks(spark, monkeypatch):
+    d = docs(spark, some_texts())
+    assert sum(r["n_removed"] for r in collect(lines.removals(d))) > 0
+    every = lines._chunks
+    monkeypatch.setattr(lines, "_chunks", lambda keyed: every(keyed).limit(0))
+    assert sum(r["n_removed"] for r in collect(lines.removals(d))) == 0
+
+
+def test_bytes_decide(spark, monkeypatch):
+    """Chunks and lines whose hashes agree stay if their bytes differ."""
+    class Blind:
+        xxh3_64_intdigest = staticmethod(lambda b: 7 if b.startswith(b"same") else xxhash.xxh3_64_intdigest(b))
+        xxh3_128_digest = staticmethod(lambda b: xxhash.xxh3_128_digest(b"" if b.startswith(b"same") else b))
+
+    d = docs(spark, ["same 1\nsame 2\nsame 3\nsame 4", "same 5\nsame 6\nsame 7\nsame 8", "a\nb\nc\nd\ne", "a\nb\nc\nd\ne"])
+    monkeypatch.setattr(lines, "xxhash", Blind)
+    assert [r["n_removed"] for r in sorted(collect(lines.removals(d)), key=lambda r: r["doc_id"])][:2] == [0, 0]
+
+
+def test_null_ids_long_texts_and_clashing_columns(spark):
+    long = "\n".join(f"row {i % 5000} é" for i in range(20_000))
+    rows = [(None, "a b\nc d\ne f\ng h\ni j", 1, "q", "r"), (None, "a b\nc d\ne f\ng h\ni j", 1, "q", "r"), (4, long, 1, "q", "r"), (5, long, 1, "q", "r"), (6, "a b\nc d\ne f\ng h\ni j", 1, "q", "r")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, row long, gone string, lines string").repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["n_removed"]) for r in collect(lines.removals(d))))
+    assert got[:2] == [(0, 0), (0, 0)] and got[4] == (6, 5) and got[3] == (5, 20_000) and 14_000 <= got[2][1] <= 15_000
+    out = lines.dedup_lines(d)
+    assert out.columns == d.columns and {(r["row"], r["gone"], r["lines"]) for r in collect(out)} == {(1, "q", "r")}

@@ -1,180 +1,171 @@
 """Line dedup by content-defined chunks of lines.
 
-A chunk of lines ends where the rolling hash over its last lines' hashes falls on a fixed residue, so
-that boundaries move with the lines when others are inserted before them. Chunks of several lines, with
-a word in them, that occur more than once in the corpus are compared byte by byte with the earliest
-(smallest id, then smallest line number); equal ones are removed, the earliest stays.
-
-No chunk need lie wholly inside a short passage. With `exact`, every window of MIN_LINES lines with a
-word in it is judged besides: it goes, too, if an equal one comes earlier and doesn't overlap it. That
-takes matched chunks on over their neighbours, and passages without a chunk of their own. Windows meet
-by hashes of 128 bits; bytes are fetched and compared only for those that repeat.
+A chunk of lines ends where the rolling hash over the last ROLLING lines' hashes is less than at the line before and
+no greater than at the next. That depends on the lines around alone: equal passages are cut alike, whatever
+stands before them, and between two boundaries there are two lines at least. Chunks of several lines, with a
+word in them, that occur more than once in the corpus meet the earliest (smallest id, then smallest line number).
+Where a chunk repeats, the lines around it may, too, without filling a chunk of their own: a match is taken on
+line by line over the NEAR chunks on both sides, as long as the hashes of the lines agree. That reaches a passage's
+ends: where two texts differ before or after it, their boundaries differ in its outermost three lines only. Matches
+of one pair of texts that touch become one passage, whose bytes are compared with the earlier place's; equal
+ones are removed, the earliest stays.
+
+A line goes only if an equal one stays at an earlier place. A passage must hold a whole chunk to be found, so
+short ones may stay: README has figures.
 
 Counts are map-side combined and written as a table of the repeated hashes, so that copies meet the
-earliest by a join of two plain exchanges, which Spark splits when a chunk is very common.
+earliest by a join of two plain exchanges, which Spark splits when a chunk is very common. Lines' bytes are
+fetched only for passages to compare.
 
 Cases: a null text stays null and has no lines, like the empty one; null ids count as the least id;
-rows that repeat id and text keep the same lines each; chunks whose hashes agree but whose bytes
-differ stay; very long texts are one row, whose lines pass one by one; an empty table gives an empty result; further columns are kept by `dedup_lines` and
-ignored by `removals`.
+rows that repeat id and text keep the same lines each; passages whose hashes agree but whose bytes
+differ stay; very long texts are one row, whose lines pass one by one; an empty table gives an empty result;
+further columns are kept by `dedup_lines`, whatever their names, and ignored by `removals`.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .anchors import rolling_hashes
 from .common import cut, load, scratch
 
-#: Lines in the rolling hash, and the residue class in which a boundary falls: one line in DIVISOR.
-ROLLING = 1
-DIVISOR = 2
+#: Lines in the rolling hash; least lines of a chunk that counts; chunks before and after that matches go on over.
+ROLLING = 2
 MIN_LINES = 2
+NEAR = 3
 _LEAST_ID = -(1 << 63)
 
 
+def _ends(hashes: np.ndarray) -> list[int]:
+    """Where chunks end."""
+    h = rolling_hashes(hashes, ROLLING)
+    least = np.flatnonzero((h[1:-1] < h[:-2]) & (h[1:-1] <= h[2:])) + 1
+    return [*(least + ROLLING).tolist(), len(hashes)]
+
+
 def chunks_of(text: bytes):
-    """(first line, lines, bytes) of each chunk; boundaries depend on the last lines alone, but a
-    chunk has MIN_LINES at least unless the text ends."""
+    """(first line, lines, bytes) of each chunk."""
+    for start, end, body in _split(text)[0]:
+        yield start, end - start, body
+
+
+def _split(text: bytes):
+    """As chunks_of, with the ends; and the hashes of all lines, in 32 bits."""
     lines = text.split(b"\n")
-    start, before = 0, []
-    for i, line in enumerate(lines):
-        before = [*before, xxhash.xxh3_64_intdigest(line)][-ROLLING:]
-        rolled = 0
-        for h in before:
-            rolled = (rolled * 0x100000001B3 + h) & (2**64 - 1)
-        if i + 1 == len(lines) or (i + 1 - start >= MIN_LINES and (rolled >> 32) % DIVISOR == 0):
-            yield start, i + 1 - start, b"\n".join(lines[start : i + 1])
-            start = i + 1
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
+    ends = _ends(hashes)
+    return [(a, b, b"\n".join(lines[a:b])) for a, b in zip([0, *ends], ends)], hashes.astype(np.uint32).view(np.int32)  # noqa: B905
 
 
 def _chunks(keyed: DataFrame) -> DataFrame:
-    """(id, tag, text) to its chunks of several lines: h1, h2, id, tag, at, n, body."""
-    schema = "h1 long, h2 long, id long, tag long, at int, n int, body binary"
-    types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-    names = ["h1", "h2", "id", "tag", "at", "n", "body"]
+    """(id, tag, text) to its chunks of several lines with a word: h1, h2, id, tag, at, n, and the hashes of the lines
+    of the NEAR chunks before and after."""
+    shape = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("at", pa.int32()), ("n", pa.int32()),
+                       ("before", pa.list_(pa.int32())), ("after", pa.list_(pa.int32()))])
 
     def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), shape, strict=True)], schema=shape)
 
     def run(batches):
         for batch in batches:
             rows, held = [], 0
-            for i, tag, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), strict=True):
-                for at, n, body in chunks_of(text.as_py() or b""):
-                    if n >= MIN_LINES and body.split(None, 1):
+            for i, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                found, hashes = _split(text.as_py() or b"")
+                for k, (start, end, body) in enumerate(found):
+                    if end - start >= MIN_LINES and body.split(None, 1):
                         d = xxhash.xxh3_128_digest(body)
-                        rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), i.as_py(), tag.as_py(), at, n, body))
-                        held += len(body)
-                if held > 4_000_000:
+                        rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), i, tag, start, end - start,
+                                     hashes[found[max(k - NEAR, 0)][0] : start], hashes[end : found[min(k + NEAR, len(found) - 1)][1]]))
+                held += len(hashes)
+                if held > 50_000 and rows:
                     yield batch_of(rows)
                     rows, held = [], 0
             if rows:
                 yield batch_of(rows)
 
-    return keyed.select("id", "tag", "text").mapInArrow(run, schema)
+    return keyed.select("id", "tag", "text").mapInArrow(run, "h1 long, h2 long, id long, tag long, at int, n int, before array<int>, after array<int>")
 
 
-def repeated_chunks(keyed: DataFrame) -> DataFrame:
-    """keyed (id, tag, text). The chunks to remove: id, tag, at, n."""
-    every = _chunks(keyed)
-    found = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count("*").alias("times"))
-    found = cut(found.where("times > 1").select("h1", "h2", "first"), "common")
-    marked = every.join(found, ["h1", "h2"]).withColumn("is_first", F.struct("id", "tag", "at") == F.col("first"))
-    marked = cut(marked.drop("first"), "chunks")
-    first = cut(marked.where("is_first").groupBy("h1", "h2").agg(F.first("body").alias("first_body")), "firsts")
-    later = marked.where("not is_first").join(first, ["h1", "h2"])
-    return later.where(F.col("body") == F.col("first_body")).select("id", "tag", "at", "n")
+def _alike(a: Column, b: Column) -> Column:
+    """How many elements agree before the first that doesn't."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
 
 
-def _halves(body: bytes) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(body)
-    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+def _passages(chunks: DataFrame) -> DataFrame:
+    """Matches of chunks with the earliest, taken on over the neighbours and joined: id, tag, lo, hi, first_id, first_tag,
+    shift (lines from the earlier place to this one, within their texts), chunks."""
+    found = chunks.groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count("*").alias("times"))
+    found = cut(found.where("times > 1").select("h1", "h2", "first"), "common")
+    marked = chunks.join(found, ["h1", "h2"]).withColumn("is_first", F.struct("id", "tag", "at") == F.col("first"))
+    marked = cut(marked.drop("first"), "marked")
+    first = marked.where("is_first").groupBy("h1", "h2").agg(*(F.first(c).alias(f"first_{c}") for c in ("id", "tag", "at", "before", "after")))
+    pairs = marked.where("not is_first").join(cut(first, "firsts"), ["h1", "h2"])
+    back, on = _alike(F.reverse("before"), F.reverse("first_before")), _alike(F.col("after"), F.col("first_after"))
+    shift = (F.col("at") - F.col("first_at")).alias("shift")
+    pairs = pairs.select("id", "tag", "first_id", "first_tag", shift, (F.col("at") - back).alias("lo"), (F.col("at") + F.col("n") + on).alias("hi"))
+    return _joined(pairs, ["id", "tag", "first_id", "first_tag", "shift"], F.count("*"))
 
 
-def _windows(keyed: DataFrame) -> DataFrame:
-    """(id, tag, text) to its windows of MIN_LINES lines: h1, h2, id, tag, at."""
-
-    def run(batches):
-        for batch in batches:
-            for i, tag, text in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), strict=True):
-                lines = (text.as_py() or b"").split(b"\n")
-                found = []
-                for at in range(len(lines) - MIN_LINES + 1):
-                    body = b"\n".join(lines[at : at + MIN_LINES])
-                    if body.split(None, 1):
-                        found.append((*_halves(body), at))
-                if found:
-                    h1, h2, at = zip(*found)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h1), pa.array(h2), pa.array([i.as_py()] * len(at)), pa.array([tag.as_py()] * len(at)), pa.array(at, pa.int32())],
-                        names=["h1", "h2", "id", "tag", "at"])
-
-    return keyed.select("id", "tag", "text").mapInArrow(run, "h1 long, h2 long, id long, tag long, at int")
+def _joined(spans: DataFrame, key: list[str], chunks: Column) -> DataFrame:
+    """Spans lo to hi that touch become one, within each key; chunks is summed up."""
+    by = Window.partitionBy(*key).orderBy("lo", "hi")
+    reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    part = F.sum(F.when(F.col("lo") <= reach, 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return spans.withColumn("part", part).groupBy(*key, "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), chunks.alias("chunks")).drop("part")
 
 
 def _bodies(asked: DataFrame) -> DataFrame:
-    """(id, tag, text, wanted: structs of at, h1, h2, is_first) to a row each, with the window's bytes."""
-    schema = "h1 long, h2 long, id long, tag long, at int, is_first boolean, body binary"
-    types = [pa.int64()] * 4 + [pa.int32(), pa.bool_(), pa.binary()]
-    names = ["h1", "h2", "id", "tag", "at", "is_first", "body"]
+    """(id, tag, text, wanted: structs of lo, hi) to a row each, with the lines' bytes."""
+    schema = "id long, tag long, lo int, hi int, body binary"
+    types = [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary()]
+    names = ["id", "tag", "lo", "hi", "body"]
 
     def run(batches):
         for batch in batches:
             for i, tag, text, wanted in zip(batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
                 lines = text.as_py().split(b"\n")
-                rows = [(w["h1"], w["h2"], i.as_py(), tag.as_py(), w["at"], w["is_first"], b"\n".join(lines[w["at"] : w["at"] + MIN_LINES])) for w in wanted.as_py()]
+                rows = [(i.as_py(), tag.as_py(), w["lo"], w["hi"], b"\n".join(lines[w["lo"] : w["hi"]])) for w in wanted.as_py()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types, strict=True)], names=names)
 
     return asked.select("id", "tag", "text", "wanted").mapInArrow(run, schema)
 
 
-def repeated_windows(keyed: DataFrame) -> DataFrame:
-    """keyed (id, tag, text). The windows to remove: id, tag, at."""
-    every = _windows(keyed)
-    found = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count("*").alias("times"))
-    found = cut(found.where("times > 1").select("h1", "h2", "first"), "common")
-    marked = every.join(found, ["h1", "h2"]).withColumn("is_first", F.struct("id", "tag", "at") == F.col("first"))
-    own = (F.col("id") == F.col("first.id")) & (F.col("tag") == F.col("first.tag")) & (F.col("at") - F.col("first.at") < MIN_LINES)
-    marked = cut(marked.where(F.col("is_first") | ~own).drop("first"), "windows")
-    wanted = marked.groupBy("id", "tag").agg(F.collect_set(F.struct("at", "h1", "h2", "is_first")).alias("wanted"))
-    bodies = cut(_bodies(keyed.select("id", "tag", "text").join(wanted, ["id", "tag"])), "bodies")
-    first = cut(bodies.where("is_first").groupBy("h1", "h2").agg(F.first("body").alias("first_body")), "firsts")
-    later = bodies.where("not is_first").join(first, ["h1", "h2"])
-    return later.where(F.col("body") == F.col("first_body")).select("id", "tag", "at")
-
-
-def _written(df: DataFrame, label: str, work) -> DataFrame:
-    """work(df) as a table; the tables that it went through are deleted."""
-    with scratch(df.sparkSession) as kept:
-        out = cut(work(df), label)
-        kept.append(out)
-    return out
-
-
-def _spans(keyed: DataFrame, exact: bool) -> DataFrame:
-    """id, tag, gone (sorted starts and lengths to remove, ends sorted too), n_chunks (removed whole)."""
-    chunks = _written(keyed, "gone-chunks", repeated_chunks)
-    if not exact:
-        gone = F.sort_array(F.collect_set(F.struct("at", "n")))
-        return chunks.groupBy("id", "tag").agg(gone.alias("gone")).withColumn("n_chunks", F.size("gone"))
-    # A chunk's own windows, so that all spans are of one length: a chunk may begin with blank lines.
-    starts = F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - MIN_LINES))
-    inside = chunks.select("id", "tag", starts.alias("start"), F.col("at").alias("chunk"))
-    windows = _written(keyed, "gone-windows", repeated_windows).select("id", "tag", F.col("at").alias("start"), F.lit(None).cast("int").alias("chunk"))
-    gone = F.sort_array(F.collect_set(F.struct(F.col("start").alias("at"), F.lit(MIN_LINES).alias("n"))))
-    return inside.unionByName(windows).groupBy("id", "tag").agg(gone.alias("gone"), F.size(F.collect_set("chunk")).alias("n_chunks"))
-
-
-def _with_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
+def _equal(keyed: DataFrame, passages: DataFrame) -> DataFrame:
+    """Those passages whose bytes are those of the earlier place."""
+    earlier = passages.select(F.col("first_id").alias("id"), F.col("first_tag").alias("tag"), (F.col("lo") - F.col("shift")).alias("lo"), (F.col("hi") - F.col("shift")).alias("hi"))
+    wanted = passages.select("id", "tag", "lo", "hi").unionByName(earlier).groupBy("id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("wanted"))
+    bodies = _bodies(keyed.select("id", "tag", "text").join(wanted, ["id", "tag"]))
+    bodies = cut(bodies.groupBy("id", "tag", "lo", "hi").agg(F.first("body").alias("body")), "bodies")
+    other = bodies.select(F.col("id").alias("first_id"), F.col("tag").alias("first_tag"), F.col("lo").alias("first_lo"), F.col("hi").alias("first_hi"), F.col("body").alias("first_body"))
+    d = cut(passages.join(bodies, ["id", "tag", "lo", "hi"]).withColumns({"first_lo": F.col("lo") - F.col("shift"), "first_hi": F.col("hi") - F.col("shift")}), "later")
+    d = d.join(other, ["first_id", "first_tag", "first_lo", "first_hi"])
+    return d.where(F.col("body") == F.col("first_body")).select("id", "tag", "lo", "hi", "chunks")
+
+
+def _spans(keyed: DataFrame) -> DataFrame:
+    """id, tag, gone (starts and lengths to remove, in order and apart), n_chunks (chunks that matched)."""
+    with scratch(keyed.sparkSession) as result:
+        passages = cut(_passages(cut(_chunks(keyed), "chunks")), "passages")
+        same = cut(_equal(keyed, passages), "gone")
+        result.append(same)
+    apart = _joined(same, ["id", "tag"], F.sum("chunks"))
+    gone = F.sort_array(F.collect_list(F.struct(F.col("lo").alias("at"), (F.col("hi") - F.col("lo")).alias("n"))))
+    return apart.groupBy("id", "tag").agg(gone.alias("gone"), F.sum("chunks").alias("n_chunks"))
+
+
+def _with_lines(docs: DataFrame) -> DataFrame:
     """row (all of docs), lines, gone (sorted starts and lengths to remove), n_chunks, kept_lines."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     keyed = docs.select(
         row, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("id"),
         F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tag"))
-    d = keyed.join(_spans(keyed, exact), ["id", "tag"], "left")
+    d = keyed.join(_spans(keyed), ["id", "tag"], "left")
     d = d.select("row", "text", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
                  F.coalesce("gone", F.array().cast("array<struct<at:int,n:int>>")).alias("gone"),
                  F.when(F.coalesce("text", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n")).alias("lines"))
@@ -186,10 +177,10 @@ def _with_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
     return d.withColumn("kept_lines", kept)
 
 
-def dedup_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
-    """The documents without repeated chunks (and windows, if exact), all columns kept; where a text
-    changes, so does n_chars (if there is such a column)."""
-    d = _with_lines(docs, exact)
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """The documents without repeated passages, all columns kept; where a text changes, so does n_chars (if there is
+    such a column)."""
+    d = _with_lines(docs)
     changed = F.size("gone") > 0
     text = F.when(changed, F.array_join("kept_lines", "\n")).otherwise(F.col("row.text"))
     d = d.select("row", text.alias("new_text"), changed.alias("changed"))
@@ -204,10 +195,9 @@ def dedup_lines(docs: DataFrame, exact: bool = False) -> DataFrame:
     return d.select(*out)
 
 
-def removals(docs: DataFrame, exact: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed (lines), n_chunks (removed whole), text (what is left; null stays
-    null)."""
-    d = _with_lines(docs.select("doc_id", "text"), exact)
+def removals(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_removed (lines), n_chunks (that matched), text (what is left; null stays null)."""
+    d = _with_lines(docs.select("doc_id", "text"))
     text = F.when(F.size("gone") > 0, F.array_join("kept_lines", "\n")).otherwise(F.col("row.text"))
     return d.select(
         "row.doc_id", F.size("lines").cast("long").alias("n_lines"),
@@ -216,5 +206,5 @@ def removals(docs: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def op10_line_chunks(spark, sf_dir: str) -> DataFrame:
-    out = removals(load(spark, sf_dir, "documents"), exact=True)
+    out = removals(load(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, load
+from .common import cut, load, scratch
 
 #: Words in the dictionary at most, and characters in each.
 DICTIONARY, WORD_CHARS = 50_000, 40
@@ -147,8 +147,8 @@ def _sliced(texts: list[str | None]):
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The most frequent words of all documents (ties by code point). A task passes on its own most frequent
-    words alone: which words are here changes the speed, not the result."""
+    """The most frequent words of all documents, by levels of counts; no more of them than fit come to the driver. A
+    task passes on its own most frequent words alone: which words are here changes the speed, not the result."""
 
     def run(batches):
         for batch in batches:
@@ -158,9 +158,18 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
                 top = counts.most_common(size)
                 yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
-    every = docs.select("text").mapInArrow(run, "word string, n long")
-    top = every.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r["word"] for r in top.collect()]
+    with scratch(docs.sparkSession):
+        every = docs.select("text").mapInArrow(run, "word string, n long")
+        level = F.floor(F.log2("n") * 4)  # under 256 levels, whatever the counts
+        words = cut(every.groupBy("word").agg(F.sum("n").alias("n")).select("word", level.alias("level")), "counts")
+        found: list[str] = []
+        for r in sorted(words.groupBy("level").count().collect(), reverse=True):
+            at = words.where(F.col("level") == r["level"]).select("word")
+            whole = len(found) + r["count"] <= size
+            found += [w["word"] for w in (at if whole else at.limit(size - len(found))).collect()]
+            if not whole:
+                break
+    return found
 
 
 _kept: dict[str, Dictionary] = {}

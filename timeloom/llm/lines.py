@@ -140,7 +140,7 @@ def _equal(keyed: DataFrame, passages: DataFrame) -> DataFrame:
     """Those passages whose bytes are those of the earlier place."""
     earlier = passages.select(F.col("first_id").alias("id"), F.col("first_tag").alias("tag"), (F.col("lo") - F.col("shift")).alias("lo"), (F.col("hi") - F.col("shift")).alias("hi"))
     wanted = passages.select("id", "tag", "lo", "hi").unionByName(earlier).groupBy("id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("wanted"))
-    bodies = _bodies(keyed.select("id", "tag", "text").join(wanted, ["id", "tag"]))
+    bodies = _bodies(keyed.select("id", "tag", "text").join(wanted.hint("merge"), ["id", "tag"]))  # never by way of the driver
     bodies = cut(bodies.groupBy("id", "tag", "lo", "hi").agg(F.first("body").alias("body")), "bodies")
     other = bodies.select(F.col("id").alias("first_id"), F.col("tag").alias("first_tag"), F.col("lo").alias("first_lo"), F.col("hi").alias("first_hi"), F.col("body").alias("first_body"))
     d = cut(passages.join(bodies, ["id", "tag", "lo", "hi"]).withColumns({"first_lo": F.col("lo") - F.col("shift"), "first_hi": F.col("hi") - F.col("shift")}), "later")
@@ -165,7 +165,7 @@ def _with_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.select(
         row, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST_ID)).alias("id"),
         F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tag"))
-    d = keyed.join(_spans(keyed), ["id", "tag"], "left")
+    d = keyed.join(_spans(keyed).hint("merge"), ["id", "tag"], "left")
     d = d.select("row", "text", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
                  F.coalesce("gone", F.array().cast("array<struct<at:int,n:int>>")).alias("gone"),
                  F.when(F.coalesce("text", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n")).alias("lines"))

@@ -100,7 +100,7 @@ def test_whole_run_by_route(spark):
     for model, routes in ((models.make("fixed"), {1: "audio", 2: "video"}), (models.make("fixed", sees=False, hears=False), {1: "keyframe", 2: "keyframe"})):
         ranked, plans = runs.run(asked, none, model, default_score=0)
         got = {r["video_id"]: json.loads(r["plan"]) for r in rows(plans)}
-        assert all(got[i]["sampling"]["strategy"] == routes[i] for i in got) and set(got) == {r["video_id"] for r in rows(ranked)}
+        assert all(got[i]["sampling"]["strategy"] == routes[i].replace("keyframe", "hybrid") for i in got) and set(got) == {r["video_id"] for r in rows(ranked)}
         assert all(p["vlm"]["provider"] == "fixed" and p["video"]["width"] == 4 for p in got.values()) and 1 in got
     with pytest.raises(Exception, match="no video stream"):
         runs.run(asked.withColumn("payload", F.lit('{"streams": []}')), none, models.make("fixed"))[0].collect()
@@ -113,6 +113,53 @@ def test_whole_run_by_route(spark):
         runs.detect_hints(media(spark, (1, 5.0)), models.make("fixed"), n=2)
 
 
+def test_one_dead_timeline_costs_no_other(spark):
+    found = runs.analyse(media(spark, (1, 100.0), (2, 900.0), (9, 100.0), (9_000, 700.0)), Moody(), audio=False, strict=False)
+    got = {r["video_id"]: (r["status"], r["n_batches"], r["n_lost"], r["reason"]) for r in rows(found.outcomes)}
+    assert got == {1: ("done", 1, 0, None), 2: ("partial", 3, 2, "RuntimeError: no"), 9: ("failed", 1, 1, "RuntimeError: no"), 9_000: ("done", 3, 0, None)}
+    assert {r["video_id"] for r in rows(found.clips)} == {1, 2, 9_000} == {r["video_id"] for r in rows(found.metadata)}
+    twice = runs.analyse(media(spark, (1, 100.0), (2, 900.0), (9, 100.0)), Moody(), audio=False, refine=True, strict=False)
+    got = {r["video_id"]: r["status"] for r in rows(twice.outcomes)}
+    assert got == {1: "done", 2: "partial", 9: "failed"} and 9 not in {r["video_id"] for r in rows(twice.clips)}
+
+
+def test_run_tells_of_files_that_cannot_be_used(spark):
+    payload = lambda sec: json.dumps({"format": {"duration": str(sec)}, "streams": [{"codec_type": "video", "codec_name": "h264", "width": 4, "height": 2, "avg_frame_rate": "25/1"}]})
+    asked = spark.createDataFrame([(1, "a.mp4", payload(100), "talk"), (2, "b.mp4", "junk", "talk"), (3, "c.mp4", payload(3), "highlights"), (9, "d.mp4", payload(40), "hybrid")],
+                                  "video_id long, path string, payload string, hint string")
+    none = spark.createDataFrame([], "video_id long, scene_index int, start_sec double, end_sec double")
+    r = runs.run_all(asked, none, Moody(sees=False, hears=False), default_score=0)
+    got = {x["video_id"]: (x["status"], x["reason"]) for x in rows(r.outcomes)}
+    assert got == {1: ("done", None), 2: ("failed", "not a probe"), 3: ("done", None), 9: ("failed", "RuntimeError: no")}
+    plans = {x["video_id"]: json.loads(x["plan"]) for x in rows(r.plans)}
+    # A 3 s timeline is sampled as often as its profile asks; the estimate is that of so many images.
+    if 3 in plans:
+        assert plans[3]["sampling"] == {"strategy": "hybrid", "n_keyframes": 9, "n_scenes": 0} and plans[3]["vlm"]["cost_upfront_estimate_usd"] == pytest.approx((800 + 9900) * 3e-6 + 0.018, abs=1e-4)
+    assert plans[1]["sampling"]["n_keyframes"] == 67 and plans[1]["vlm"]["cost_estimate_usd"] == plans[1]["vlm"]["cost_upfront_estimate_usd"]
+
+
+def test_frames_of_several_profiles_in_one_plan(spark):
+    s = spark.createDataFrame([(1, 0, 0.0, 4.0), (1, 1, 4.0, 200.0), (2, 0, 0.0, 130.0), (3, 0, 0.0, 5.0)], "video_id long, scene_index int, start_sec double, end_sec double")
+    m = spark.createDataFrame([(1, 200.0, "hybrid", 8), (2, 130.0, "scene", 2), (3, 5.0, "uniform", 3), (4, 3.0, "hybrid", 8)], "video_id long, duration_sec double, sampling string, min_frames int")
+    got = {}
+    for r in rows(sampling.sampled(F.col("sampling"), s, m, F.col("min_frames"))):
+        got.setdefault(r["video_id"], []).append(r["t"])
+    for v, name, least in ((1, "hybrid", 8), (2, "scene", 2), (3, "uniform", 3), (4, "hybrid", 8)):
+        own = m.where(F.col("video_id") == v).select("video_id", "duration_sec")
+        assert sorted(got[v]) == sorted(r["t"] for r in rows(sampling.sampled(name, s.where(F.col("video_id") == v), own, least)))
+    assert len(got[4]) == 9  # eight and one steps, from the middle of each
+    with pytest.raises(Exception, match="unknown strategy: odd"):
+        sampling.sampled(F.lit("odd"), s, m).collect()
+
+
+def test_cuts_of_a_plan(spark):
+    video = {"path": "/v.mp4", "duration_sec": 12, "width": 640, "height": 360, "fps": 25.0, "video_codec": "h264", "container": "mp4", "size_bytes": 10}
+    plan = {"video": video, "clips": [{"start": 1, "end": 2, "final_score": 9, "description": "A b"}, {"start": 3, "end": 4, "final_score": 2}, {"start": 5, "end": 8, "final_score": 7}]}
+    d = documents.parse_documents(spark.createDataFrame([(1, json.dumps(plan))], "key int, plan string"), "plan")
+    got = sorted((r["place"], r["start_us"], r["end_us"], r["file"]) for r in rows(runs.cuts_from(d, "key", 5)))
+    assert got == [(1, 1_000_000, 2_000_000, "s09_clip_001_A-b.mp4"), (2, 5_000_000, 8_000_000, "s07_clip_002_clip.mp4")]
+
+
 def test_prober_seam(spark):
     def prober(path, timeout):
         if path == "gone":

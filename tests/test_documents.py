@@ -44,8 +44,11 @@ def test_plan_is_clamped_and_empty_ones_are_not_written(spark):
     assert documents.write_plan(ranked(spark, [(1, 11, 9)]).where("false"), media(spark)).count() == 0
 
 
+VIDEO = {"path": "/v.mp4", "duration_sec": 12, "width": 640, "height": 360, "fps": 25.0, "video_codec": "h264", "audio_codec": None, "container": "mp4", "size_bytes": 10}
+
+
 def read(spark, clips, **kw):
-    d = spark.createDataFrame([("k", json.dumps({"video": {}, "clips": clips}))], "key string, raw string")
+    d = spark.createDataFrame([("k", json.dumps({"video": VIDEO, "clips": clips}))], "key string, raw string")
     return documents.read_clips(documents.parse_documents(d, "raw"), "key", **kw).orderBy("pos").collect()
 
 
@@ -58,6 +61,37 @@ def test_reader_defaults(spark):
             read(spark, [bad])
 
 
+def judged(spark, *plans, **kw):
+    d = spark.createDataFrame([(i, p if isinstance(p, str) else json.dumps(p)) for i, p in enumerate(plans)], "key int, raw string")
+    return sorted(documents.judged_plans(documents.parse_documents(d, "raw"), "key", **kw).collect())
+
+
+def test_times_may_be_seconds_and_entries_anything(spark):
+    got = judged(spark, {"video": VIDEO, "clips": [7, None, "x", {"start": 1.5, "end": "00:03"}, [1], {"start": 0, "end": 4, "id": 5, "tags": "one", "vlm_score": True}]})[0]
+    assert got["problem"] is None and [(c["clip_id"], c["start_us"], c["end_us"], c["score"], c["tags"]) for c in got["clips"]] == [("clip_1", 1_500_000, 3_000_000, 0, []), ("5", 0, 4_000_000, 1, ["one"])]
+    many = judged(spark, {"video": VIDEO, "clips": [{"start": 0, "end": 1, "tags": [1, None, "b", True, "d", "e", "f"], "description": "", "rationale": None, "heuristic_score": 7.9, "vlm_score": 6}]})[0]["clips"][0]
+    assert (many["tags"], many["description"], many["rationale"], many["heuristic_score"], many["final_score"]) == (["1", "b", "true", "d", "e"], "clip", "from plan.json", 7, 8)
+
+
+def test_documents_that_are_no_plans(spark):
+    clip = {"start": 0, "end": 1, "final_score": 9}
+    plan = lambda **c: {"video": VIDEO, "clips": [clip, clip | c]}
+    video = lambda **v: {"video": VIDEO | v, "clips": []}
+    cases = [("{", "not JSON"), ("[1]", "not an object"), ({"clips": []}, "no video"), ({"video": 3, "clips": []}, "no video"), ({"video": VIDEO}, "no clips"), ({"video": VIDEO, "clips": {}}, "no clips"),
+             (video(width=0), "bad video: width"), (video(fps=None), "bad video: fps"), (video(path=None), "bad video: path"), (video(size_bytes=1.5), "bad video: size_bytes"), (video(more=1), "bad video: more"),
+             (video(audio_codec=3), "bad video: audio_codec"), (video(duration_sec="12.5"), None), (video(), None),
+             (plan(id="i" * 90), "bad clip: id"), (plan(description="d" * 600), "bad clip: description"), (plan(rationale="r" * 301), "bad clip: rationale"), (plan(description=7), "bad clip: description"),
+             (plan(category=None), "bad clip: category"), (plan(category="opera"), "bad clip: category"), (plan(start=-1), "bad clip: times"), (plan(end=None), "bad clip: times"), (plan(vlm_score=11), "bad clip: score"),
+             (plan(tags=4), "bad clip: tags"), (plan(tags={"a": 1}), "bad clip: tags"), (plan(final_score=3, start="never"), None)]
+    got = judged(spark, *(p for p, _ in cases), min_score=5)
+    assert [r["problem"] for r in got] == [why for _, why in cases]
+    assert all(bool(r["clips"]) == (r["problem"] is None and r["key"] == len(cases) - 1) for r in got)
+    d = documents.parse_documents(spark.createDataFrame([(1, "[1]"), (2, json.dumps({"video": VIDEO, "clips": [clip]}))], "key int, raw string"), "raw")
+    with pytest.raises(Exception, match="invalid plan: not an object"):
+        documents.read_clips(d, "key").collect()
+    assert [r["key"] for r in documents.read_clips(d, "key", strict=False).collect()] == [2]
+
+
 def test_manifest(spark):
     r = ranked(spark, [(50, 60, 8), (20, 26, 6), (5, 15, 7)])
     out = r.select("video_id", F.lit("separate").alias("mode"), F.col("rank").alias("place"), F.concat(F.lit("p"), "pos").alias("path"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 import time
-import uuid
 from collections.abc import Callable
 from typing import Protocol
 
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from timeloom.errors import TimelineError
+from timeloom.tables import cut
 
 # Fixed values.
 ATTEMPTS, FIRST_PAUSE_SEC = 3, 0.5
@@ -35,12 +35,15 @@ class UnavailableModel(TimelineError):
 
 class Model(Protocol):
     """What runs need of a model. `ask` gets a request (the segment's columns; `unusable`: the reply of
-    the attempt before, if that couldn't be read) and returns the reply's text and its cost or None."""
+    the attempt before, if that couldn't be read) and returns the reply's text and its cost or None. usd_in and
+    usd_out are its prices of a million tokens, None where unknown."""
 
     provider: str
     model: str
     sees: bool
     hears: bool
+    usd_in: float | None
+    usd_out: float | None
 
     def ask(self, request: dict) -> tuple[str, float | None]: ...
 
@@ -49,6 +52,7 @@ class FixedModel:
     """Answers by arithmetic on the segment: up to two clips, one at its start and one from its middle."""
 
     provider, model = "fixed", "fixed-1"
+    usd_in = usd_out = None
 
     def __init__(self, sees: bool = True, hears: bool = True, usd: float | None = 0.001):
         self.sees, self.hears, self.usd = sees, hears, usd
@@ -67,7 +71,23 @@ class FixedModel:
             for i, (a, b, s) in enumerate(clips)]}), self.usd
 
 
-_MAKERS: dict[str, Callable[..., Model]] = {"fixed": FixedModel}
+class UnsteadyModel(FixedModel):
+    """As FixedModel, but fails by arithmetic: every `dead`th timeline always, others in every `lost`th second of 300."""
+
+    provider, model = "unsteady", "unsteady-1"
+
+    def __init__(self, dead: int = 10, lost: int = 3, **settings):
+        super().__init__(**settings)
+        self.dead, self.lost = dead, lost
+
+    def ask(self, request: dict) -> tuple[str, float | None]:
+        name = int(request["video_id"])
+        if name % self.dead == 0 or (name + int(request["start_sec"]) // 300) % self.lost == 0:
+            raise RuntimeError(f"refused at {int(request['start_sec'])}")
+        return super().ask(request)
+
+
+_MAKERS: dict[str, Callable[..., Model]] = {"fixed": FixedModel, "unsteady": UnsteadyModel}
 _REFUSALS: dict[str, str] = {"host": "frames are read by the caller there: use the sheet and cut operators"}
 
 
@@ -116,19 +136,10 @@ def is_object(text: str) -> bool:
         return False
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df computed once: written below the folder that spark.checkpoint.dir names, else kept by Spark."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/timeloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def replies(segments: DataFrame, model: Model, usable: Callable[[str], bool] = is_object, sleep=time.sleep, keep=stored) -> DataFrame:
+def replies(segments: DataFrame, model: Model, usable: Callable[[str], bool] = is_object, sleep=time.sleep, keep=cut) -> DataFrame:
     """segments (video_id, template, start_sec, end_sec, ...) plus raw, usd and error: one request each,
-    inside the tasks; a segment that fails costs no other. Requests are paid for, so the rows are stored."""
+    inside the tasks; a segment that fails costs no other. Requests are paid for, so the rows are written as a
+    table, which belongs to the `tables.scratch` block around the call."""
     names = segments.columns
 
     def run(batches):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.errors import AllBatchesFailed, CostRefused, TimelineError
-from timeloom.functions.pricing import add_known, media_cost, sum_or_null
+from timeloom.functions.pricing import media_cost, sum_or_null
 from timeloom.functions.text import join_key
 
 from .intervals import suppress_iou
@@ -67,12 +67,23 @@ def merge_metadata(plans: DataFrame) -> DataFrame:
     return d.select("video_id", "head.*", "analysis_time_sec", "cost_usd", "n_chunks")
 
 
-def surviving(results: DataFrame) -> DataFrame:
-    """results (video_id, chunk_index, error, ...): those without an error. A video with no chunk left
-    raises when the rows are read."""
-    by = Window.partitionBy("video_id")
-    d = results.withColumn("_good", F.count_if(F.col("error").isNull()).over(by))
-    alive = F.when(F.col("_good") > 0, F.col("error").isNull()).otherwise(
+def outcomes(results: DataFrame) -> DataFrame:
+    """results (video_id, chunk_index, error, ...) to a row a timeline: video_id, status (done, partial: some batches are
+    lost, failed: all are), n_batches, n_lost and reason, the first lost batch's error."""
+    lost = F.col("error").isNotNull()
+    d = results.groupBy("video_id").agg(F.count("*").alias("n_batches"), F.count_if(lost).alias("n_lost"), F.min_by("error", F.when(lost, F.col("chunk_index"))).alias("reason"))
+    status = F.when(F.col("n_lost") == 0, "done").when(F.col("n_lost") < F.col("n_batches"), "partial").otherwise("failed")
+    return d.select("video_id", status.alias("status"), "n_batches", "n_lost", "reason")
+
+
+def surviving(results: DataFrame, strict: bool = True) -> DataFrame:
+    """results (video_id, chunk_index, error, ...): those without an error. strict: a video with no chunk left
+    raises when the rows are read; else it has no rows, and `outcomes` tells."""
+    good = F.col("error").isNull()
+    if not strict:
+        return results.where(good).drop("error")
+    d = results.withColumn("_good", F.count_if(good).over(Window.partitionBy("video_id")))
+    alive = F.when(F.col("_good") > 0, good).otherwise(
         F.raise_error(F.concat(F.lit(f"{AllBatchesFailed.__name__}: "), F.col("video_id").cast("string"))).cast("boolean"))
     return d.where(alive).drop("error", "_good")
 
@@ -102,6 +113,3 @@ def check_cost(estimate: DataFrame, cap: float, enabled: bool = False, confirm=N
         if total > cap and not (confirm and confirm(total)):
             raise CostRefused(f"estimated {total:.4f} USD, the cap is {cap:.4f}")
 
-
-def both_passes(coarse: Column, fine: Column) -> Column:
-    return add_known(coarse, fine)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,30 +50,48 @@ def deduped(specs: DataFrame, tolerance: float = TOLERANCE_SEC) -> DataFrame:
 def hybrid(scenes: DataFrame, media: DataFrame, n: int = PER_SCENE, max_gap: float = MAX_GAP_SEC) -> DataFrame:
     """Moments in each scene and more in long ones; timelines without scenes are sampled uniformly."""
     bare = media.join(scenes.select("video_id").distinct(), "video_id", "left_anti")
+    return deduped(functools.reduce(DataFrame.unionByName, _hybrid(scenes, n, max_gap))).unionByName(uniform(bare, max_gap))
+
+
+def _hybrid(scenes: DataFrame, n: int, max_gap: float) -> list[DataFrame]:
     length = F.col("end_sec") - F.col("start_sec")
     extra = F.when(length > max_gap, F.floor(length / max_gap) - n).otherwise(0)
-    return deduped(per_scene(scenes, n).unionByName(_inside(scenes, extra))).unionByName(uniform(bare, max_gap))
+    return [per_scene(scenes, n), _inside(scenes, extra)]
+
+
+STRATEGIES = ("hybrid", "scene", "uniform")
 
 
-def sampled(strategy: str, scenes: DataFrame, media: DataFrame, min_frames: int = MIN_FRAMES, n: int = PER_SCENE,
+def sampled(strategy: str | Column, scenes: DataFrame, media: DataFrame, min_frames: int | Column = MIN_FRAMES, n: int = PER_SCENE,
             interval: float = UNIFORM_SEC, max_gap: float = MAX_GAP_SEC) -> DataFrame:
     """The moments of each timeline by strategy; hybrid samples short ones densely; a timeline with
-    fewer than min_frames is sampled anew, uniformly."""
-    if strategy == "hybrid":
-        short = F.col("duration_sec") < SHORT_SEC
-        long_media = media.where(~short)
-        specs = deduped(uniform(media.where(short), SHORT_STEP_SEC)).unionByName(
-            hybrid(scenes.join(long_media.select("video_id"), "video_id", "left_semi"), long_media, n, max_gap))
-    elif strategy == "scene":
-        specs = deduped(per_scene(scenes, n))
-    elif strategy == "uniform":
-        specs = deduped(uniform(media, interval))
-    else:
-        raise UnknownName(f"strategy {strategy!r}: one of hybrid, scene, uniform")
+    fewer than min_frames is sampled anew, uniformly. strategy and min_frames may be columns of media, so that one
+    plan samples timelines of several profiles; an unknown strategy raises."""
+    if not isinstance(strategy, Column) and strategy not in STRATEGIES:
+        raise UnknownName(f"strategy {strategy!r}: one of {', '.join(STRATEGIES)}")
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    known = F.when(as_column(strategy).isin(*STRATEGIES), as_column(strategy)).otherwise(F.raise_error(F.concat(F.lit("unknown strategy: "), as_column(strategy))).cast("string"))
+    asked = media.select("video_id", "duration_sec", known.alias("_strategy"), as_column(min_frames).alias("_least"))
+    thick, even = [], []
+    for name in STRATEGIES if isinstance(strategy, Column) else [strategy]:
+        own = asked.where(F.col("_strategy") == name).select("video_id", "duration_sec")
+        inside = scenes.join(own.select("video_id"), "video_id", "left_semi")
+        if name == "hybrid":
+            short = F.col("duration_sec") < SHORT_SEC
+            thick.append(uniform(own.where(short), SHORT_STEP_SEC))
+            thick += _hybrid(scenes.join(own.where(~short).select("video_id"), "video_id", "left_semi"), n, max_gap)
+            bare = own.where(~short).join(scenes.select("video_id").distinct(), "video_id", "left_anti")
+            even.append(uniform(bare, max_gap))
+        elif name == "scene":
+            thick.append(per_scene(inside, n))
+        else:
+            even.append(uniform(own, interval))
+    union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
+    specs = union([*([deduped(union(thick))] if thick else []), *even])
     counts = specs.groupBy("video_id").agg(F.count("*").alias("frames"))
-    few = media.join(counts, "video_id", "left").where((F.coalesce("frames", F.lit(0)) < min_frames) & (F.col("duration_sec") > 0))
-    few = few.select("video_id", "duration_sec")
-    dense = deduped(uniform(few, F.col("duration_sec") / (min_frames + 1)))
+    few = asked.join(counts, "video_id", "left").where((F.coalesce("frames", F.lit(0)) < F.col("_least")) & (F.col("duration_sec") > 0))
+    few = few.select("video_id", "duration_sec", "_least")
+    dense = deduped(uniform(few, F.col("duration_sec") / (F.col("_least") + 1)))
     return specs.join(few.select("video_id"), "video_id", "left_anti").unionByName(dense)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,11 +11,16 @@ from pyspark.sql import functions as F
 from timeloom import schema as S
 from timeloom.errors import UnknownName
 from timeloom.functions.scores import final_score
-from timeloom.functions.timecode import parse, parse_lenient, to_clock
+from timeloom.functions.timecode import from_seconds, parse, parse_lenient, to_clock
+from timeloom.functions.variants import number, text_of
 
 # As read: numbers of any kind, cut to whole scores later.
 _CLIP = ("rank double, id string, start string, end string, duration_sec double, category string, description string, rationale string, "
          "vlm_score double, heuristic_score double, final_score double, tags array<string>")
+_CLIP_ROW = ("struct<clip_id:string,start_us:bigint,end_us:bigint,category:string,description:string,rationale:string,score:int,heuristic_score:int,"
+             "final_score:int,tags:array<string>>")
+# Fixed value: the rationale of a clip without one.
+RATIONALE = "from plan.json"
 _VIDEO = "path string, duration_sec double, width int, height int, fps double, video_codec string, audio_codec string, container string, size_bytes long"
 DOCUMENT = f"video struct<{_VIDEO.replace(' ', ':').replace(',:', ',')}>, clips array<struct<{_CLIP.replace(' ', ':').replace(',:', ',')}>>, outputs map<string,array<string>>"
 
@@ -53,46 +59,118 @@ def write_manifest(ranked: DataFrame, media: DataFrame, outputs: DataFrame) -> D
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Plan or manifest files as (path, document); a file that isn't JSON raises when it is read."""
-    d = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return d.select(F.input_file_name().alias("path"), F.struct("video", "clips", "outputs").alias("document"))
+    """Plan or manifest files as (path, document, text); a file that isn't JSON raises when it is read."""
+    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    sound = F.when(F.try_parse_json("text").isNotNull(), F.col("text")).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), F.col("path"))).cast("string"))
+    return parse_documents(d.withColumn("text", sound), "text")
 
 
 def parse_documents(texts: DataFrame, column: str) -> DataFrame:
-    """Replaces a JSON column by `document`."""
-    return texts.withColumn("document", F.from_json(column, DOCUMENT)).drop(column)
+    """Replaces a JSON column by `document`, as far as it has a document's shape, and `text`, as it is."""
+    d = texts.withColumns({"document": F.from_json(column, DOCUMENT), "text": F.col(column)})
+    return d if column == "text" else d.drop(column)
 
 
 def _whole(score: Column) -> Column:
     return score.cast("int")
 
 
-def _fail_unless(valid: Column, message: str, value: Column) -> Column:
-    return F.when(valid, value).otherwise(F.raise_error(F.lit(message)).cast("long"))
-
-
-def read_clips(documents: DataFrame, key: str, min_score: int = 0) -> DataFrame:
-    """Clips of plans that reach min_score, with defaults for what is missing; a clip whose times or
-    category are invalid raises."""
-    d = documents.select(key, F.posexplode("document.clips").alias("pos", "c")).where("c is not null")
-    final, vlm = _whole(F.col("c.final_score")), _whole(F.col("c.vlm_score"))
-    vlm = F.coalesce(vlm, final, F.lit(0))
-    heuristic = F.coalesce(_whole(F.col("c.heuristic_score")), F.lit(5))
-    final = F.coalesce(final, final_score(vlm, heuristic))
-    d = d.select(key, "pos", "c", vlm.alias("score"), heuristic.alias("heuristic_score"), final.alias("final_score")).where(F.col("final_score") >= min_score)
-    # A generator of one row: the clocks are read once, not at each use.
-    d = d.select("*", F.inline(F.array(F.struct(parse(F.col("c.start")).alias("_start"), parse(F.col("c.end")).alias("_end")))))
-    start, end = F.col("_start"), F.col("_end")
-    category = F.coalesce("c.category", F.lit("highlight"))
-    valid = start.isNotNull() & end.isNotNull() & (end > start) & category.isin(*S.CATEGORIES) & F.col("score").between(0, 10)
-    number = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    tags = F.slice(F.array_compact(F.coalesce("c.tags", F.array().cast("array<string>"))), 1, 5)
-    blank = lambda c, text: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(text))
-    return d.select(
-        key, "pos", F.coalesce(F.nullif(F.col("c.id"), F.lit("")), F.concat(F.lit("clip_"), number)).alias("clip_id"),
-        _fail_unless(F.coalesce(valid, F.lit(False)), "invalid clip in a plan", start).alias("start_us"), end.alias("end_us"),
-        category.alias("category"), blank("c.description", "clip").alias("description"), blank("c.rationale", "from plan").alias("rationale"),
-        "score", "heuristic_score", "final_score", tags.alias("tags"))
+def _kind(v: Column, path: str) -> Column:
+    """STRING, BIGINT, OBJECT<...> ..., VOID for a JSON null, null for nothing there."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def _json(v: Column, path: str) -> Column:
+    return F.to_json(F.try_variant_get(v, path, "variant"))
+
+
+def _said(v: Column, path: str) -> Column:
+    """Whether a field is there and neither null, empty, false nor 0."""
+    return F.coalesce(_kind(v, path) != "VOID", F.lit(False)) & ~F.coalesce(_json(v, path).isin('""', "false", "[]", "{}") | (number(v, path) == 0), F.lit(False))
+
+
+def _score(v: Column, path: str) -> Column:
+    """Numbers are cut to whole ones; true and false count as 1 and 0; other kinds give null."""
+    flag = F.when(_kind(v, path) == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("int"))
+    return F.coalesce(_whole(number(v, path)), flag)
+
+
+def _sized(c: Column, most: int) -> Column:
+    return F.coalesce(F.length(c).between(1, most), F.lit(False))
+
+
+def _tags(v: Column) -> Column:
+    """At most five entries as text; null if tags are neither a list, a text nor null."""
+    entry = lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))
+    items = F.filter(F.try_variant_get(v, "$.tags", "array<variant>"), lambda x: x.isNotNull() & ~F.is_variant_null(x))
+    none = F.array().cast("array<string>")
+    kind = F.coalesce(_kind(v, "$.tags"), F.lit("VOID"))
+    return F.when(kind == "VOID", none).when(kind == "STRING", F.array(text_of(v, "$.tags"))).when(kind.startswith("ARRAY"), F.slice(F.transform(items, entry), 1, 5))
+
+
+def _clip(v: Column, number_: Column) -> Column:
+    """A clip's fields with defaults for what is missing, and `bad`, the first field that won't do."""
+    final = _score(v, "$.final_score")
+    vlm = F.coalesce(_score(v, "$.vlm_score"), final, F.lit(0))
+    heuristic = F.coalesce(_score(v, "$.heuristic_score"), F.lit(5))
+    or_else = lambda path, text: F.when(_said(v, path), text_of(v, path)).otherwise(F.lit(text))
+    time = lambda path: F.coalesce(parse(text_of(v, path)), from_seconds(number(v, path)))
+    fields = {
+        "clip_id": F.when(_said(v, "$.id"), F.coalesce(text_of(v, "$.id"), _json(v, "$.id"))).otherwise(F.concat(F.lit("clip_"), number_.cast("string"))),
+        "start_us": time("$.start"), "end_us": time("$.end"),
+        "category": F.when(_kind(v, "$.category").isNull(), "highlight").otherwise(text_of(v, "$.category")),
+        "description": or_else("$.description", "clip"), "rationale": or_else("$.rationale", RATIONALE),
+        "score": vlm, "heuristic_score": heuristic, "final_score": F.coalesce(final, final_score(vlm, heuristic)), "tags": _tags(v)}
+    return F.struct(*(c.alias(n) for n, c in fields.items()))
+
+
+def _bad(c: Column) -> Column:
+    ok = lambda x: F.coalesce(x, F.lit(False))
+    checks = {"id": _sized(c["clip_id"], 64), "times": ok(c["end_us"] > c["start_us"]), "category": ok(c["category"].isin(*S.CATEGORIES)), "description": _sized(c["description"], 500),
+              "score": ok(c["score"].between(0, 10)), "rationale": _sized(c["rationale"], 300), "tags": c["tags"].isNotNull()}
+    return functools.reduce(lambda out, name: out.when(~checks[name], name), checks, F.when(F.lit(False), ""))
+
+
+def _video_problem(v: Column) -> Column:
+    """Which field of the video block won't do, or null."""
+    value = lambda f: F.coalesce(number(v, f"$.video.{f}"), text_of(v, f"$.video.{f}").try_cast("double"))
+    whole = lambda f, least: (value(f) >= least) & (value(f) == F.floor(value(f)))
+    text = lambda f: text_of(v, f"$.video.{f}").isNotNull()
+    checks = {"path": text("path"), "duration_sec": value("duration_sec") > 0, "width": whole("width", 1), "height": whole("height", 1), "fps": value("fps") > 0, "video_codec": text("video_codec"),
+              "audio_codec": F.coalesce(_kind(v, "$.video.audio_codec"), F.lit("VOID")).isin("VOID", "STRING"), "container": text("container"), "size_bytes": whole("size_bytes", 0)}
+    odd = F.array_except(F.json_object_keys(_json(v, "$.video")), F.array(*map(F.lit, checks)))
+    found = functools.reduce(lambda out, name: out.when(~F.coalesce(checks[name], F.lit(False)), name), checks, F.when(F.lit(False), ""))
+    return found.when(F.size(odd) > 0, F.array_join(F.array_sort(odd), ", "))
+
+
+def judged_plans(documents: DataFrame, key: str, min_score: int = 0) -> DataFrame:
+    """documents (key, text) to key, problem and clips: what of a plan reaches min_score. Entries that aren't objects are
+    skipped. A document that is no plan, or one clip that reaches min_score and isn't valid, spoils the plan: problem
+    says why, and it has no clips."""
+    d = documents.select(key, F.inline(F.array(F.struct(F.try_parse_json("text").alias("_v")))))
+    v = F.col("_v")
+    video = _video_problem(v)
+    problem = (F.when(v.isNull(), "not JSON").when(~_kind(v, "$").startswith("OBJECT"), "not an object")
+               .when(~F.coalesce(_kind(v, "$.video").startswith("OBJECT"), F.lit(False)), "no video").when(video.isNotNull(), F.concat(F.lit("bad video: "), video))
+               .when(~F.coalesce(_kind(v, "$.clips").startswith("ARRAY"), F.lit(False)), "no clips"))
+    objects = F.filter(F.try_variant_get(v, "$.clips", "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+    enough = F.filter(objects, lambda x: F.coalesce(_score(x, "$.final_score"), final_score(F.coalesce(_score(x, "$.vlm_score"), F.lit(0)), F.coalesce(_score(x, "$.heuristic_score"), F.lit(5)))) >= min_score)
+    clips = F.transform(enough, lambda x, i: _clip(x, i + 1))
+    # Generators of one row: what is read once isn't written out again at each use.
+    d = d.select(key, F.inline(F.array(F.struct(problem.alias("_problem"), F.coalesce(clips, F.array().cast(f"array<{_CLIP_ROW}>")).alias("_clips")))))
+    bad = F.get(F.filter(F.transform("_clips", _bad), lambda b: b.isNotNull()), F.lit(0))
+    d = d.select(key, "_clips", F.inline(F.array(F.struct(F.coalesce("_problem", F.concat(F.lit("bad clip: "), bad)).alias("problem")))))
+    return d.select(key, "problem", F.when(F.col("problem").isNull(), F.col("_clips")).otherwise(F.array().cast(f"array<{_CLIP_ROW}>")).alias("clips"))
+
+
+def read_clips(documents: DataFrame, key: str, min_score: int = 0, strict: bool = True) -> DataFrame:
+    """Clips of plans that reach min_score, with defaults for what is missing. A plan with a problem raises if strict,
+    else it has no clips, and `judged_plans` tells."""
+    d = judged_plans(documents, key, min_score)
+    if strict:
+        d = d.withColumn("clips", F.when(F.col("problem").isNull(), F.col("clips")).otherwise(F.raise_error(F.concat(F.when(F.col("problem").startswith("bad clip"), "invalid clip in a plan: ").otherwise("invalid plan: "), F.col("problem"))).cast(f"array<{_CLIP_ROW}>")))
+    d = d.select(key, F.posexplode("clips").alias("pos", "c"))
+    return d.select(key, "pos", "c.*")
 
 
 def select_outputs(documents: DataFrame, key: str, min_score: int, order: str) -> DataFrame:

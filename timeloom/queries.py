@@ -469,13 +469,31 @@ def q_plan_write(spark, d):
                       F.col("c.vlm_score").cast("int").alias("vlm_score"), F.col("c.final_score").cast("int").alias("final_score"))
 
 
-@query(f"""WITH {_PLAN_ROWS}, n AS (SELECT video_id, bool_and(trunc(b * 1000) > trunc(a * 1000) AND duration_sec < 360000) AS ok FROM p GROUP BY video_id)
+@query(f"""WITH {_PLAN_ROWS}, n AS (SELECT video_id, bool_and(trunc(b * 1000) > trunc(a * 1000) AND b < 360000) AS ok FROM p WHERE final_score >= 7 GROUP BY video_id)
 SELECT video_id, 'clip-' || pos AS clip_id, trunc(a * 1000)::BIGINT * 1000 AS start_us, trunc(b * 1000)::BIGINT * 1000 AS end_us, final_score FROM p JOIN n USING (video_id) WHERE ok AND final_score >= 7""")
 def q_plan_read(spark, d):
     plans = documents.parse_documents(_plans(spark, d), "plan")
-    # Clips that the writer ends at or before their start (the source is shorter) would stop the reader.
-    sound = F.forall("document.clips", lambda c: timecode.parse(c["end"]) > timecode.parse(c["start"]))
-    return documents.read_clips(plans.where(sound & (F.col("document.video.duration_sec") < 360_000)), "video_id", 7).select("video_id", "clip_id", "start_us", "end_us", "final_score")
+    return documents.read_clips(plans, "video_id", 7, strict=False).select("video_id", "clip_id", "start_us", "end_us", "final_score")
+
+
+@query(f"""WITH {_PLAN_ROWS}, t AS (SELECT *, trunc(b * 1000) > trunc(a * 1000) AND b < 360000 AS timed, video_id % 9 AS kind FROM p),
+n AS (SELECT video_id, any_value(kind) AS kind, count(*) FILTER (final_score >= 7) AS n, bool_and(timed) FILTER (final_score >= 7) AS ok, bool_or(timed) FILTER (rank = 1) AS first, sum(end_us) FILTER (final_score >= 7) AS ends,
+  sum(trunc(b * 1000)::BIGINT * 1000) FILTER (final_score >= 7) AS shown FROM t GROUP BY video_id),
+q AS (SELECT *, CASE kind WHEN 1 THEN 'no clips' WHEN 2 THEN 'not an object' WHEN 3 THEN 'no video' WHEN 4 THEN NULL WHEN 8 THEN 'not JSON'
+  ELSE CASE WHEN n = 0 THEN NULL WHEN kind IN (6, 7) THEN CASE WHEN NOT first THEN 'bad clip: times' WHEN kind = 6 THEN 'bad clip: category' ELSE 'bad clip: description' END
+  WHEN NOT ok THEN 'bad clip: times' END END AS problem FROM n)
+SELECT video_id, problem, CASE WHEN problem IS NULL THEN n ELSE 0 END::INT AS n_clips, CASE WHEN problem IS NULL THEN CASE WHEN kind = 4 THEN n * 1500000 ELSE coalesce(shown, 0) END ELSE 0 END::BIGINT AS ends FROM q""")
+def q_plan_problems(spark, d):
+    """Plans as written and as spoilt in eight ways."""
+    p = _plans(spark, d)
+    swap = lambda pattern, by: F.regexp_replace("plan", pattern, by)
+    seconds = F.regexp_replace(swap('"start":"[^"]*"', '"start":0'), '"end":"[^"]*"', '"end":1.5')
+    ways = [F.col("plan"), swap('"clips":', '"clops":'), F.lit("[1]"), swap('"video":', '"vid":'), seconds, swap(r'"clips":\[', '"clips":[7,null,"x",'),
+            swap('"category":"', '"category":"x'), swap('"description":"[^"]*"', f'"description":"{"d" * 600}"'), F.expr("substr(plan, 1, length(plan) - 1)")]
+    spoilt = F.get(F.array(*ways), (F.col("video_id") % 9).cast("int"))
+    j = documents.judged_plans(documents.parse_documents(p.select("video_id", spoilt.alias("plan")), "plan"), "video_id", 7)
+    ends = F.aggregate(F.col("clips.end_us"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return j.select("video_id", "problem", F.size("clips").alias("n_clips"), ends.alias("ends"))
 
 
 @query(f"""WITH {_RANKED}, r AS (SELECT * FROM ranked WHERE rank <= 5)

@@ -10,7 +10,7 @@ from timeloom.analysis import models, runs
 from timeloom.functions import text
 from timeloom.operators import chunks, intervals, profiles, ranking, sampling, signals
 from timeloom.plans import documents
-from timeloom.queries import _IOU, _RANKED, query
+from timeloom.queries import _EXTRAS, _IOU, _RANKED, _SCENE_SAMPLES, _UNIFORM, _thin, query
 from timeloom.sources import probe, replies
 
 # part: a part is a timeline, its price the seconds.
@@ -89,6 +89,63 @@ def q_run_plans(spark, d):
     return clips.select("video_id", F.col("c.rank").cast("int").alias("rank"), parse(F.col("c.start")).alias("start_us"), F.col("c.final_score").cast("int").alias("final_score"), "model", "strategy")
 
 
+_ROUTED = f"""{V.SCENES}, media AS (SELECT video_id, max(end_sec) AS duration_sec FROM scenes GROUP BY video_id),
+asked AS (SELECT video_id, duration_sec, CASE WHEN video_id % 2 = 0 THEN 'keyframe' WHEN video_id % 3 = 1 THEN 'audio' ELSE 'video' END AS route,
+  [8, 5, 5][(video_id % 3 + 1)::INT] AS least, [20.0, 30.0, 45.0][(video_id % 3 + 1)::INT]::DOUBLE AS longest, [3000000, 0, 0][(video_id % 3 + 1)::INT]::BIGINT AS roll, [7, 5, 5][(video_id % 3 + 1)::INT] AS enough FROM media),
+sized AS (SELECT *, CASE route WHEN 'keyframe' THEN 1e12 WHEN 'audio' THEN 600 ELSE 300 END::DOUBLE AS size FROM asked),
+seg AS (SELECT video_id, i::INT AS chunk_index, i * size AS start_sec, least(duration_sec, i * size + size + least(longest / 2, size / 2)) AS end_sec
+  FROM (SELECT *, unnest(generate_series(0, greatest(0, ceil((duration_sec - size - least(longest / 2, size / 2)) / size))::BIGINT)) AS i FROM sized WHERE duration_sec > size)
+  UNION ALL SELECT video_id, 0, 0, duration_sec FROM sized WHERE duration_sec <= size)"""
+_FRAME_COUNTS = f"""long_scenes AS (SELECT * FROM scenes JOIN media USING (video_id) WHERE duration_sec >= 120),
+raw AS (SELECT video_id, (i + 0.5) * step AS t, NULL::INT AS scene_index FROM {_UNIFORM.format(src="(SELECT *, 1.5::DOUBLE AS step FROM media WHERE duration_sec < 120)")} WHERE (i + 0.5) * step < duration_sec
+  UNION ALL {_SCENE_SAMPLES.replace("FROM scenes", "FROM long_scenes")} UNION ALL {_EXTRAS.replace("FROM scenes", "FROM long_scenes")}),
+h AS {_thin("SELECT * FROM raw")}, n AS (SELECT video_id, count(*) AS n FROM h GROUP BY video_id),
+few AS (SELECT video_id, duration_sec, duration_sec / (least + 1) AS step FROM asked LEFT JOIN n USING (video_id) WHERE coalesce(n, 0) < least),
+dense AS {_thin("SELECT video_id, (i + 0.5) * step AS t, NULL::INT AS scene_index FROM " + _UNIFORM.format(src="few") + " WHERE (i + 0.5) * step < duration_sec")},
+frames AS (SELECT video_id, count(*) AS n_frames FROM (SELECT video_id FROM h WHERE video_id NOT IN (SELECT video_id FROM few) UNION ALL SELECT video_id FROM dense) GROUP BY video_id),
+cuts AS (SELECT video_id, count(*) AS n_scenes FROM scenes GROUP BY video_id)"""
+
+
+@query(f"""WITH {_ROUTED}, {_FRAME_COUNTS}, merged AS (SELECT {_SHOWN} FROM ({_clips('seg')})),
+scored AS (SELECT *, CASE WHEN (end_us - start_us) / 1000000 < 3 OR (end_us - start_us) / 1000000 > 60 THEN 2 ELSE 5 END AS h FROM merged),
+final AS (SELECT *, greatest(0, least(10, score + h - 5))::INT AS final_score FROM scored),
+kept AS (SELECT video_id, unnest({V.fold("list({'pos': pos, 'start_us': start_us, 'end_us': end_us, 'final_score': final_score} ORDER BY -final_score, start_us, chunk_index, pos)",
+ "greatest(0, least(x.end_us, y.end_us) - greatest(x.start_us, y.start_us))::DOUBLE / least(x.end_us - x.start_us, y.end_us - y.start_us) > 0.5")}) AS k FROM final JOIN asked USING (video_id) WHERE final_score >= enough GROUP BY video_id)
+SELECT video_id, rank, (greatest(0, k.start_us - roll) // 1000 * 1000)::BIGINT AS start_us, k.final_score AS final_score, CASE route WHEN 'keyframe' THEN 'hybrid' ELSE route END AS strategy,
+  CASE route WHEN 'keyframe' THEN n_frames ELSE 0 END::INT AS n_keyframes, CASE route WHEN 'keyframe' THEN n_scenes ELSE 0 END::INT AS n_scenes,
+  CASE route WHEN 'keyframe' THEN round_even(((800 + 1100 * n_frames) * 3.0 + 1200 * 15.0) / 1e6::DOUBLE, 4) WHEN 'audio' THEN round(duration_sec * 0.0001, 6) ELSE round(duration_sec * 0.00025, 6) END::DOUBLE AS estimate_usd
+FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY -k.final_score, k.start_us, k.pos)::INT AS rank FROM kept) JOIN asked USING (video_id) LEFT JOIN frames USING (video_id) LEFT JOIN cuts USING (video_id) WHERE rank <= 20""")
+def q_run_routes(spark, d):
+    """Whole runs over three routes: even timelines go to a model that neither sees nor hears, odd ones to one that does."""
+    from timeloom.functions.timecode import parse
+
+    scenes = V.scenes(spark, d)
+    payload = F.concat(F.lit('{"format": {"duration": "'), F.col("duration_sec").cast("string"), F.lit(
+        '"}, "streams": [{"codec_type": "video", "codec_name": "h264", "width": 640, "height": 360, "avg_frame_rate": "25/1"}]}'))
+    hint = F.get(F.array(F.lit("highlights"), F.lit("talk"), F.lit("hybrid")), (F.col("video_id") % 3).cast("int"))
+    asked = V.scene_media(scenes).select("video_id", F.concat(F.col("video_id").cast("string"), F.lit(".mp4")).alias("path"), payload.alias("payload"), hint.alias("hint"))
+    blind = runs.run_all(asked.where("video_id % 2 = 0"), scenes, models.make("fixed", sees=False, hears=False)).plans
+    seeing = runs.run_all(asked.where("video_id % 2 = 1"), scenes, models.make("fixed")).plans
+    part = lambda path, kind: F.get_json_object("plan", path).cast(kind)
+    doc = blind.unionByName(seeing).select("video_id", part("$.sampling.strategy", "string").alias("strategy"), part("$.sampling.n_keyframes", "int").alias("n_keyframes"),
+                                           part("$.sampling.n_scenes", "int").alias("n_scenes"), F.round(part("$.vlm.cost_upfront_estimate_usd", "double"), 6).alias("estimate_usd"), "plan")
+    clips = documents.parse_documents(doc, "plan").select("*", F.explode("document.clips").alias("c"))
+    return clips.select("video_id", F.col("c.rank").cast("int").alias("rank"), parse(F.col("c.start")).alias("start_us"), F.col("c.final_score").cast("int").alias("final_score"),
+                        "strategy", "n_keyframes", "n_scenes", "estimate_usd")
+
+
+@query(f"""WITH {_MEDIA}, seg AS ({_batches('10')}), lost AS (SELECT *, video_id % 10 = 0 OR (video_id + floor(start_sec)::BIGINT // 300) % 3 = 0 AS gone FROM seg),
+alive AS (SELECT video_id, chunk_index, start_sec, end_sec FROM lost WHERE NOT gone), merged AS (SELECT {_SHOWN} FROM ({_clips('alive')})), c AS (SELECT video_id, count(*) AS n_clips FROM merged GROUP BY video_id),
+o AS (SELECT video_id, count(*) AS n_batches, count(*) FILTER (gone) AS n_lost, min(start_sec) FILTER (gone) AS first FROM lost GROUP BY video_id)
+SELECT video_id, CASE WHEN n_lost = 0 THEN 'done' WHEN n_lost < n_batches THEN 'partial' ELSE 'failed' END AS status, n_batches, n_lost,
+  'RuntimeError: refused at ' || first::BIGINT AS reason, coalesce(n_clips, 0) AS n_clips FROM o LEFT JOIN c USING (video_id)""")
+def q_outcomes(spark, d):
+    """A model that fails for some timelines: they cost the others nothing, and are told."""
+    found = runs.analyse(_media(spark, d).withColumn("max_sec", F.lit(20.0)), models.make("unsteady"), audio=False, strict=False)
+    n = found.clips.groupBy("video_id").agg(F.count("*").alias("n_clips"))
+    return found.outcomes.join(n, "video_id", "left").withColumn("n_clips", F.coalesce("n_clips", F.lit(0)))
+
+
 @query(f"WITH {_MEDIA} SELECT video_id, ['highlights', 'talk', 'hybrid'][length(video_id::VARCHAR) % 3 + 1] AS content_hint, 0.5::DOUBLE AS confidence, NULL::VARCHAR AS problem FROM media WHERE duration_sec > 0")
 def q_detect_hints(spark, d):
     return runs.detect_hints(_media(spark, d), models.make("fixed")).select("video_id", "content_hint", "confidence", "problem")

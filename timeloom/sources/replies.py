@@ -8,21 +8,12 @@ from pyspark.sql import functions as F
 from timeloom import schema as S
 from timeloom.functions.text import isolate_json
 from timeloom.functions.timecode import from_seconds, parse
+from timeloom.functions.variants import number as _number
+from timeloom.functions.variants import text_of as _text
 
 PROMPT_VERSION = "v12"
 
 
-def _text(v: Column, path: str) -> Column:
-    """A string field, null for other kinds."""
-    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    return F.when(kind == "STRING", F.try_variant_get(v, path, "string"))
-
-
-def _number(v: Column, path: str) -> Column:
-    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    return F.when(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL.*)$"), F.try_variant_get(v, path, "double"))
-
-
 def _time(v: Column, path: str) -> Column:
     return F.coalesce(parse(_text(v, path)), from_seconds(_number(v, path)))
 

@@ -308,6 +308,7 @@ def _mapped(df: DataFrame, vocabulary: Vocabulary, source: str, added: list[tupl
                 new = work(worker, part.column(columns.index(source)).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *(pa.array(c, t) for c, (_, t, _) in zip(new, added, strict=True))], names=[*columns, *(n for n, _, _ in added)])
+        pa.default_memory_pool().release_unused()  # else what the largest batch took stays with the process
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInArrow(run, own + "".join(f", {n} {s}" for n, _, s in added))

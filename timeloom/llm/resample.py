@@ -162,13 +162,14 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
         every = docs.select("text").mapInArrow(run, "word string, n long")
         level = F.floor(F.log2("n") * 4)  # under 256 levels, whatever the counts
         words = cut(every.groupBy("word").agg(F.sum("n").alias("n")).select("word", level.alias("level")), "counts")
-        found: list[str] = []
+        held, least, part = 0, 0, 0  # levels from least on fit whole, and so many words of the next one
         for r in sorted(words.groupBy("level").count().collect(), reverse=True):
-            at = words.where(F.col("level") == r["level"]).select("word")
-            whole = len(found) + r["count"] <= size
-            found += [w["word"] for w in (at if whole else at.limit(size - len(found))).collect()]
-            if not whole:
+            least, part = r["level"], min(r["count"], size - held)
+            held += part
+            if part < r["count"]:
                 break
+        above = words.where(F.col("level") > least).select("word")
+        found = [w["word"] for w in above.unionByName(words.where(F.col("level") == least).select("word").limit(part)).collect()]
     return found
 
 

@@ -13,6 +13,7 @@ from timeloom.errors import UnknownName
 from timeloom.functions.scores import final_score
 from timeloom.functions.timecode import from_seconds, parse, parse_lenient, to_clock
 from timeloom.functions.variants import number, text_of
+from timeloom.tables import cut, scratch
 
 # As read: numbers of any kind, cut to whole scores later.
 _CLIP = ("rank double, id string, start string, end string, duration_sec double, category string, description string, rationale string, "
@@ -225,11 +226,9 @@ def dispatch(ranked: DataFrame, modes: list[str], sinks: dict[str, Sink], manife
                 raise UnknownName(f"output {name!r}: one of {sorted(sinks)}")
             if name not in wanted:
                 wanted.append(name)
-    kept = ranked.persist()
-    try:
+    with scratch(ranked.sparkSession):
+        kept = cut(ranked, "ranked")  # all sinks write the same rows
         written = {name: sinks[name](kept) for name in wanted}
         if manifest is not None:
             manifest(kept, written)
-    finally:
-        kept.unpersist()
     return wanted

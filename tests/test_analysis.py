@@ -173,6 +173,24 @@ def test_prober_seam(spark):
     assert got == {"gone": "no such file", "slow": "no answer in 30 s", "bad": "exit code 1", "broken": "not a probe", "mute": "no video stream"}
 
 
+def test_probers_that_hang_or_die(spark):
+    def prober(path, timeout):
+        import os
+        import time
+
+        if path == "hangs":
+            time.sleep(600)
+        if path == "dies":
+            os._exit(3)
+        if path == "raises":
+            raise KeyError("x")
+        return 0, '{"streams": []}'
+
+    d = spark.createDataFrame([(p,) for p in ("hangs", "dies", "raises", "mute")], "path string").coalesce(1)
+    got = {r["path"]: r["problem"] for r in rows(probe.probe_files(d, prober, timeout=0.5))}
+    assert got == {"hangs": "no answer in 0.5 s", "dies": "exit code 3", "raises": "KeyError: 'x'", "mute": "no video stream"}
+
+
 def test_catalogue_payloads(spark, tmp_path):
     file = tmp_path / "models.json"
     file.write_text(json.dumps({"data": [{"id": "b", "architecture": {"modality": "audio"}}, 7, "x", {"id": "b", "architecture": {"modality": "video"}}]}))

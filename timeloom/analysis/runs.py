@@ -206,9 +206,10 @@ def summary(ranked: DataFrame, metadata: DataFrame) -> DataFrame:
     return d.join(metadata.select("video_id", "provider", "model", "cost_usd"), "video_id", "left")
 
 
-def cuts_from(plans: DataFrame, key: str, min_score: int = 0) -> DataFrame:
-    """plans (key, document) to the cuts to make: key, place, start_us, end_us and the file's name."""
+def cuts_from(plans: DataFrame, key: str, min_score: int = 0, strict: bool = True) -> DataFrame:
+    """plans (key, text) to the cuts to make: key, place, start_us, end_us and the file's name. A plan that can't be
+    read raises if strict, else it has none."""
     from timeloom.functions.text import clip_filename
 
-    d = ranking.numbered(documents.read_clips(plans, key, min_score), ("pos",), key, "place")
+    d = ranking.numbered(documents.read_clips(plans, key, min_score, strict), ("pos",), key, "place")
     return d.select(key, "place", "start_us", "end_us", clip_filename(F.col("final_score"), F.col("place"), F.col("description")).alias("file"))

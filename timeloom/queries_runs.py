@@ -10,7 +10,7 @@ from timeloom.analysis import models, runs
 from timeloom.functions import text
 from timeloom.operators import chunks, intervals, profiles, ranking, sampling, signals
 from timeloom.plans import documents
-from timeloom.queries import _EXTRAS, _IOU, _RANKED, _SCENE_SAMPLES, _UNIFORM, _thin, query
+from timeloom.queries import _EXTRAS, _IOU, _PLAN_ROWS, _RANKED, _SCENE_SAMPLES, _UNIFORM, _plans, _thin, query
 from timeloom.sources import probe, replies
 
 # part: a part is a timeline, its price the seconds.
@@ -279,3 +279,22 @@ def q_frames_per_timeline(spark, d):
 def q_surviving_batches(spark, d):
     b = chunks.batches(_media(spark, d), False, 20.0).withColumn("error", F.when((F.col("chunk_index") % 2 == 1), "failed"))
     return chunks.surviving(b)
+
+
+@query(f"""WITH {_PLAN_ROWS}, n AS (SELECT video_id, bool_and(trunc(b * 1000) > trunc(a * 1000) AND b < 360000) AS ok FROM p WHERE final_score >= 6 GROUP BY video_id),
+c AS (SELECT p.*, category, row_number() OVER (PARTITION BY video_id ORDER BY rank)::INT AS place FROM p JOIN n USING (video_id) JOIN ({V.CLIPS.removeprefix("clips AS ")}) q USING (video_id, pos) WHERE ok AND p.final_score >= 6)
+SELECT video_id, place, trunc(a * 1000)::BIGINT * 1000 AS start_us, trunc(b * 1000)::BIGINT * 1000 AS end_us, printf('s%02d_clip_%03d_Moment-%d-%s.mp4', final_score::INT, place, pos::INT, category) AS file FROM c""")
+def q_plan_cuts(spark, d):
+    """The cuts that plans ask for, with the names of their files; plans that can't be read have none."""
+    return runs.cuts_from(documents.parse_documents(_plans(spark, d), "plan"), "video_id", 6, strict=False)
+
+
+@query(f"""WITH {V.CLIPS} SELECT video_id, count(*)::INT AS n_clips, round(sum(score), 6)::DOUBLE AS usd FROM clips GROUP BY video_id""")
+def q_reply_cost(spark, d):
+    """What replies say that they cost: a reply a timeline, its cost the sum of its scores."""
+    c = V.clips(spark, d)
+    clip = F.struct(F.concat(F.lit("c"), F.col("pos").cast("string")).alias("id"), F.lit(0).alias("start"), F.lit(1.5).alias("end"), F.lit("filler").alias("category"), F.lit("d").alias("description"),
+                    "score", F.lit("r").alias("rationale"))
+    told = c.groupBy("video_id").agg(F.collect_list(clip).alias("clips"), F.sum("score").cast("double").alias("cost"))
+    raw = told.select("video_id", F.concat(F.lit("Here it is: "), F.to_json(F.struct("clips", F.struct("cost").alias("usage")))).alias("raw"))
+    return replies.parse_plans(raw).select("video_id", F.size("clips").alias("n_clips"), "usd")

@@ -39,25 +39,55 @@ def parse_probe(payloads: DataFrame, text: str = "payload", path: str = "path",
     return d.withColumn("problem", problem).drop("_broken", "_none")
 
 
+#: What a prober that was stopped after its time-out gets to end by itself.
+GRACE_SEC = 1.0
+
+
+def _probed(prober, path: str, timeout: float) -> tuple[str | None, str | None]:
+    """Payload and problem of one file. The prober runs in a process of its own, which is killed when the time is over."""
+    import multiprocessing
+
+    context = multiprocessing.get_context("fork")
+    here, there = context.Pipe(duplex=False)
+
+    def ask():
+        try:
+            there.send(prober(path, timeout))
+        except FileNotFoundError:
+            there.send((None, "no such file"))
+        except TimeoutError:
+            there.send((None, f"no answer in {timeout:g} s"))
+        except BaseException as failure:  # noqa: BLE001  told as this file's problem
+            there.send((None, f"{type(failure).__name__}: {failure}"))
+
+    process = context.Process(target=ask, daemon=True)
+    process.start()
+    there.close()
+    try:
+        if not here.poll(timeout + GRACE_SEC):
+            return None, f"no answer in {timeout:g} s"
+        code, said = here.recv()
+    except EOFError:
+        process.join(GRACE_SEC)
+        return None, f"exit code {process.exitcode}"
+    finally:
+        if process.is_alive():
+            process.kill()
+        process.join()
+        here.close()
+    return (None, said) if code is None else (said, f"exit code {code}" if code else None)
+
+
 def probe_files(paths: DataFrame, prober, timeout: float = 30.0) -> DataFrame:
     """paths (path) to media facts and problem. prober(path, timeout) gives the exit code and the printed
-    text, inside the tasks; a missing file, a time-out, another code than 0 and bad JSON are problems."""
+    text, inside the tasks; a missing file, a time-out, another code than 0 and bad JSON are problems. A prober
+    that hangs is killed soon after its time-out."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
-            paths, payloads, problems = batch.column(0).to_pylist(), [], []
-            for path in paths:
-                payload = problem = None
-                try:
-                    code, payload = prober(path, timeout)
-                    problem = f"exit code {code}" if code else None
-                except FileNotFoundError:
-                    problem = "no such file"
-                except TimeoutError:
-                    problem = f"no answer in {timeout:g} s"
-                payloads.append(payload)
-                problems.append(problem)
+            paths = batch.column(0).to_pylist()
+            payloads, problems = zip(*(_probed(prober, path, timeout) for path in paths)) if paths else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(payloads, pa.string()), pa.array(problems, pa.string())], names=["path", "payload", "failure"])
 
     d = paths.select("path").mapInArrow(run, "path string, payload string, failure string")

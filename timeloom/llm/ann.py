@@ -132,7 +132,8 @@ class Wave:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, books: np.ndarray, keep: int):
         self.ids, self.vectors, self.books, self.keep = ids, vectors, books, keep
 
-    def scan(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+    def scan(self, rows: pa.RecordBatch):
+        """Approximate scores, least ids and classes of the best of a block, a row a query; -inf where there are none."""
         classes, least = rows["class_id"].to_numpy(), rows["least"].to_numpy()
         order = np.lexsort((classes, least))  # ties below go to the smaller id
         classes, least, half = classes[order], least[order], rows["half_norm"].to_numpy()[order].astype(np.float32)
@@ -147,14 +148,26 @@ class Wave:
                 score += lut[:, b][:, codes[:, b]]
             score[(ids[:, None] == least[None]) & single] = -np.inf
             best = np.argsort(-score, axis=1, kind="stable")[:, : self.keep]
-            value = np.take_along_axis(score, best, axis=1)
-            real = value > -np.inf
-            out.append((np.repeat(ids, best.shape[1])[real.ravel()], classes[best][real], least[best][real], value[real].astype(np.float64)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "class_id", "least", "approx"])
+            out.append((np.take_along_axis(score, best, axis=1).astype(np.float64), least[best], classes[best]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+    def better(self, a, b):
+        """The best of two scans."""
+        if a is None:
+            return b
+        value, least, classes = (np.concatenate(c, axis=1) for c in zip(a, b, strict=True))
+        best = np.lexsort((classes, least, -value), axis=1)[:, : self.keep]
+        return [np.take_along_axis(c, best, axis=1) for c in (value, least, classes)]
+
+    def rows(self, found) -> pa.RecordBatch:
+        value, least, classes = found
+        real = value > -np.inf
+        ids = np.repeat(self.ids, value.shape[1])[real.ravel()]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, classes[real], least[real], value[real])], names=["query_id", "class_id", "least", "approx"])
 
 
 def _scanned(codes: DataFrame, ask: DataFrame, n_queries: int, books: np.ndarray, keep: int) -> DataFrame:
-    """The best `keep` classes of each query in each block of codes. Codes stay where they are; queries come
+    """The best `keep` classes of each query; a task hands out that many a query, whatever it has scanned. Codes stay where they are; queries come
     to them in waves of about QUERY_WAVE, which are broadcast: their size is bounded, whatever the tables."""
     spark, waves = codes.sparkSession, max(1, -(-n_queries // QUERY_WAVE))
     wave = F.pmod(F.xxhash64("query_id"), F.lit(waves))
@@ -166,19 +179,22 @@ def _scanned(codes: DataFrame, ask: DataFrame, n_queries: int, books: np.ndarray
         shared = spark.sparkContext.broadcast(Wave(rows["query_id"].to_numpy(), np.array(rows["vector"].tolist(), np.float64), books, keep))
 
         def run(batches, shared=shared):
-            held, n = [], 0
+            wave, best, held, n = shared.value, None, [], 0
+            scan = lambda held: wave.scan(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
             for batch in batches:
                 held.append(batch)
                 n += batch.num_rows
                 if n >= ROW_BLOCK:
-                    yield shared.value.scan(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                    held, n = [], 0
+                    best, held, n = wave.better(best, scan(held)), [], 0
             if n:
-                yield shared.value.scan(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                best = wave.better(best, scan(held))
+            if best is not None:
+                yield wave.rows(best)
 
         best = Window.partitionBy("query_id").orderBy(F.desc("approx"), "least", "class_id")
         some = codes.mapInArrow(run, schema).withColumn("place", F.row_number().over(best)).where(F.col("place") <= keep)
         found.append(cut(some.select("query_id", "class_id"), "found"))
+        shared.destroy()  # its table is written
     return functools.reduce(DataFrame.unionByName, found)
 
 

@@ -20,7 +20,7 @@ process keeps its worker for its next partitions.
 
 Cases: a null text is empty; an empty text has no ids and decodes to no bytes; special tokens are
 ordinary text; very long texts are encoded whole, very long words in linear time but for borders that
-fail again and again; repeated rows are encoded each for itself; an empty table gives an empty result;
+fail again and again; ids are not looked at, null ones pass through; repeated rows are encoded each for itself; an empty table gives an empty result;
 further columns are ignored by `op7` and kept by `encode` and `decode`, but for an input's own columns
 `ids` (encode) and `decoded` (decode), whose place the new ones take.
 """

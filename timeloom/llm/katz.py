@@ -18,7 +18,7 @@ The order is two: a table of trigrams doesn't fit the disk allowed (README has t
 blobs are one a chunk that it meets, never more than its postings, and hold the documents that occur in
 it. All postings of one pair of words meet in one task.
 
-Words are known by 64 bits of a hash; very long texts are chunks of their own. Cases: a null text is empty (one token, the end); null ids are
+Tables in between belong to the `scratch` block around the call. Words are known by 64 bits of a hash; very long texts are chunks of their own. Cases: a null text is empty (one token, the end); null ids are
 training rows; repeated rows count in training each and are scored each; without training tokens
 every token is unknown and scores 0; an empty table gives an empty result; further columns are ignored.
 """

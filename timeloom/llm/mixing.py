@@ -12,7 +12,8 @@ A source of any share is dealt out: offsets are prefix sums over 4096 hash bucke
 inside each bucket, over its documents. DataFrame functions alone, no Python on executors.
 
 Cases: null text has size 0 and is never taken; without any word all targets are 0; a null source is a source of its own, the last; rows
-repeated count each for itself; equal hashes are ordered by id, size and text hash; an empty table
+repeated count each for itself; null ids hash alike and come first in their source, ordered by size and text hash; a very long text is
+one row, counted whole; equal hashes are ordered by id, size and text hash; an empty table
 gives an empty result; further columns are kept by `mix` and ignored by `positions`.
 """
 

@@ -5,7 +5,7 @@ rule. Policies are named, versioned sets of rules; applying one, or asking what
 touches the ledger's integers, never the texts. DataFrame functions alone, no Python on executors.
 
 Cases: a null or blank text has no words and so fails MIN_WORDS; repeated rows are judged each for
-itself; an empty table gives an empty ledger; further columns stay out of the way (only `id_col` and
+itself, and rows without an id like any other; an empty table gives an empty ledger; further columns stay out of the way (only `id_col` and
 `text_col` are read; `filter_documents` returns all columns as they came);
 very long texts are measured whole, in one row.
 """

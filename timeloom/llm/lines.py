@@ -1,17 +1,16 @@
 """Line dedup by content-defined chunks of lines.
 
-A chunk of lines ends where the rolling hash over the last ROLLING lines' hashes is less than at the line before and
-no greater than at the next. That depends on the lines around alone: equal passages are cut alike, whatever
-stands before them, and between two boundaries there are two lines at least. Chunks of several lines, with a
-word in them, that occur more than once in the corpus meet the earliest (smallest id, then smallest line number).
-Where a chunk repeats, the lines around it may, too, without filling a chunk of their own: a match is taken on
-line by line over the NEAR chunks on both sides, as long as the hashes of the lines agree. That reaches a passage's
-ends: where two texts differ before or after it, their boundaries differ in its outermost three lines only. Matches
-of one pair of texts that touch become one passage, whose bytes are compared with the earlier place's; equal
-ones are removed, the earliest stays.
+The rolling hash over ROLLING lines chooses boundaries: a chunk starts where some of its bits aren't divisible by
+DIVISOR at its first lines, and ends at the next place where other bits aren't at its last lines, or with the text. Both
+depend on lines inside the chunk alone, so equal passages are cut alike, whatever stands around them, and a
+passage of two lines can hold a chunk. Chunks have several lines and may overlap. Those with a word in them that
+occur more than once in the corpus meet the earliest (smallest id, then smallest line number). A match is taken on line
+by line over NEAR lines on both sides, as long as the hashes of the lines agree: these reach to a passage's ends, where
+its outermost lines bound no chunk. Matches of one pair of texts that touch become one passage, whose bytes are
+compared with the earlier place's; equal ones are removed, the earliest stays.
 
 A line goes only if an equal one stays at an earlier place. A passage must hold a whole chunk to be found, so
-short ones may stay: README has figures.
+some of the shortest stay: README has figures.
 
 Counts are map-side combined and written as a table of the repeated hashes, so that copies meet the
 earliest by a join of two plain exchanges, which Spark splits when a chunk is very common. Lines' bytes are
@@ -34,37 +33,36 @@ from pyspark.sql import functions as F
 from .anchors import rolling_hashes
 from .common import cut, load, scratch
 
-#: Lines in the rolling hash; least lines of a chunk that counts; chunks before and after that matches go on over.
+#: Lines in the rolling hash, which a chunk has at least; one line in DIVISOR bounds no chunk; lines before and after a
+#: chunk that its match may go on over.
 ROLLING = 2
-MIN_LINES = 2
-NEAR = 3
+DIVISOR = 8
+NEAR = 4
 _LEAST_ID = -(1 << 63)
 
 
-def _ends(hashes: np.ndarray) -> list[int]:
-    """Where chunks end."""
-    h = rolling_hashes(hashes, ROLLING)
-    least = np.flatnonzero((h[1:-1] < h[:-2]) & (h[1:-1] <= h[2:])) + 1
-    return [*(least + ROLLING).tolist(), len(hashes)]
+def _bounds(hashes: np.ndarray) -> list[tuple[int, int]]:
+    """First line and end of each chunk."""
+    h, n = rolling_hashes(hashes, ROLLING), np.uint64(DIVISOR)
+    starts = np.flatnonzero((h >> np.uint64(8)) % n)
+    ends = np.append(np.flatnonzero((h >> np.uint64(36)) % n) + ROLLING, len(hashes))
+    return [*zip(starts.tolist(), ends[np.searchsorted(ends, starts + ROLLING)].tolist(), strict=True)]
 
 
 def chunks_of(text: bytes):
     """(first line, lines, bytes) of each chunk."""
-    for start, end, body in _split(text)[0]:
-        yield start, end - start, body
+    lines = text.split(b"\n")
+    for start, end in _bounds(_hashes(lines)):
+        yield start, end - start, b"\n".join(lines[start:end])
 
 
-def _split(text: bytes):
-    """As chunks_of, with the ends; and the hashes of all lines, in 32 bits."""
-    lines = text.split(b"\n")
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
-    ends = _ends(hashes)
-    return [(a, b, b"\n".join(lines[a:b])) for a, b in zip([0, *ends], ends)], hashes.astype(np.uint32).view(np.int32)  # noqa: B905
+def _hashes(lines: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
 
 
 def _chunks(keyed: DataFrame) -> DataFrame:
-    """(id, tag, text) to its chunks of several lines with a word: h1, h2, id, tag, at, n, and the hashes of the lines
-    of the NEAR chunks before and after."""
+    """(id, tag, text) to its chunks with a word: h1, h2, id, tag, at, n, and 32 bits of the hashes of the NEAR lines
+    before and after."""
     shape = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("at", pa.int32()), ("n", pa.int32()),
                        ("before", pa.list_(pa.int32())), ("after", pa.list_(pa.int32()))])
 
@@ -73,18 +71,20 @@ def _chunks(keyed: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows, held = [], 0
+            rows = []
             for i, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
-                found, hashes = _split(text.as_py() or b"")
-                for k, (start, end, body) in enumerate(found):
-                    if end - start >= MIN_LINES and body.split(None, 1):
+                lines = (text.as_py() or b"").split(b"\n")
+                hashes = _hashes(lines)
+                short = hashes.astype(np.uint32).view(np.int32)
+                for start, end in _bounds(hashes):
+                    body = b"\n".join(lines[start:end])
+                    if body.split(None, 1):
                         d = xxhash.xxh3_128_digest(body)
                         rows.append((int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), i, tag, start, end - start,
-                                     hashes[found[max(k - NEAR, 0)][0] : start], hashes[end : found[min(k + NEAR, len(found) - 1)][1]]))
-                held += len(hashes)
-                if held > 50_000 and rows:
-                    yield batch_of(rows)
-                    rows, held = [], 0
+                                     short[max(start - NEAR, 0) : start], short[end : end + NEAR]))
+                    if len(rows) >= 20_000:
+                        yield batch_of(rows)
+                        rows = []
             if rows:
                 yield batch_of(rows)
 
@@ -98,7 +98,7 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def _passages(chunks: DataFrame) -> DataFrame:
-    """Matches of chunks with the earliest, taken on over the neighbours and joined: id, tag, lo, hi, first_id, first_tag,
+    """Matches of chunks with the earliest, taken on over the lines around and joined: id, tag, lo, hi, first_id, first_tag,
     shift (lines from the earlier place to this one, within their texts), chunks."""
     found = chunks.groupBy("h1", "h2").agg(F.min(F.struct("id", "tag", "at")).alias("first"), F.count("*").alias("times"))
     found = cut(found.where("times > 1").select("h1", "h2", "first"), "common")

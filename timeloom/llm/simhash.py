@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 texts = part.column(2).cast(pa.binary())
                 fps = np.fromiter((simhash(t.as_py() or b"", shingle) for t in texts), np.uint64, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "mark", "fp"])
+        pa.default_memory_pool().release_unused()  # else what the largest batch took stays with the process
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(docs).alias("mark"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, mark long, fp long")
@@ -111,6 +112,8 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     radius."""
     if radius > 5:
         raise ValueError("a radius over 5 needs larger balls")  # two segments of two flipped bits each, and one
+    # A row becomes 66: a small table must not end in a few tasks.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     halves = fps.select("fp", F.posexplode(F.array(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", WIDTH))).alias("seg", "v"))
     flips = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(WIDTH)))
     ball = halves.select("fp", "seg", "v", F.explode(flips).alias("flip"))

@@ -16,9 +16,11 @@ def test_readiness_over_micro_batches(spark, tmp_path):
         every.where(f"t >= {lo} and t < {hi}").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
     stream = spark.readStream.schema(POLL).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     q = readiness.watch(stream, 2.0, 10.0).writeStream.format("memory").queryName("ready").outputMode("append").option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r["path"]: (r["status"], r["at"]) for r in spark.table("ready").collect()} == WANT
+        "checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="100 milliseconds").start()
+    try:
+        assert until(spark, "ready", len(WANT)) == WANT
+    finally:
+        q.stop()
 
 
 def test_windows_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
@@ -57,9 +59,11 @@ def test_late_polls_are_ignored_across_batches(spark, tmp_path):
         spark.createDataFrame([("p", t, n, n) for t, n in rows], POLL).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
     stream = spark.readStream.schema(POLL).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     q = readiness.watch(stream, 2.0, 100.0).writeStream.format("memory").queryName("late").outputMode("append").option(
-        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert until(spark, "late", 1, 1) == {"p": ("ready", 5.0)}
+        "checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="100 milliseconds").start()
+    try:
+        assert until(spark, "late", 1) == {"p": ("ready", 5.0)}
+    finally:
+        q.stop()
 
 
 def test_readiness_of_files_in_a_folder(spark, tmp_path):

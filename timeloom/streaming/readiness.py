@@ -77,7 +77,8 @@ class _Watch(StatefulProcessor):
 def watch(polls: DataFrame, stable_for: float = 2.0, timeout: float = 900.0, keep_done: float = 3600.0) -> DataFrame:
     """polls: a stream (path, t in seconds, size_bytes, mtime_ns). Emits a path once, when it is ready or has run out of
     time: by its polls, or when the processing clock says that no poll will come in time. That a path is done is
-    kept for `keep_done` seconds after its last poll; polls later than that would start it anew. Timers need the
-    RocksDB state store, which is set for the session."""
+    kept for `keep_done` seconds after its last poll; polls later than that would start it anew. As timers may always
+    come, the query runs until it is stopped, whatever its trigger. They need the RocksDB state store, which is
+    set for the session."""
     polls.sparkSession.conf.set(_PROVIDER, _ROCKS)
     return polls.groupBy("path").transformWithStateInPandas(_Watch(stable_for, timeout, keep_done), OUT, "append", "processingTime")

@@ -264,6 +264,7 @@ def test_settings(tmp_path, caplog):
     file.write_text('min_score = 3\noutputs = ["merged"]\n[extra]\na = 1\n')
     s = Settings.load(file, {"TIMELOOM_MIN_SCORE": "6", "OTHER": "1"}, max_clips=4)
     assert (s.min_score, s.max_clips, s.outputs, s.overlap) == (6, 4, ("merged",), 0.5)
+    assert "settings that don't exist: extra" in caplog.text
     assert Settings.load(tmp_path / "none.toml", {}) == Settings()
     assert from_environment({"TIMELOOM_A__B": "x", "TIMELOOM_A__C": "y"}) == {"a": {"b": "x", "c": "y"}}
     assert merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}

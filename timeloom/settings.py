@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import dataclasses
+import logging
 import os
 import tomllib
 from collections.abc import Mapping
 from pathlib import Path
 
+log = logging.getLogger(__name__)
 PREFIX = "TIMELOOM_"
 
 
@@ -59,6 +61,8 @@ class Settings:
         flat = merged(layers.get("timeloom", layers), said)
         known = {f.name: f for f in dataclasses.fields(cls)}
         values = {}
+        if odd := sorted(set(flat) - set(known)):
+            log.warning("settings that don't exist: %s", ", ".join(odd))
         for name, value in flat.items():
             if name in known:
                 default = known[name].default

@@ -6,6 +6,7 @@ Every run takes many timelines at once. media: video_id, duration_sec and, from
 from __future__ import annotations
 
 import dataclasses
+import functools
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -180,11 +181,12 @@ def run_all(requests: DataFrame, scenes: DataFrame, model: models.Model, default
         media = facts.where("problem is null").drop("problem")
     media = profiles.resolve(media, default_score)
     media = media.withColumn("route", profiles.route(F.col("hint"), F.lit(model.hears), F.lit(model.sees)))
-    found = by_keyframes(media.where("route = 'keyframe'"), scenes, model, strict)
+    parts = [] if model.sees else [by_keyframes(media.where("route = 'keyframe'"), scenes, model, strict)]
     for kind, able in (("video", model.sees), ("audio", model.hears)):
         if able:
             more = analyse(media.where(F.col("route") == kind), model, kind == "audio", refine, template=F.lit("hybrid"), strict=strict)
-            found = found.plus(dataclasses.replace(more, metadata=more.metadata.withColumns({"n_frames": F.lit(0).cast("long"), "n_scenes": F.lit(0).cast("long")})))
+            parts.append(dataclasses.replace(more, metadata=more.metadata.withColumns({"n_frames": F.lit(0).cast("long"), "n_scenes": F.lit(0).cast("long")})))
+    found = functools.reduce(Found.plus, parts)
     unread = facts.where("problem is not null").select("video_id", F.lit("failed").alias("status"), F.lit(0).cast("long").alias("n_batches"), F.lit(0).cast("long").alias("n_lost"), F.col("problem").alias("reason"))
     return Run(*complete(found, media), found.outcomes.unionByName(unread))
 

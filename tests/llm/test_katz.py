@@ -74,6 +74,28 @@ def test_matches_brute_force(spark, monkeypatch, small):
         assert got[i]["score"] == pytest.approx(plain.score(t or ""), rel=1e-9)
 
 
+def test_hot_pairs_leave_no_postings(spark, monkeypatch):
+    monkeypatch.setattr(katz, "HEAVY", 40)
+    texts = [f"very common pair w{i % 7} x{i}" for i in range(80)] + ["", "very common", "common very pair"]
+    d = docs(spark, texts).repartition(5).select("doc_id", (F.col("doc_id") % 4 == 0).alias("out"), "text")
+    plain = Plain([t for i, t in enumerate(texts, 1) if i % 4])
+    filed, postings, evaluate = [], katz._postings, katz._terms
+
+    def spy(docs, buckets, part, heavy, hot, terms):
+        filed.append((len(hot[0]), terms is not None))
+        return postings(docs, buckets, part, heavy, hot, terms)
+
+    monkeypatch.setattr(katz, "_postings", spy)
+    counts = []
+    monkeypatch.setattr(katz, "_terms", lambda uni, c, *rest: counts.append(sorted(c.tolist())) or evaluate(uni, c, *rest))
+    got = {r["doc_id"]: r["score"] for r in collect(katz.score(d))}
+    for i, t in enumerate(texts, 1):
+        assert got[i] == pytest.approx(plain.score(t), rel=1e-9)
+    often = sorted(n for f in plain.bi.values() for n in f.values() if n * 40 >= plain.total)
+    assert filed == [(len(often), False), (len(often), True)] and len(often) >= 3
+    assert counts[-1] == often
+
+
 def test_distributions_add_up():
     plain = Plain([t or "" for t in corpus(30)])
     for v in [None, *list(plain.bi)[:20]]:

@@ -14,11 +14,17 @@ bucket, and gives the discounts and the weights a(v). Words with a share of 1/HE
 HEAVY in number: their counts are broadcast, and their pairs are dealt by both words. Buckets are
 worked on in ROUNDS, which bounds the shuffle on disk.
 
+Pairs with a share of 1.25/HEAVY or more (and some of 1/HEAVY or more) are hot, HEAVY at most. Their
+postings are never shuffled: the first round only counts them, with one number a chunk, their counts are
+broadcast, and in the last round each chunk adds up their part of its documents' sums itself. Every
+other pair has a bounded share of all tokens.
+
 The order is two: a table of trigrams doesn't fit the disk allowed (README has the figures). A bucket's
 blobs are one a chunk that it meets, never more than its postings, and hold the documents that occur in
-it. All postings of one pair of words meet in one task.
+it.
 
-Tables in between belong to the `scratch` block around the call. Words are known by 64 bits of a hash; very long texts are chunks of their own. Cases: a null text is empty (one token, the end); null ids are
+Tables in between belong to the `scratch` block around the call. Words are known by 64 bits of a hash;
+very long texts are chunks of their own. Cases: a null text is empty (one token, the end); null ids are
 training rows; repeated rows count in training each and are scored each; without training tokens
 every token is unknown and scores 0; an empty table gives an empty result; further columns are ignored.
 """
@@ -97,7 +103,17 @@ class _Chunk:
         self.held += len(words)
 
     def keys(self) -> np.ndarray:
-        return np.fromiter(map(_key, self.number), np.int64, len(self.number))
+        """Hashes by word number, that of the start last."""
+        return np.append(np.fromiter(map(_key, self.number), np.int64, len(self.number)), START)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the tokens, of the tokens before them and of their documents."""
+        w = np.concatenate(self.tokens)
+        ends = np.cumsum(self.sizes)
+        v = np.empty_like(w)
+        v[1:] = w[:-1]
+        v[ends - self.sizes] = len(self.number)  # the start
+        return w, v, np.repeat(np.arange(len(ends)), self.sizes)
 
 
 def _chunked(batches):
@@ -113,16 +129,28 @@ def _chunked(batches):
         yield chunk
 
 
-def unigrams(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, out, text) to word, n: counts in training texts, the end included."""
+def counts(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, out, text) to word, before, n: counts in training texts, the end included. Rows with a
+    word before are frequent pairs: a chunk leaves out those with less than 1/(4 HEAVY) of its tokens, so
+    that n falls short of the pair's count by less than that share of all tokens."""
+    least = 4 * HEAVY
 
     def run(batches):
         for c in _chunked(batches):
-            train = np.repeat(c.train, c.sizes)
-            n = np.bincount(np.concatenate(c.tokens)[train], minlength=len(c.number))
-            yield pa.RecordBatch.from_arrays([pa.array(c.keys()[n > 0]), pa.array(n[n > 0])], names=["word", "n"])
-
-    return docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            w, v, doc = c.pairs()
+            train = np.array(c.train)[doc]
+            w, v, keys = w[train], v[train], c.keys()
+            bits = len(keys).bit_length()
+            n = np.bincount(w, minlength=len(keys))
+            seen = np.flatnonzero(n)
+            pair, times = np.unique((w << bits) | v, return_counts=True)
+            often = times * least >= len(w)
+            pair, times = pair[often], times[often]
+            before = pa.chunked_array([pa.nulls(len(seen), pa.int64()), pa.array(keys[pair & ((1 << bits) - 1)])])
+            yield from pa.table({"word": np.concatenate((keys[seen], keys[pair >> bits])), "before": before,
+                                 "n": np.concatenate((n[seen], times))}).combine_chunks().to_batches()
+
+    return docs.mapInArrow(run, "word long, before long, n long").groupBy("word", "before").agg(F.sum("n").alias("n"))
 
 
 def _spread(x: np.ndarray, n: int) -> np.ndarray:
@@ -130,22 +158,34 @@ def _spread(x: np.ndarray, n: int) -> np.ndarray:
     return ((x ^ (x >> np.uint64(29))) >> np.uint64(11)) % np.uint64(n)
 
 
-def _postings(docs: DataFrame, buckets: int, part: int, heavy: np.ndarray) -> DataFrame:
-    """bucket, chunk, blob of the buckets of one round; bucket -1 - chunk part holds a chunk's documents."""
+def _codes(keys: np.ndarray, bits: int, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of hashes (v, w) that a chunk may hold, by its own numbers in order, and their places."""
+    order = np.argsort(keys)
+
+    def number(x):
+        n = order[np.minimum(np.searchsorted(keys, x, sorter=order), len(keys) - 1)]
+        return np.where(keys[n] == x, n, -1)
+
+    v, w = number(v), number(w)
+    place = np.flatnonzero((v >= 0) & (w >= 0))
+    code = (w[place] << bits) | v[place]
+    order = np.argsort(code)
+    return code[order], place[order]
+
+
+def _postings(docs: DataFrame, buckets: int, part: int, heavy: np.ndarray, hot: tuple[np.ndarray, np.ndarray], terms: list[np.ndarray] | None) -> DataFrame:
+    """bucket, chunk, blob of the buckets of one round; bucket -1 - chunk holds a chunk's documents, and
+    with `terms` (what one occurrence of each hot pair adds) their sums over hot pairs. Hot pairs are
+    filed without postings, in buckets of the first round."""
     schema = "bucket long, chunk long, blob binary"
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for order, c in enumerate(_chunked(batches)):
             chunk = xxhash.xxh3_64_intdigest(np.array(c.tags, np.int64).tobytes(), (TaskContext.get().partitionId() << 20) + order) >> 1
-            w = np.concatenate(c.tokens)
-            ends = np.cumsum(c.sizes)
-            doc = np.repeat(np.arange(len(ends)), c.sizes)
-            v = np.empty_like(w)
-            v[1:] = w[:-1]
-            v[ends - c.sizes] = len(c.number)  # the start
-            keys = np.append(c.keys(), START)
-            bits = int(len(keys)).bit_length()
+            w, v, doc = c.pairs()
+            keys = c.keys()
+            bits = len(keys).bit_length()
             code, times = np.unique((((w << bits) | v) << 16) | doc, return_counts=True)
             at, doc = code >> 16, code & 0xFFFF
             first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
@@ -153,6 +193,15 @@ def _postings(docs: DataFrame, buckets: int, part: int, heavy: np.ndarray) -> Da
             seen = np.add.reduceat(np.where(np.array(c.train)[doc], times, 0), first)
             lens = np.diff(np.append(first, len(at)))
             bucket = np.where(np.isin(wk, heavy), _spread(wk ^ (vk >> 7) ^ (vk << 9), buckets), _spread(wk, buckets)).astype(np.int64)
+            codes, place = _codes(keys, bits, *hot)
+            is_hot = np.isin(at[first], codes)
+            bucket[is_hot] -= bucket[is_hot] % ROUNDS
+            sums = {}
+            if terms is not None:
+                mine = np.repeat(is_hot, lens)
+                which = place[np.searchsorted(codes, at[mine])]
+                sums = {s: np.bincount(doc[mine], x[which] * times[mine], len(c.ids)) for s, x in zip(_SUMS, terms, strict=True)}
+            lens[is_hot] = 0
             sort = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[sort], prepend=-1))
             rows = []
@@ -161,13 +210,13 @@ def _postings(docs: DataFrame, buckets: int, part: int, heavy: np.ndarray) -> Da
                 if bucket[k[0]] % ROUNDS != part:
                     continue
                 entries = np.concatenate([np.arange(x, x + n) for x, n in zip(first[k].tolist(), lens[k].tolist(), strict=True)])
-                blob = b"".join((np.array([len(k), len(entries), len(ends)], np.int64).tobytes(), vk[k].tobytes(), wk[k].tobytes(),
+                blob = b"".join((np.array([len(k), len(entries), len(c.ids)], np.int64).tobytes(), vk[k].tobytes(), wk[k].tobytes(),
                                  seen[k].astype(np.int64).tobytes(), lens[k].astype(np.int32).tobytes(),
                                  times[entries].astype(np.int32).tobytes(), doc[entries].astype(np.uint16).tobytes()))
                 rows.append((int(bucket[k[0]]), chunk, pack(blob)))
-            table = pa.table({"id": pa.array(c.ids, pa.int64()), "tag": np.array(c.tags, np.int64), "out": [not t for t in c.train], "n": np.array(c.sizes, np.int64)})
+            table = pa.table({"id": pa.array(c.ids, pa.int64()), "tag": np.array(c.tags, np.int64), "out": [not t for t in c.train], "n": np.array(c.sizes, np.int64), **sums})
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(table)
             rows.append((-1 - chunk, chunk, sink.getvalue().to_pybytes()))
             for at in range(0, len(rows), 16):
@@ -198,9 +247,24 @@ _SUMS = ["known", "base", "context", *(f"seen{r}" for r in range(1, K + 1)), "ta
 _OUT = "kind int, chunk long, v long, c long, x double, doc int, n long, blob binary"
 
 
+def _terms(uni: Unigram, c: np.ndarray, cw: np.ndarray, p1: np.ndarray, is_word: np.ndarray) -> list[np.ndarray]:
+    """What one occurrence of each pair adds to _SUMS. c: counts of pairs; cw, p1: counts and shares of
+    their second words; is_word: these aren't the end."""
+    with np.errstate(divide="ignore"):
+        return [
+            (cw > 0) * 1.0,
+            np.log10((cw + 0.1) / (uni.total + 0.1 * (uni.distinct + 1))),
+            np.where((cw > 0) & is_word, np.log10(np.maximum(cw, 1)), 0.0),
+            *((c == r) * 1.0 for r in range(1, K + 1)),
+            np.where(c > K, np.log10(np.maximum(c, 1) - TAIL), 0.0),
+            np.where(c == 0, np.log10(p1), 0.0),
+        ]
+
+
 def _evaluate(blobs: pa.Table, uni: Unigram, heavy: np.ndarray, heavy_n: np.ndarray) -> pa.Table:
-    """One bucket's postings to rows of three kinds. 0: pairs seen in training (v, c, x: P1 of the word);
-    1: unseen pairs in documents (chunk, doc, v, n); 2: sums of each document of a chunk (blob)."""
+    """One bucket's postings to rows of four kinds. 0: pairs seen in training (v, c, x: P1 of the word);
+    1: unseen pairs in documents (chunk, doc, v, n); 2: sums of each document of a chunk (blob); 4: hot
+    pairs, which have no postings (v, c, n: the second word)."""
     unpack = zstandard.ZstdDecompressor().decompress
     chunks, ids, parts, n_docs = [], [], [], []
     for chunk, data in zip(blobs["chunk"].to_pylist(), blobs["blob"], strict=True):
@@ -232,16 +296,7 @@ def _evaluate(blobs: pa.Table, uni: Unigram, heavy: np.ndarray, heavy_n: np.ndar
     known = c > 0
     # Sums over entries: what a pair adds, times its occurrences in the document.
     per = lambda x: np.repeat(x[pair], lens) * times
-    cw_pair, is_word = cw[pw], words[pw] != END
-    with np.errstate(divide="ignore"):
-        columns = [
-            (cw_pair > 0) * 1.0,
-            np.log10((cw_pair + 0.1) / (uni.total + 0.1 * (uni.distinct + 1))),
-            np.where((cw_pair > 0) & is_word, np.log10(np.maximum(cw_pair, 1)), 0.0),
-            *((c == r) * 1.0 for r in range(1, K + 1)),
-            np.where(c > K, np.log10(np.maximum(c, 1) - TAIL), 0.0),
-            np.where(c == 0, np.log10(p1[pw]), 0.0),
-        ]
+    columns = _terms(uni, c, cw[pw], p1[pw], words[pw] != END)
     # Sums of the documents that occur here: never more of them than postings.
     here, place = np.unique(doc, return_inverse=True)
     sums = np.stack([np.bincount(place, weights=per(x), minlength=len(here)) for x in columns], axis=1)
@@ -251,17 +306,18 @@ def _evaluate(blobs: pa.Table, uni: Unigram, heavy: np.ndarray, heavy_n: np.ndar
     blob = [pack((here[a:b] - s).astype(np.uint16).tobytes() + sums[a:b].tobytes()) for a, b, s in zip(cuts, cuts[1:], starts, strict=False)]
     lost = np.flatnonzero(np.repeat(c[pair] == 0, lens))
     owner = np.searchsorted(np.array(starts), doc[lost], side="right") - 1
-    n0, n1, n2 = int(known.sum()), len(lost), len(blob)
-    fill = lambda a, b, d, t: pa.chunked_array([pa.array(x, t) if x is not None else pa.nulls(n, t) for x, n in ((a, n0), (b, n1), (d, n2))])
+    hot = np.flatnonzero(np.bincount(pair, weights=lens) == 0)
+    n0, n1, n2, n4 = int(known.sum()), len(lost), len(blob), len(hot)
+    fill = lambda a, b, d, e, t: pa.chunked_array([pa.array(x, t) if x is not None else pa.nulls(n, t) for x, n in ((a, n0), (b, n1), (d, n2), (e, n4))])
     return pa.table({
-        "kind": fill(np.zeros(n0, np.int32), np.ones(n1, np.int32), np.full(n2, 2, np.int32), pa.int32()),
-        "chunk": fill(None, np.array(chunks, np.int64)[owner], chunks, pa.int64()),
-        "v": fill(pv[known], np.repeat(v, lens)[lost], None, pa.int64()),
-        "c": fill(c[known], None, None, pa.int64()),
-        "x": fill(p1[pw][known], None, None, pa.float64()),
-        "doc": fill(None, (doc[lost] - np.array(starts)[owner]).astype(np.int32), None, pa.int32()),
-        "n": fill(None, times[lost].astype(np.int64), None, pa.int64()),
-        "blob": fill(None, None, blob, pa.binary()),
+        "kind": fill(np.zeros(n0, np.int32), np.ones(n1, np.int32), np.full(n2, 2, np.int32), np.full(n4, 4, np.int32), pa.int32()),
+        "chunk": fill(None, np.array(chunks, np.int64)[owner], chunks, None, pa.int64()),
+        "v": fill(pv[known], np.repeat(v, lens)[lost], None, pv[hot], pa.int64()),
+        "c": fill(c[known], None, None, c[hot], pa.int64()),
+        "x": fill(p1[pw][known], None, None, None, pa.float64()),
+        "doc": fill(None, (doc[lost] - np.array(starts)[owner]).astype(np.int32), None, None, pa.int32()),
+        "n": fill(None, times[lost].astype(np.int64), None, words[pw[hot]], pa.int64()),
+        "blob": fill(None, None, blob, None, pa.binary()),
     })
 
 
@@ -270,7 +326,10 @@ def _documents(rows: pa.Table) -> pa.Table:
     unpack = zstandard.ZstdDecompressor().decompress
     kinds = rows["kind"].to_pylist()
     listed = pa.ipc.open_stream(rows["blob"][kinds.index(3)].as_py()).read_all()
-    total = np.zeros((listed.num_rows, len(_SUMS)))
+    if _SUMS[0] in listed.column_names:
+        total = np.stack([listed[c].to_numpy() for c in _SUMS], axis=1)
+    else:
+        total = np.zeros((listed.num_rows, len(_SUMS)))
     for kind, data in zip(kinds, rows["blob"], strict=True):
         if kind != 3:
             data = unpack(data.as_py())
@@ -284,13 +343,18 @@ def score(docs: DataFrame) -> DataFrame:
     """docs (doc_id, out, text), out: not to be learnt from. Returns doc_id, out, n_tokens, n_known,
     train_tokens, base_score, score (log10 probabilities of the text)."""
     spark = docs.sparkSession
-    counted = cut(unigrams(docs), "unigrams")
+    stored = cut(counts(docs), "unigrams")
+    counted = stored.where("before is null")
     total, distinct = (x or 0 for x in counted.agg(F.sum("n"), F.count("*")).first())
     low = {r["n"]: r["k"] for r in counted.where(F.col("n") <= K + 1).groupBy("n").agg(F.count("*").alias("k")).collect()}
     uni = Unigram(low, total, distinct)
     top = counted.where(F.col("n") * HEAVY >= F.lit(total)).where("n > 0").collect()  # HEAVY rows at most
     top = sorted((r["word"], r["n"]) for r in top)
     heavy, heavy_n = np.array([t[0] for t in top], np.int64), np.array([t[1] for t in top], np.int64)
+    # HEAVY rows at most; the second words of these pairs are heavy.
+    pairs = stored.where("before is not null").where(F.col("n") * HEAVY >= F.lit(total)).collect()
+    pairs = sorted((r["before"], r["word"]) for r in pairs)
+    hot = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
     buckets = max(ROUNDS, math.ceil(total / BUCKET))
 
     def bucket(rows: pa.Table) -> pa.Table:
@@ -302,9 +366,15 @@ def score(docs: DataFrame) -> DataFrame:
 
     columns = ", ".join(f"{c} double" for c in _SUMS)
     schema = f"chunk long, doc int, id long, tag long, out boolean, n long, {columns}"
-    tables, found, missed = [], [], []
+    tables, found, missed, times = [], [], [], {}
     for part in range(ROUNDS):
-        done = cut(_postings(docs, buckets, part, heavy).groupBy("bucket").applyInArrow(bucket, _OUT), "ngrams")
+        terms = None
+        if part == ROUNDS - 1 and pairs:
+            c, cw = np.array([times[p] for p in pairs]), heavy_n[np.searchsorted(heavy, hot[1])]
+            terms = _terms(uni, c, cw, uni.p(cw), hot[1] != END)
+        done = cut(_postings(docs, buckets, part, heavy, hot, terms).groupBy("bucket").applyInArrow(bucket, _OUT), "ngrams")
+        if part == 0:
+            times = {(r["v"], r["n"]): r["c"] for r in done.where("kind = 4").collect()}  # as many as hot pairs
         tables.append(done.where("kind = 0").select("v", "c", "x"))
         listed = done.where("kind in (2, 3)").select("kind", "chunk", "blob").groupBy("chunk").applyInArrow(_documents, schema)
         found.append(listed)

@@ -192,9 +192,14 @@ def _postings(docs: DataFrame, buckets: int, part: int, heavy: np.ndarray, hot:
             vk, wk = keys[at[first] & ((1 << bits) - 1)], keys[at[first] >> bits]
             seen = np.add.reduceat(np.where(np.array(c.train)[doc], times, 0), first)
             lens = np.diff(np.append(first, len(at)))
-            bucket = np.where(np.isin(wk, heavy), _spread(wk ^ (vk >> 7) ^ (vk << 9), buckets), _spread(wk, buckets)).astype(np.int64)
+            word = at[first] >> bits
+            bucket = _spread(keys, buckets).astype(np.int64)[word]
+            often = np.isin(keys, heavy)[word]
+            bucket[often] = _spread(wk[often] ^ (vk[often] >> 7) ^ (vk[often] << 9), buckets)
             codes, place = _codes(keys, bits, *hot)
-            is_hot = np.isin(at[first], codes)
+            found = np.minimum(np.searchsorted(at[first], codes), len(first) - 1)
+            is_hot = np.zeros(len(first), bool)
+            is_hot[found[at[first[found]] == codes]] = True
             bucket[is_hot] -= bucket[is_hot] % ROUNDS
             sums = {}
             if terms is not None:
@@ -202,14 +207,12 @@ def _postings(docs: DataFrame, buckets: int, part: int, heavy: np.ndarray, hot:
                 which = place[np.searchsorted(codes, at[mine])]
                 sums = {s: np.bincount(doc[mine], x[which] * times[mine], len(c.ids)) for s, x in zip(_SUMS, terms, strict=True)}
             lens[is_hot] = 0
-            sort = np.argsort(bucket, kind="stable")
+            mine = np.flatnonzero(bucket % ROUNDS == part)
+            sort = mine[np.argsort(bucket[mine].astype(np.min_scalar_type(buckets)), kind="stable")]
             cuts = np.flatnonzero(np.diff(bucket[sort], prepend=-1))
             rows = []
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sort)], strict=True):
-                k = sort[a:b]
-                if bucket[k[0]] % ROUNDS != part:
-                    continue
-                entries = np.concatenate([np.arange(x, x + n) for x, n in zip(first[k].tolist(), lens[k].tolist(), strict=True)])
+            for k in np.split(sort, cuts[1:]) if len(sort) else ():
+                entries = np.arange(lens[k].sum()) + np.repeat(first[k] - (np.cumsum(lens[k]) - lens[k]), lens[k])
                 blob = b"".join((np.array([len(k), len(entries), len(c.ids)], np.int64).tobytes(), vk[k].tobytes(), wk[k].tobytes(),
                                  seen[k].astype(np.int64).tobytes(), lens[k].astype(np.int32).tobytes(),
                                  times[entries].astype(np.int32).tobytes(), doc[entries].astype(np.uint16).tobytes()))

@@ -105,3 +105,30 @@ def test_recall_at_many_dimensions():
     share = _recall(x)
     print("recall at 768 dimensions", share)
     assert share >= 0.9
+
+
+def test_rows_that_codes_say_little_about(spark, monkeypatch):
+    """Tight groups, no structure, lengths of all sizes, far from the origin: each is as near as brute force finds."""
+    monkeypatch.setattr(ann, "ROW_BLOCK", 700)
+    r = np.random.default_rng(6)
+    tight = np.repeat(r.normal(size=(4, 20)), 500, axis=0) + r.normal(size=(2000, 20)) * 1e-3
+    plain = r.uniform(-1, 1, (2000, 64))
+    sizes = r.normal(size=(2000, 20)) * 10.0 ** r.uniform(-4, 4, (2000, 1))
+    away = r.normal(size=(2000, 20)) + 1e4
+    ties = r.integers(0, 2, (2000, 12)) * 1.0
+    for x in (tight, plain, sizes, away, ties):
+        x = x.astype(np.float32)
+        df = frame(spark, [(i, [float(c) for c in v], "z") for i, v in enumerate(x)])
+        got = {}
+        for row in collect(ann.nearest(df, df.where("vec_id % 100 = 0"), rerank=16)):
+            got.setdefault(row["query_id"], {})[row["rank"]] = row["vec_id"]
+        for q in range(0, 2000, 100):
+            d = np.zeros(len(x))
+            for a, b in zip(x.astype(float).T, x[q].astype(float), strict=True):
+                d += (b - a) * (b - a)
+            d = np.sqrt(d)
+            d[q] = np.inf
+            usable = (x != 0).any(axis=1)
+            d[~usable] = np.inf
+            if usable[q]:
+                assert [got[q][k] for k in range(1, 11)] == np.lexsort((np.arange(len(x)), d))[:10].tolist()

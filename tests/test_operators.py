@@ -216,3 +216,10 @@ def test_rolls_and_orders(spark):
     with pytest.raises(UnknownName):
         ranking.reel_order(c, "backwards")
     assert [r["pos"] for r in ranking.reel_order(c, "alternating").orderBy("at").collect()] == [1, 0]
+
+
+def test_cell_times_broadcast_no_frames(spark):
+    windows = spark.range(3).selectExpr("id AS video_id", "0.0D AS start_sec", "600.0D AS end_sec")
+    times = sampling.sheet_cells(sampling.sheet_times(windows, 60.0), 5, 4)
+    plan = sampling.cell_times(times.select("video_id", "cell"), times.where("frame_index % 2 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

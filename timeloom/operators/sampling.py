@@ -131,7 +131,8 @@ def index_map(times: DataFrame) -> DataFrame:
 def cell_times(cells: DataFrame, times: DataFrame) -> DataFrame:
     """cells (video_id, cell, ...) with `t`, the second of the frame that the cell shows; null for a cell
     that isn't on the sheets."""
-    return cells.join(times.select("video_id", "cell", "t"), ["video_id", "cell"], "left")
+    # Spark takes generated frames for as few rows as there are timelines; without the hint it may broadcast all of them.
+    return cells.join(times.select("video_id", "cell", "t").hint("merge"), ["video_id", "cell"], "left")
 
 
 def sheet_order(files: DataFrame) -> DataFrame:

@@ -158,3 +158,14 @@ def test_files_and_samples(spark, tmp_path):
     assert probe.file_signatures(spark, str(tmp_path / "*.pcm")).first()["size_bytes"] == 12
     files = spark.read.format("binaryFile").load(str(tmp_path / "*.pcm")).select(F.lit("v").alias("video_id"), "content")
     assert [(r["i"], r["x"]) for r in probe.pcm_samples(files, "video_id", "content").collect()] == [(0, 0.5), (1, -1.0), (2, 2.0)]
+
+
+def test_fields_of_clips_are_read_once(spark):
+    """Functions of array elements share no subexpressions: a time that is parsed piece by piece was read from the variant at each use."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    try:
+        texts = spark.createDataFrame([(1, "{}")], "id long, text string")
+        for df in (replies.parse_plans(texts, "text"), documents.judged_plans(texts, "id")):
+            assert 1 <= df._jdf.queryExecution().analyzed().toString().count("$.start") <= 4
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")

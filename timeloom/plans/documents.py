@@ -12,7 +12,7 @@ from timeloom import schema as S
 from timeloom.errors import UnknownName
 from timeloom.functions.scores import final_score
 from timeloom.functions.timecode import from_seconds, parse, parse_lenient, to_clock
-from timeloom.functions.variants import number, text_of
+from timeloom.functions.variants import is_object, opened
 from timeloom.tables import cut, scratch
 
 # As read: numbers of any kind, cut to whole scores later.
@@ -20,6 +20,7 @@ _CLIP = ("rank double, id string, start string, end string, duration_sec double,
          "vlm_score double, heuristic_score double, final_score double, tags array<string>")
 _CLIP_ROW = ("struct<clip_id:string,start_us:bigint,end_us:bigint,category:string,description:string,rationale:string,score:int,heuristic_score:int,"
              "final_score:int,tags:array<string>>")
+_FIELDS = ("id", "start", "end", "category", "description", "rationale", "vlm_score", "heuristic_score", "final_score", "tags")
 # Fixed value: the rationale of a clip without one.
 RATIONALE = "from plan.json"
 _VIDEO = "path string, duration_sec double, width int, height int, fps double, video_codec string, audio_codec string, container string, size_bytes long"
@@ -76,88 +77,92 @@ def _whole(score: Column) -> Column:
     return score.cast("int")
 
 
-def _kind(v: Column, path: str) -> Column:
-    """STRING, BIGINT, OBJECT<...> ..., VOID for a JSON null, null for nothing there."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-
-
-def _json(v: Column, path: str) -> Column:
-    return F.to_json(F.try_variant_get(v, path, "variant"))
-
-
-def _said(v: Column, path: str) -> Column:
+def _said(f: Column) -> Column:
     """Whether a field is there and neither null, empty, false nor 0."""
-    return F.coalesce(_kind(v, path) != "VOID", F.lit(False)) & ~F.coalesce(_json(v, path).isin('""', "false", "[]", "{}") | (number(v, path) == 0), F.lit(False))
+    empty = F.to_json(f["v"]).isin("false", "[]", "{}") | (f["number"] == 0)
+    other = F.coalesce(f["kind"] != "VOID", F.lit(False)) & ~F.coalesce(empty, F.lit(False))
+    return F.when(f["text"].isNotNull(), f["text"] != "").otherwise(other)
 
 
-def _score(v: Column, path: str) -> Column:
+def _score(f: Column) -> Column:
     """Numbers are cut to whole ones; true and false count as 1 and 0; other kinds give null."""
-    flag = F.when(_kind(v, path) == "BOOLEAN", F.try_variant_get(v, path, "boolean").cast("int"))
-    return F.coalesce(_whole(number(v, path)), flag)
+    flag = F.when(f["kind"] == "BOOLEAN", F.try_variant_get(f["v"], "$", "boolean").cast("int"))
+    return F.coalesce(_whole(f["number"]), flag)
 
 
 def _sized(c: Column, most: int) -> Column:
     return F.coalesce(F.length(c).between(1, most), F.lit(False))
 
 
-def _tags(v: Column) -> Column:
+def _tags(f: Column) -> Column:
     """At most five entries as text; null if tags are neither a list, a text nor null."""
     entry = lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x))
-    items = F.filter(F.try_variant_get(v, "$.tags", "array<variant>"), lambda x: x.isNotNull() & ~F.is_variant_null(x))
+    items = F.filter(F.try_variant_get(f["v"], "$", "array<variant>"), lambda x: x.isNotNull() & ~F.is_variant_null(x))
     none = F.array().cast("array<string>")
-    kind = F.coalesce(_kind(v, "$.tags"), F.lit("VOID"))
-    return F.when(kind == "VOID", none).when(kind == "STRING", F.array(text_of(v, "$.tags"))).when(kind.startswith("ARRAY"), F.slice(F.transform(items, entry), 1, 5))
+    kind = F.coalesce(f["kind"], F.lit("VOID"))
+    return F.when(kind == "VOID", none).when(kind == "STRING", F.array(f["text"])).when(kind.startswith("ARRAY"), F.slice(F.transform(items, entry), 1, 5))
+
 
+def _reached(c: Column) -> Column:
+    """The score that decides whether a clip is taken."""
+    return F.coalesce(_score(c["final_score"]), final_score(F.coalesce(_score(c["vlm_score"]), F.lit(0)), F.coalesce(_score(c["heuristic_score"]), F.lit(5))))
 
-def _clip(v: Column, number_: Column) -> Column:
-    """A clip's fields with defaults for what is missing, and `bad`, the first field that won't do."""
-    final = _score(v, "$.final_score")
-    vlm = F.coalesce(_score(v, "$.vlm_score"), final, F.lit(0))
-    heuristic = F.coalesce(_score(v, "$.heuristic_score"), F.lit(5))
-    or_else = lambda path, text: F.when(_said(v, path), text_of(v, path)).otherwise(F.lit(text))
-    time = lambda path: F.coalesce(parse(text_of(v, path)), from_seconds(number(v, path)))
+
+def _clip(c: Column, number_: Column) -> Column:
+    """A clip's fields (as opened) with defaults for what is missing."""
+    final = _score(c["final_score"])
+    vlm = F.coalesce(_score(c["vlm_score"]), final, F.lit(0))
+    heuristic = F.coalesce(_score(c["heuristic_score"]), F.lit(5))
+    or_else = lambda f, text: F.when(_said(f), f["text"]).otherwise(F.lit(text))
+    time = lambda f: F.coalesce(parse(f["text"]), from_seconds(f["number"]))
     fields = {
-        "clip_id": F.when(_said(v, "$.id"), F.coalesce(text_of(v, "$.id"), _json(v, "$.id"))).otherwise(F.concat(F.lit("clip_"), number_.cast("string"))),
-        "start_us": time("$.start"), "end_us": time("$.end"),
-        "category": F.when(_kind(v, "$.category").isNull(), "highlight").otherwise(text_of(v, "$.category")),
-        "description": or_else("$.description", "clip"), "rationale": or_else("$.rationale", RATIONALE),
-        "score": vlm, "heuristic_score": heuristic, "final_score": F.coalesce(final, final_score(vlm, heuristic)), "tags": _tags(v)}
+        "clip_id": F.when(_said(c["id"]), F.coalesce(c["id"]["text"], F.to_json(c["id"]["v"]))).otherwise(F.concat(F.lit("clip_"), number_.cast("string"))),
+        "start_us": time(c["start"]), "end_us": time(c["end"]),
+        "category": F.when(c["category"]["kind"].isNull(), "highlight").otherwise(c["category"]["text"]),
+        "description": or_else(c["description"], "clip"), "rationale": or_else(c["rationale"], RATIONALE),
+        "score": vlm, "heuristic_score": heuristic, "final_score": F.coalesce(final, final_score(vlm, heuristic)), "tags": _tags(c["tags"])}
     return F.struct(*(c.alias(n) for n, c in fields.items()))
 
 
 def _bad(c: Column) -> Column:
+    """The first field of a clip that won't do, or null."""
     ok = lambda x: F.coalesce(x, F.lit(False))
     checks = {"id": _sized(c["clip_id"], 64), "times": ok(c["end_us"] > c["start_us"]), "category": ok(c["category"].isin(*S.CATEGORIES)), "description": _sized(c["description"], 500),
               "score": ok(c["score"].between(0, 10)), "rationale": _sized(c["rationale"], 300), "tags": c["tags"].isNotNull()}
     return functools.reduce(lambda out, name: out.when(~checks[name], name), checks, F.when(F.lit(False), ""))
 
 
-def _video_problem(v: Column) -> Column:
-    """Which field of the video block won't do, or null."""
-    value = lambda f: F.coalesce(number(v, f"$.video.{f}"), text_of(v, f"$.video.{f}").try_cast("double"))
-    whole = lambda f, least: (value(f) >= least) & (value(f) == F.floor(value(f)))
-    text = lambda f: text_of(v, f"$.video.{f}").isNotNull()
-    checks = {"path": text("path"), "duration_sec": value("duration_sec") > 0, "width": whole("width", 1), "height": whole("height", 1), "fps": value("fps") > 0, "video_codec": text("video_codec"),
-              "audio_codec": F.coalesce(_kind(v, "$.video.audio_codec"), F.lit("VOID")).isin("VOID", "STRING"), "container": text("container"), "size_bytes": whole("size_bytes", 0)}
-    odd = F.array_except(F.json_object_keys(_json(v, "$.video")), F.array(*map(F.lit, checks)))
-    found = functools.reduce(lambda out, name: out.when(~F.coalesce(checks[name], F.lit(False)), name), checks, F.when(F.lit(False), ""))
-    return found.when(F.size(odd) > 0, F.array_join(F.array_sort(odd), ", "))
+def _video_problem(video: Column) -> Column:
+    """Which field of the video block (a variant) won't do, or null."""
+    names = ("path", "duration_sec", "width", "height", "fps", "video_codec", "audio_codec", "container", "size_bytes")
+    odd = F.array_except(F.json_object_keys(F.to_json(video)), F.array(*map(F.lit, names)))
+
+    def judged(c):
+        value = lambda f: F.coalesce(c[f]["number"], c[f]["text"].try_cast("double"))
+        whole = lambda f, least: (value(f) >= least) & (value(f) == F.floor(value(f)))
+        text = lambda f: c[f]["text"].isNotNull()
+        checks = {"path": text("path"), "duration_sec": value("duration_sec") > 0, "width": whole("width", 1), "height": whole("height", 1), "fps": value("fps") > 0, "video_codec": text("video_codec"),
+                  "audio_codec": F.coalesce(c["audio_codec"]["kind"], F.lit("VOID")).isin("VOID", "STRING"), "container": text("container"), "size_bytes": whole("size_bytes", 0)}
+        found = functools.reduce(lambda out, name: out.when(~F.coalesce(checks[name], F.lit(False)), name), checks, F.when(F.lit(False), ""))
+        return found.when(F.size(odd) > 0, F.array_join(F.array_sort(odd), ", "))
+
+    return F.get(F.transform(opened(F.array(video), names), judged), F.lit(0))
 
 
 def judged_plans(documents: DataFrame, key: str, min_score: int = 0) -> DataFrame:
     """documents (key, text) to key, problem and clips: what of a plan reaches min_score. Entries that aren't objects are
     skipped. A document that is no plan, or one clip that reaches min_score and isn't valid, spoils the plan: problem
     says why, and it has no clips."""
-    d = documents.select(key, F.inline(F.array(F.struct(F.try_parse_json("text").alias("_v")))))
-    v = F.col("_v")
-    video = _video_problem(v)
-    problem = (F.when(v.isNull(), "not JSON").when(~_kind(v, "$").startswith("OBJECT"), "not an object")
-               .when(~F.coalesce(_kind(v, "$.video").startswith("OBJECT"), F.lit(False)), "no video").when(video.isNotNull(), F.concat(F.lit("bad video: "), video))
-               .when(~F.coalesce(_kind(v, "$.clips").startswith("ARRAY"), F.lit(False)), "no clips"))
-    objects = F.filter(F.try_variant_get(v, "$.clips", "array<variant>"), lambda x: F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
-    enough = F.filter(objects, lambda x: F.coalesce(_score(x, "$.final_score"), final_score(F.coalesce(_score(x, "$.vlm_score"), F.lit(0)), F.coalesce(_score(x, "$.heuristic_score"), F.lit(5)))) >= min_score)
-    clips = F.transform(enough, lambda x, i: _clip(x, i + 1))
     # Generators of one row: what is read once isn't written out again at each use.
+    d = documents.select(key, F.inline(F.array(F.struct(F.try_parse_json("text").alias("_v")))))
+    parts = F.struct(F.try_variant_get("_v", "$.video", "variant").alias("_video"), F.try_variant_get("_v", "$.clips", "array<variant>").alias("_items"))
+    d = d.select(key, "_v", F.inline(F.array(parts)))
+    d = d.select(key, "_v", "_video", "_items", F.inline(F.array(F.struct(_video_problem(F.col("_video")).alias("_odd")))))
+    problem = (F.when(F.col("_v").isNull(), "not JSON").when(~is_object(F.col("_v")), "not an object")
+               .when(~is_object(F.col("_video")), "no video").when(F.col("_odd").isNotNull(), F.concat(F.lit("bad video: "), F.col("_odd")))
+               .when(F.col("_items").isNull(), "no clips"))
+    enough = F.filter(opened(F.filter("_items", lambda x: is_object(x)), _FIELDS), lambda c: _reached(c) >= min_score)
+    clips = F.transform(enough, lambda c, i: _clip(c, i + 1))
     d = d.select(key, F.inline(F.array(F.struct(problem.alias("_problem"), F.coalesce(clips, F.array().cast(f"array<{_CLIP_ROW}>")).alias("_clips")))))
     bad = F.get(F.filter(F.transform("_clips", _bad), lambda b: b.isNotNull()), F.lit(0))
     d = d.select(key, "_clips", F.inline(F.array(F.struct(F.coalesce("_problem", F.concat(F.lit("bad clip: "), bad)).alias("problem")))))

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from timeloom import schema as S
 from timeloom.functions.text import isolate_json
 from timeloom.functions.timecode import from_seconds, parse
+from timeloom.functions.variants import is_object
 from timeloom.functions.variants import number as _number
 from timeloom.functions.variants import text_of as _text
 
 PROMPT_VERSION = "v12"
 
 
-def _time(v: Column, path: str) -> Column:
-    return F.coalesce(parse(_text(v, path)), from_seconds(_number(v, path)))
+def _said(v: Column, path: str) -> Column:
+    return F.struct(_text(v, path).alias("text"), _number(v, path).alias("number"))
+
+
+def _time(said: Column) -> Column:
+    return F.coalesce(parse(said["text"]), from_seconds(said["number"]))
 
 
 def tags_of(v: Column) -> Column:
@@ -31,23 +36,27 @@ def parse_plans(replies: DataFrame, text: str = "raw") -> DataFrame:
     d = replies.withColumn("_v", F.try_parse_json(isolate_json(F.col(text))))
     items = F.try_variant_get("_v", "$.clips", "array<variant>")
     d = d.withColumns({
-        "problem": F.when(F.col("_v").isNull(), "not JSON").when(~F.schema_of_variant("_v").startswith("OBJECT"), "not an object")
+        "problem": F.when(F.col("_v").isNull(), "not JSON").when(~is_object(F.col("_v")), "not an object")
                     .when(items.isNull(), "no clips"),
         "_items": items})
 
-    def clip(v):
+    def read(v):
         return F.struct(
-            _text(v, "$.id").alias("clip_id"), _time(v, "$.start").alias("start_us"), _time(v, "$.end").alias("end_us"),
+            _text(v, "$.id").alias("clip_id"), _said(v, "$.start").alias("start"), _said(v, "$.end").alias("end"),
             _text(v, "$.category").alias("category"), _text(v, "$.description").alias("description"),
             _number(v, "$.score").alias("score"), _text(v, "$.rationale").alias("rationale"), tags_of(v).alias("tags"))
 
+    def clip(c):  # after read, as a clock's text is looked at several times and functions of array elements share no subexpressions
+        kept = [c[n].alias(n) for n in ("category", "description", "score", "rationale", "tags")]
+        return F.struct(c["clip_id"].alias("clip_id"), _time(c["start"]).alias("start_us"), _time(c["end"]).alias("end_us"), *kept)
+
     def valid(c):
         sized = lambda f, n: F.length(c[f]).between(1, n)
         ok = (sized("clip_id", 64) & (c["end_us"] > c["start_us"]) & c["category"].isin(*S.CATEGORIES) & sized("description", 500)
               & sized("rationale", 300) & c["score"].between(0, 10) & (c["score"] == F.floor(c["score"])))
         return F.coalesce(ok, F.lit(False))
 
-    every = F.coalesce(F.transform("_items", clip), F.array().cast(
+    every = F.coalesce(F.transform(F.transform("_items", read), clip), F.array().cast(
         "array<struct<clip_id:string,start_us:bigint,end_us:bigint,category:string,description:string,score:double,rationale:string,tags:array<string>>>"))
     # A generator of one row in between: else Catalyst writes the reading of a clip out at each of its uses.
     d = d.select("*", F.inline(F.array(F.struct(every.alias("_every"))))).withColumn("clips", F.filter("_every", valid))
@@ -63,7 +72,7 @@ def plan_problem(text: Column) -> Column:
     keys = F.json_object_keys(F.to_json(v))
     odd = F.array_except(keys, F.array(*map(F.lit, ("video_id", "duration_sec", "clips", "metadata"))))
     name, seconds = _text(v, "$.video_id"), _number(v, "$.duration_sec")
-    return (F.when(v.isNull(), "not JSON").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object")
+    return (F.when(v.isNull(), "not JSON").when(~is_object(v), "not an object")
             .when(~F.coalesce(F.length(name).between(1, 128), F.lit(False)), "bad video_id").when(~F.coalesce(seconds > 0, F.lit(False)), "bad duration_sec")
             .when(F.size(odd) > 0, F.concat(F.lit("unknown keys: "), F.array_join(F.array_sort(odd), ", "))))
 
@@ -95,6 +104,6 @@ def parse_detection(replies: DataFrame, text: str = "raw") -> DataFrame:
     d = d.withColumns({"content_hint": hint, "confidence": confidence, "reasoning": _text(F.col("_v"), "$.reasoning")})
     known = F.coalesce(F.col("content_hint").isin(*S.HINTS[1:]), F.lit(False))
     sure = F.coalesce(F.col("confidence").between(0.0, 1.0), F.lit(False))
-    problem = F.when(F.col("_v").isNull(), "not JSON").when(~F.schema_of_variant("_v").startswith("OBJECT"), "not an object").when(
+    problem = F.when(F.col("_v").isNull(), "not JSON").when(~is_object(F.col("_v")), "not an object").when(
         ~known, "unknown hint").when(~sure, "bad confidence")
     return d.withColumn("problem", problem).drop("_v")

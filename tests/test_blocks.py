@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from timeloom import tables
-from timeloom.operators import chains, intervals, signals
+from timeloom.operators import chains, intervals, sampling, signals
 
 
 def frames(spark, **timelines):
@@ -111,6 +111,32 @@ def test_a_stretch_of_many_rows_is_dealt_over_tasks(spark):
     assert chains.chain(d, "video_id", "t", [], 1.0).count() == n // 8
 
 
+def test_a_chain_writes_no_table_and_goes_on_over_batches(spark):
+    times = {"a": [i * 0.1 for i in range(40)], "b": [0.0, 0.05, 0.2, 5.0, 5.1, 5.25, 9.0], None: [0.0, 0.2, 0.3]}
+    rows = [(k, t, float(i % 3)) for k, ts in times.items() for i, t in enumerate(ts)]
+    d = spark.createDataFrame(rows, "video_id string, t double, strength double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for strength in (None, "strength"):
+            out = chains.chain(d, "video_id", "t", [F.col("strength")], 0.25, strength)
+            assert not any("/timeloom/" in p for p in out.inputFiles())
+            assert "Exchange" in out._jdf.queryExecution().executedPlan().toString()
+            for k, ts in times.items():
+                got = sorted((x["t"], x["strength"]) for x in out.collect() if x["video_id"] == k)
+                assert got == strongest([(t, s) for v, t, s in rows if v == k], 0.25) if strength else [t for t, _ in got] == thinned(ts, 0.25)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_moments_of_scenes_are_shuffled_once(spark):
+    scenes = spark.createDataFrame([(1, 0, 0.0, 20.0), (1, 1, 20.0, 21.0), (2, 0, 0.0, 9.5)], "video_id long, scene_index int, start_sec double, end_sec double")
+    d = sampling._hybrid(scenes.repartition(2, "video_id"), 2, 3.0)
+    assert sorted(round(x["t"], 3) for x in d.where("video_id = 2").collect()) == [3.167, 4.75, 6.333]
+    thin = sampling.deduped(d)
+    assert thin._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert d.count() == 2 + 4 + 2 + 2 + 1
+
+
 def suppressed(rows, clash):
     kept = []
     for row in rows:

@@ -1,118 +1,84 @@
 """Chains of rows in time, in which each row kept decides which one is kept next.
 
-Rows are cut into stretches wherever a row is `gap` or more after the one before it: such a row is kept in any
-case. Most stretches are short and are folded as one small array. A long one never becomes an array: where a
-chain goes on from a row depends on that row alone, so each row gets a pointer to its successor, found among
-the rows of its time cell and the next, and the rows reachable from a stretch's first are marked by following
-pointers that double in length each round.
+Spark deals rows by key and sorts them; each task then goes through its rows once, as they come. A row that is `gap`
+or more after the one before it is kept in any case, so only the others are compared with the last one kept. All
+that is held is that one row: no array, group or table holds a timeline.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.tables import cut, scratch
-
-#: Rows of a stretch that is folded as an array, and gaps that a cell of a longer one spans.
-SHORT, CELL = 256, 64
-_PLACE = ["_key", "_stretch", "_pos"]
+_T, _S, _FRESH = "_chain_t", "_chain_s", "_chain_fresh"
 
 
-def chain(df: DataFrame, key: str, time: str, order: list[Column], gap: float, strength: str | None = None, short: int = SHORT) -> DataFrame:
+def chain(df: DataFrame, key: str, time: str, order: list[Column], gap: float, strength: str | None = None, short: int | None = None) -> DataFrame:  # noqa: ARG001
     """Rows of each key in time, each `gap` or more after the last one kept; ties go by `order`. With `strength`:
-    a stronger row closer than gap to the last one takes its place, and is then the last one."""
+    a stronger row closer than gap to the last one takes its place, and is then the last one. short: of no effect, as
+    stretches of all lengths are gone through in the same way; callers still pass it."""
     if gap <= 0:
         return df
-    spark = df.sparkSession
-    with scratch(spark) as result:
-        d = cut(_stretches(df, key, time, order, gap, strength), "stretches")
-        longer = d.where(F.col("_size") > short)
-        marks = None if longer.isEmpty() else cut(_marked(longer, gap, strength is not None), "chain")
-        result += [d] if marks is None else [d, marks]
-    out = d.where("_size = 1").select("_row.*").unionByName(_folded(d.where((F.col("_size") > 1) & (F.col("_size") <= short)), gap, strength is not None))
-    return out if marks is None else out.unionByName(longer.join(marks, _PLACE).select("_row.*"))
-
-
-def _stretches(df: DataFrame, key: str, time: str, order: list[Column], gap: float, strength: str | None) -> DataFrame:
-    """_key, _stretch, _pos (from 1), _size, _t, _s, _row."""
-    sort = [c.alias(f"_o{i}") for i, c in enumerate(order)]
-    d = df.select(F.struct(F.col(key)).alias("_key"), F.col(time).cast("double").alias("_t"), (F.col(strength) if strength else F.lit(0)).cast("double").alias("_s"), *sort,
-                  F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
-    by = Window.partitionBy("_key").orderBy("_t", *(f"_o{i}" for i in range(len(order))))
-    fresh = F.when(F.col("_t") - F.lag("_t").over(by) < gap, 0).otherwise(1)
-    d = d.withColumn("_stretch", F.sum(fresh).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("_key", "_stretch")
-    pos = F.row_number().over(inside.orderBy("_t", *(f"_o{i}" for i in range(len(order)))))
-    return d.select("_key", "_stretch", pos.alias("_pos"), F.count("*").over(inside).alias("_size"), "_t", "_s", "_row")
-
-
-def _folded(d: DataFrame, gap: float, stronger: bool) -> DataFrame:
-    groups = d.groupBy("_key", "_stretch").agg(F.sort_array(F.collect_list(F.struct("_pos", "_t", "_s", "_row"))).alias("items"))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        near = F.when(x["_s"] > last["_s"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(x))).otherwise(acc) if stronger else acc
-        return F.when(x["_t"] - last["_t"] < gap, near).otherwise(F.concat(acc, F.array(x)))
-
-    kept = F.aggregate(F.slice("items", 2, F.size("items")), F.slice("items", 1, 1), step)
-    return groups.select(F.explode(kept).alias("k")).select("k._row.*")
-
-
-def _successors(t: np.ndarray, s: np.ndarray | None, gap: float) -> tuple[np.ndarray, np.ndarray]:
-    """t sorted. Index of each row's successor (len(t): none), and whether it is gap or more later."""
-    n, at = len(t), np.searchsorted(t, t + gap)
-    while len(back := np.flatnonzero((at > 0) & (t[np.maximum(at - 1, 0)] - t >= gap))):  # differences decide, not sums
-        at[back] -= 1
-    while len(on := np.flatnonzero((at < n) & (t[np.minimum(at, n - 1)] - t < gap))):
-        at[on] += 1
-    far = np.ones(n, bool)
-    if s is not None:
-        waiting: list[int] = []  # rows that no later row has beaten yet, weaker and weaker
-        for j, strength in enumerate(s.tolist()):
-            while waiting and s[waiting[-1]] < strength:
-                i = waiting.pop()
-                if j < at[i]:
-                    at[i], far[i] = j, False
-            waiting.append(j)
-    return at, far
-
-
-def _pointers(d: DataFrame, gap: float, stronger: bool) -> DataFrame:
-    """_key, _stretch, _pos, _next (null at the end), _far."""
-    width = gap * CELL
-    cell = F.floor(F.col("_t") / width)
-    cells = F.array_compact(F.array(cell, F.when(F.col("_t") - cell * width < 3 * gap, cell - 1)))  # a successor is under two gaps away
-    filed = d.select(*_PLACE, "_t", "_s", cell.alias("_own"), F.explode(cells).alias("_cell"))
-    kind = filed.schema["_key"].dataType
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_pos")
-        pos, t = table["_pos"].to_numpy(), table["_t"].to_numpy()
-        at, far = _successors(t, table["_s"].to_numpy() if stronger else None, gap)
-        own = np.flatnonzero(table["_own"].to_numpy() == table["_cell"].to_numpy())
-        after = pa.array(np.append(pos, 0)[at[own]], mask=at[own] == len(pos))
-        return pa.table({"_key": table["_key"].take(own), "_stretch": table["_stretch"].take(own), "_pos": pa.array(pos[own]), "_next": after.cast(pa.int32()), "_far": pa.array(far[own])})
-
-    return filed.groupBy("_key", "_stretch", "_cell").applyInArrow(run, f"_key {kind.simpleString()}, _stretch long, _pos int, _next int, _far boolean")
-
-
-def _marked(d: DataFrame, gap: float, stronger: bool) -> DataFrame:
-    """_key, _stretch, _pos of the rows that stay."""
-    steps = cut(_pointers(d, gap, stronger), "pointers")
-    marks = steps.where("_pos = 1").select(*_PLACE)
-    jumps = steps.where("_next is not null").select(*_PLACE, "_next")
-    rounds = []  # jumps of 1, 2, 4 ... steps: the rows marked so far, and those as many steps on
-    while True:
-        found = cut(marks.join(jumps, _PLACE).select("_key", "_stretch", F.col("_next").alias("_pos")), "marks")
-        if found.isEmpty():
-            break
-        rounds.append(found)
-        marks = marks.unionByName(found)
-        on = jumps.select("_key", "_stretch", F.col("_pos").alias("_next"), F.col("_next").alias("_beyond"))
-        jumps = cut(jumps.join(on, ["_key", "_stretch", "_next"]).select(*_PLACE, F.col("_beyond").alias("_next")), "jumps")
-    if stronger:  # a row gives way to a stronger one
-        marks = marks.join(steps.where("_far or _next is null").select(*_PLACE), _PLACE)
-    return marks
+    sort = [f"_chain_o{i}" for i in range(len(order))]
+    facts = [F.col(time).cast("double").alias(_T), *(c.alias(n) for c, n in zip(order, sort, strict=True))]
+    d = df.select("*", *facts, *([F.col(strength).cast("double").alias(_S)] if strength else []))
+    near = F.col(_T) - F.lag(_T).over(Window.partitionBy(key).orderBy(_T, *sort)) < gap
+    d = d.withColumn(_FRESH, ~F.coalesce(near, F.lit(False))).sortWithinPartitions(key, _T, *sort)  # already so: costs no sort
+    names, fold = df.columns, _strongest if strength else _thinned
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fold(batches, gap, len(names))
+
+    return d.select(*(F.col(f"`{c}`") for c in names), _T, _FRESH, *([_S] if strength else [])).mapInArrow(run, df.schema)
+
+
+def _own(batch: pa.RecordBatch, n: int) -> pa.RecordBatch:
+    """The first n columns."""
+    return batch.select(list(range(n)))
+
+
+def _thinned(batches: Iterable[pa.RecordBatch], gap: float, n: int) -> Iterator[pa.RecordBatch]:
+    last = 0.0
+    for batch in batches:
+        t = batch.column(n).to_numpy(zero_copy_only=False)
+        keep = batch.column(n + 1).to_numpy(zero_copy_only=False).astype(bool)
+        before = -1
+        for i in np.flatnonzero(~keep).tolist():
+            if i != before + 1:
+                last = t[i - 1]
+            if not t[i] - last < gap:
+                keep[i], last = True, t[i]
+            before = i
+        if len(t) and before != len(t) - 1:
+            last = t[-1]
+        yield _own(batch, n).filter(pa.array(keep))
+
+
+def _stronger(a: float | None, b: float | None) -> bool:
+    """As Spark compares: nothing is stronger than null, NaN is stronger than numbers."""
+    return a is not None and b is not None and (a > b or (a != a and b == b))
+
+
+def _strongest(batches: Iterable[pa.RecordBatch], gap: float, n: int) -> Iterator[pa.RecordBatch]:
+    held, last, best = None, 0.0, None  # the row that a stronger one may still replace
+    for batch in batches:
+        fresh, strength = batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist()
+        keep, at = [], None
+        for i, t in enumerate(batch.column(n).to_numpy(zero_copy_only=False).tolist()):
+            if fresh[i] or not t - last < gap:
+                if at is not None:
+                    keep.append(at)
+                elif held is not None:
+                    yield held
+                at, last, best = i, t, strength[i]
+            elif _stronger(strength[i], best):
+                at, last, best = i, t, strength[i]
+        yield _own(batch, n).take(pa.array(keep, pa.int64()))
+        if at is not None:
+            held = _own(batch, n).take(pa.array([at], pa.int64()))
+    if held is not None:
+        yield held

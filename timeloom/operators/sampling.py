@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.errors import TimelineError, UnknownName
+from timeloom.tables import cut
 
 from .intervals import thin
 
@@ -50,13 +51,20 @@ def deduped(specs: DataFrame, tolerance: float = TOLERANCE_SEC) -> DataFrame:
 def hybrid(scenes: DataFrame, media: DataFrame, n: int = PER_SCENE, max_gap: float = MAX_GAP_SEC) -> DataFrame:
     """Moments in each scene and more in long ones; timelines without scenes are sampled uniformly."""
     bare = media.join(scenes.select("video_id").distinct(), "video_id", "left_anti")
-    return deduped(functools.reduce(DataFrame.unionByName, _hybrid(scenes, n, max_gap))).unionByName(uniform(bare, max_gap))
+    return deduped(_hybrid(scenes, n, max_gap)).unionByName(uniform(bare, max_gap))
 
 
-def _hybrid(scenes: DataFrame, n: int, max_gap: float) -> list[DataFrame]:
+def _hybrid(scenes: DataFrame, n: int, max_gap: float) -> DataFrame:
+    """n moments inside each scene, then as many more as a long one has room for. Scenes are gone through once and
+    aren't united with themselves, so that where they are dealt by timeline their moments are too."""
+    if n <= 0:
+        raise TimelineError("at least one moment a scene")
     length = F.col("end_sec") - F.col("start_sec")
-    extra = F.when(length > max_gap, F.floor(length / max_gap) - n).otherwise(0)
-    return [per_scene(scenes, n), _inside(scenes, extra)]
+    extra = F.greatest(F.lit(0), F.when(length > max_gap, F.floor(length / max_gap) - n).otherwise(0).cast("int"))
+    d = scenes.where(F.col("end_sec") > F.col("start_sec")).withColumn("n", extra)
+    d = d.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n") + n)))
+    share = F.when(F.col("i") <= n, length * F.col("i") / (n + 1)).otherwise(length * (F.col("i") - n) / (F.col("n") + 1))
+    return d.select("video_id", (F.col("start_sec") + share).alias("t"), "scene_index")
 
 
 STRATEGIES = ("hybrid", "scene", "uniform")
@@ -79,7 +87,7 @@ def sampled(strategy: str | Column, scenes: DataFrame, media: DataFrame, min_fra
         if name == "hybrid":
             short = F.col("duration_sec") < SHORT_SEC
             thick.append(uniform(own.where(short), SHORT_STEP_SEC))
-            thick += _hybrid(scenes.join(own.where(~short).select("video_id"), "video_id", "left_semi"), n, max_gap)
+            thick.append(_hybrid(scenes.join(own.where(~short).select("video_id"), "video_id", "left_semi"), n, max_gap))
             bare = own.where(~short).join(scenes.select("video_id").distinct(), "video_id", "left_anti")
             even.append(uniform(bare, max_gap))
         elif name == "scene":
@@ -87,10 +95,10 @@ def sampled(strategy: str | Column, scenes: DataFrame, media: DataFrame, min_fra
         else:
             even.append(uniform(own, interval))
     union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
-    specs = union([*([deduped(union(thick))] if thick else []), *even])
+    specs = cut(union([*([deduped(union(thick))] if thick else []), *even]), "moments")  # counted, then read again
     counts = specs.groupBy("video_id").agg(F.count("*").alias("frames"))
     few = asked.join(counts, "video_id", "left").where((F.coalesce("frames", F.lit(0)) < F.col("_least")) & (F.col("duration_sec") > 0))
-    few = few.select("video_id", "duration_sec", "_least")
+    few = cut(few.select("video_id", "duration_sec", "_least"), "few")
     dense = deduped(uniform(few, F.col("duration_sec") / (F.col("_least") + 1)))
     return specs.join(few.select("video_id"), "video_id", "left_anti").unionByName(dense)
 

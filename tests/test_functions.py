@@ -60,3 +60,11 @@ def test_prices(spark):
     assert got == pytest.approx([round((800 * 3 + 1200 * 15) / 1e6, 4), round((11800 * 3 + 1200) / 1e6, 4)])
     assert values(spark, [(None,), (429,), (404,)], "s int", pricing.retryable(F.col("s"))) == [True, True, False]
     assert values(spark, [(1.0, 2.0), (None, 2.0), (1.0, None)], "a double, b double", pricing.add_known(F.col("a"), F.col("b"))) == [3.0, 2.0, None]
+
+
+def test_slugs_look_no_further_than_what_they_show(spark):
+    texts = ["", None, "--a--b- c", "x" * 100, "- " * 500 + "z", "a\nb\r\nc", "A1" * 14 + "-" * 9 + "zz", "A1" * 15 + "-q", "a" + "-" * 200 + "bé"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    slug = text.slugify(F.col("t"))
+    assert [r[0] for r in d.select(slug).collect()] == ["clip", "clip", "a-b-c", "x" * 30, "z", "a-b-c", "A1" * 14 + "-z", "A1" * 15, "a-b"]
+    assert "regexp_extract" in str(slug)

@@ -28,8 +28,9 @@ def redact(text: Column) -> Column:
 
 def slugify(text: Column, max_length: int = 30, empty: str = "clip") -> Column:
     """ASCII letters, digits and single hyphens, none at the ends; `empty` where nothing is left."""
-    dashed = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "[^A-Za-z0-9-]+", "-")
-    dashed = F.btrim(F.regexp_replace(dashed, "-{2,}", "-"), F.lit("-"))
+    # What decides: up to the last letter or digit that can be shown. Replacing goes on to the end of a text, which may be long.
+    told = F.regexp_extract(F.coalesce(text, F.lit("")), rf"\A[^A-Za-z0-9]*+((?:[A-Za-z0-9][^A-Za-z0-9]*+){{0,{max_length}}}+)", 1)
+    dashed = F.btrim(F.regexp_replace(told, "[^A-Za-z0-9]+", "-"), F.lit("-"))
     cut = F.rtrim(F.substring(dashed, 1, max_length), F.lit("-"))
     return F.when(cut == "", empty).otherwise(cut)
 

@@ -281,3 +281,12 @@ def test_settings(tmp_path, caplog):
 def test_plan_problem(spark):
     d = spark.createDataFrame([('{"video_id": "v", "duration_sec": 1}',), ('{"video_id": "' + "v" * 129 + '", "duration_sec": 1}',), ("[1]",)], "raw string")
     assert [r["p"] for r in rows(d.select(replies.plan_problem(F.col("raw")).alias("p")))] == [None, "bad video_id", "not an object"]
+
+
+def test_replies_are_read_once(spark):
+    """Clips, metadata and outcomes come from answers that were read and written once."""
+    media = spark.createDataFrame([(1, 700.0, 20.0), (2, 50.0, 20.0)], "video_id long, duration_sec double, max_sec double")
+    found = runs.analyse(media, models.make("fixed"), audio=False, strict=False)
+    for df in (found.clips, found.metadata, found.outcomes):
+        assert "parse_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["video_id"], r["n_chunks"]) for r in found.metadata.collect()) == [(1, 3), (2, 1)]

@@ -52,9 +52,9 @@ class Run(NamedTuple):
 
 def _merged(answers: DataFrame, model: models.Model, results: DataFrame) -> Found:
     good = answers.where("error is null")
-    rows = good.select("video_id", "chunk_index", F.posexplode("clips").alias("pos", "c"))
-    rows = rows.select("video_id", "chunk_index", "pos", "c.clip_id", "c.start_us", "c.end_us", "c.category", "c.description", F.col("c.score").cast("int").alias("score"), "c.rationale", "c.tags")
-    clips = chunks.merge_clips(chunks.rebase(rows, good.select("video_id", "chunk_index", "start_sec")))
+    rows = good.select("video_id", "chunk_index", "start_sec", F.posexplode("clips").alias("pos", "c"))
+    rows = rows.select("video_id", "chunk_index", "start_sec", "pos", "c.clip_id", "c.start_us", "c.end_us", "c.category", "c.description", F.col("c.score").cast("int").alias("score"), "c.rationale", "c.tags")
+    clips = chunks.merge_clips(chunks.on_timeline(rows))
     plans = good.select("video_id", "chunk_index", F.lit(model.provider).alias("provider"), F.lit(model.model).alias("model"), F.lit(replies.PROMPT_VERSION).alias("prompt_version"),
                         F.lit(None).cast("double").alias("analysis_time_sec"), F.col("paid").alias("cost_usd"))
     return Found(clips, chunks.merge_metadata(plans), chunks.outcomes(results))
@@ -71,10 +71,11 @@ def batched(media: DataFrame, model: models.Model, audio: bool, template: Column
 
 
 def _paid(segments: DataFrame, template: Column, model: models.Model) -> DataFrame:
-    """As _asked, with `paid`: the cost that the model told."""
+    """Answers, read, with `paid`: the cost that the model told. A table, as clips, metadata, outcomes and what is asked next
+    all go by it, and each would read all replies anew."""
     d = models.replies(segments.withColumn("template", template), model).withColumnRenamed("usd", "paid").withColumnRenamed("error", "failure")
     p = replies.parse_plans(d)
-    return p.select("video_id", "chunk_index", "start_sec", "end_sec", "clips", "paid", F.coalesce("failure", "problem").alias("error"))
+    return cut(p.select("video_id", "chunk_index", "start_sec", "end_sec", "clips", "paid", F.coalesce("failure", "problem").alias("error")), "answers")
 
 
 def two_pass(media: DataFrame, model: models.Model, audio: bool, template: Column | None = None, strict: bool = True) -> Found:

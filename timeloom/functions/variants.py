@@ -24,6 +24,14 @@ def is_object(v: Column, path: str = "$") -> Column:
     return F.try_variant_get(v, path, "struct<_:variant>").isNotNull()
 
 
+def is_text(kind: Column) -> Column:
+    return kind == "STRING"
+
+
+def is_number(kind: Column) -> Column:
+    return kind.isin(*_NUMBERS) | kind.startswith("DECIMAL")
+
+
 def opened(items: Column, names: tuple[str, ...]) -> Column:
     """An array of variants to an array of structs, for each name a struct of the field: v, kind (VOID for a JSON null, null
     for nothing there), text and number (null for other kinds). One array after the other, so that nothing is read
@@ -32,8 +40,8 @@ def opened(items: Column, names: tuple[str, ...]) -> Column:
     kinds = F.transform(found, lambda s: F.struct(*(F.struct(s[n].alias("v"), F.schema_of_variant(s[n]).alias("kind")).alias(n) for n in names)))
 
     def field(f):
-        text = F.when(f["kind"] == "STRING", F.try_variant_get(f["v"], "$", "string"))
-        number = F.when(f["kind"].isin(*_NUMBERS) | f["kind"].startswith("DECIMAL"), F.try_variant_get(f["v"], "$", "double"))
+        text = F.when(is_text(f["kind"]), F.try_variant_get(f["v"], "$", "string"))
+        number = F.when(is_number(f["kind"]), F.try_variant_get(f["v"], "$", "double"))
         return F.struct(f["v"].alias("v"), f["kind"].alias("kind"), text.alias("text"), number.alias("number"))
 
     return F.transform(kinds, lambda s: F.struct(*(field(s[n]).alias(n) for n in names)))

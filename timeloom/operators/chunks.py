@@ -43,6 +43,11 @@ def rebase(clips: DataFrame, chunks: DataFrame) -> DataFrame:
     """Clips of chunks (times from the chunk's start) on the whole timeline; ids name their chunk. A clip
     of a chunk that isn't there raises."""
     d = clips.join(chunks.select("video_id", "chunk_index", "start_sec"), ["video_id", "chunk_index"], "left")
+    return on_timeline(d)
+
+
+def on_timeline(d: DataFrame) -> DataFrame:
+    """As rebase, for clips that bring their chunk's start_sec along."""
     shift = F.when(F.col("start_sec").isNotNull(), F.round(F.col("start_sec") * 1_000_000).cast("long")).otherwise(
         F.raise_error(F.lit("a clip of an unknown chunk")).cast("long"))
     return d.withColumns({

@@ -8,21 +8,13 @@ from pyspark.sql import functions as F
 from timeloom import schema as S
 from timeloom.functions.text import isolate_json
 from timeloom.functions.timecode import from_seconds, parse
-from timeloom.functions.variants import is_object
+from timeloom.functions.variants import is_number, is_object, is_text
 from timeloom.functions.variants import number as _number
 from timeloom.functions.variants import text_of as _text
 
 PROMPT_VERSION = "v12"
 
 
-def _said(v: Column, path: str) -> Column:
-    return F.struct(_text(v, path).alias("text"), _number(v, path).alias("number"))
-
-
-def _time(said: Column) -> Column:
-    return F.coalesce(parse(said["text"]), from_seconds(said["number"]))
-
-
 def tags_of(v: Column) -> Column:
     """null: none; one string: itself; a list: its first five entries, nulls aside, as text."""
     listed = F.transform(F.try_variant_get(v, "$.tags", "array<variant>"), lambda t: F.try_variant_get(t, "$", "string"))
@@ -40,15 +32,27 @@ def parse_plans(replies: DataFrame, text: str = "raw") -> DataFrame:
                     .when(items.isNull(), "no clips"),
         "_items": items})
 
-    def read(v):
-        return F.struct(
-            _text(v, "$.id").alias("clip_id"), _said(v, "$.start").alias("start"), _said(v, "$.end").alias("end"),
-            _text(v, "$.category").alias("category"), _text(v, "$.description").alias("description"),
-            _number(v, "$.score").alias("score"), _text(v, "$.rationale").alias("rationale"), tags_of(v).alias("tags"))
+    # One array after the other, as functions of array elements share no subexpressions; flat, as each struct inside a struct costs its own row.
+    names = ("id", "start", "end", "category", "description", "score", "rationale", "tags")
+
+    def found(v):
+        return F.struct(*(F.try_variant_get(v, f"$.{n}", "variant").alias(n) for n in names))
+
+    def kinds(c):
+        return F.struct(*(c[n].alias(n) for n in names), *(F.schema_of_variant(c[n]).alias(f"{n}_kind") for n in names))
+
+    def read(c):
+        said = lambda n: F.when(is_text(c[f"{n}_kind"]), F.try_variant_get(c[n], "$", "string"))
+        number = lambda n: F.when(is_number(c[f"{n}_kind"]), F.try_variant_get(c[n], "$", "double"))
+        listed = F.when(c["tags_kind"].startswith("ARRAY"), F.slice(F.array_compact(F.try_variant_get(c["tags"], "$", "array<string>")), 1, 5))
+        tags = F.when(is_text(c["tags_kind"]), F.array(said("tags"))).otherwise(F.coalesce(listed, F.array().cast("array<string>")))
+        texts = [said(n).alias(n) for n in ("id", "start", "end", "category", "description", "rationale")]
+        return F.struct(*texts, *(number(n).alias(f"{n}_number") for n in ("start", "end", "score")), tags.alias("tags"))
 
-    def clip(c):  # after read, as a clock's text is looked at several times and functions of array elements share no subexpressions
-        kept = [c[n].alias(n) for n in ("category", "description", "score", "rationale", "tags")]
-        return F.struct(c["clip_id"].alias("clip_id"), _time(c["start"]).alias("start_us"), _time(c["end"]).alias("end_us"), *kept)
+    def clip(c):
+        time = lambda n: F.when(c[n].isNotNull(), parse(c[n])).otherwise(from_seconds(c[f"{n}_number"])).alias(f"{n}_us")
+        return F.struct(c["id"].alias("clip_id"), time("start"), time("end"), c["category"].alias("category"), c["description"].alias("description"),
+                        c["score_number"].alias("score"), c["rationale"].alias("rationale"), c["tags"].alias("tags"))
 
     def valid(c):
         sized = lambda f, n: F.length(c[f]).between(1, n)
@@ -56,7 +60,7 @@ def parse_plans(replies: DataFrame, text: str = "raw") -> DataFrame:
               & sized("rationale", 300) & c["score"].between(0, 10) & (c["score"] == F.floor(c["score"])))
         return F.coalesce(ok, F.lit(False))
 
-    every = F.coalesce(F.transform(F.transform("_items", read), clip), F.array().cast(
+    every = F.coalesce(F.transform(F.transform(F.transform(F.transform("_items", found), kinds), read), clip), F.array().cast(
         "array<struct<clip_id:string,start_us:bigint,end_us:bigint,category:string,description:string,score:double,rationale:string,tags:array<string>>>"))
     # A generator of one row in between: else Catalyst writes the reading of a clip out at each of its uses.
     d = d.select("*", F.inline(F.array(F.struct(every.alias("_every"))))).withColumn("clips", F.filter("_every", valid))

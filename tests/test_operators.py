@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from timeloom.errors import CostRefused, TimelineError, UnknownName
 from timeloom.operators import catalogue, chunks, intervals, profiles, ranking, readiness, sampling, signals
+from timeloom.queries import QUERIES
+from timeloom.tables import cut
 
 CLIP = "video_id string, pos int, start_us long, end_us long, score int"
 
@@ -223,3 +225,18 @@ def test_cell_times_broadcast_no_frames(spark):
     times = sampling.sheet_cells(sampling.sheet_times(windows, 60.0), 5, 4)
     plan = sampling.cell_times(times.select("video_id", "cell"), times.where("frame_index % 2 = 0"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_suppression_deals_rows_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(intervals, "cut", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, label))
+    d = "/root/testdata/sf0.001"
+    assert QUERIES["q_merge_plans"](spark, d).count() > 0 and QUERIES["q_rank_topk"](spark, d).count() > 0
+    assert [p.count("Exchange") for p in plans] == [1, 1]
+
+
+def test_suppression_of_unknown_times(spark):
+    rows = [("v", 0, 0.0, float("nan"), 5), ("v", 1, 1.0, 2.0, 9), ("w", 0, 0.0, 10.0, 5), ("w", 1, 1.0, 10.0, 9), ("w", 2, 20.0, None, 1), (None, 0, 0.0, 4.0, 1), (None, 1, 0.0, 4.0, 2)]
+    d = spark.createDataFrame(rows, "video_id string, pos int, start_us double, end_us double, score int")
+    got = intervals.suppress_iou(d, "video_id", "start_us", "end_us", [-F.col("score")]).collect()
+    assert {(r["video_id"], r["pos"]) for r in got} == {("v", 1), ("w", 1), ("w", 2), (None, 1)}

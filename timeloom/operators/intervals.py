@@ -1,7 +1,7 @@
 """Overlap of intervals: pairs, greedy suppression, tolerance de-dup, slices.
 
 Greedy suppression looks at the rows kept so far, so it is a fold, not a window. A timeline is first
-cut into islands of touching intervals, which cannot suppress each other; small islands are folded as arrays,
+cut into islands of touching intervals, which cannot suppress each other; small islands are folded as they come,
 crowded ones are settled in parallel rounds.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import logging
 import math
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,11 +24,13 @@ from .chains import chain
 
 log = logging.getLogger(__name__)
 
-#: Rows of an island that is folded as an array; rounds for larger ones, and the share of rows that one must settle.
+#: Rows of an island that is folded as it comes; rounds for larger ones, and the share of rows that one must settle.
 SHORT, ROUNDS, LEAST_SHARE = 256, 12, 0.1
 #: Powers of four seconds: the narrowest and the widest bucket of a slice.
 _FINEST, _COARSEST = -10, 40
 _PLACE = ["_key", "_island", "_p"]
+#: What becomes of an island: folded at once, settled in rounds, or folded by Spark, as some of its times are null or NaN.
+_FOLDED, _CROWDED, _UNKNOWN = 0, 1, 2
 
 
 def islands(df: DataFrame, key: str, start: str, end: str, name: str = "island") -> DataFrame:
@@ -40,22 +43,66 @@ def islands(df: DataFrame, key: str, start: str, end: str, name: str = "island")
 
 def _suppress(df: DataFrame, key: str, start: str, end: str, order: list[Column], clash, plain, short: int = SHORT) -> DataFrame:
     """Keeps a row unless it clashes with one kept before it in `order`. clash: of columns; plain: the same of floats."""
-    d = islands(df, key, start, end, "_island")
-    item = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
-    d = d.select(F.struct(F.col(key)).alias("_key"), "_island", F.col(start).alias("_a"), F.col(end).alias("_b"), item, *(c.alias(f"_o{i}") for i, c in enumerate(order)))
-    inside = Window.partitionBy("_key", "_island")
-    place = F.row_number().over(inside.orderBy(*(f"_o{i}" for i in range(len(order))), "_a", "_b", "_row"))
+    columns, inside = [F.col(f"`{c}`") for c in df.columns], Window.partitionBy(key, "_island")
+    place = F.row_number().over(inside.orderBy(*order, start, end, *columns))
+    unknown = functools.reduce(Column.__or__, (F.col(c).isNull() | F.isnan(F.col(c).cast("double")) for c in (start, end)))
+    way = F.when(F.count("*").over(inside) > short, _CROWDED).when(F.count_if(unknown).over(inside) > 0, _UNKNOWN).otherwise(_FOLDED)
+    # Rows are dealt once, by key, and each task goes through its islands as they come; those not folded pass.
+    d = islands(df, key, start, end, "_island").withColumn("_p", place).withColumn("_way", way).sortWithinPartitions(key, "_island")  # already so: costs no sort
+    names = ["_p", "_way", start, end]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _folded(batches, names, plain)
+
+    d = d.mapInArrow(run, d.schema)
+    d = d.select(F.struct(F.col(key)).alias("_key"), "_island", "_p", "_way", F.col(start).alias("_a"), F.col(end).alias("_b"), F.struct(*columns).alias("_row"))
     with scratch(df.sparkSession) as result:
-        d = cut(d.select("_key", "_island", place.alias("_p"), F.count("*").over(inside).alias("_size"), "_a", "_b", "_row"), "islands")
-        crowded = d.where(F.col("_size") > short)
-        kept = None if crowded.isEmpty() else cut(_settled(crowded.drop("_size", "_row"), clash, plain), "settled")
+        d = cut(d, "islands")
+        ways = {r["_way"] for r in d.select("_way").distinct().collect()}  # three at most
+        crowded = d.where(F.col("_way") == _CROWDED)
+        kept = cut(_settled(crowded.drop("_way", "_row"), clash, plain), "settled") if _CROWDED in ways else None
         result += [d] if kept is None else [d, kept]
-    few = d.where((F.col("_size") > 1) & (F.col("_size") <= short))
-    groups = few.groupBy("_key", "_island").agg(F.sort_array(F.collect_list(F.struct("_p", "_a", "_b", "_row"))).alias("items"))
+    out = d.where(F.col("_way") == _FOLDED).select("_row.*")
+    if _UNKNOWN in ways:
+        out = out.unionByName(_compared(d.where(F.col("_way") == _UNKNOWN), clash))
+    return out if kept is None else out.unionByName(crowded.join(kept, _PLACE).select("_row.*"))
+
+
+def _folded(batches: Iterable[pa.RecordBatch], names: list[str], plain) -> Iterator[pa.RecordBatch]:
+    """Of rows that come island by island and best first, those that clash with none kept before. Held are the times
+    of what one island keeps, as many as are folded at most."""
+    kept: list[tuple] = []
+    before = 0
+    for batch in batches:
+        keep = []
+        for i, (p, way, lo, hi) in enumerate(zip(*(_values(batch.column(n)) for n in names), strict=True)):
+            if p == 1:
+                kept = []
+            elif p != before + 1:
+                raise RuntimeError("rows of an island came out of order")
+            before = p
+            if way == _FOLDED:
+                for c, d in kept:
+                    if c < hi and lo < d and plain(lo, hi, c, d):  # neither measure is over 0 without shared time
+                        break
+                else:
+                    kept.append((lo, hi))
+                    keep.append(i)
+            else:
+                keep.append(i)
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def _values(column: pa.Array) -> list:
+    return column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _compared(d: DataFrame, clash) -> DataFrame:
+    """As _folded, of small islands with nulls or NaN among their times, which count as Spark compares them."""
+    groups = d.groupBy("_key", "_island").agg(F.sort_array(F.collect_list(F.struct("_p", "_a", "_b", "_row"))).alias("items"))
     fold = F.aggregate("items", F.slice("items", 1, 0), lambda acc, x: F.when(
         F.exists(acc, lambda y: clash(x["_a"], x["_b"], y["_a"], y["_b"])), acc).otherwise(F.concat(acc, F.array(x))))
-    out = d.where("_size = 1").select("_row.*").unionByName(groups.select(F.explode(fold).alias("k")).select("k._row.*"))
-    return out if kept is None else out.unionByName(crowded.join(kept, _PLACE).select("_row.*"))
+    return groups.select(F.explode(fold).alias("k")).select("k._row.*")
 
 
 def _settled(d: DataFrame, clash, plain) -> DataFrame:

@@ -15,8 +15,9 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     start = F.col("l_linenumber").cast("long") * 10_000_000
     category = F.when(F.col("l_returnflag") == "R", "highlight").when(F.col("l_returnflag") == "A", "reaction").otherwise("filler")
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("video_id"), F.row_number().over(by).alias("pos"), start.alias("start_us"),
+    # Named after the window, so that Spark knows rows to be dealt by video_id from here on.
+    return table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(by)).select(
+        F.col("l_orderkey").alias("video_id"), "pos", start.alias("start_us"),
         (start + (F.col("l_quantity") * 1_500_000).cast("long")).alias("end_us"), F.round(F.col("l_discount") * 100).cast("int").alias("score"),
         category.alias("category"))
 

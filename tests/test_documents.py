@@ -8,6 +8,7 @@ from timeloom import schema as S
 from timeloom.errors import UnknownName
 from timeloom.operators import ranking
 from timeloom.plans import documents
+from timeloom.queries import QUERIES
 from timeloom.sources import probe, replies
 
 MEDIA = ("v", "/v.mp4", 12.0, 640, 360, 25.0, "h264", None, "mp4", 10)
@@ -169,3 +170,8 @@ def test_fields_of_clips_are_read_once(spark):
             assert 1 <= df._jdf.queryExecution().analyzed().toString().count("$.start") <= 4
     finally:
         spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
+def test_manifests_are_read_once(spark):
+    plan = QUERIES["q_manifest_select"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1

@@ -55,9 +55,16 @@ def write_manifest(ranked: DataFrame, media: DataFrame, outputs: DataFrame) -> D
     by_mode = by_mode.groupBy("video_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", F.col("p.path").alias("paths"))))).alias("outputs"))
     fields = [c for c in S.MEDIA.names if c not in ("container", "size_bytes")]
     d = media.select("video_id", F.struct(*fields).alias("video")).join(clips, "video_id", "left").join(by_mode, "video_id", "left")
-    return d.select("video_id", F.to_json(F.struct(
+    text = F.to_json(F.struct(
         "video", F.coalesce("clips", F.array().cast(clips.schema["clips"].dataType)).alias("clips"),
-        F.coalesce("outputs", F.create_map().cast("map<string,array<string>>")).alias("outputs"))).alias("manifest"))
+        F.coalesce("outputs", F.create_map().cast("map<string,array<string>>")).alias("outputs")))
+    return once(d.select("video_id", text.alias("manifest")), "manifest")
+
+
+def once(d: DataFrame, column: str) -> DataFrame:
+    """d as it is, with a column that later filters and columns share instead of working it out anew: they would be
+    moved below it, but aren't moved below a generator (of one row). Nothing else changes but the column's place."""
+    return d.select(*(c for c in d.columns if c != column), F.inline(F.array(F.struct(column))))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

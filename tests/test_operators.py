@@ -240,3 +240,11 @@ def test_suppression_of_unknown_times(spark):
     d = spark.createDataFrame(rows, "video_id string, pos int, start_us double, end_us double, score int")
     got = intervals.suppress_iou(d, "video_id", "start_us", "end_us", [-F.col("score")]).collect()
     assert {(r["video_id"], r["pos"]) for r in got} == {("v", 1), ("w", 1), ("w", 2), (None, 1)}
+
+
+def test_index_map_collects_numbers(spark):
+    windows = spark.createDataFrame([("v", 0.0, 6.5)], "video_id string, start_sec double, end_sec double")
+    made = sampling.index_map(sampling.sheet_cells(sampling.sheet_times(windows, 0.5), 5, 4, offset=1))
+    assert made.first()["index_to_sec"].startswith('{"1":0.0,"2":0.5,') and made.first()["index_to_sec"].endswith('"12":5.5,"13":6.0}')
+    collected = [line for line in made._jdf.queryExecution().executedPlan().toString().splitlines() if "partial_collect_list" in line]
+    assert len(collected) == 1 and "as string" not in collected[0]

@@ -131,8 +131,9 @@ def sheet_cells(times: DataFrame, columns: int, rows: int, offset: int = 0) -> D
 
 def index_map(times: DataFrame) -> DataFrame:
     """video_id, index_to_sec: JSON of cell index to second, rounded to 3."""
-    pair = F.struct(F.col("cell").cast("string"), F.bround("t", 3).alias("t"))
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("cell", pair.alias("pair")))), lambda x: x["pair"])
+    # Numbers are collected and sorted; texts are made of them afterwards.
+    cells = F.sort_array(F.collect_list(F.struct("cell", F.bround("t", 3).alias("t"))))
+    entries = F.transform(cells, lambda x: F.struct(x["cell"].cast("string"), x["t"]))
     return times.groupBy("video_id").agg(F.to_json(F.map_from_entries(entries)).alias("index_to_sec"))
 
 

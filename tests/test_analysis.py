@@ -290,3 +290,50 @@ def test_replies_are_read_once(spark):
     for df in (found.clips, found.metadata, found.outcomes):
         assert "parse_json" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["video_id"], r["n_chunks"]) for r in found.metadata.collect()) == [(1, 3), (2, 1)]
+
+
+def test_requests_are_probed_once(spark):
+    """Each step of a run goes by one table of probed requests, and two requests for one file are two."""
+    payload = json.dumps({"format": {"duration": "400"}, "streams": [{"codec_type": "video", "codec_name": "h264", "width": 4, "height": 2, "avg_frame_rate": "25/1"}]})
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    asked = spark.createDataFrame([(1, "a.mp4", payload, "hybrid"), (2, "a.mp4", payload, "talk"), (3, "b.mp4", "junk", "talk")], "video_id long, path string, payload string, hint string")
+    scenes = spark.createDataFrame([(1, 0, 0.0, 400.0), (2, 0, 0.0, 400.0)], "video_id long, scene_index int, start_sec double, end_sec double")
+    for model in (models.make("fixed"), models.make("fixed", sees=False, hears=False)):
+        before = read.value
+        r = runs.run_all(asked.mapInArrow(counted, asked.schema), scenes, model, default_score=0)
+        assert sorted(x["video_id"] for x in rows(r.plans)) == [1, 2]
+        assert sorted((x["video_id"], x["status"]) for x in rows(r.outcomes)) == [(1, "done"), (2, "done"), (3, "failed")]
+        assert read.value - before == 3
+
+
+def test_a_plan_is_written_once(spark):
+    """Reading a plan's clips doesn't make its text anew for the filter on them."""
+    r = spark.createDataFrame([(1, 1, "c", 1_000_000, 3_000_000, "filler", "d", "r", 5, 5, 5, ["t"])],
+                              "video_id long, rank int, clip_id string, start_us long, end_us long, category string, description string, rationale string, score int, heuristic_score int, final_score int, tags array<string>")
+    m = spark.createDataFrame([(1, "p", 10.0, 1, 1, 25.0, "h", "a", "mp4", 9)], "video_id long, path string, duration_sec double, width int, height int, fps double, video_codec string, audio_codec string, container string, size_bytes long")
+    d = documents.parse_documents(documents.write_plan(r, m), "plan").select("video_id", F.explode("document.clips").alias("c"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("StructsToJsonEvaluator") == 1
+    assert [x["c"]["id"] for x in rows(d)] == ["c"]
+
+
+def test_lines_of_sampled_frames(spark):
+    """Lists made by the tasks that thin are those of the steps one by one, of timelines of any length."""
+    s = spark.createDataFrame([(1, 0, 0.0, 4.0), (1, 1, 4.0, 200.0), (1, 2, 199.9, 200.3), (1, 3, 7.0, 7.0), (2, 0, 0.0, 130.0), (3, 0, 0.0, 5.0), (6, 0, 100.0, 400_000.0), (7, 0, 50.0, 40.0)],
+                              "video_id long, scene_index int, start_sec double, end_sec double")
+    m = spark.createDataFrame([(1, 200.0, "hybrid", 8), (2, 130.0, "scene", 2), (3, 5.0, "uniform", 3), (4, 3.0, "hybrid", 8), (5, 500.0, "hybrid", 5), (6, 400_000.0, "hybrid", 5), (7, 200.0, "hybrid", 4), (8, 60.0, "scene", 3),
+                               (9, 0.0, "hybrid", 3), (10, 0.5, "uniform", 8), (11, 119.9, "hybrid", 3)], "video_id long, duration_sec double, sampling string, min_frames int")
+    asked = (F.col("sampling"), s, m, F.col("min_frames"))
+    frames = sampling.frame_names(sampling.sampled(*asked)).select("video_id", F.col("frame").alias("frame_index"), "t")
+    told = {r["video_id"]: r["lines"] for r in rows(profiles.frame_lines(frames))}
+    got = rows(sampling.listed(*asked))
+    assert {r["video_id"]: r["lines"] for r in got} == told and len(got) == len(told) and 9 not in told and len(told) == 10
+    assert all(r["n_frames"] == len(r["lines"].split("\n")) for r in got) and "111:06:" in told[6]
+    texts = [f"{x}" for x in (1, 2)]
+    named = sampling.listed("uniform", s.where("false").withColumn("video_id", F.col("video_id").cast("string")), spark.createDataFrame([(x, 5.0) for x in texts], "video_id string, duration_sec double"), 1)
+    assert sorted((r["video_id"], r["lines"]) for r in rows(named)) == [(x, "0: 00:00:01.000\n1: 00:00:03.000") for x in texts]

@@ -21,6 +21,15 @@ def test_clock_is_cut_not_rounded(spark):
     assert got == ["00:00:01.004", "00:00:00.000", "01:01:01.999", "100:00:00.000"]
 
 
+def test_clocks_of_tasks_are_those_of_columns(spark):
+    import numpy as np
+
+    seconds = [0.0, -0.5, 0.0009, 1.005, 59.9999, 60.0, 3599.999, 35_999.5, 36_000.25, 359_999.999, 360_000.0, 3_600_001.5, 1e9 + 0.123]
+    told = [f"{ms // 3_600_000:02d}:{ms // 60_000 % 60:02d}:{ms // 1000 % 60:02d}.{ms % 1000:03d}" for ms in (max(0, int(x * 1000)) for x in seconds)]
+    assert values(spark, [(x,) for x in seconds], "s double", timecode.to_clock(F.col("s"))) == told == timecode.clocks(np.array(seconds)).to_pylist()
+    assert timecode.clocks(np.array([])).to_pylist() == [] and values(spark, [(None,)], "s double", timecode.to_clock(F.col("s"))) == ["00:00:00.000"]
+
+
 def test_scores(spark):
     got = values(spark, [(x,) for x in (1.0, 2.9, 3.0, 60.0, 60.1, 120.0)], "d double", scores.heuristic_score(F.col("d")))
     assert got == [2, 2, 5, 5, 2, 2]

@@ -73,7 +73,9 @@ def batched(media: DataFrame, model: models.Model, audio: bool, template: Column
 def _paid(segments: DataFrame, template: Column, model: models.Model) -> DataFrame:
     """Answers, read, with `paid`: the cost that the model told. A table, as clips, metadata, outcomes and what is asked next
     all go by it, and each would read all replies anew."""
-    d = models.replies(segments.withColumn("template", template), model).withColumnRenamed("usd", "paid").withColumnRenamed("error", "failure")
+    # What was asked with isn't written beside the answer.
+    told = models.replies(segments.withColumn("template", template), model, keep=lambda d, label: cut(d.drop("lines"), label))
+    d = told.withColumnRenamed("usd", "paid").withColumnRenamed("error", "failure")
     p = replies.parse_plans(d)
     return cut(p.select("video_id", "chunk_index", "start_sec", "end_sec", "clips", "paid", F.coalesce("failure", "problem").alias("error")), "answers")
 
@@ -121,18 +123,14 @@ def by_keyframes(media: DataFrame, scenes: DataFrame, model: models.Model, stric
     (media: sampling, min_frames). The estimate is that of so many images. A timeline without frames raises if
     strict, else counts as failed. metadata also has n_frames and n_scenes."""
     inside = scenes.join(media.select("video_id"), "video_id", "left_semi")
-    frames = sampling.sampled(F.col("sampling"), inside, media, F.col("min_frames"))
-    frames = cut(sampling.frame_names(frames).select("video_id", F.col("frame").alias("frame_index"), "t"), "frames")
-    facts = frames.groupBy("video_id").agg(F.count("*").alias("n_frames"))
-    facts = media.select("video_id", "duration_sec").join(facts, "video_id", "left").join(inside.groupBy("video_id").agg(F.count("*").alias("n_scenes")), "video_id", "left")
-    facts = facts.withColumns({"n_frames": F.coalesce("n_frames", F.lit(0)), "n_scenes": F.coalesce("n_scenes", F.lit(0))})
+    frames = sampling.listed(F.col("sampling"), scenes, media, F.col("min_frames"))
+    facts = media.select("video_id", "duration_sec").join(frames.select("video_id", "n_frames"), "video_id", "left").join(inside.groupBy("video_id").agg(F.count("*").alias("n_scenes")), "video_id", "left")
+    facts = cut(facts.withColumns({"n_frames": F.coalesce("n_frames", F.lit(0)), "n_scenes": F.coalesce("n_scenes", F.lit(0))}), "facts")
     if strict:
         known = F.when(F.col("n_frames") > 0, F.col("n_frames")).otherwise(F.raise_error(F.concat(F.lit(f"{NO_FRAMES}: "), F.col("video_id").cast("string"))).cast("long"))
         facts = facts.withColumn("n_frames", known)
     bare = facts.where("n_frames = 0").select("video_id", F.lit(0).alias("chunk_index"), F.lit(NO_FRAMES).alias("error"))
-    whole = facts.join(profiles.frame_lines(frames), "video_id").select("video_id", F.lit(0).alias("chunk_index"), F.lit(0.0).alias("start_sec"), F.col("duration_sec").alias("end_sec"), "lines")
-    if strict:
-        whole = facts.where("n_frames > 0").select("video_id").join(whole, "video_id")
+    whole = facts.where("n_frames > 0").join(frames.select("video_id", "lines"), "video_id").select("video_id", F.lit(0).alias("chunk_index"), F.lit(0.0).alias("start_sec"), F.col("duration_sec").alias("end_sec"), "lines")
     answers = _paid(whole, F.lit("hybrid"), model)
     results = answers.select("video_id", "chunk_index", "error").unionByName(bare)
     found = _merged(chunks.surviving(answers, strict).withColumn("error", F.lit(None).cast("string")), model, results)
@@ -172,16 +170,16 @@ def run_all(requests: DataFrame, scenes: DataFrame, model: models.Model, default
     """requests (video_id, path, payload: a prober's JSON, hint) to ranked clips, plans and outcomes: probe, profile,
     route, ask, rank, write. A file that can't be probed, has no length or no frames, or whose batches all fail, costs
     no other: it has a failed outcome with the reason. strict: it raises when rows are read."""
-    facts = probe.parse_probe(requests.select("path", "payload"))
+    # Requests come along, whatever their paths, and are a table: each step that follows goes by it, and would probe all anew.
+    facts = probe.parse_probe(requests.select("path", "payload", F.struct("video_id", "hint").alias("_own")), keep="_own").select("_own.*", "*").drop("_own")
     problem = F.coalesce("problem", F.when(~F.coalesce(F.col("duration_sec") > 0, F.lit(False)), "no duration"))
-    facts = requests.select("video_id", "path", "hint").join(facts.withColumn("problem", problem), "path")
+    facts = profiles.resolve(facts.withColumn("problem", problem), default_score)
+    facts = cut(facts.withColumn("route", profiles.route(F.col("hint"), F.lit(model.hears), F.lit(model.sees))), "media")
     if strict:
         facts = facts.withColumn("duration_sec", F.when(F.col("problem").isNull(), F.col("duration_sec")).otherwise(F.raise_error(F.concat_ws(": ", "path", "problem")).cast("double")))
         media = facts.drop("problem")
     else:
         media = facts.where("problem is null").drop("problem")
-    media = profiles.resolve(media, default_score)
-    media = media.withColumn("route", profiles.route(F.col("hint"), F.lit(model.hears), F.lit(model.sees)))
     parts = [] if model.sees else [by_keyframes(media.where("route = 'keyframe'"), scenes, model, strict)]
     for kind, able in (("video", model.sees), ("audio", model.hears)):
         if able:

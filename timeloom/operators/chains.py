@@ -7,7 +7,7 @@ that is held is that one row: no array, group or table holds a timeline.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 _T, _S, _FRESH = "_chain_t", "_chain_s", "_chain_fresh"
 
 
-def chain(df: DataFrame, key: str, time: str, order: list[Column], gap: float, strength: str | None = None, short: int | None = None) -> DataFrame:  # noqa: ARG001
+def chain(df: DataFrame, key: str, time: str, order: list[Column], gap: float, strength: str | None = None, short: int | None = None,  # noqa: ARG001
+          then: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None) -> DataFrame:
     """Rows of each key in time, each `gap` or more after the last one kept; ties go by `order`. With `strength`:
     a stronger row closer than gap to the last one takes its place, and is then the last one. short: of no effect, as
-    stretches of all lengths are gone through in the same way; callers still pass it."""
+    stretches of all lengths are gone through in the same way; callers still pass it. then: what the same task makes of
+    the rows kept, which come key by key and in time, and its schema; it needs a gap."""
     if gap <= 0:
         return df
     sort = [f"_chain_o{i}" for i in range(len(order))]
@@ -31,9 +33,10 @@ def chain(df: DataFrame, key: str, time: str, order: list[Column], gap: float, s
     names, fold = df.columns, _strongest if strength else _thinned
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fold(batches, gap, len(names))
+        kept = fold(batches, gap, len(names))
+        return then[0](kept) if then else kept
 
-    return d.select(*(F.col(f"`{c}`") for c in names), _T, _FRESH, *([_S] if strength else [])).mapInArrow(run, df.schema)
+    return d.select(*(F.col(f"`{c}`") for c in names), _T, _FRESH, *([_S] if strength else [])).mapInArrow(run, then[1] if then else df.schema)
 
 
 def _own(batch: pa.RecordBatch, n: int) -> pa.RecordBatch:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import functools
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.errors import TimelineError, UnknownName
+from timeloom.functions.timecode import clocks
 from timeloom.tables import cut
 
+from .chains import chain
 from .intervals import thin
 
 # Fixed values.
@@ -75,32 +80,97 @@ def sampled(strategy: str | Column, scenes: DataFrame, media: DataFrame, min_fra
     """The moments of each timeline by strategy; hybrid samples short ones densely; a timeline with
     fewer than min_frames is sampled anew, uniformly. strategy and min_frames may be columns of media, so that one
     plan samples timelines of several profiles; an unknown strategy raises."""
-    if not isinstance(strategy, Column) and strategy not in STRATEGIES:
+    asked = _asked(strategy, media, min_frames, n, interval, max_gap)
+    specs = cut(thin(_moments(asked, scenes, n, interval, max_gap), "video_id", "_at", [F.coalesce("scene_index", F.lit(-1))], TOLERANCE_SEC).drop("_at"), "moments")  # counted, then read again
+    few = _few(asked, specs.groupBy("video_id").agg(F.count("*").alias("n_frames")))
+    dense = deduped(uniform(few, F.col("duration_sec") / (F.col("_least") + 1)))
+    return specs.join(few.select("video_id"), "video_id", "left_anti").unionByName(dense)
+
+
+def listed(strategy: str | Column, scenes: DataFrame, media: DataFrame, min_frames: int | Column = MIN_FRAMES, n: int = PER_SCENE,
+           interval: float = UNIFORM_SEC, max_gap: float = MAX_GAP_SEC) -> DataFrame:
+    """video_id, n_frames and lines of sampled moments, for timelines that have any: lines as `profiles.frame_lines` has
+    them, of frames as `frame_names` numbers them. The tasks that thin a timeline's moments count and list them, so
+    moments are dealt once and no table of them is written."""
+    asked = _asked(strategy, media, min_frames, n, interval, max_gap)
+    lines = lambda d, at: chain(d, "video_id", at, [F.coalesce("scene_index", F.lit(-1))], TOLERANCE_SEC, then=(_listed, f"video_id {kind}, n_frames long, lines string"))
+    kind = media.schema["video_id"].dataType.simpleString()
+    specs = cut(lines(_moments(asked, scenes, n, interval, max_gap), "_at"), "frames")
+    few = _few(asked, specs.select("video_id", "n_frames"))
+    dense = lines(uniform(few, F.col("duration_sec") / (F.col("_least") + 1)), "t")
+    return specs.join(few.select("video_id"), "video_id", "left_anti").unionByName(dense)
+
+
+def _asked(strategy: str | Column, media: DataFrame, min_frames: int | Column, n: int, interval: float, max_gap: float) -> DataFrame:
+    """video_id, duration_sec, _strategy, _least."""
+    by_column = isinstance(strategy, Column)
+    if not by_column and strategy not in STRATEGIES:
         raise UnknownName(f"strategy {strategy!r}: one of {', '.join(STRATEGIES)}")
+    if n <= 0 and (by_column or strategy != "uniform"):
+        raise TimelineError("at least one moment a scene")
+    if (interval <= 0 and (by_column or strategy == "uniform")) or (max_gap <= 0 and (by_column or strategy == "hybrid")):
+        raise TimelineError("interval must be over 0")
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     known = F.when(as_column(strategy).isin(*STRATEGIES), as_column(strategy)).otherwise(F.raise_error(F.concat(F.lit("unknown strategy: "), as_column(strategy))).cast("string"))
-    asked = media.select("video_id", "duration_sec", known.alias("_strategy"), as_column(min_frames).alias("_least"))
-    thick, even = [], []
-    for name in STRATEGIES if isinstance(strategy, Column) else [strategy]:
-        own = asked.where(F.col("_strategy") == name).select("video_id", "duration_sec")
-        inside = scenes.join(own.select("video_id"), "video_id", "left_semi")
-        if name == "hybrid":
-            short = F.col("duration_sec") < SHORT_SEC
-            thick.append(uniform(own.where(short), SHORT_STEP_SEC))
-            thick.append(_hybrid(scenes.join(own.where(~short).select("video_id"), "video_id", "left_semi"), n, max_gap))
-            bare = own.where(~short).join(scenes.select("video_id").distinct(), "video_id", "left_anti")
-            even.append(uniform(bare, max_gap))
-        elif name == "scene":
-            thick.append(per_scene(inside, n))
-        else:
-            even.append(uniform(own, interval))
-    union = lambda frames: functools.reduce(DataFrame.unionByName, frames)
-    specs = cut(union([*([deduped(union(thick))] if thick else []), *even]), "moments")  # counted, then read again
-    counts = specs.groupBy("video_id").agg(F.count("*").alias("frames"))
-    few = asked.join(counts, "video_id", "left").where((F.coalesce("frames", F.lit(0)) < F.col("_least")) & (F.col("duration_sec") > 0))
-    few = cut(few.select("video_id", "duration_sec", "_least"), "few")
-    dense = deduped(uniform(few, F.col("duration_sec") / (F.col("_least") + 1)))
-    return specs.join(few.select("video_id"), "video_id", "left_anti").unionByName(dense)
+    return media.select("video_id", "duration_sec", known.alias("_strategy"), as_column(min_frames).alias("_least"))
+
+
+def _moments(asked: DataFrame, scenes: DataFrame, n: int, interval: float, max_gap: float) -> DataFrame:
+    """video_id, t, scene_index, _at, before thinning. A timeline that goes by its scenes meets them, others stand alone: one
+    join and no union, so that where scenes are dealt by timeline their moments are too. _at: the time by which
+    to thin, for moments spaced on purpose their number, so that all stay."""
+    hybrid, short = F.col("_strategy") == "hybrid", F.col("duration_sec") < SHORT_SEC
+    asked = asked.withColumn("_by_scene", F.coalesce((F.col("_strategy") == "scene") | (hybrid & ~short), F.lit(False)))
+    own = scenes.select(F.col("video_id").alias("_video"), "scene_index", "start_sec", "end_sec")
+    d = asked.join(own, (F.col("video_id") == F.col("_video")) & F.col("_by_scene"), "left")
+    met, length = F.col("_video").isNotNull(), F.col("end_sec") - F.col("start_sec")
+    extra = F.greatest(F.lit(0), F.when(hybrid & (length > max_gap), F.floor(length / max_gap) - n).otherwise(0).cast("int"))
+    step = F.when(F.col("_strategy") == "uniform", float(interval)).when(hybrid & short, SHORT_STEP_SEC).when(hybrid & ~short, float(max_gap))
+    d = d.select("video_id", "duration_sec", "scene_index", "start_sec", met.alias("_met"), length.alias("_length"), F.when(~met, step).alias("_step"), (~met & ~(hybrid & short)).alias("_even"), F.when(met & (length > 0), extra).alias("_extra"))
+    alone = F.when(F.col("duration_sec") > 0, F.ceil(F.col("duration_sec") / F.col("_step") - 0.5).cast("int"))
+    d = d.withColumn("_n", F.when(F.col("_met"), F.col("_extra") + n).otherwise(alone)).where("_n > 0")
+    d = d.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    share = F.when(F.col("i") <= n, F.col("_length") * F.col("i") / (n + 1)).otherwise(F.col("_length") * (F.col("i") - n) / (F.col("_extra") + 1))
+    t = F.when(F.col("_met"), F.col("start_sec") + share).otherwise((F.col("i") - 0.5) * F.col("_step"))
+    d = d.withColumn("t", t).where(F.col("_met") | (F.col("t") < F.col("duration_sec")))
+    return d.select("video_id", "t", "scene_index", F.when(F.col("_even"), F.col("i").cast("double")).otherwise(F.col("t")).alias("_at"))
+
+
+def _few(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """Timelines that are to be sampled anew."""
+    few = asked.join(counts, "video_id", "left").where((F.coalesce("n_frames", F.lit(0)) < F.col("_least")) & (F.col("duration_sec") > 0))
+    return cut(few.select("video_id", "duration_sec", "_least"), "few")
+
+
+def _listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Moments (video_id, t, ...) that come timeline by timeline and in time to a row a timeline. Held are those of one
+    timeline, as its lines are."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            batch = batch.select(["video_id", "t"])  # noqa: PLW2901
+            ends = pc.run_end_encode(batch.column(0)).run_ends.to_numpy()
+            first = batch.column(0)[0].as_py()
+            if held and first != held[-1].column(0)[0].as_py():
+                yield _lines_of(held)
+                held = []
+            if len(ends) > 1:
+                yield _lines_of([*held, batch.slice(0, int(ends[-2]))])
+                held = []
+            held.append(batch.slice(int(ends[-2]) if len(ends) > 1 else 0))
+    if held:
+        yield _lines_of(held)
+
+
+def _lines_of(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(pieces).combine_chunks()
+    runs = pc.run_end_encode(rows["video_id"].combine_chunks())
+    offsets = np.concatenate(([0], runs.run_ends.to_numpy())).astype(np.int64)
+    counts = np.diff(offsets)
+    number = pc.cast(pa.array(np.arange(len(rows)) - np.repeat(offsets[:-1], counts)), pa.string())
+    text = pc.binary_join_element_wise(number, clocks(rows["t"].to_numpy()), ": ")
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), text), "\n")
+    return pa.RecordBatch.from_arrays([runs.values, pa.array(counts), lines], names=["video_id", "n_frames", "lines"])
 
 
 def stratified(media: DataFrame, n: int, seed: Column) -> DataFrame:

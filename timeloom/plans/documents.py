@@ -41,7 +41,7 @@ def write_plan(ranked: DataFrame, media: DataFrame, before: float | Column = 0.0
         "category", "description", "rationale", F.col("score").alias("vlm_score"), "heuristic_score", "final_score", "tags")
     d = d.groupBy("video_id").agg(F.first("video").alias("video"), F.array_sort(F.collect_list(clip)).alias("clips"), F.first("_blocks").alias("_blocks"))
     names = {"video": F.col("video"), "clips": F.col("clips")} | {n: F.col("_blocks")[n] for n in extra or {}}
-    return d.select("video_id", F.to_json(F.struct(*(c.alias(n) for n, c in names.items()))).alias("plan"))
+    return once(d.select("video_id", F.to_json(F.struct(*(c.alias(n) for n, c in names.items()))).alias("plan")), "plan")
 
 
 def write_manifest(ranked: DataFrame, media: DataFrame, outputs: DataFrame) -> DataFrame:

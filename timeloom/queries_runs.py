@@ -126,10 +126,10 @@ def q_run_routes(spark, d):
     asked = V.scene_media(scenes).select("video_id", F.concat(F.col("video_id").cast("string"), F.lit(".mp4")).alias("path"), payload.alias("payload"), hint.alias("hint"))
     blind = runs.run_all(asked.where("video_id % 2 = 0"), scenes, models.make("fixed", sees=False, hears=False)).plans
     seeing = runs.run_all(asked.where("video_id % 2 = 1"), scenes, models.make("fixed")).plans
-    part = lambda path, kind: F.get_json_object("plan", path).cast(kind)
-    doc = blind.unionByName(seeing).select("video_id", part("$.sampling.strategy", "string").alias("strategy"), part("$.sampling.n_keyframes", "int").alias("n_keyframes"),
-                                           part("$.sampling.n_scenes", "int").alias("n_scenes"), F.round(part("$.vlm.cost_upfront_estimate_usd", "double"), 6).alias("estimate_usd"), "plan")
-    clips = documents.parse_documents(doc, "plan").select("*", F.explode("document.clips").alias("c"))
+    blocks = F.from_json("plan", "sampling struct<strategy: string, n_keyframes: int, n_scenes: int>, vlm struct<cost_upfront_estimate_usd: double>").alias("_b")
+    doc = blind.unionByName(seeing).select("video_id", blocks, "plan").select("video_id", "_b.sampling.*", F.round("_b.vlm.cost_upfront_estimate_usd", 6).alias("estimate_usd"), "plan")
+    # Clips are shared by the generator and the filter that Spark puts before it.
+    clips = documents.once(documents.parse_documents(doc, "plan").select("*", F.col("document.clips").alias("clips")).drop("document", "text"), "clips").select("*", F.explode("clips").alias("c"))
     return clips.select("video_id", F.col("c.rank").cast("int").alias("rank"), parse(F.col("c.start")).alias("start_us"), F.col("c.final_score").cast("int").alias("final_score"),
                         "strategy", "n_keyframes", "n_scenes", "estimate_usd")
 
